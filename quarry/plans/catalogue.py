@@ -95,3 +95,142 @@ def q_corpus_tagged(spark, sf_dir):
     v = Views(spark, sf_dir)
     _, _, texts = v.corpus()
     return C.count_by(None, v.tok(), texts, ["year", "word"])
+
+
+# =================================================================== P1 front end: shards, roles, normalisers
+_SHARD_NAMES = "(" + ", ".join(f"'{t}'" for t in
+                               "region nation customer supplier part orders lineitem events documents "
+                               "embeddings pages benchmark labels conversations".split()) + ")"
+_INFO_COLS = ("(SELECT DISTINCT table_name, column_name, CAST(ordinal_position AS INT) AS ordinal "
+              f"FROM information_schema.columns WHERE table_name IN {_SHARD_NAMES})")
+
+
+def _shards(spark, sf_dir):
+    from quarry.sources.files import shard_catalog
+    cat = shard_catalog(spark, sf_dir, patterns=("*.parquet",))
+    return cat.withColumn("shard", F.regexp_extract("path", r"([^/]+)\.parquet$", 1))
+
+
+@query("shard_catalog",
+       f"SELECT table_name AS shard, column_name, ordinal FROM {_INFO_COLS} c")
+def q_shard_catalog(spark, sf_dir):
+    cat = _shards(spark, sf_dir)
+    return cat.select("shard", F.posexplode("columns").alias("pos", "column_name")).select(
+        "shard", "column_name", (F.col("pos") + 1).cast("int").alias("ordinal"))
+
+
+def _flag(names):
+    return "bool_or(lower(column_name) IN (" + ", ".join(f"'{n}'" for n in names) + "))"
+
+
+_ROLE_SQL = (
+    "SELECT shard, has_textid, has_wordid, has_wordish, has_yearish, "
+    "CASE WHEN has_textid AND has_wordid AND NOT (has_wordish OR has_yearish) THEN 'tokens' "
+    "WHEN has_wordid AND has_wordish AND NOT has_textid THEN 'words' "
+    "WHEN has_textid AND has_yearish AND NOT has_wordid THEN 'texts' END AS role FROM ("
+    "SELECT table_name AS shard, "
+    f"{_flag(['textid', 'text_id', 'docid', 'doc_id'])} AS has_textid, "
+    f"{_flag(['wordid', 'word_id'])} AS has_wordid, "
+    f"{_flag(['word', 'token', 'form', 'lemma', 'pos', 'upos', 'xpos', 'tag'])} AS has_wordish, "
+    f"{_flag(['year', 'date_year', 'decade', 'genre', 'section'])} AS has_yearish "
+    f"FROM {_INFO_COLS} c GROUP BY table_name) f")
+
+
+@query("shard_roles", _ROLE_SQL)
+def q_shard_roles(spark, sf_dir):
+    from quarry.operators.catalog import shard_roles
+    return shard_roles(_shards(spark, sf_dir)).select(
+        "shard", "has_textid", "has_wordid", "has_wordish", "has_yearish", "role")
+
+
+@query("shard_labels",
+       "SELECT table_name AS shard, "
+       f"{_flag(['text', 'body', 'content', 'full_text'])} AS full_text, "
+       f"{_flag(['lemma', 'word', 'pos', 'tag'])} AS words, "
+       f"{_flag(['year', 'decade', 'genre', 'section'])} AS metadata "
+       f"FROM {_INFO_COLS} c GROUP BY table_name ORDER BY shard LIMIT 200")
+def q_shard_labels(spark, sf_dir):
+    from quarry.operators.catalog import shard_labels
+    return shard_labels(_shards(spark, sf_dir)).select("shard", "full_text", "words", "metadata")
+
+
+@query("layout_inventory",
+       "SELECT CAST(count(*) AS BIGINT) AS n_files, CAST(count(*) AS BIGINT) AS n_parquet FROM "
+       f"(SELECT DISTINCT table_name FROM information_schema.tables WHERE table_name IN {_SHARD_NAMES}) t")
+def q_layout_inventory(spark, sf_dir):
+    from quarry.sources.files import list_files
+    files = list_files(spark, sf_dir, "*")
+    return (files.groupBy("folder")
+            .agg(F.count(F.lit(1)).alias("n_files"),
+                 F.count_if(F.col("name").endswith(".parquet")).alias("n_parquet"))
+            .select("n_files", "n_parquet"))
+
+
+@query("first_shards",
+       "SELECT name FROM (SELECT DISTINCT table_name || '.parquet' AS name FROM information_schema.tables "
+       f"WHERE table_name IN {_SHARD_NAMES}) t ORDER BY name LIMIT 5")
+def q_first_shards(spark, sf_dir):
+    from quarry.sources.files import list_files
+    return list_files(spark, sf_dir, "*.parquet").select("name").orderBy("name").limit(5)
+
+
+@query("corpus_tokens", O.corpus("SELECT textID, wordID, occID FROM tokens"))
+def q_corpus_tokens(spark, sf_dir):
+    from quarry.operators.catalog import normalise_tokens
+    return normalise_tokens(Views(spark, sf_dir).token_shard())
+
+
+@query("corpus_words", O.corpus("SELECT wordID, word, lemma, pos FROM words"))
+def q_corpus_words(spark, sf_dir):
+    from quarry.operators.catalog import normalise_words
+    return normalise_words(Views(spark, sf_dir).word_shard())
+
+
+@query("corpus_texts", O.corpus("SELECT textID, year, decade, genre FROM texts"))
+def q_corpus_texts(spark, sf_dir):
+    from quarry.operators.catalog import normalise_texts
+    return normalise_texts(Views(spark, sf_dir).text_shard())
+
+
+@query("rename_candidates",
+       "SELECT p_partkey AS wordID, p_name AS lemma, p_type AS pos, p_retailprice AS price FROM part")
+def q_rename_candidates(spark, sf_dir):
+    from quarry.operators.catalog import WORD_RENAMES, rename_candidates
+    raw = Views(spark, sf_dir).table("part").select(
+        F.col("p_partkey").alias("WORD_ID"), F.col("p_name").alias("Lemma"),
+        F.col("p_type").alias("Tag"), F.col("p_retailprice").alias("price"))
+    return rename_candidates(raw, WORD_RENAMES)
+
+
+@query("union_relaxed",
+       "SELECT c_custkey AS id, CAST(c_nationkey AS BIGINT) AS nation, c_acctbal AS bal, c_mktsegment AS segment "
+       "FROM customer UNION ALL "
+       "SELECT s_suppkey AS id, CAST(s_nationkey AS BIGINT) AS nation, "
+       "CAST(CAST(s_acctbal AS FLOAT) AS DOUBLE) AS bal, NULL AS segment FROM supplier")
+def q_union_relaxed(spark, sf_dir):
+    from quarry.operators.catalog import union_relaxed
+    v = Views(spark, sf_dir)
+    a = v.table("customer").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("nation"),
+                                   F.col("c_acctbal").alias("bal"), F.col("c_mktsegment").alias("segment"))
+    b = v.table("supplier").select(F.col("s_suppkey").cast("int").alias("id"),
+                                   F.col("s_nationkey").cast("bigint").alias("nation"),
+                                   F.col("s_acctbal").cast("float").alias("bal"))
+    return union_relaxed([a, b])
+
+
+@query("token_freq_year", O.corpus(
+    "SELECT year, token, n, rank FROM (SELECT year, token, n, CAST(row_number() OVER "
+    "(PARTITION BY year ORDER BY n DESC, token ASC NULLS FIRST) AS INT) AS rank FROM "
+    "(SELECT x.year, t.token, CAST(count(*) AS BIGINT) AS n FROM (SELECT doc_id, "
+    "unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')) AS token FROM documents) t "
+    "LEFT JOIN texts x ON t.doc_id = x.textID GROUP BY x.year, t.token) c) r WHERE rank <= 50"))
+def q_token_freq_year(spark, sf_dir):
+    from quarry.functions.text import lower_words
+    v = Views(spark, sf_dir)
+    _, _, texts = v.corpus()
+    docs = v.table("documents").select("doc_id", "text")
+    # join at document granularity (one row per text), then explode and count
+    with_year = docs.join(texts.select(F.col("textID").alias("doc_id"), "year"), "doc_id", "left")
+    toks = with_year.select("year", F.explode(lower_words("text")).alias("token"))
+    counts = toks.groupBy("year", "token").agg(F.count(F.lit(1)).alias("n"))
+    return C.top_k_per_group(counts, "year", "n", TOP_K, "token")
