@@ -234,3 +234,103 @@ def q_token_freq_year(spark, sf_dir):
     toks = with_year.select("year", F.explode(lower_words("text")).alias("token"))
     counts = toks.groupBy("year", "token").agg(F.count(F.lit(1)).alias("n"))
     return C.top_k_per_group(counts, "year", "n", TOP_K, "token")
+
+
+# =================================================================== P2 mentions
+from quarry.operators import mentions as M  # noqa: E402
+from quarry.operators.feeds import flatten_feed  # noqa: E402
+from quarry.operators.scoring import LexiconScorer, lexicon_sql  # noqa: E402
+
+DENSITY_TERMS = ["for", "with", "from", "that"]   # present in the shipped prose
+_MENTION_RE = r"\b(?:Dr|Prof|Professor|Mr|Ms|Mrs)\.?\s+[A-Z][a-z]+(?:\s+[A-Z][a-z]+)*"
+_WORDS = r"regexp_extract_all(lower({t}), '[\p{{L}}\p{{N}}_]+')"
+
+
+def _density_sql(t: str, terms) -> str:
+    w = _WORDS.format(t=t)
+    inlist = ", ".join(f"'{x}'" for x in terms)
+    return (f"CASE WHEN len({w}) > 0 THEN round(CAST(len(list_filter({w}, lambda x: x IN ({inlist}))) AS DOUBLE)"
+            f" / len({w}), 3) ELSE 0.0 END")
+
+
+_SENTS = ("SELECT doc_id AS source, unnest(s) AS sentence, CAST(generate_subscripts(s, 1) - 1 AS INT) AS sentence_pos "
+          "FROM (SELECT doc_id, string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(31), 'g'), chr(31)) AS s "
+          "FROM aug) x")
+_SENT_MENTIONS = ("SELECT source, sentence_pos, sentence, unnest(m) AS expert, "
+                  "CAST(generate_subscripts(m, 1) - 1 AS INT) AS mention_pos FROM "
+                  f"(SELECT *, regexp_extract_all(sentence, '{_MENTION_RE}') AS m FROM sents) y WHERE len(m) > 0")
+_STRIP = "regexp_replace({t}, '^\\s+|\\s+$', '', 'g')"
+
+
+@query("modal_density", f"SELECT doc_id, {_density_sql('text', DENSITY_TERMS)} AS density FROM documents")
+def q_modal_density(spark, sf_dir):
+    docs = Views(spark, sf_dir).table("documents").select("doc_id", "text")
+    return M.modal_density(docs, "text", DENSITY_TERMS, out="density").select("doc_id", "density")
+
+
+@query("mentions", O.with_ctes(
+    "SELECT doc_id, unnest(m) AS expert, CAST(generate_subscripts(m, 1) - 1 AS INT) AS mention_pos FROM "
+    f"(SELECT doc_id, regexp_extract_all(text, '{_MENTION_RE}') AS m FROM aug) x", aug=O.AUG))
+def q_mentions(spark, sf_dir):
+    aug = Views(spark, sf_dir).aug()
+    return M.extract_mentions(aug, "text", keep=["doc_id"])
+
+
+@query("sentence_mentions", O.with_ctes(
+    f"SELECT source, sentence_pos, mention_pos, expert, {_STRIP.format(t='sentence')} AS quote FROM sm",
+    aug=O.AUG, sents=_SENTS, sm=_SENT_MENTIONS))
+def q_sentence_mentions(spark, sf_dir):
+    aug = Views(spark, sf_dir).aug().select(F.col("doc_id").alias("source"), "text")
+    return M.sentence_mentions(aug, "text", "source")
+
+
+@query("feed_flatten", O.with_ctes(
+    "SELECT source, author, title, description, content, url, publishedAt FROM feed", aug=O.AUG, feed=O.FEED))
+def q_feed_flatten(spark, sf_dir):
+    return flatten_feed(Views(spark, sf_dir).feed_pages())
+
+
+def _field_sql():
+    lab, sc = lexicon_sql("ftext")
+    per_field = " UNION ALL ".join(
+        f"SELECT source, author, url, publishedAt, '{f}' AS field, {f} AS ftext FROM feed"
+        for f in ("title", "description", "content"))
+    return O.with_ctes(
+        f"SELECT source, author, url, publishedAt, field, mention_pos, expert, {_STRIP.format(t='ftext')} AS text, "
+        f"{lab} AS emotion, {sc} AS emotion_score, {_density_sql('ftext', M.MODALS)} AS persuasion FROM "
+        f"(SELECT *, unnest(m) AS expert, CAST(generate_subscripts(m, 1) - 1 AS INT) AS mention_pos FROM "
+        f"(SELECT *, regexp_extract_all(ftext, '{_MENTION_RE}') AS m FROM fields) a) b",
+        aug=O.AUG, feed=O.FEED, fields=per_field)
+
+
+@query("field_mentions", _field_sql())
+def q_field_mentions(spark, sf_dir):
+    arts = flatten_feed(Views(spark, sf_dir).feed_pages())
+    fm = M.field_mentions(arts, scored=True)
+    return fm.select("source", "author", "url", "publishedAt", "field", "mention_pos", "expert", "text",
+                     "emotion", "emotion_score", "persuasion")
+
+
+def _emotion_sql():
+    lab, sc = lexicon_sql("text")
+    return O.with_ctes(f"SELECT doc_id, {lab} AS emotion_label, {sc} AS emotion_score FROM aug", aug=O.AUG)
+
+
+@query("emotion_scores", _emotion_sql())
+def q_emotion_scores(spark, sf_dir):
+    aug = Views(spark, sf_dir).aug().select("doc_id", "text")
+    return LexiconScorer().score(aug, "text").select("doc_id", "emotion_label", "emotion_score")
+
+
+def _expert_sql():
+    lab, sc = lexicon_sql("sentence")
+    return O.with_ctes(
+        f"SELECT source, sentence_pos, mention_pos, expert, {_STRIP.format(t='sentence')} AS quote, "
+        f"{lab} AS emotion_label, {sc} AS emotion_score, {_density_sql('sentence', M.MODALS)} AS persuasion_score "
+        "FROM sm", aug=O.AUG, sents=_SENTS, sm=_SENT_MENTIONS)
+
+
+@query("expert_analysis", _expert_sql())
+def q_expert_analysis(spark, sf_dir):
+    aug = Views(spark, sf_dir).aug().select(F.col("doc_id").alias("source"), "text")
+    return M.expert_analysis(aug, "text", "source")
