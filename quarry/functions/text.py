@@ -98,9 +98,9 @@ def line_value(body, label: str, nonblank: bool = False) -> Column:
     """
     lab = label.replace("/", "\\/")
     if nonblank:
-        pat = rf"(?m)^{lab}:[^\S\n\r]*(\S.*)$"
+        pat = rf"(?mU)^{lab}:[^\S\n\r]*(\S.*)$"
     else:
-        pat = rf"(?m)^{lab}:(.*)$"
+        pat = rf"(?mU)^{lab}:(.*)$"
     return strip_ws(F.regexp_extract(_col(body), pat, 1))
 
 

@@ -334,3 +334,131 @@ def _expert_sql():
 def q_expert_analysis(spark, sf_dir):
     aug = Views(spark, sf_dir).aug().select(F.col("doc_id").alias("source"), "text")
     return M.expert_analysis(aug, "text", "source")
+
+
+# =================================================================== P3 newspaper exports
+from quarry.operators import dumps as D  # noqa: E402
+from quarry.operators import keyed as K  # noqa: E402
+
+_SQL_STRIP = "regexp_replace({t}, '^\\s+|\\s+$', '', 'g')"
+
+
+def _fname_sql(num: str, width: str) -> str:
+    return (f"concat('article_', lpad(CAST({num} AS VARCHAR), CAST(greatest({width}, "
+            f"length(CAST({num} AS VARCHAR))) AS INT), '0'), '.txt')")
+
+
+@query("dump_split", O.with_ctes(
+    f"SELECT source, chunk, {_fname_sql('rn', 'length(CAST(cnt AS VARCHAR))')} AS filename, "
+    + _SQL_STRIP.format(t="concat('Document ', rn, ' of ', cnt, chr(10), chr(10), text, chr(10))")
+    + " AS text FROM dd", dd=O.DUMP_DOCS))
+def q_dump_split(spark, sf_dir):
+    return D.split_marked(Views(spark, sf_dir).dump(), "blob", ["source", "chunk"])
+
+
+@query("dump_records", O.with_ctes(
+    "SELECT source, chunk, CAST(generate_subscripts(mk, 1) - 1 AS INT) AS record_pos, unnest(mk) AS doc_marker, "
+    "unnest(bd) AS body FROM (SELECT source, chunk, "
+    "regexp_extract_all(blob, '(?m)^(Document\\s+\\d+\\s+of\\s+\\d+)\\s*$', 1) AS mk, "
+    "regexp_split_to_array(blob, '(?m)^Document\\s+\\d+\\s+of\\s+\\d+\\s*$')[2:] AS bd FROM d) x", d=O.DUMP))
+def q_dump_records(spark, sf_dir):
+    return D.split_header_lines(Views(spark, sf_dir).dump(), "blob", ["source", "chunk"])
+
+
+@query("dump_literal", O.with_ctes(
+    f"SELECT source, chunk, {_fname_sql('i', '3')} AS filename, "
+    f"concat('Document ', {_SQL_STRIP.format(t='c')}) AS text FROM (SELECT source, chunk, unnest(p[2:]) AS c, "
+    "generate_subscripts(p[2:], 1) AS i FROM (SELECT source, chunk, string_split(blob, 'Document ') AS p FROM d) x) y",
+    d=O.DUMP))
+def q_dump_literal(spark, sf_dir):
+    return D.split_literal(Views(spark, sf_dir).dump(), "blob", ["source", "chunk"])
+
+
+def _line_sql(label: str, nonblank: bool = False) -> str:
+    pat = f"(?m)^{label}:[ \\t\\r\\f\\v]*(\\S.*)$" if nonblank else f"(?m)^{label}:(.*)$"
+    return _SQL_STRIP.format(t=f"regexp_extract(body, '{pat}', 1)")
+
+
+def _fields_sql() -> str:
+    cols = [_SQL_STRIP.format(t="regexp_extract(body, '(?m)^(.*?)[ \\t]*:[ \\t]*\\[Op-Ed\\]', 1)") + " AS title"]
+    names = {"author": ("Author", False), "publication_info": ("Publication info", False),
+             "abstract": ("Abstract", False), "links": ("Links", True),
+             "publication_date": ("Publication date", False), "publication_title": ("Publication title", False),
+             "section": ("Section", False), "issn": ("ISSN", False), "doc_type": ("Document type", False),
+             "proquest_id": ("ProQuest document ID", False)}
+    for k, (lab, nb) in names.items():
+        cols.append(f"{_line_sql(lab, nb)} AS {k}")
+    cols.append(_SQL_STRIP.format(t="regexp_extract(body, '(?m)^(https?://\\S+)', 1)") + " AS url")
+    return O.with_ctes("SELECT doc_id, " + ", ".join(cols) + " FROM rec", rec=O.REC)
+
+
+@query("article_fields", _fields_sql())
+def q_article_fields(spark, sf_dir):
+    out = D.article_fields(Views(spark, sf_dir).rec(), "body")
+    return out.drop("body")
+
+
+_FULLTEXT_SQL = O.with_ctes(
+    "SELECT doc_id, CASE WHEN has_start THEN "
+    + _SQL_STRIP.format(t="concat_ws(chr(10), " + _SQL_STRIP.format(t="replace(split_part(block, chr(10), 1), "
+                                                                        "'Full text:', '')")
+                        + ", CASE WHEN instr(block, chr(10)) > 0 THEN substr(block, instr(block, chr(10)) + 1) END)")
+    + " ELSE '' END AS full_text FROM (SELECT doc_id, regexp_matches(body, '(?m)^Full text:') AS has_start, "
+    "regexp_split_to_array(regexp_extract(body, '(?sm)^Full text:(.*)', 1), "
+    "'\\n(?:Subject|Business indexing term|Location|Company / organization):')[1] AS block FROM rec) b",
+    rec=O.REC)
+
+
+@query("article_full_text", _FULLTEXT_SQL)
+def q_article_full_text(spark, sf_dir):
+    return D.with_full_text(Views(spark, sf_dir).rec(), "body").select("doc_id", "full_text")
+
+
+@query("filename_key",
+       f"SELECT doc_id AS id, quality, toxic, {_fname_sql('doc_id', 'w')} AS filename FROM labels, "
+       "(SELECT length(CAST(max(doc_id) AS VARCHAR)) AS w FROM labels) m")
+def q_filename_key(spark, sf_dir):
+    meta = Views(spark, sf_dir).table("labels").withColumnRenamed("doc_id", "id")
+    return K.with_filename(meta, "id")
+
+
+@query("combine_text",
+       f"SELECT l.doc_id AS id, l.quality, l.toxic, {_fname_sql('l.doc_id', 'm.w')} AS filename, "
+       f"coalesce(t.text, '') AS text FROM labels l CROSS JOIN (SELECT length(CAST(max(doc_id) AS VARCHAR)) AS w "
+       "FROM labels) m LEFT JOIN (SELECT " + _fname_sql('doc_id', 'dw.w') + " AS filename, "
+       + _SQL_STRIP.format(t="text") + " AS text FROM documents CROSS JOIN (SELECT length(CAST(max(doc_id) AS "
+       "VARCHAR)) AS w FROM documents) dw) t ON t.filename = " + _fname_sql('l.doc_id', 'm.w'))
+def q_combine_text(spark, sf_dir):
+    v = Views(spark, sf_dir)
+    meta = K.with_filename(v.table("labels").withColumnRenamed("doc_id", "id"), "id")
+    docs = v.table("documents")
+    texts = K.with_filename(docs.select(F.col("doc_id").alias("id"), "text"), "id").select("filename", "text")
+    return K.combine_text(meta, texts)
+
+
+_MEAS_T_KEYED = ("SELECT id, lang, n_chars, " + _fname_sql("id", "{w}") + " AS filename FROM meas_t")
+
+
+@query("measures_left", O.with_ctes(
+    "SELECT t.id, t.lang, t.n_chars, t.filename, m.quality, m.toxic FROM t LEFT JOIN meas_m m "
+    "ON t.filename = m.filename", meas_t=O.MEAS_T, meas_m=O.MEAS_M, t=_MEAS_T_KEYED.format(w="3")))
+def q_measures_left(spark, sf_dir):
+    v = Views(spark, sf_dir)
+    return K.template_measures(v.meas_t(), v.meas_m(), width=3)
+
+
+@query("measures_filled", O.with_ctes(
+    "SELECT t.id, t.lang, coalesce(t.n_chars, 0) AS n_chars, t.filename, coalesce(m.quality, 0) AS quality, "
+    "coalesce(m.toxic, 0) AS toxic FROM t LEFT JOIN meas_m m ON t.filename = " + _SQL_STRIP.format(t="m.filename"),
+    meas_t=O.MEAS_T, meas_m=O.MEAS_M,
+    t=_MEAS_T_KEYED.format(w="(SELECT length(CAST(max(id) AS VARCHAR)) FROM meas_t)")))
+def q_measures_filled(spark, sf_dir):
+    v = Views(spark, sf_dir)
+    return K.template_measures(v.meas_t(), v.meas_m(), width=None, strip_keys=True, fill=True)
+
+
+@query("measures_id", O.with_ctes(
+    "SELECT CAST(regexp_extract(filename, '(\\d+)', 1) AS INT) AS id, filename, quality, toxic FROM meas_m",
+    meas_m=O.MEAS_M))
+def q_measures_id(spark, sf_dir):
+    return K.measures_with_id(Views(spark, sf_dir).meas_m())
