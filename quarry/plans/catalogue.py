@@ -462,3 +462,111 @@ def q_measures_filled(spark, sf_dir):
     meas_m=O.MEAS_M))
 def q_measures_id(spark, sf_dir):
     return K.measures_with_id(Views(spark, sf_dir).meas_m())
+
+
+# =================================================================== profiling
+from quarry.operators import profile as P  # noqa: E402
+
+THRESHOLD = 30
+AS_OF = "2024-01-04"
+_EVENT_COLS = ["event_id", "ts", "user_id", "event_type", "value", "props"]
+
+
+def _r6(c):
+    return F.round(F.col(c), 6).alias(c)
+
+
+@query("mean_by_city",
+       "SELECT c_mktsegment, round(avg(c_acctbal), 6) AS mean_c_acctbal FROM customer "
+       "WHERE c_mktsegment IS NOT NULL GROUP BY c_mktsegment")
+def q_mean_by_city(spark, sf_dir):
+    cust = Views(spark, sf_dir).table("customer")
+    return P.mean_by(cust, "c_mktsegment", "c_acctbal").select("c_mktsegment", _r6("mean_c_acctbal"))
+
+
+@query("people_over", f"SELECT c_custkey, c_acctbal, c_mktsegment FROM customer WHERE c_acctbal > {THRESHOLD}")
+def q_people_over(spark, sf_dir):
+    cust = Views(spark, sf_dir).table("customer").select("c_custkey", "c_acctbal", "c_mktsegment")
+    return P.filter_greater(cust, "c_acctbal", THRESHOLD)
+
+
+@query("people_senior",
+       f"SELECT c_custkey, c_acctbal, coalesce(c_acctbal > {THRESHOLD}, false) AS senior FROM customer")
+def q_people_senior(spark, sf_dir):
+    cust = Views(spark, sf_dir).table("customer").select("c_custkey", "c_acctbal")
+    return P.flag_greater(cust, "c_acctbal", THRESHOLD, "senior")
+
+
+@query("row_count", "SELECT CAST(count(*) AS BIGINT) AS n_rows FROM events")
+def q_row_count(spark, sf_dir):
+    return P.row_count(Views(spark, sf_dir).table("events"))
+
+
+@query("missing_counts",
+       "SELECT column_name, CAST(n_missing AS BIGINT) AS n_missing FROM (SELECT "
+       + ", ".join(f"count(*) - count({c}) AS {c}" for c in _EVENT_COLS)
+       + " FROM events) UNPIVOT (n_missing FOR column_name IN (" + ", ".join(_EVENT_COLS) + "))")
+def q_missing_counts(spark, sf_dir):
+    return P.missing_counts(Views(spark, sf_dir).table("events"))
+
+
+@query("frame_info",
+       "SELECT i.column_name, CAST(i.ordinal_position AS INT) AS ordinal, "
+       "CASE i.data_type WHEN 'BIGINT' THEN 'bigint' WHEN 'VARCHAR' THEN 'string' WHEN 'DOUBLE' THEN 'double' "
+       "WHEN 'INTEGER' THEN 'int' WHEN 'TIMESTAMP' THEN 'timestamp_ntz' ELSE lower(i.data_type) END AS dtype, "
+       "CAST(c.non_null AS BIGINT) AS non_null FROM (SELECT DISTINCT column_name, ordinal_position, data_type "
+       "FROM information_schema.columns WHERE table_name = 'events') i JOIN (SELECT column_name, non_null FROM "
+       "(SELECT " + ", ".join(f"count({c}) AS {c}" for c in _EVENT_COLS)
+       + " FROM events) UNPIVOT (non_null FOR column_name IN (" + ", ".join(_EVENT_COLS) + "))) c "
+       "ON i.column_name = c.column_name")
+def q_frame_info(spark, sf_dir):
+    return P.frame_info(Views(spark, sf_dir).table("events"))
+
+
+@query("describe_scores",
+       "SELECT event_type, CAST(count(value) AS BIGINT) AS count, round(avg(value), 6) AS mean, "
+       "round(stddev_samp(value), 6) AS std, round(min(value), 6) AS min, "
+       "round(quantile_cont(value, 0.25), 6) AS p25, round(quantile_cont(value, 0.5), 6) AS p50, "
+       "round(quantile_cont(value, 0.75), 6) AS p75, round(max(value), 6) AS max FROM events GROUP BY event_type")
+def q_describe_scores(spark, sf_dir):
+    d = P.describe(Views(spark, sf_dir).table("events"), "value", by=["event_type"])
+    return d.select("event_type", "count", *[_r6(c) for c in ("mean", "std", "min", "p25", "p50", "p75", "max")])
+
+
+@query("value_counts",
+       "SELECT event_type, CAST(count(*) AS BIGINT) AS n FROM events WHERE event_type IS NOT NULL GROUP BY event_type")
+def q_value_counts(spark, sf_dir):
+    return P.value_counts(Views(spark, sf_dir).table("events"), "event_type")
+
+
+@query("value_counts_top",
+       "SELECT user_id, CAST(count(*) AS BIGINT) AS n FROM events WHERE user_id IS NOT NULL GROUP BY user_id "
+       "ORDER BY n DESC, user_id ASC LIMIT 10")
+def q_value_counts_top(spark, sf_dir):
+    return P.value_counts(Views(spark, sf_dir).table("events"), "user_id", top=10)
+
+
+@query("pivot_mean_count",
+       "SELECT event_type, round(avg(value), 6) AS mean_value, CAST(count(value) AS BIGINT) AS count_value "
+       "FROM events WHERE event_type IS NOT NULL GROUP BY event_type")
+def q_pivot_mean_count(spark, sf_dir):
+    out = P.mean_and_count(Views(spark, sf_dir).table("events"), "event_type", "value")
+    return out.select("event_type", _r6("mean_value"), "count_value")
+
+
+@query("preview", "SELECT * FROM events ORDER BY event_id LIMIT 5")
+def q_preview(spark, sf_dir):
+    return P.preview(Views(spark, sf_dir).table("events"), "event_id", 5)
+
+
+@query("recent_selection", O.with_ctes(
+    "SELECT e.event_id, e.ts, a.source, a.lang FROM events e JOIN aug a ON e.event_id = a.doc_id "
+    f"WHERE CAST(e.ts AS DATE) BETWEEN DATE '{AS_OF}' - INTERVAL 7 DAY AND DATE '{AS_OF}' AND a.lang = 'en' "
+    "AND regexp_matches(a.text, '\\b(?:Dr|Prof|Professor|Mr|Ms)\\b') ORDER BY e.ts DESC, e.event_id LIMIT 500",
+    aug=O.AUG))
+def q_recent_selection(spark, sf_dir):
+    v = Views(spark, sf_dir)
+    ev = v.table("events").select("event_id", "ts")
+    docs = v.aug().select(F.col("doc_id").alias("event_id"), "source", "lang", "text")
+    sel = P.recent_selection(ev.join(docs, "event_id"), "ts", "text", AS_OF, order_tie="event_id")
+    return sel.select("event_id", "ts", "source", "lang")
