@@ -16,13 +16,20 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # ---- fixed values (must equal the reference's behaviour) ----
+# Python's whitespace (str.isspace): ASCII whitespace, U+001C-U+001F, U+0085, U+00A0,
+# U+1680, U+2000-U+200A, U+2028, U+2029, U+202F, U+205F, U+3000.  Written with
+# \x{...} escapes, the class means the same set in Java regex and in RE2.
+PY_WS_CHARS = r"\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+PY_WS = "[" + PY_WS_CHARS + "]"
+PY_NON_WS = "[^" + PY_WS_CHARS + "]"
 # Python-compatible word token: Unicode letters, digits and underscore.
 WORD_PATTERN = r"[\p{L}\p{N}_]+"
 # Sentence boundary: whitespace run that follows '.', '!' or '?'.
-SENTENCE_SPLIT = r"(?U)(?<=[.!?])\s+"
+SENTENCE_SPLIT = r"(?<=[.!?])" + PY_WS + "+"
 # Title followed by one or more capitalised names.
 TITLES = ["Dr", "Prof", "Professor", "Mr", "Ms", "Mrs"]
-MENTION_PATTERN = r"(?U)\b(?:Dr|Prof|Professor|Mr|Ms|Mrs)\.?\s+[A-Z][a-z]+(?:\s+[A-Z][a-z]+)*"
+MENTION_PATTERN = (r"(?U)\b(?:Dr|Prof|Professor|Mr|Ms|Mrs)\.?" + PY_WS + r"+[A-Z][a-z]+(?:"
+                   + PY_WS + r"+[A-Z][a-z]+)*")
 # Modal verbs used by the persuasion heuristic.
 MODALS = ["should", "must", "could", "would", "may", "might", "shall", "will"]
 
@@ -48,7 +55,7 @@ def sentences(c) -> Column:
 
 def strip_ws(c) -> Column:
     """Python ``str.strip()``: remove leading and trailing Unicode whitespace."""
-    return F.regexp_replace(_col(c), r"(?U)^\s+|\s+$", "")
+    return F.regexp_replace(_col(c), "^" + PY_WS + "+|" + PY_WS + "+$", "")
 
 
 def zfill(s, width) -> Column:
@@ -98,9 +105,9 @@ def line_value(body, label: str, nonblank: bool = False) -> Column:
     """
     lab = label.replace("/", "\\/")
     if nonblank:
-        pat = rf"(?mU)^{lab}:[^\S\n\r]*(\S.*)$"
+        pat = rf"(?m)^{lab}:(?:(?![\n\r]){PY_WS})*({PY_NON_WS}.*)$"
     else:
-        pat = rf"(?mU)^{lab}:(.*)$"
+        pat = rf"(?m)^{lab}:(.*)$"
     return strip_ws(F.regexp_extract(_col(body), pat, 1))
 
 

@@ -242,7 +242,9 @@ from quarry.operators.feeds import flatten_feed  # noqa: E402
 from quarry.operators.scoring import LexiconScorer, lexicon_sql  # noqa: E402
 
 DENSITY_TERMS = ["for", "with", "from", "that"]   # present in the shipped prose
-_MENTION_RE = r"\b(?:Dr|Prof|Professor|Mr|Ms|Mrs)\.?\s+[A-Z][a-z]+(?:\s+[A-Z][a-z]+)*"
+from quarry.functions.text import MENTION_PATTERN, PY_NON_WS, PY_WS, PY_WS_CHARS  # noqa: E402
+
+_MENTION_RE = MENTION_PATTERN.replace("(?U)", "")     # RE2: \b is ASCII-only, (?U) means "ungreedy"
 _WORDS = r"regexp_extract_all(lower({t}), '[\p{{L}}\p{{N}}_]+')"
 
 
@@ -254,12 +256,13 @@ def _density_sql(t: str, terms) -> str:
 
 
 _SENTS = ("SELECT doc_id AS source, unnest(s) AS sentence, CAST(generate_subscripts(s, 1) - 1 AS INT) AS sentence_pos "
-          "FROM (SELECT doc_id, string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(31), 'g'), chr(31)) AS s "
+          f"FROM (SELECT doc_id, string_split(regexp_replace(text, '([.!?]){PY_WS}+', '\\1' || chr(31), 'g'), chr(31)) AS s "
           "FROM aug) x")
 _SENT_MENTIONS = ("SELECT source, sentence_pos, sentence, unnest(m) AS expert, "
                   "CAST(generate_subscripts(m, 1) - 1 AS INT) AS mention_pos FROM "
                   f"(SELECT *, regexp_extract_all(sentence, '{_MENTION_RE}') AS m FROM sents) y WHERE len(m) > 0")
-_STRIP = "regexp_replace({t}, '^\\s+|\\s+$', '', 'g')"
+def _strip(t: str) -> str:
+    return "regexp_replace(" + t + ", '^" + PY_WS + "+|" + PY_WS + "+$', '', 'g')"
 
 
 @query("modal_density", f"SELECT doc_id, {_density_sql('text', DENSITY_TERMS)} AS density FROM documents")
@@ -277,7 +280,7 @@ def q_mentions(spark, sf_dir):
 
 
 @query("sentence_mentions", O.with_ctes(
-    f"SELECT source, sentence_pos, mention_pos, expert, {_STRIP.format(t='sentence')} AS quote FROM sm",
+    f"SELECT source, sentence_pos, mention_pos, expert, {_strip('sentence')} AS quote FROM sm",
     aug=O.AUG, sents=_SENTS, sm=_SENT_MENTIONS))
 def q_sentence_mentions(spark, sf_dir):
     aug = Views(spark, sf_dir).aug().select(F.col("doc_id").alias("source"), "text")
@@ -296,7 +299,7 @@ def _field_sql():
         f"SELECT source, author, url, publishedAt, '{f}' AS field, {f} AS ftext FROM feed"
         for f in ("title", "description", "content"))
     return O.with_ctes(
-        f"SELECT source, author, url, publishedAt, field, mention_pos, expert, {_STRIP.format(t='ftext')} AS text, "
+        f"SELECT source, author, url, publishedAt, field, mention_pos, expert, {_strip('ftext')} AS text, "
         f"{lab} AS emotion, {sc} AS emotion_score, {_density_sql('ftext', M.MODALS)} AS persuasion FROM "
         f"(SELECT *, unnest(m) AS expert, CAST(generate_subscripts(m, 1) - 1 AS INT) AS mention_pos FROM "
         f"(SELECT *, regexp_extract_all(ftext, '{_MENTION_RE}') AS m FROM fields) a) b",
@@ -325,7 +328,7 @@ def q_emotion_scores(spark, sf_dir):
 def _expert_sql():
     lab, sc = lexicon_sql("sentence")
     return O.with_ctes(
-        f"SELECT source, sentence_pos, mention_pos, expert, {_STRIP.format(t='sentence')} AS quote, "
+        f"SELECT source, sentence_pos, mention_pos, expert, {_strip('sentence')} AS quote, "
         f"{lab} AS emotion_label, {sc} AS emotion_score, {_density_sql('sentence', M.MODALS)} AS persuasion_score "
         "FROM sm", aug=O.AUG, sents=_SENTS, sm=_SENT_MENTIONS)
 
@@ -340,9 +343,6 @@ def q_expert_analysis(spark, sf_dir):
 from quarry.operators import dumps as D  # noqa: E402
 from quarry.operators import keyed as K  # noqa: E402
 
-_SQL_STRIP = "regexp_replace({t}, '^\\s+|\\s+$', '', 'g')"
-
-
 def _fname_sql(num: str, width: str) -> str:
     return (f"concat('article_', lpad(CAST({num} AS VARCHAR), CAST(greatest({width}, "
             f"length(CAST({num} AS VARCHAR))) AS INT), '0'), '.txt')")
@@ -350,7 +350,7 @@ def _fname_sql(num: str, width: str) -> str:
 
 @query("dump_split", O.with_ctes(
     f"SELECT source, chunk, {_fname_sql('rn', 'length(CAST(cnt AS VARCHAR))')} AS filename, "
-    + _SQL_STRIP.format(t="concat('Document ', rn, ' of ', cnt, chr(10), chr(10), text, chr(10))")
+    + _strip("concat('Document ', rn, ' of ', cnt, chr(10), chr(10), text, chr(10))")
     + " AS text FROM dd", dd=O.DUMP_DOCS))
 def q_dump_split(spark, sf_dir):
     return D.split_marked(Views(spark, sf_dir).dump(), "blob", ["source", "chunk"])
@@ -367,7 +367,7 @@ def q_dump_records(spark, sf_dir):
 
 @query("dump_literal", O.with_ctes(
     f"SELECT source, chunk, {_fname_sql('i', '3')} AS filename, "
-    f"concat('Document ', {_SQL_STRIP.format(t='c')}) AS text FROM (SELECT source, chunk, unnest(p[2:]) AS c, "
+    f"concat('Document ', {_strip('c')}) AS text FROM (SELECT source, chunk, unnest(p[2:]) AS c, "
     "generate_subscripts(p[2:], 1) AS i FROM (SELECT source, chunk, string_split(blob, 'Document ') AS p FROM d) x) y",
     d=O.DUMP))
 def q_dump_literal(spark, sf_dir):
@@ -375,12 +375,13 @@ def q_dump_literal(spark, sf_dir):
 
 
 def _line_sql(label: str, nonblank: bool = False) -> str:
-    pat = f"(?m)^{label}:[ \\t\\r\\f\\v]*(\\S.*)$" if nonblank else f"(?m)^{label}:(.*)$"
-    return _SQL_STRIP.format(t=f"regexp_extract(body, '{pat}', 1)")
+    inline_ws = "[\\t\\f " + PY_WS_CHARS[2:] + "]"
+    pat = f"(?m)^{label}:{inline_ws}*({PY_NON_WS}.*)$" if nonblank else f"(?m)^{label}:(.*)$"
+    return _strip(f"regexp_extract(body, '{pat}', 1)")
 
 
 def _fields_sql() -> str:
-    cols = [_SQL_STRIP.format(t="regexp_extract(body, '(?m)^(.*?)[ \\t]*:[ \\t]*\\[Op-Ed\\]', 1)") + " AS title"]
+    cols = [_strip("regexp_extract(body, '(?m)^(.*?)[ \\t]*:[ \\t]*\\[Op-Ed\\]', 1)") + " AS title"]
     names = {"author": ("Author", False), "publication_info": ("Publication info", False),
              "abstract": ("Abstract", False), "links": ("Links", True),
              "publication_date": ("Publication date", False), "publication_title": ("Publication title", False),
@@ -388,7 +389,7 @@ def _fields_sql() -> str:
              "proquest_id": ("ProQuest document ID", False)}
     for k, (lab, nb) in names.items():
         cols.append(f"{_line_sql(lab, nb)} AS {k}")
-    cols.append(_SQL_STRIP.format(t="regexp_extract(body, '(?m)^(https?://\\S+)', 1)") + " AS url")
+    cols.append(_strip("regexp_extract(body, '(?m)^(https?://\\S+)', 1)") + " AS url")
     return O.with_ctes("SELECT doc_id, " + ", ".join(cols) + " FROM rec", rec=O.REC)
 
 
@@ -400,7 +401,7 @@ def q_article_fields(spark, sf_dir):
 
 _FULLTEXT_SQL = O.with_ctes(
     "SELECT doc_id, CASE WHEN has_start THEN "
-    + _SQL_STRIP.format(t="concat_ws(chr(10), " + _SQL_STRIP.format(t="replace(split_part(block, chr(10), 1), "
+    + _strip("concat_ws(chr(10), " + _strip("replace(split_part(block, chr(10), 1), "
                                                                         "'Full text:', '')")
                         + ", CASE WHEN instr(block, chr(10)) > 0 THEN substr(block, instr(block, chr(10)) + 1) END)")
     + " ELSE '' END AS full_text FROM (SELECT doc_id, regexp_matches(body, '(?m)^Full text:') AS has_start, "
@@ -426,7 +427,7 @@ def q_filename_key(spark, sf_dir):
        f"SELECT l.doc_id AS id, l.quality, l.toxic, {_fname_sql('l.doc_id', 'm.w')} AS filename, "
        f"coalesce(t.text, '') AS text FROM labels l CROSS JOIN (SELECT length(CAST(max(doc_id) AS VARCHAR)) AS w "
        "FROM labels) m LEFT JOIN (SELECT " + _fname_sql('doc_id', 'dw.w') + " AS filename, "
-       + _SQL_STRIP.format(t="text") + " AS text FROM documents CROSS JOIN (SELECT length(CAST(max(doc_id) AS "
+       + _strip("text") + " AS text FROM documents CROSS JOIN (SELECT length(CAST(max(doc_id) AS "
        "VARCHAR)) AS w FROM documents) dw) t ON t.filename = " + _fname_sql('l.doc_id', 'm.w'))
 def q_combine_text(spark, sf_dir):
     v = Views(spark, sf_dir)
@@ -449,7 +450,7 @@ def q_measures_left(spark, sf_dir):
 
 @query("measures_filled", O.with_ctes(
     "SELECT t.id, t.lang, coalesce(t.n_chars, 0) AS n_chars, t.filename, coalesce(m.quality, 0) AS quality, "
-    "coalesce(m.toxic, 0) AS toxic FROM t LEFT JOIN meas_m m ON t.filename = " + _SQL_STRIP.format(t="m.filename"),
+    "coalesce(m.toxic, 0) AS toxic FROM t LEFT JOIN meas_m m ON t.filename = " + _strip("m.filename"),
     meas_t=O.MEAS_T, meas_m=O.MEAS_M,
     t=_MEAS_T_KEYED.format(w="(SELECT length(CAST(max(id) AS VARCHAR)) FROM meas_t)")))
 def q_measures_filled(spark, sf_dir):
@@ -570,3 +571,49 @@ def q_recent_selection(spark, sf_dir):
     docs = v.aug().select(F.col("doc_id").alias("event_id"), "source", "lang", "text")
     sel = P.recent_selection(ev.join(docs, "event_id"), "ts", "text", AS_OF, order_tie="event_id")
     return sel.select("event_id", "ts", "source", "lang")
+
+
+# =================================================================== P4 web pages
+from quarry.operators import pages as PG  # noqa: E402
+from quarry.plans import oracle_html as OH  # noqa: E402
+
+_CLEAN_PAGES = f"SELECT page_id, {OH.clean('html')} AS doc FROM pages"
+
+
+@query("page_headline", O.with_ctes(
+    f"SELECT page_id, CASE WHEN h IS NOT NULL THEN {OH.get_text('h')} END AS headline FROM "
+    f"(SELECT page_id, {OH.first_element('doc', 'h1')} AS h FROM cp) x", cp=_CLEAN_PAGES))
+def q_page_headline(spark, sf_dir):
+    pages = Views(spark, sf_dir).table("pages").select("page_id", "html")
+    return PG.headline(pages)
+
+
+@query("page_paragraphs", O.with_ctes(
+    f"SELECT page_id, CAST(generate_subscripts(ps, 1) - 1 AS INT) AS para_pos, "
+    f"unnest(list_transform(ps, lambda p: {OH.get_text('p')})) AS paragraph FROM "
+    f"(SELECT page_id, {OH.paragraphs('a')} AS ps FROM (SELECT page_id, {OH.first_element('doc', 'article')} AS a "
+    "FROM cp) x WHERE a IS NOT NULL) y", cp=_CLEAN_PAGES))
+def q_page_paragraphs(spark, sf_dir):
+    pages = Views(spark, sf_dir).table("pages").select("page_id", "html")
+    return PG.article_paragraphs(pages).orderBy("page_id", "paragraph")
+
+
+@query("page_blocks", O.with_ctes(
+    "SELECT page_id, 'blockquote' AS kind, CAST(generate_subscripts(qs, 1) - 1 AS INT) AS pos, "
+    f"unnest(list_transform(qs, lambda q: {OH.get_text('q')})) AS text FROM "
+    f"(SELECT page_id, {OH.all_elements('doc', 'blockquote')} AS qs FROM cp) a "
+    "UNION ALL SELECT page_id, 'p' AS kind, CAST(generate_subscripts(ps, 1) - 1 AS INT) AS pos, "
+    f"unnest(list_transform(ps, lambda p: {OH.get_text('p')})) AS text FROM "
+    f"(SELECT page_id, {OH.paragraphs(OH.remove_elements('doc', 'blockquote'))} AS ps FROM cp) b",
+    cp=_CLEAN_PAGES))
+def q_page_blocks(spark, sf_dir):
+    pages = Views(spark, sf_dir).table("pages").select("page_id", "html")
+    return PG.blocks(pages)
+
+
+@query("page_article_text", O.with_ctes(
+    f"SELECT page_id, {OH.get_text('a', ' ')} AS text FROM (SELECT page_id, {OH.first_element('doc', 'article')} "
+    "AS a FROM cp) x WHERE a IS NOT NULL", cp=_CLEAN_PAGES))
+def q_page_article_text(spark, sf_dir):
+    pages = Views(spark, sf_dir).table("pages").select("page_id", "html")
+    return PG.article_text(pages)
