@@ -617,3 +617,43 @@ def q_page_blocks(spark, sf_dir):
 def q_page_article_text(spark, sf_dir):
     pages = Views(spark, sf_dir).table("pages").select("page_id", "html")
     return PG.article_text(pages)
+
+
+# =================================================================== sinks and re-reads
+from quarry.session import shared_dir  # noqa: E402
+from quarry.sources import sinks as SK  # noqa: E402
+from quarry.sources.files import read_csv_strings  # noqa: E402
+
+
+@query("product_roundtrip", O.corpus(
+    "SELECT year, lemma, pos, CAST(count(*) AS BIGINT) AS n FROM joined WHERE year = "
+    f"{SLICE_YEAR} GROUP BY year, lemma, pos"))
+def q_product_roundtrip(spark, sf_dir):
+    """K1 + S12: the (year, lemma, pos) cube written partitioned by year to the
+    shared folder, re-read, and sliced by year (the slice prunes partitions)."""
+    tokens, words, texts = Views(spark, sf_dir).corpus()
+    cube = C.count_by(tokens, words, texts, ["year", "lemma", "pos"])
+    path = SK.write_parquet(cube, shared_dir(spark, "by_year_lemma_pos"), partition_by=["year"])
+    return spark.read.parquet(path).filter(F.col("year") == SLICE_YEAR)
+
+
+_DOC_SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+
+
+@query("csv_roundtrip", "SELECT doc_id, text, lang, source, n_chars FROM documents")
+def q_csv_roundtrip(spark, sf_dir):
+    """K2/K3 + S5: documents (multi-line text, quotes, commas) through CSV and back."""
+    docs = Views(spark, sf_dir).table("documents")
+    path = SK.write_csv(docs, shared_dir(spark, "documents_csv"), ["doc_id", "text", "lang", "source", "n_chars"])
+    return read_csv_strings(spark, path, _DOC_SCHEMA)
+
+
+# =================================================================== streaming
+@query("stream_mentions", O.with_ctes(
+    f"SELECT source, sentence_pos, mention_pos, expert, {_strip('sentence')} AS quote FROM sm",
+    aug=O.AUG, sents=_SENTS, sm=_SENT_MENTIONS))
+def q_stream_mentions(spark, sf_dir):
+    """D3 as a Structured Streaming query (file source, availableNow, file sink)."""
+    from quarry.plans.views import augment
+    from quarry.streaming.mentions import stream_sentence_mentions
+    return stream_sentence_mentions(spark, sf_dir, transform=augment)

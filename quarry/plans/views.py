@@ -67,13 +67,7 @@ class Views:
     # -------------------------------------------------- mentions
     def aug(self) -> DataFrame:
         """Documents with title-and-name sentences injected (every row kept)."""
-        d = self.table("documents")
-        m = F.col("doc_id") % 4
-        text = (F.when(m == 0, F.concat("text", F.lit(" Dr Ann Lee said it may work. Mr Bob Ray would not!")))
-                .when(m == 1, F.concat(F.lit("Professor Ida Moss must agree. "), "text"))
-                .when(m == 2, F.concat("text", F.lit(" We asked Mr. Cole and Ms Jo Park.")))
-                .otherwise(F.col("text")))
-        return d.select("doc_id", "lang", "source", text.alias("text"))
+        return augment(self.table("documents"))
 
     def feed_pages(self) -> DataFrame:
         """Feed pages shaped like a news API response: {page, totalResults, articles[]}.
@@ -140,3 +134,13 @@ class Views:
         """Measures keyed by article file name (labels), width 3."""
         return self.table("labels").select(article_filename(F.col("doc_id"), 3).alias("filename"),
                                            "quality", "toxic")
+
+
+def augment(d: DataFrame) -> DataFrame:
+    """Inject title-and-name sentences into documents by ``doc_id % 4`` (row-local)."""
+    m = F.col("doc_id") % 4
+    text = (F.when(m == 0, F.concat("text", F.lit(" Dr Ann Lee said it may work. Mr Bob Ray would not!")))
+            .when(m == 1, F.concat(F.lit("Professor Ida Moss must agree. "), "text"))
+            .when(m == 2, F.concat("text", F.lit(" We asked Mr. Cole and Ms Jo Park.")))
+            .otherwise(F.col("text")))
+    return d.select("doc_id", "lang", "source", text.alias("text"))
