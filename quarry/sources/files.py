@@ -86,22 +86,32 @@ def read_parquet_tree(spark: SparkSession, root: str) -> DataFrame:
             .option("pathGlobFilter", "*.parquet").parquet(root))
 
 
-def read_csv_strings(spark: SparkSession, paths, schema: T.StructType | str | None = None) -> DataFrame:
+def read_csv_strings(spark: SparkSession, paths, schema: T.StructType | str | None = None,
+                     keep_empty: bool = True) -> DataFrame:
     """CSV with header; RFC-4180 quoting (doubled quotes, embedded newlines).
 
     Without a schema every column is a string (no inference pass over the
-    data); callers cast in the normalisers.
+    data); callers cast in the normalisers.  With ``keep_empty`` a quoted
+    empty field ``""`` reads as '' and only an unquoted empty field as NULL
+    (the writer in :mod:`quarry.sources.sinks` writes them that way);
+    otherwise both read as NULL, as pandas does.
     """
     r = spark.read.option("header", "true").option("multiLine", "true").option("escape", '"')
+    if keep_empty:
+        r = r.option("nullValue", "\u0000")
     if schema is not None:
         r = r.schema(schema)
     return r.csv(paths)
 
 
 def read_whole_texts(spark: SparkSession, folder: str, glob: str = "*.txt") -> DataFrame:
-    """One row per file (filename, text) - the file name is the key."""
-    return (spark.read.option("wholetext", "true").option("pathGlobFilter", glob).text(folder)
-            .select(F.col("_metadata.file_name").alias("filename"), F.col("value").alias("text")))
+    """One row per file (filename, text) - the file name is the key.
+
+    Read as bytes and decoded as UTF-8 (strict, like ``open().read()``), so
+    the text is exact; the ``wholetext`` text source drops a final newline.
+    """
+    return (spark.read.format("binaryFile").option("pathGlobFilter", glob).load(folder)
+            .select(F.col("_metadata.file_name").alias("filename"), F.decode("content", "UTF-8").alias("text")))
 
 
 def read_dump_records(spark: SparkSession, path: str, record_sep: str) -> DataFrame:
@@ -116,8 +126,8 @@ def read_dump_records(spark: SparkSession, path: str, record_sep: str) -> DataFr
 
 def read_dumps_whole(spark: SparkSession, path: str) -> DataFrame:
     """S7 fallback: one row per dump file (source, blob) for exports without a record rule."""
-    return (spark.read.option("wholetext", "true").text(path)
-            .select(F.col("_metadata.file_name").alias("source"), F.col("value").alias("blob")))
+    return (spark.read.format("binaryFile").load(path)
+            .select(F.col("_metadata.file_name").alias("source"), F.decode("content", "UTF-8").alias("blob")))
 
 
 FEED_ARTICLE = T.StructType([
