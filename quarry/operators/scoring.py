@@ -58,7 +58,8 @@ class LexiconScorer:
         tokenisation runs once per row (Catalyst does not merge a projection
         into one that would repeat an expensive expression)."""
         lex = F.create_map(*[x for kv in sorted(self.term_to_label.items()) for x in (F.lit(kv[0]), F.lit(kv[1]))])
-        hits = F.filter(F.transform(lower_words(F.col(text_col)), lambda w: F.try_element_at(lex, w)),
+        hits = F.filter(F.transform(lower_words(F.coalesce(F.col(text_col), F.lit(""))),
+                                    lambda w: F.try_element_at(lex, w)),
                         lambda lab: lab.isNotNull())
         tmp = [f"_c{i}" for i in range(len(self.labels))]
         out = df.withColumn("_hits", hits)
