@@ -75,7 +75,8 @@ def unescape(text) -> Column:
 
 def text_nodes(fragment) -> Column:
     """Stripped, non-empty text nodes of an HTML fragment (array<string>)."""
-    nodes = F.transform(F.split(_c(fragment), _TAG), lambda t: strip_ws(unescape(t)))
+    nodes = F.transform(F.split(_c(fragment), _TAG),
+                        lambda t: strip_ws(F.when(t.contains("&"), unescape(t)).otherwise(t)))
     return F.filter(nodes, lambda t: t != "")
 
 

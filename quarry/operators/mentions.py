@@ -20,14 +20,17 @@ PROTECTED_SPLIT = r"(?<=[.!?])(?<!\b(?:Dr|Prof|Professor|Mr|Ms|Mrs)\.)" + PY_WS
 
 
 def modal_density(df: DataFrame, text_col: str = "text", terms=MODALS, out: str = "persuasion_score",
-                  places: int = 3) -> DataFrame:
+                  places: int = 3, tokens_col: str | None = None) -> DataFrame:
     """Share of lower-cased word tokens in ``terms`` (0.0 without tokens), rounded.
 
-    The token array is its own projection, so the text is tokenised once.
+    The token array is its own projection, so the text is tokenised once;
+    ``tokens_col`` reuses an existing one.
     """
-    toks = df.withColumn("_toks", lower_words(F.coalesce(F.col(text_col), F.lit(""))))
-    dens = F.round(ratio(count_in("_toks", terms), F.size("_toks")), places)
-    return toks.withColumn(out, dens).drop("_toks")
+    t = tokens_col or "_toks"
+    toks = df if tokens_col else df.withColumn(t, lower_words(F.coalesce(F.col(text_col), F.lit(""))))
+    dens = F.round(ratio(count_in(t, terms), F.size(t)), places)
+    out_df = toks.withColumn(out, dens)
+    return out_df if tokens_col else out_df.drop(t)
 
 
 def extract_mentions(df: DataFrame, text_col: str = "text", keep: list[str] | None = None,
@@ -52,9 +55,9 @@ def sentence_mentions(df: DataFrame, text_col: str = "text", id_col: str = "sour
     s = df.select(F.col(id_col), F.posexplode(F.split(F.coalesce(F.col(text_col), F.lit("")), split))
                   .alias("sentence_pos", "sentence"))
     m = s.select(id_col, "sentence_pos", "sentence", mentions("sentence", pattern).alias("_m"))
-    m = m.filter(F.size("_m") > 0)
-    return m.select(id_col, "sentence_pos", F.posexplode("_m").alias("mention_pos", "expert"),
-                    strip_ws("sentence").alias("quote"))
+    # strip once per sentence, before the mentions multiply the rows
+    m = m.filter(F.size("_m") > 0).withColumn("quote", strip_ws("sentence"))
+    return m.select(id_col, "sentence_pos", F.posexplode("_m").alias("mention_pos", "expert"), "quote")
 
 
 FEED_FIELDS = ("title", "description", "content")
@@ -79,15 +82,19 @@ def field_mentions(articles: DataFrame, fields=FEED_FIELDS, carry=("source", "au
     if scored:
         long = score_text(long, "ftext", scorer, *names)
         extra = list(names)
-    return long.select(*carry, "field", F.posexplode("_m").alias("mention_pos", "expert"),
-                       strip_ws("ftext").alias("text"), *extra)
+    long = long.withColumn("text", strip_ws("ftext"))      # once per field, before the explode
+    return long.select(*carry, "field", F.posexplode("_m").alias("mention_pos", "expert"), "text", *extra)
 
 
 def score_text(df: DataFrame, text_col: str, scorer=None, label_col: str = "emotion_label",
                score_col: str = "emotion_score", persuasion_col: str = "persuasion_score",
                terms=MODALS) -> DataFrame:
-    """D5 + D1 on one text column."""
+    """D5 + D1 on one text column; the lexicon scorer and the density share one tokenisation."""
     scorer = scorer or LexiconScorer()
+    if isinstance(scorer, LexiconScorer):
+        toks = df.withColumn("_toks", lower_words(F.coalesce(F.col(text_col), F.lit(""))))
+        out = scorer.score(toks, text_col, label_col, score_col, tokens_col="_toks")
+        return modal_density(out, text_col, terms, persuasion_col, tokens_col="_toks").drop("_toks")
     out = scorer.score(df, text_col, label_col, score_col)
     return modal_density(out, text_col, terms, persuasion_col)
 
@@ -104,9 +111,9 @@ def expert_analysis(df: DataFrame, text_col: str = "text", id_col: str = "source
     s = df.select(F.col(id_col), F.posexplode(F.split(F.coalesce(F.col(text_col), F.lit("")), split))
                   .alias("sentence_pos", "sentence"))
     s = s.withColumn("_m", mentions("sentence")).filter(F.size("_m") > 0)
-    s = score_text(s, "sentence", scorer)
+    s = score_text(s, "sentence", scorer).withColumn("quote", strip_ws("sentence"))
     return s.select(id_col, "sentence_pos", F.posexplode("_m").alias("mention_pos", "expert"),
-                    strip_ws("sentence").alias("quote"), "emotion_label", "emotion_score", "persuasion_score")
+                    "quote", "emotion_label", "emotion_score", "persuasion_score")
 
 
 def page_expert_analysis(blocks: DataFrame, scorer=None) -> DataFrame:

@@ -53,14 +53,14 @@ class LexiconScorer:
         self.term_to_label = term_to_label
 
     def score(self, df: DataFrame, text_col: str, label_col: str = "emotion_label",
-              score_col: str = "emotion_score") -> DataFrame:
+              score_col: str = "emotion_score", tokens_col: str | None = None) -> DataFrame:
         """Add (label, score).  Intermediates are separate projections so the
         tokenisation runs once per row (Catalyst does not merge a projection
-        into one that would repeat an expensive expression)."""
+        into one that would repeat an expensive expression).  ``tokens_col``
+        reuses an existing array of lower-cased tokens."""
         lex = F.create_map(*[x for kv in sorted(self.term_to_label.items()) for x in (F.lit(kv[0]), F.lit(kv[1]))])
-        hits = F.filter(F.transform(lower_words(F.coalesce(F.col(text_col), F.lit(""))),
-                                    lambda w: F.try_element_at(lex, w)),
-                        lambda lab: lab.isNotNull())
+        toks = F.col(tokens_col) if tokens_col else lower_words(F.coalesce(F.col(text_col), F.lit("")))
+        hits = F.filter(F.transform(toks, lambda w: F.try_element_at(lex, w)), lambda lab: lab.isNotNull())
         tmp = [f"_c{i}" for i in range(len(self.labels))]
         out = df.withColumn("_hits", hits)
         out = out.withColumns({t: F.size(F.filter("_hits", _equals(lab))) for t, lab in zip(tmp, self.labels)})

@@ -16,6 +16,9 @@ from quarry.functions.text import WORD_PATTERN, article_filename
 TABLES = ("region nation customer supplier part orders lineitem events documents "
           "embeddings pages benchmark labels conversations").split()
 
+# tables whose rows carry long texts: spread over the task slots before row-local text work
+TEXT_TABLES = {"documents", "pages", "conversations"}
+
 # ---- fixed values of the derived views ----
 DUMP_SIZE = 100                 # documents per bulk export (bounded dump size)
 FEED_PAGE_SIZE = 100            # articles per feed page
@@ -29,7 +32,11 @@ class Views:
         self.sf_dir = sf_dir.rstrip("/")
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        df = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        if name in TEXT_TABLES:
+            from quarry.session import spread
+            df = spread(df)
+        return df
 
     # -------------------------------------------------- corpus star, raw shard layout
     def token_shard(self) -> DataFrame:

@@ -55,3 +55,17 @@ def shared_dir(spark: SparkSession, name: str | None = None) -> str:
         base = sc.getCheckpointDir() or base
     leaf = f"{name or 'out'}-{uuid.uuid4().hex[:12]}"
     return base.rstrip("/") + "/" + leaf if "://" in base else os.path.join(base, leaf)
+
+
+def spread(df, min_partitions: int | None = None):
+    """Round-robin ``df`` over the cluster's task slots when it has fewer partitions.
+
+    Parquet splits by row group, so a small file with one row group is one
+    task; CPU-heavy row-local work (regex over long texts) would then run on
+    one core.  A real input of many files/row groups already has at least as
+    many partitions as slots, and then this is a no-op (no shuffle).
+    """
+    if df.isStreaming:
+        return df
+    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(target) if df.rdd.getNumPartitions() < target else df
