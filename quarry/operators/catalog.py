@@ -230,6 +230,49 @@ def resolve_role(spark: SparkSession, catalog: DataFrame, role: str, normalise=N
     return union_relaxed(frames)
 
 
+FORCED_WORDS_FOLDER = "Word_lemma_PoS"
+
+
+def discovery_catalog(spark: SparkSession, base: str, corpus_folder: str = "Corpus") -> DataFrame:
+    """Every shard under ``base`` with its role and discovery tier.
+
+    Tiers: ``classified`` (shards under ``base/Corpus``), ``forced_words_folder``
+    (any shard under ``Corpus/Word_lemma_PoS`` counts as lexicon),
+    ``parquet`` / ``csv`` (project-wide fallback, words and texts only).  The
+    listing and footer reads run in Spark tasks; the result is one row per file.
+    """
+    from quarry.sources.files import shard_catalog
+    root = base.rstrip("/")
+    corpus = f"{root}/{corpus_folder}"
+    classified = shard_roles(shard_catalog(spark, corpus)).withColumn("tier", F.lit("classified"))
+    forced = (shard_catalog(spark, f"{corpus}/{FORCED_WORDS_FOLDER}", patterns=("*.parquet",))
+              .withColumn("role", F.lit("words")).withColumn("tier", F.lit("forced_words_folder")))
+    wide = shard_roles(shard_catalog(spark, root)).filter(F.col("role").isin("words", "texts"))
+    wide = wide.withColumn("tier", F.col("format"))
+    cols = ["path", "format", "columns", "error", "role", "tier"]
+    out = classified.select(cols).unionByName(forced.select(cols)).unionByName(wide.select(cols))
+    return out.filter(F.col("error").isNull() & F.col("role").isNotNull())
+
+
+def load_corpus(spark: SparkSession, base: str, corpus_folder: str = "Corpus"):
+    """P1 front end: discover, classify, fall back, validate and normalise.
+
+    Returns (tokens, words, texts); texts may be None (with a warning).
+    """
+    from pyspark.errors import AnalysisException
+    try:
+        cat = discovery_catalog(spark, base, corpus_folder)
+    except AnalysisException:
+        cat = None
+    if cat is None:
+        require_inputs(None, None, None)
+    tokens = resolve_role(spark, cat.filter(F.col("tier") == "classified"), "tokens", normalise_tokens)
+    words = resolve_role(spark, cat, "words", normalise_words)
+    texts = resolve_role(spark, cat, "texts", normalise_texts)
+    require_inputs(tokens, words, texts)
+    return tokens, words, texts
+
+
 def require_inputs(tokens, words, texts):
     """Tokens and words are required; texts only warn."""
     if tokens is None:

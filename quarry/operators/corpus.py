@@ -126,3 +126,28 @@ def lemma_trend(tokens, words, texts, lemma: str, n_rows: int = 20) -> DataFrame
     # inner semantics: tokens whose lexicon row is not the lemma are dropped
     return (counts.filter(F.col("lemma") == F.lit(lemma)).select("year", "n")
             .orderBy(F.col("year").asc_nulls_first()).limit(n_rows))
+
+
+PRODUCTS = {"by_year_word": ["year", "word"], "by_year_lemma_pos": ["year", "lemma", "pos"],
+            "top_lemmas_per_year": ["year", "lemma"]}
+
+
+def corpus_products(tokens, words, texts, k: int = 50, trend_lemma: str | None = None) -> dict:
+    """the products whose columns exist in the joined schema, by name.
+
+    A product is planned only when all its columns are present (plan-time
+    set test on column names), like the reference's guarded sinks.
+    """
+    names = set(WORD_COLS if "wordID" in words.columns else [c for c in WORD_COLS if c in words.columns])
+    if texts is not None:
+        names |= {c for c in TEXT_COLS if c in texts.columns}
+    out = {}
+    if {"year", "word"} <= names:
+        out["by_year_word"] = count_by(tokens, words, texts, ["year", "word"])
+    if {"year", "lemma", "pos"} <= names:
+        out["by_year_lemma_pos"] = count_by(tokens, words, texts, ["year", "lemma", "pos"])
+    if {"year", "lemma"} <= names:
+        out["top_lemmas_per_year"] = top_lemmas(tokens, words, texts, k)
+        if trend_lemma is not None:
+            out["lemma_trend"] = lemma_trend(tokens, words, texts, trend_lemma)
+    return out

@@ -144,3 +144,24 @@ def test_warc_reader(spark, tmp_dir):
         f.write(data)
     rows = read_warc_html(spark, f"{tmp_dir}/warc", partitions=2).collect()
     assert [(r.url, r.html) for r in rows] == [("http://a", "<html><article><p>café</p></article></html>")]
+
+
+def test_discovery_and_fallback(spark, tmp_dir):
+    from quarry.operators import corpus as C
+    _write_shards(tmp_dir)
+    tokens, words, texts = CG.load_corpus(spark, tmp_dir)
+    assert tokens.count() == 4 and words.count() == 2 and texts.count() == 2
+    prods = C.corpus_products(tokens, words, texts, trend_lemma="cat")
+    assert set(prods) == {"by_year_word", "by_year_lemma_pos", "top_lemmas_per_year", "lemma_trend"}
+    assert sorted((r.year, r.n) for r in prods["lemma_trend"].collect()) == [(1900, 1), (1901, 1)]
+    # texts only outside Corpus/ as Parquet: the project-wide fallback finds them
+    os.remove(f"{tmp_dir}/Corpus/texts.csv")
+    os.makedirs(f"{tmp_dir}/Sources")
+    pd.DataFrame({"doc_id": [1], "date_year": [1950]}).to_parquet(f"{tmp_dir}/Sources/t.parquet")
+    pd.DataFrame({"doc_id": [2], "year": [1960]}).to_csv(f"{tmp_dir}/Sources/t.csv", index=False)
+    _, _, texts2 = CG.load_corpus(spark, tmp_dir)
+    assert [(r.textID, r.year) for r in texts2.collect()] == [(1, 1950)]      # Parquet wins over CSV
+    # no lexicon anywhere: an error
+    os.remove(f"{tmp_dir}/Corpus/Word_lemma_PoS/lex.parquet")
+    with pytest.raises(ValueError):
+        CG.load_corpus(spark, tmp_dir)
