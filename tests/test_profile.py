@@ -49,3 +49,17 @@ def test_counts_and_info(spark):
     info = {r.column_name: (r.ordinal, r.dtype, r.non_null) for r in P.frame_info(df).collect()}
     assert info == {"k": (1, "string", 3), "v": (2, "double", 3)}
     assert [r.k for r in P.preview(df.dropna(), "v", 2).collect()] == ["a", "a"]
+
+
+def test_exact_percentiles_large_groups(spark):
+    import random
+    rnd = random.Random(7)
+    rows = [("a", float(rnd.randint(0, 300))) for _ in range(4000)] + \
+           [("b", rnd.gauss(0, 1)) for _ in range(3000)] + [("c", 5.0)] * 50
+    df = spark.createDataFrame(rows, "k string, x double")
+    got = {r.k: (r.p10, r.p50, r.p99) for r in P.exact_percentiles(df, "x", [0.1, 0.5, 0.99], ["k"],
+                                                                     accuracy=100).collect()}
+    pdf = pd.DataFrame(rows, columns=["k", "x"])
+    for k, grp in pdf.groupby("k"):
+        want = [grp["x"].quantile(q) for q in (0.1, 0.5, 0.99)]
+        assert all(abs(a - b) < 1e-9 for a, b in zip(got[k], want)), k
