@@ -61,86 +61,86 @@ DESCRIBE_STATS = ("count", "mean", "std", "min", "p25", "p50", "p75", "max")
 
 
 def exact_percentiles(df: DataFrame, col: str, probs: list[float], by: list[str] | None = None,
-                      accuracy: int = 100_000) -> DataFrame:
-    """Exact linear-interpolated percentiles with bounded per-task memory.
+                      accuracy: int = 10_000, extra_aggs: list[Column] | None = None) -> DataFrame:
+    """Exact linear-interpolated percentiles (pandas ``linear``) with bounded buffers.
 
     Spark's exact ``percentile`` keeps every distinct value of a group in one
     buffer, which does not survive a group holding a third of 100 TB.  Here:
 
-    1. one pass: per group ``n`` and a GK sketch (``percentile_approx``) bracket
-       ``[lo, hi]`` around each target rank (rank error <= n/accuracy, the
-       bracket is widened by 4x that); a group of at most ``accuracy`` rows
-       uses all its values instead;
-    2. one pass: ``count(x < lo)`` per group, and the (value, count) pairs that
-       fall inside a bracket - about 8n/accuracy rows per group and target;
-    3. a window over those candidates locates the values at ranks
-       floor(p(n-1)) and the next one and interpolates (pandas' ``linear``).
-
-    If a bracket ever missed its rank (it cannot, by the sketch's guarantee),
-    the affected value is NULL rather than wrong.
+    1. pass one (with ``extra_aggs``): per group ``n`` and a GK sketch
+       (``percentile_approx``) bracket ``[lo, hi]`` around each target rank
+       (rank error <= n/accuracy; the bracket is widened by 4x that); a group
+       of at most ``accuracy`` rows simply keeps all its values;
+    2. pass two: per (group, target), ``count(x < lo)`` and the values inside
+       the bracket - about 8n/accuracy of them - sorted in the row, from
+       which the values at ranks floor(p(n-1)) and the next are read and
+       interpolated.
+
+    The bracket table has one row per (group, target) and is joined back
+    (broadcast when small).  If a bracket ever missed its rank (the sketch
+    guarantee rules it out) the value is NULL, never a wrong number.
     """
     by = by or []
     x = F.col(col).cast("double")
-    d = df.select(*by, x.alias("_x")).filter(F.col("_x").isNotNull())
+    # the original column rides along for ``extra_aggs`` (NULLs are ignored by them anyway)
+    d = df.select(*by, F.col(col), x.alias("_x")).filter(F.col("_x").isNotNull())
     delta = 4.0 / accuracy
     lo_q = [max(p - delta, 0.0) for p in probs]
     hi_q = [min(p + delta, 1.0) for p in probs]
     g = d.groupBy(*by) if by else d
-    bounds = g.agg(F.count(F.lit(1)).alias("_n"),
-                   F.percentile_approx("_x", F.array(*[F.lit(q) for q in lo_q]), accuracy).alias("_lo"),
-                   F.percentile_approx("_x", F.array(*[F.lit(q) for q in hi_q]), accuracy).alias("_hi"))
-    targets = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(p)).alias("p"),
-                                 F.col("_lo")[i].alias("lo"), F.col("_hi")[i].alias("hi"))
-                        for i, p in enumerate(probs)])
-    # groups of at most `accuracy` rows take all their values as candidates (bounded by accuracy);
-    # larger groups have >= 3 ranks of margin on each side of the two ranks they need
+    # one sketch serves both ends of every bracket
+    first = g.agg(F.count(F.lit(1)).alias("_n"),
+                  F.percentile_approx("_x", F.array(*[F.lit(q) for q in lo_q + hi_q]), accuracy).alias("_b"),
+                  *(extra_aggs or []))
+    first = first.withColumns({"_lo": F.slice("_b", 1, len(probs)),
+                               "_hi": F.slice("_b", len(probs) + 1, len(probs))}).drop("_b")
     small = F.col("_n") <= accuracy
-    bounds = bounds.select(*by, "_n", F.explode(targets).alias("_t")).select(
-        *by, "_n", "_t.i", "_t.p",
-        F.when(small, F.lit(float("-inf"))).otherwise(F.col("_t.lo")).alias("lo"),
-        F.when(small, F.lit(float("inf"))).otherwise(F.col("_t.hi")).alias("hi"))
-    # one bracket row per (group, target): small, joined back on the group keys
+    targets = F.array(*[F.struct(
+        F.lit(i).alias("i"), F.lit(float(p)).alias("p"),
+        F.when(small, F.lit(float("-inf"))).otherwise(F.col("_lo")[i]).alias("lo"),
+        F.when(small, F.lit(float("inf"))).otherwise(F.col("_hi")[i]).alias("hi")) for i, p in enumerate(probs)])
+    bounds = first.select(*by, "_n", F.explode(targets).alias("_t")).select(*by, "_n", "_t.*")
     joined = d.join(bounds, by, "inner") if by else d.crossJoin(F.broadcast(bounds))
-    below = joined.groupBy(*by, "i").agg(F.count_if(F.col("_x") < F.col("lo")).alias("_below"))
-    cand = (joined.filter((F.col("_x") >= F.col("lo")) & (F.col("_x") <= F.col("hi")))
-            .groupBy(*by, "i", "_x").agg(F.count(F.lit(1)).alias("_c")))
-    w = Window.partitionBy(*by, "i").orderBy("_x").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    cand = cand.withColumn("_cum", F.sum("_c").over(w))
-    info = bounds.join(below, by + ["i"])
-    k0 = F.floor(F.col("p") * (F.col("_n") - 1))
-    info = info.withColumns({"_h": F.col("p") * (F.col("_n") - 1), "_k0": k0,
-                             "_k1": F.least(k0 + 1, F.col("_n") - 1)})
-    c = cand.join(info, by + ["i"])
-    reach = F.col("_below") + F.col("_cum")                 # ranks covered up to this value (exclusive)
-    ok = F.col("_below") <= F.col("_k0")
-    vals = c.groupBy(*by, "i", "_h", "_k0").agg(
-        F.min(F.when(ok & (reach > F.col("_k0")), F.col("_x"))).alias("_v0"),
-        F.min(F.when(ok & (reach > F.col("_k1")), F.col("_x"))).alias("_v1"))
-    q = vals.select(*by, "i", (F.col("_v0") + (F.col("_h") - F.col("_k0")) * (F.col("_v1") - F.col("_v0")))
-                    .alias("_q"))
-    return (q.groupBy(*by).pivot("i", list(range(len(probs)))).agg(F.first("_q"))
-            .withColumnsRenamed({str(i): f"p{round(p * 100)}" for i, p in enumerate(probs)}))
+    inside = (F.col("_x") >= F.col("lo")) & (F.col("_x") <= F.col("hi"))
+    sel = joined.groupBy(*by, "i").agg(
+        F.first("_n").alias("_n"), F.first("p").alias("p"),
+        F.count_if(F.col("_x") < F.col("lo")).alias("_below"),
+        F.array_sort(F.collect_list(F.when(inside, F.col("_x")))).alias("_c"))
+    h = F.col("p") * (F.col("_n") - 1)
+    k0 = F.floor(h)
+    k1 = F.least(k0 + 1, F.col("_n") - 1)
+    size = F.size("_c")
+
+    def at(k):
+        j = k - F.col("_below")                      # 0-based index among the candidates
+        return F.when((j >= 0) & (j < size), F.element_at("_c", (j + 1).cast("int")))
+
+    q = sel.select(*by, "i", (at(k0) + (h - k0) * (at(k1) - at(k0))).alias("_q"))
+    names = {i: f"p{round(p * 100)}" for i, p in enumerate(probs)}
+    out = q.groupBy(*by).agg(*[F.max(F.when(F.col("i") == i, F.col("_q"))).alias(n) for i, n in names.items()])
+    if extra_aggs:
+        extra = first.drop("_n", "_lo", "_hi")
+        out = extra.join(out, by, "left") if by else extra.crossJoin(out)
+    return out
 
 
 def describe(df: DataFrame, col: str, by: list[str] | None = None, exact: bool = True,
-             accuracy: int = 100_000) -> DataFrame:
+             accuracy: int = 10_000) -> DataFrame:
     """Count, mean, sample std, min, 25/50/75 % (linear), max of ``col`` [per ``by``].
 
-    ``exact=True`` uses :func:`exact_percentiles` (bounded memory);
-    ``exact=False`` returns the GK sketch values (rank error <= n/accuracy).
+    ``exact=True`` uses :func:`exact_percentiles` (two passes, bounded buffers,
+    the plain statistics ride along in the first pass); ``exact=False``
+    returns the GK sketch values (rank error <= n/accuracy) in one pass.
     """
     x = F.col(col)
     qs = [0.25, 0.5, 0.75]
-    g = df.groupBy(*by) if by else df
-    cols = [F.count(x).alias("count"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"),
-            F.min(x).cast("double").alias("min"), F.max(x).cast("double").alias("max")]
-    if not exact:
-        cols.append(F.percentile_approx(x, F.array(*[F.lit(q) for q in qs]), accuracy).alias("_q"))
-    agg = g.agg(*cols)
+    stats = [F.count(x).alias("count"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"),
+             F.min(x).cast("double").alias("min"), F.max(x).cast("double").alias("max")]
     if exact:
-        pct = exact_percentiles(df, col, qs, by, accuracy)
-        agg = agg.join(pct, by, "left") if by else agg.crossJoin(pct)
+        agg = exact_percentiles(df, col, qs, by, accuracy, extra_aggs=stats)
     else:
+        g = df.groupBy(*by) if by else df
+        agg = g.agg(*stats, F.percentile_approx(x, F.array(*[F.lit(q) for q in qs]), accuracy).alias("_q"))
         agg = agg.withColumns({f"p{int(q * 100)}": F.col("_q")[i].cast("double") for i, q in enumerate(qs)})
     return agg.select(*(by or []), "count", "mean", "std", "min", "p25", "p50", "p75", "max")
 
