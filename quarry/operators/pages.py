@@ -47,17 +47,16 @@ def blocks(pages: DataFrame, html_col: str = "html", keep: list[str] | None = No
     """H3: every ``<blockquote>`` first, then every ``<p>`` outside block quotes (whole page).
 
     Columns: keep..., kind ('blockquote' | 'p'), pos (document order within kind), text.
+    Both kinds are built as one array per page and exploded once.
     """
     keep = _keep(pages, html_col, keep)
     d = _cleaned(pages, html_col, keep)
-    quotes = F.transform(H.all_elements("_doc", "blockquote"),
-                         lambda q: F.struct(F.lit("blockquote").alias("kind"), H.get_text(q).alias("text")))
-    paras = F.transform(H.paragraphs(H.remove_elements("_doc", "blockquote")),
-                        lambda p: F.struct(F.lit("p").alias("kind"), H.get_text(p).alias("text")))
-    d = d.select(*keep, quotes.alias("_q"), paras.alias("_ps"))
-    q = d.select(*keep, F.posexplode("_q").alias("pos", "_b"))
-    p = d.select(*keep, F.posexplode("_ps").alias("pos", "_b"))
-    return q.unionByName(p).select(*keep, "_b.kind", "pos", "_b.text")
+    quotes = F.transform(H.all_elements("_doc", "blockquote"), lambda q, i: F.struct(
+        F.lit("blockquote").alias("kind"), i.alias("pos"), H.get_text(q).alias("text")))
+    paras = F.transform(H.paragraphs(H.remove_elements("_doc", "blockquote")), lambda p, i: F.struct(
+        F.lit("p").alias("kind"), i.alias("pos"), H.get_text(p).alias("text")))
+    return (d.select(*keep, F.explode(F.concat(quotes, paras)).alias("_b"))
+            .select(*keep, "_b.kind", "_b.pos", "_b.text"))
 
 
 def article_text(pages: DataFrame, html_col: str = "html", keep: list[str] | None = None) -> DataFrame:

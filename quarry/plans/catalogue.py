@@ -580,6 +580,17 @@ from quarry.plans import oracle_html as OH  # noqa: E402
 _CLEAN_PAGES = f"SELECT page_id, {OH.clean('html')} AS doc FROM pages"
 
 
+def _blocks_sql(src: str) -> str:
+    """H3 over the cleaned pages CTE ``src``: (page_id, kind, pos, text)."""
+    return ("SELECT page_id, 'blockquote' AS kind, CAST(generate_subscripts(qs, 1) - 1 AS INT) AS pos, "
+            f"unnest(list_transform(qs, lambda q: {OH.get_text('q')})) AS text FROM "
+            f"(SELECT page_id, {OH.all_elements('doc', 'blockquote')} AS qs FROM {src}) a "
+            "UNION ALL SELECT page_id, 'p' AS kind, CAST(generate_subscripts(ps, 1) - 1 AS INT) AS pos, "
+            f"unnest(list_transform(ps, lambda p: {OH.get_text('p')})) AS text FROM "
+            f"(SELECT page_id, {OH.paragraphs(OH.remove_elements('doc', 'blockquote'))} AS ps FROM {src}) b")
+
+
+
 @query("page_headline", O.with_ctes(
     f"SELECT page_id, CASE WHEN h IS NOT NULL THEN {OH.get_text('h')} END AS headline FROM "
     f"(SELECT page_id, {OH.first_element('doc', 'h1')} AS h FROM cp) x", cp=_CLEAN_PAGES))
@@ -598,17 +609,11 @@ def q_page_paragraphs(spark, sf_dir):
     return PG.article_paragraphs(pages).orderBy("page_id", "paragraph")
 
 
-@query("page_blocks", O.with_ctes(
-    "SELECT page_id, 'blockquote' AS kind, CAST(generate_subscripts(qs, 1) - 1 AS INT) AS pos, "
-    f"unnest(list_transform(qs, lambda q: {OH.get_text('q')})) AS text FROM "
-    f"(SELECT page_id, {OH.all_elements('doc', 'blockquote')} AS qs FROM cp) a "
-    "UNION ALL SELECT page_id, 'p' AS kind, CAST(generate_subscripts(ps, 1) - 1 AS INT) AS pos, "
-    f"unnest(list_transform(ps, lambda p: {OH.get_text('p')})) AS text FROM "
-    f"(SELECT page_id, {OH.paragraphs(OH.remove_elements('doc', 'blockquote'))} AS ps FROM cp) b",
-    cp=_CLEAN_PAGES))
+@query("page_blocks", O.with_ctes("SELECT * FROM blk", ap=O.aug_pages(),
+                                 cp=f"SELECT page_id, {OH.clean('html')} AS doc FROM ap", blk=_blocks_sql("cp")))
 def q_page_blocks(spark, sf_dir):
-    pages = Views(spark, sf_dir).table("pages").select("page_id", "html")
-    return PG.blocks(pages)
+    """H3 over pages with injected block quotes (blockquotes first, then outside paragraphs)."""
+    return PG.blocks(Views(spark, sf_dir).aug_pages())
 
 
 @query("page_article_text", O.with_ctes(
@@ -619,6 +624,23 @@ def q_page_article_text(spark, sf_dir):
     return PG.article_text(pages)
 
 
+def _page_expert_sql():
+    lab, sc = lexicon_sql("text")
+    return O.with_ctes(
+        f"SELECT page_id, kind, pos, mention_pos, expert, text AS quote, {lab} AS emotion_label, "
+        f"{sc} AS emotion_score, {_density_sql('text', M.MODALS)} AS persuasion_score FROM "
+        "(SELECT *, unnest(m) AS expert, CAST(generate_subscripts(m, 1) - 1 AS INT) AS mention_pos FROM "
+        f"(SELECT *, regexp_extract_all(text, '{_MENTION_RE}') AS m FROM blk) x WHERE len(m) > 0) y",
+        ap=O.aug_pages(), cp=f"SELECT page_id, {OH.clean('html')} AS doc FROM ap", blk=_blocks_sql("cp"))
+
+
+@query("page_expert_analysis", _page_expert_sql())
+def q_page_expert_analysis(spark, sf_dir):
+    """H3 -> D2 -> D5 + D1: block quotes first, then paragraphs outside quotes."""
+    blocks = PG.blocks(Views(spark, sf_dir).aug_pages())
+    return M.page_expert_analysis(blocks)
+
+
 # =================================================================== sinks and re-reads
 from quarry.session import shared_dir  # noqa: E402
 from quarry.sources import sinks as SK  # noqa: E402

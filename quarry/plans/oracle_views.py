@@ -63,3 +63,10 @@ def corpus(body: str, extra: dict | None = None) -> str:
     ctes = dict(CORPUS_CTES)
     ctes.update(extra or {})
     return with_ctes(body, **ctes)
+
+
+def aug_pages() -> str:
+    from quarry.plans.views import PAGE_INSERT
+    ins = PAGE_INSERT.replace("'", "''")
+    return (f"SELECT page_id, CASE WHEN page_id % 3 = 0 THEN replace(html, '</article>', '{ins}') "
+            "ELSE html END AS html FROM pages")

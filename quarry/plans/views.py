@@ -100,6 +100,10 @@ class Views:
                 .groupBy("page").agg(F.collect_list("a").alias("articles"))
                 .withColumn("totalResults", F.lit(None).cast("int")))
 
+    def aug_pages(self) -> DataFrame:
+        """Pages with a block quote and a paragraph naming experts injected into every third article."""
+        return augment_pages(self.table("pages").select("page_id", "html"))
+
     # -------------------------------------------------- bulk dumps
     def dump(self) -> DataFrame:
         """One bulk export per (source, chunk of DUMP_SIZE documents).
@@ -151,3 +155,14 @@ def augment(d: DataFrame) -> DataFrame:
             .when(m == 2, F.concat("text", F.lit(" We asked Mr. Cole and Ms Jo Park.")))
             .otherwise(F.col("text")))
     return d.select("doc_id", "lang", "source", text.alias("text"))
+
+
+PAGE_INSERT = ("<blockquote><p>Dr Ann Lee said it <b>may</b> work.</p> Prof Bo Ek agreed.</blockquote>"
+               "<p>We asked Mr Bob Ray, who would not &amp; could not say.</p></article>")
+
+
+def augment_pages(pages: DataFrame) -> DataFrame:
+    """Inject PAGE_INSERT before ``</article>`` when ``page_id % 3 = 0`` (row-local)."""
+    html = F.when(F.col("page_id") % 3 == 0, F.replace("html", F.lit("</article>"), F.lit(PAGE_INSERT))) \
+        .otherwise(F.col("html"))
+    return pages.select("page_id", html.alias("html"))
