@@ -25,7 +25,10 @@ CATALOG_SCHEMA = T.StructType([
 
 
 def list_files(spark: SparkSession, root: str, glob: str = "*", recursive: bool = True) -> DataFrame:
-    """C1/W6 listing: (path, folder, name, length) of files under ``root``; content not read."""
+    """C1/W6 listing: (path, folder, name, length) of files under ``root``; content not read.
+
+    Zero-byte files produce no input split in Spark's file sources and are not listed.
+    """
     df = (spark.read.format("binaryFile").option("pathGlobFilter", glob)
           .option("recursiveFileLookup", str(recursive).lower()).load(root)
           .select("path", "length"))

@@ -165,3 +165,26 @@ def test_discovery_and_fallback(spark, tmp_dir):
     os.remove(f"{tmp_dir}/Corpus/Word_lemma_PoS/lex.parquet")
     with pytest.raises(ValueError):
         CG.load_corpus(spark, tmp_dir)
+
+
+def test_sinks_text_and_keyed(spark, tmp_dir):
+    df = spark.createDataFrame([("first text",), ("second\ntext",)], "text string").coalesce(1)
+    path = K.write_text_blocks(df, "text", f"{tmp_dir}/blocks")
+    body = "".join(open(os.path.join(path, f)).read() for f in sorted(os.listdir(path)) if f.startswith("part-"))
+    assert body.split("\n\n")[:2] == ["first text", "second\ntext"]
+    keyed = spark.createDataFrame([("article_001.txt", "x")], "filename string, text string")
+    out = K.write_keyed_table(keyed, f"{tmp_dir}/articles")
+    assert spark.read.parquet(out).first().filename == "article_001.txt"
+
+
+def test_listing_helpers(spark, tmp_dir):
+    from quarry.operators.profile import iso_window
+    from quarry.sources.archive import first_archives
+    os.makedirs(f"{tmp_dir}/cc")
+    for n in ["c.warc.gz", "a.warc.gz", "b.txt", "d.warc.gz"]:
+        with open(f"{tmp_dir}/cc/{n}", "wb") as f:      # zero-byte files yield no split in Spark
+            f.write(b"x")
+    got = [os.path.basename(r.path) for r in first_archives(spark, f"{tmp_dir}/cc", 2).collect()]
+    assert got == ["a.warc.gz", "c.warc.gz"]
+    lo, hi = iso_window(F.lit("2024-01-08").cast("date"), 7)
+    assert tuple(spark.range(1).select(lo, hi).first()) == ("2024-01-01", "2024-01-08")
