@@ -81,47 +81,54 @@ def exact_percentiles(df: DataFrame, col: str, probs: list[float], by: list[str]
     guarantee rules it out) the value is NULL, never a wrong number.
     """
     by = by or []
+    keys = by or ["_all"]                      # ungrouped: one constant key, an equi-join to one row
     x = F.col(col).cast("double")
     # the original column rides along for ``extra_aggs`` (NULLs are ignored by them anyway)
     d = df.select(*by, F.col(col), x.alias("_x")).filter(F.col("_x").isNotNull())
+    if not by:
+        d = d.withColumn("_all", F.lit(0))
     delta = 4.0 / accuracy
+    t = len(probs)
     lo_q = [max(p - delta, 0.0) for p in probs]
     hi_q = [min(p + delta, 1.0) for p in probs]
-    g = d.groupBy(*by) if by else d
-    # one sketch serves both ends of every bracket
-    first = g.agg(F.count(F.lit(1)).alias("_n"),
-                  F.percentile_approx("_x", F.array(*[F.lit(q) for q in lo_q + hi_q]), accuracy).alias("_b"),
-                  *(extra_aggs or []))
-    first = first.withColumns({"_lo": F.slice("_b", 1, len(probs)),
-                               "_hi": F.slice("_b", len(probs) + 1, len(probs))}).drop("_b")
+    # pass one: one sketch serves both ends of every bracket
+    first = d.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("_n"),
+        F.percentile_approx("_x", F.array(*[F.lit(q) for q in lo_q + hi_q]), accuracy).alias("_b"),
+        *(extra_aggs or []))
+    # groups of at most `accuracy` rows keep all values (bounded by accuracy); larger groups
+    # have >= 3 ranks of margin on each side of the two ranks they need
     small = F.col("_n") <= accuracy
-    targets = F.array(*[F.struct(
-        F.lit(i).alias("i"), F.lit(float(p)).alias("p"),
-        F.when(small, F.lit(float("-inf"))).otherwise(F.col("_lo")[i]).alias("lo"),
-        F.when(small, F.lit(float("inf"))).otherwise(F.col("_hi")[i]).alias("hi")) for i, p in enumerate(probs)])
-    bounds = first.select(*by, "_n", F.explode(targets).alias("_t")).select(*by, "_n", "_t.*")
-    joined = d.join(bounds, by, "inner") if by else d.crossJoin(F.broadcast(bounds))
-    inside = (F.col("_x") >= F.col("lo")) & (F.col("_x") <= F.col("hi"))
-    sel = joined.groupBy(*by, "i").agg(
-        F.first("_n").alias("_n"), F.first("p").alias("p"),
-        F.count_if(F.col("_x") < F.col("lo")).alias("_below"),
-        F.array_sort(F.collect_list(F.when(inside, F.col("_x")))).alias("_c"))
-    h = F.col("p") * (F.col("_n") - 1)
-    k0 = F.floor(h)
-    k1 = F.least(k0 + 1, F.col("_n") - 1)
-    size = F.size("_c")
-
-    def at(k):
-        j = k - F.col("_below")                      # 0-based index among the candidates
-        return F.when((j >= 0) & (j < size), F.element_at("_c", (j + 1).cast("int")))
-
-    q = sel.select(*by, "i", (at(k0) + (h - k0) * (at(k1) - at(k0))).alias("_q"))
-    names = {i: f"p{round(p * 100)}" for i, p in enumerate(probs)}
-    out = q.groupBy(*by).agg(*[F.max(F.when(F.col("i") == i, F.col("_q"))).alias(n) for i, n in names.items()])
+    bounds = first.select(*keys, "_n",
+                          *[F.when(small, F.lit(float("-inf"))).otherwise(F.col("_b")[i]).alias(f"_lo{i}")
+                            for i in range(t)],
+                          *[F.when(small, F.lit(float("inf"))).otherwise(F.col("_b")[t + i]).alias(f"_hi{i}")
+                            for i in range(t)])
+    # pass two: each row meets its group's single bracket row
+    j = d.join(bounds, keys)
+    aggs = [F.first("_n").alias("_n")]
+    for i in range(t):
+        lo, hi = F.col(f"_lo{i}"), F.col(f"_hi{i}")
+        aggs += [F.count_if(F.col("_x") < lo).alias(f"_below{i}"),
+                 F.array_sort(F.collect_list(F.when((F.col("_x") >= lo) & (F.col("_x") <= hi), F.col("_x"))))
+                 .alias(f"_c{i}")]
+    sel = j.groupBy(*keys).agg(*aggs)
+
+    def value(i, k):
+        c = F.col(f"_c{i}")
+        pos = k - F.col(f"_below{i}")             # 0-based index among the candidates
+        return F.when((pos >= 0) & (pos < F.size(c)), F.element_at(c, (pos + 1).cast("int")))
+
+    cols = []
+    for i, p in enumerate(probs):
+        h = F.lit(float(p)) * (F.col("_n") - 1)
+        k0 = F.floor(h)
+        k1 = F.least(k0 + 1, F.col("_n") - 1)
+        cols.append((value(i, k0) + (h - k0) * (value(i, k1) - value(i, k0))).alias(f"p{round(p * 100)}"))
+    out = sel.select(*keys, *cols)
     if extra_aggs:
-        extra = first.drop("_n", "_lo", "_hi")
-        out = extra.join(out, by, "left") if by else extra.crossJoin(out)
-    return out
+        out = first.drop("_n", "_b").join(out, keys, "left")
+    return out.drop("_all") if not by else out
 
 
 def describe(df: DataFrame, col: str, by: list[str] | None = None, exact: bool = True,
