@@ -47,12 +47,19 @@ def shared_dir(spark: SparkSession, name: str | None = None) -> str:
     checkpoint dir).  Only when neither is set, as in local tests, a folder
     is created and registered as the checkpoint dir.
     """
-    sc = spark.sparkContext
-    base = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    sc = None
+    if not base:
+        try:
+            sc = spark.sparkContext
+            base = sc.getCheckpointDir()
+        except Exception:  # e.g. a Spark Connect session has no context to ask
+            sc = None
     if not base:
         base = tempfile.mkdtemp(prefix="quarry-ckpt-")
-        sc.setCheckpointDir(base)
-        base = sc.getCheckpointDir() or base
+        if sc is not None:
+            sc.setCheckpointDir(base)
+            base = sc.getCheckpointDir() or base
     leaf = f"{name or 'out'}-{uuid.uuid4().hex[:12]}"
     return base.rstrip("/") + "/" + leaf if "://" in base else os.path.join(base, leaf)
 
@@ -67,5 +74,9 @@ def spread(df, min_partitions: int | None = None):
     """
     if df.isStreaming:
         return df
-    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(target) if df.rdd.getNumPartitions() < target else df
+    try:
+        target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+        current = df.rdd.getNumPartitions()
+    except Exception:  # no RDD view (e.g. Spark Connect): leave the plan as it is
+        return df
+    return df.repartition(target) if current < target else df

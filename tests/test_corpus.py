@@ -81,3 +81,23 @@ def test_normalisers_case_insensitive(spark):
     texts = spark.createDataFrame([("7", "1999", "news")], "DocID string, date_year string, Section string")
     r = normalise_texts(texts).first()
     assert (r.textID, r.year, r.decade, r.genre) == (7, 1999, None, "news")
+
+
+def test_null_groups_kept_in_counts_dropped_in_profiles(spark):           # T10
+    from quarry.operators import profile as P
+    df = spark.createDataFrame([(None, 1.0), (None, 2.0), ("a", 3.0)], "k string, v double")
+    assert {r.k for r in df.groupBy("k").count().collect()} == {None, "a"}
+    assert {r.k for r in P.mean_by(df, "k", "v").collect()} == {"a"}
+    assert {r.k for r in P.value_counts(df, "k").collect()} == {"a"}
+
+
+def test_strict_casts_and_cast_before_union(spark):                       # T9, T22
+    import pytest
+    from quarry.operators.catalog import union_relaxed
+    bad = spark.createDataFrame([("x1", "2")], "textid string, wordid string")
+    with pytest.raises(Exception):
+        normalise_tokens(bad).collect()
+    a = spark.createDataFrame([(1,)], "v int")
+    b = spark.createDataFrame([("word",)], "v string")
+    u = union_relaxed([a, b])
+    assert u.dtypes == [("v", "string")] and sorted(r.v for r in u.collect()) == ["1", "word"]
