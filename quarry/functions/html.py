@@ -86,9 +86,14 @@ def get_text(fragment, separator: str = "") -> Column:
 
 
 def first_element(html, tag: str) -> Column:
-    """Inner HTML of the first ``<tag>...</tag>``; NULL when absent."""
-    inner = F.regexp_extract(_c(html), rf"(?is)<{tag}\b[^>]*>(.*?)</{tag}\s*>", 1)
-    return F.when(_c(html).rlike(rf"(?is)<{tag}\b[^>]*>.*?</{tag}\s*>"), inner)
+    """Inner HTML of the first ``<tag>...</tag>``; NULL when absent.
+
+    One regex pass over the page finds the whole element; the tags are then
+    cut from that (short) match.
+    """
+    whole = F.regexp_extract(_c(html), rf"(?is)<{tag}\b[^>]*>.*?</{tag}\s*>", 0)
+    inner = F.regexp_replace(whole, rf"(?is)^<{tag}\b[^>]*>|</{tag}\s*>$", "")
+    return F.when(whole != "", inner)
 
 
 def all_elements(html, tag: str) -> Column:

@@ -38,7 +38,8 @@ def article_paragraphs(pages: DataFrame, html_col: str = "html", keep: list[str]
     """
     keep = _keep(pages, html_col, keep)
     d = _cleaned(pages, html_col, keep).withColumn("_art", H.first_element("_doc", "article"))
-    d = d.filter(F.col("_art").isNotNull())
+    # a page without an article has NULL paragraphs, so the generator emits nothing for it
+    # (no row filter: a filter would be pushed below the spread and run the regex chain twice)
     return (d.select(*keep, F.posexplode(H.paragraphs("_art")).alias("para_pos", "_p"))
             .select(*keep, "para_pos", H.get_text("_p").alias("paragraph")))
 
@@ -63,4 +64,5 @@ def article_text(pages: DataFrame, html_col: str = "html", keep: list[str] | Non
     """H4: text of the first ``<article>``, text nodes joined by a space; pages without one dropped."""
     keep = _keep(pages, html_col, keep)
     d = _cleaned(pages, html_col, keep).withColumn("_art", H.first_element("_doc", "article"))
-    return d.filter(F.col("_art").isNotNull()).select(*keep, H.get_text("_art", " ").alias("text"))
+    # drop pages without an article through a generator (see article_paragraphs)
+    return d.select(*keep, F.explode(F.array_compact(F.array(H.get_text("_art", " ")))).alias("text"))
