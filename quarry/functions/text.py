@@ -22,6 +22,9 @@ from pyspark.sql import functions as F
 PY_WS_CHARS = r"\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 PY_WS = "[" + PY_WS_CHARS + "]"
 PY_NON_WS = "[^" + PY_WS_CHARS + "]"
+# the same set as literal characters (for btrim)
+PY_WS_SET = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(chr(c) for c in range(0x2000, 0x200B))
+             + "\u2028\u2029\u202f\u205f\u3000")
 # Python-compatible word token: Unicode letters, digits and underscore.
 WORD_PATTERN = r"[\p{L}\p{N}_]+"
 # Sentence boundary: whitespace run that follows '.', '!' or '?'.
@@ -54,8 +57,12 @@ def sentences(c) -> Column:
 
 
 def strip_ws(c) -> Column:
-    """Python ``str.strip()``: remove leading and trailing Unicode whitespace."""
-    return F.regexp_replace(_col(c), "^" + PY_WS + "+|" + PY_WS + "+$", "")
+    """Python ``str.strip()``: remove leading and trailing Unicode whitespace.
+
+    ``btrim`` with the whitespace set touches only the two ends of the string
+    (a regex would be retried at every whitespace run of a long text).
+    """
+    return F.btrim(_col(c), F.lit(PY_WS_SET))
 
 
 def zfill(s, width) -> Column:

@@ -31,9 +31,11 @@ class Views:
         self.spark = spark
         self.sf_dir = sf_dir.rstrip("/")
 
-    def table(self, name: str) -> DataFrame:
+    def table(self, name: str, spread: bool = True) -> DataFrame:
+        """A shipped table; text tables are spread over the task slots unless the
+        caller shuffles them right away anyway (``spread=False``)."""
         df = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
-        if name in TEXT_TABLES:
+        if spread and name in TEXT_TABLES:
             from quarry.session import spread
             df = spread(df)
         return df
@@ -82,7 +84,7 @@ class Views:
         Articles are grouped into pages of at most FEED_PAGE_SIZE by doc_id, so
         a page is a bounded group.
         """
-        a = self.aug()
+        a = augment(self.table("documents", spread=False))   # grouped into pages right away
         art = F.struct(
             F.when(F.col("doc_id") % 11 == 0, F.lit(None))
              .otherwise(F.struct(F.col("source").alias("name"))).alias("source"),
@@ -111,7 +113,7 @@ class Views:
         Each export numbers its documents ``Document rn of cnt``.  Dumps are
         bounded: a chunk holds at most DUMP_SIZE documents.
         """
-        d = self.table("documents").select(
+        d = self.table("documents", spread=False).select(     # grouped into dumps right away
             "source", "doc_id", "text", F.floor(F.col("doc_id") / DUMP_SIZE).alias("chunk"))
         w = Window.partitionBy("source", "chunk")
         d = d.withColumns({"rn": F.row_number().over(w.orderBy("doc_id")),
