@@ -49,8 +49,8 @@ def split_marked(dumps: DataFrame, blob_col: str = "blob", keys: list[str] | Non
     Text before the first marker is dropped.  The key is ``article_<N>.txt``
     zero-filled to the digit count of the first marker's M.  When a number
     repeats inside one dump the last piece wins (as an overwritten file
-    would); that dedup runs inside the row, so there is no shuffle.  A dump
-    without any marker raises an error.
+    would); that dedup sorts the row's pieces by name, so it is O(n log n) and
+    needs no shuffle.  A dump without any marker raises an error.
     """
     keys = keys if keys is not None else [c for c in dumps.columns if c != blob_col]
     blob = _c(blob_col)
@@ -62,12 +62,14 @@ def split_marked(dumps: DataFrame, blob_col: str = "blob", keys: list[str] | Non
     d = dumps.select(*keys, pieces.alias("_p"), width.alias("_w"))
     # drop a preamble: only the first piece can lack a leading marker
     d = d.withColumn("_p", F.filter("_p", lambda p: p.rlike(f"^(?i){MARKER}")))
-    entry = F.transform("_p", lambda p: F.struct(
+    # last piece wins per file name: sort (filename, position descending) inside the row and
+    # keep the first entry of each name - O(n log n) per dump, no shuffle
+    entry = F.transform("_p", lambda p, i: F.struct(
         article_filename(F.regexp_extract(p, r"^(?i)Document\s+(\d+)", 1).cast("decimal(38,0)"), F.col("_w"))
-        .alias("filename"), strip_ws(p).alias("text")))
-    d = d.withColumn("_e", entry)
-    last = F.filter("_e", lambda x, i: ~F.exists(F.slice("_e", i + 2, F.greatest(F.size("_e"), F.lit(1))),
-                                                 lambda y: y["filename"] == x["filename"]))
+        .alias("filename"), (-i).alias("neg_pos"), strip_ws(p).alias("text")))
+    d = d.withColumn("_e", F.array_sort(entry))
+    last = F.filter("_e", lambda x, i: F.when(i == 0, F.lit(True))            # element_at is 1-based:
+                    .otherwise(F.element_at("_e", i)["filename"] != x["filename"]))  # i = the previous entry
     return d.select(*keys, F.explode(last).alias("_a")).select(*keys, "_a.filename", "_a.text")
 
 
