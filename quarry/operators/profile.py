@@ -60,75 +60,142 @@ def frame_info(df: DataFrame) -> DataFrame:
 DESCRIBE_STATS = ("count", "mean", "std", "min", "p25", "p50", "p75", "max")
 
 
+def _materialize(df: DataFrame) -> DataFrame:
+    """Cut the lineage of a small per-group table: written once to the shared folder, read back.
+
+    (``checkpoint()`` without a persisted RDD would compute the input twice.)
+    """
+    from quarry.session import shared_dir
+    path = shared_dir(df.sparkSession, "quantile-brackets")
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def exact_percentiles(df: DataFrame, col: str, probs: list[float], by: list[str] | None = None,
-                      accuracy: int = 10_000, extra_aggs: list[Column] | None = None) -> DataFrame:
-    """Exact linear-interpolated percentiles (pandas ``linear``) with bounded buffers.
+                      accuracy: int = 10_000, extra_aggs: list[Column] | None = None,
+                      max_candidates: int = 1_000_000, boundaries: int = 1000,
+                      max_levels: int = 8) -> DataFrame:
+    """Exact linear-interpolated percentiles (pandas ``linear``) with bounded per-task state.
 
     Spark's exact ``percentile`` keeps every distinct value of a group in one
-    buffer, which does not survive a group holding a third of 100 TB.  Here:
-
-    1. pass one (with ``extra_aggs``): per group ``n`` and a GK sketch
-       (``percentile_approx``) bracket ``[lo, hi]`` around each target rank
-       (rank error <= n/accuracy; the bracket is widened by 4x that); a group
-       of at most ``accuracy`` rows simply keeps all its values;
-    2. pass two: per (group, target), ``count(x < lo)`` and the values inside
-       the bracket - about 8n/accuracy of them - sorted in the row, from
-       which the values at ranks floor(p(n-1)) and the next are read and
-       interpolated.
-
-    The bracket table has one row per (group, target) and is joined back
-    (broadcast when small).  If a bracket ever missed its rank (the sketch
-    guarantee rules it out) the value is NULL, never a wrong number.
+    buffer, which does not survive a group holding a third of 100 TB.  Here
+    every (group, target) keeps a bracket ``[lo, hi]`` known to contain the
+    two ranks it needs (floor(p(n-1)) and the next), with ``below`` = rows
+    under ``lo`` and ``cnt`` = rows inside:
+
+    * pass one computes ``n`` per group (and ``extra_aggs``); when no group has
+      more than ``max_candidates`` rows, Spark's exact ``percentile`` is bounded
+      by that and answers in one more pass; otherwise:
+    * start: the whole range;
+    * while some bracket holds more than ``max_candidates`` rows (and more
+      than one value): one pass sketches the rows inside each bracket at
+      ``boundaries`` fixed fractions (``percentile_approx``, rank error
+      <= cnt/accuracy), the bracket shrinks to the boundaries around the
+      needed ranks (with a margin for that error), and one pass recounts
+      ``below`` and ``cnt``.  Each level divides ``cnt`` by about
+      boundaries/6; brackets are tiny tables, checkpointed between levels;
+    * final pass: (value, count) pairs inside the brackets - ties collapse -
+      are gathered per (group, target), sorted, and the two ranks are read
+      with a running count.
+
+    A hot group therefore never brings more than ``max_candidates`` distinct
+    values into one task, and the result is exact.
     """
     by = by or []
     keys = by or ["_all"]                      # ungrouped: one constant key, an equi-join to one row
+    t_idx = list(range(len(probs)))
     x = F.col(col).cast("double")
     # the original column rides along for ``extra_aggs`` (NULLs are ignored by them anyway)
     d = df.select(*by, F.col(col), x.alias("_x")).filter(F.col("_x").isNotNull())
     if not by:
         d = d.withColumn("_all", F.lit(0))
-    delta = 4.0 / accuracy
-    t = len(probs)
-    lo_q = [max(p - delta, 0.0) for p in probs]
-    hi_q = [min(p + delta, 1.0) for p in probs]
-    # pass one: one sketch serves both ends of every bracket
-    first = d.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.percentile_approx("_x", F.array(*[F.lit(q) for q in lo_q + hi_q]), accuracy).alias("_b"),
-        *(extra_aggs or []))
-    # groups of at most `accuracy` rows keep all values (bounded by accuracy); larger groups
-    # have >= 3 ranks of margin on each side of the two ranks they need
-    small = F.col("_n") <= accuracy
-    bounds = first.select(*keys, "_n",
-                          *[F.when(small, F.lit(float("-inf"))).otherwise(F.col("_b")[i]).alias(f"_lo{i}")
-                            for i in range(t)],
-                          *[F.when(small, F.lit(float("inf"))).otherwise(F.col("_b")[t + i]).alias(f"_hi{i}")
-                            for i in range(t)])
-    # pass two: each row meets its group's single bracket row
-    j = d.join(bounds, keys)
-    aggs = [F.first("_n").alias("_n")]
-    for i in range(t):
-        lo, hi = F.col(f"_lo{i}"), F.col(f"_hi{i}")
-        aggs += [F.count_if(F.col("_x") < lo).alias(f"_below{i}"),
-                 F.array_sort(F.collect_list(F.when((F.col("_x") >= lo) & (F.col("_x") <= hi), F.col("_x"))))
-                 .alias(f"_c{i}")]
-    sel = j.groupBy(*keys).agg(*aggs)
-
-    def value(i, k):
-        c = F.col(f"_c{i}")
-        pos = k - F.col(f"_below{i}")             # 0-based index among the candidates
-        return F.when((pos >= 0) & (pos < F.size(c)), F.element_at(c, (pos + 1).cast("int")))
+    stats = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), *(extra_aggs or []))
+    largest = stats.agg(F.max("_n")).first()[0] or 0
+    if largest <= max_candidates:
+        # every group has at most max_candidates rows, so Spark's exact percentile buffer
+        # (the group's distinct values) is bounded: one pass
+        q = F.percentile("_x", F.array(*[F.lit(float(p)) for p in probs]))
+        res = d.groupBy(*keys).agg(*(extra_aggs or []), q.alias("_q"))
+        res = res.select(*keys, *[c for c in res.columns if c not in keys and c != "_q"],
+                         *[F.col("_q")[i].alias(f"p{round(p * 100)}") for i, p in zip(t_idx, probs)])
+        return res.drop("_all") if not by else res
+    ranks = {}
+    for t, p in zip(t_idx, probs):
+        h = F.lit(float(p)) * (F.col("_n") - 1)
+        ranks[t] = (F.floor(h), F.least(F.floor(h) + 1, F.col("_n") - 1), h)
+    extra_names = [c for c in stats.columns if c not in keys and c != "_n"]
+    br = stats.select(*keys, "_n", *extra_names,
+                      *[F.lit(float("-inf")).alias(f"_lo{t}") for t in t_idx],
+                      *[F.lit(float("inf")).alias(f"_hi{t}") for t in t_idx],
+                      *[F.lit(0).cast("long").alias(f"_below{t}") for t in t_idx],
+                      *[F.col("_n").alias(f"_cnt{t}") for t in t_idx])
+
+    def done(t):
+        return (F.col(f"_cnt{t}") <= max_candidates) | (F.col(f"_lo{t}") == F.col(f"_hi{t}"))
+
+    def inside(t):
+        return (F.col("_x") >= F.col(f"_lo{t}")) & (F.col("_x") <= F.col(f"_hi{t}"))
+
+    margin = -(-boundaries // accuracy) + 1
+    fractions = F.array(*[F.lit(i / boundaries) for i in range(boundaries + 1)])
+    flags = [done(t).cast("int") for t in t_idx]
+    all_done = (F.least(*flags) if len(flags) > 1 else flags[0]) == 1
+    br = _materialize(br)
+    for _ in range(max_levels):
+        if br.filter(~all_done).isEmpty():
+            break
+        sk = d.join(br, keys).groupBy(*keys).agg(
+            *[F.percentile_approx(F.when(inside(t) & ~done(t), F.col("_x")), fractions, accuracy).alias(f"_b{t}")
+              for t in t_idx])
+        nb = br.join(sk, keys)
+        upd = {}
+        for t in t_idx:
+            k0, k1, _ = ranks[t]
+            cnt, below, b = F.col(f"_cnt{t}"), F.col(f"_below{t}"), F.col(f"_b{t}")
+            i_lo = F.greatest(F.floor((k0 - below) * boundaries / cnt) - margin, F.lit(0))
+            i_hi = F.least(F.ceil((k1 - below) * boundaries / cnt) + margin, F.lit(boundaries))
+            upd[f"_lo{t}"] = F.when(done(t) | b.isNull(), F.col(f"_lo{t}")).otherwise(
+                F.element_at(b, (i_lo + 1).cast("int")))
+            upd[f"_hi{t}"] = F.when(done(t) | b.isNull(), F.col(f"_hi{t}")).otherwise(
+                F.element_at(b, (i_hi + 1).cast("int")))
+        nb = nb.withColumns(upd).drop(*[f"_b{t}" for t in t_idx], *[f"_below{t}" for t in t_idx],
+                                      *[f"_cnt{t}" for t in t_idx])
+        nb = _materialize(nb)
+        cnts = d.join(nb, keys).groupBy(*keys).agg(
+            *[F.count_if(F.col("_x") < F.col(f"_lo{t}")).alias(f"_below{t}") for t in t_idx],
+            *[F.count_if(inside(t)).alias(f"_cnt{t}") for t in t_idx])
+        br = _materialize(nb.join(cnts, keys))
+
+    # final pass: (value, count) pairs inside any bracket - ties collapse in the map-side
+    # combine; the bracket table is joined once
+    bounds = br.select(*keys, *[f"_lo{t}" for t in t_idx], *[f"_hi{t}" for t in t_idx])
+    hits = [inside(t).cast("int") for t in t_idx]
+    j = d.select(*keys, "_x").join(bounds, keys).filter((F.greatest(*hits) if len(hits) > 1 else hits[0]) == 1)
+    pairs = j.groupBy(*keys, "_x").agg(F.count(F.lit(1)).alias("_c"),
+                                       *[F.max(h).alias(f"_in{t}") for t, h in zip(t_idx, hits)])
+    # running count of the candidates of each target (a group's candidates are bounded
+    # by max_candidates distinct values), then the first value passing each needed rank
+    info = br.select(*keys, "_n", *[f"_below{t}" for t in t_idx])
+    w = Window.partitionBy(*keys).orderBy("_x").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    pairs = pairs.join(info, keys).withColumns(
+        {f"_cum{t}": F.sum(F.when(F.col(f"_in{t}") == 1, F.col("_c")).otherwise(0)).over(w) for t in t_idx})
+    picks = []
+    for t in t_idx:
+        k0, k1, _ = ranks[t]
+        reach = F.col(f"_below{t}") + F.col(f"_cum{t}")
+        ok = (F.col(f"_in{t}") == 1) & (F.col(f"_below{t}") <= k0)
+        picks += [F.min(F.when(ok & (reach > k0), F.col("_x"))).alias(f"_v0_{t}"),
+                  F.min(F.when(ok & (reach > k1), F.col("_x"))).alias(f"_v1_{t}")]
+    sel = pairs.groupBy(*keys).agg(*picks)
+    out = br.join(sel, keys, "left")
 
     cols = []
-    for i, p in enumerate(probs):
-        h = F.lit(float(p)) * (F.col("_n") - 1)
-        k0 = F.floor(h)
-        k1 = F.least(k0 + 1, F.col("_n") - 1)
-        cols.append((value(i, k0) + (h - k0) * (value(i, k1) - value(i, k0))).alias(f"p{round(p * 100)}"))
-    out = sel.select(*keys, *cols)
-    if extra_aggs:
-        out = first.drop("_n", "_b").join(out, keys, "left")
-    return out.drop("_all") if not by else out
+    for t, p in zip(t_idx, probs):
+        k0, k1, h = ranks[t]
+        v0, v1 = F.col(f"_v0_{t}"), F.col(f"_v1_{t}")
+        cols.append((v0 + (h - k0) * (v1 - v0)).alias(f"p{round(p * 100)}"))
+    res = out.select(*keys, *extra_names, *cols)
+    return res.drop("_all") if not by else res
 
 
 def describe(df: DataFrame, col: str, by: list[str] | None = None, exact: bool = True,

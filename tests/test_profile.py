@@ -63,3 +63,22 @@ def test_exact_percentiles_large_groups(spark):
     for k, grp in pdf.groupby("k"):
         want = [grp["x"].quantile(q) for q in (0.1, 0.5, 0.99)]
         assert all(abs(a - b) < 1e-9 for a, b in zip(got[k], want)), k
+
+
+def test_exact_percentiles_refinement_levels(spark):
+    """Tiny limits force several refinement levels; ties and a constant group included."""
+    import random
+    rnd = random.Random(11)
+    rows = ([("a", float(rnd.randint(0, 50))) for _ in range(3000)] +
+            [("b", rnd.gauss(0, 1)) for _ in range(2500)] + [("c", 5.0)] * 400 + [("d", 1.0)])
+    df = spark.createDataFrame(rows, "k string, x double")
+    probs = [0.0, 0.25, 0.5, 0.9, 1.0]
+    got = {r.k: [r[f"p{round(p * 100)}"] for p in probs]
+           for r in P.exact_percentiles(df, "x", probs, ["k"], accuracy=50, max_candidates=40,
+                                        boundaries=20).collect()}
+    pdf = pd.DataFrame(rows, columns=["k", "x"])
+    for k, grp in pdf.groupby("k"):
+        want = [grp["x"].quantile(q) for q in probs]
+        assert all(abs(a - b) < 1e-9 for a, b in zip(got[k], want)), (k, got[k], want)
+    whole = P.exact_percentiles(df, "x", [0.5], None, accuracy=50, max_candidates=40, boundaries=20).first()
+    assert abs(whole["p50"] - pdf["x"].quantile(0.5)) < 1e-9
