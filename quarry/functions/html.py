@@ -31,6 +31,9 @@ BLOCK_TAGS = ["address", "article", "aside", "blockquote", "details", "div", "dl
               "nav", "ol", "pre", "section", "table", "ul", "li", "body", "html"]
 
 _COMMENT = r"(?s)<!--.*?-->"
+# what a removed comment / script / style leaves behind: an empty tag, so the text
+# before and after it stay separate text nodes (as a parser keeps them)
+REMOVED = "<>"
 _RAW = [r"(?is)<script\b[^>]*>.*?</script\s*>", r"(?is)<style\b[^>]*>.*?</style\s*>"]
 _TAG = r"<[^>]*>"
 _P_OPEN = r"(?i)<p(?:\s[^>]*)?>"
@@ -43,9 +46,9 @@ def _c(c) -> Column:
 
 def clean(html) -> Column:
     """Drop comments and script/style elements (their text is never document text)."""
-    out = F.regexp_replace(_c(html), _COMMENT, "")
+    out = F.regexp_replace(_c(html), _COMMENT, REMOVED)
     for pat in _RAW:
-        out = F.regexp_replace(out, pat, "")
+        out = F.regexp_replace(out, pat, REMOVED)
     return out
 
 

@@ -13,9 +13,9 @@ def strip(t: str) -> str:
 
 
 def clean(t: str) -> str:
-    out = f"regexp_replace({t}, {sql_str(H._COMMENT)}, '', 'g')"
+    out = f"regexp_replace({t}, {sql_str(H._COMMENT)}, {sql_str(H.REMOVED)}, 'g')"
     for pat in H._RAW:
-        out = f"regexp_replace({out}, {sql_str(pat)}, '', 'g')"
+        out = f"regexp_replace({out}, {sql_str(pat)}, {sql_str(H.REMOVED)}, 'g')"
     return out
 
 

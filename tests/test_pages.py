@@ -111,3 +111,37 @@ def test_pages_match_parser_walk(spark):
 def test_entities_decoded_once(spark):
     df = spark.createDataFrame([(1, "<h1>&amp;lt; &#60; &#x3C; &nbsp;x</h1>")], "page_id long, html string")
     assert PG.headline(df).first().headline == htmlmod.unescape("&amp;lt; &#60; &#x3C;") + " \xa0x"
+
+
+from hypothesis import given, settings, strategies as st  # noqa: E402
+
+_tok = st.sampled_from(["<p>", "</p>", "<b>", "</b>", "<br>", "<p class='x'>", " word ", "Dr Ann Lee",
+                        "&amp;", "&quot;q&quot;", "&#233;", "<!-- <p>c</p> -->", "<div>", "</div>",
+                        "<ul><li>i</li></ul>", "<script>var a='</p>';</script>", "  ", "\n", "x<i>y</i>z"])
+
+
+@settings(max_examples=15, deadline=None)
+@given(st.lists(st.tuples(st.lists(_tok, max_size=12), st.lists(_tok, max_size=8), st.booleans(), st.booleans()),
+                min_size=1, max_size=4))
+def test_pages_property(spark, specs):
+    docs = []
+    for body, quote, with_article, with_h1 in specs:
+        inner = "".join(body) + ("<blockquote>" + "".join(quote) + "</blockquote>" if quote else "")
+        head = "<h1>Head <b>line</b></h1>" if with_h1 else ""
+        docs.append("<html><body>" + head + (f"<article>{inner}</article>" if with_article else inner)
+                    + "<p>tail</p></body></html>")
+    df = spark.createDataFrame(list(enumerate(docs)), "page_id long, html string")
+    heads = {r.page_id: r.headline for r in PG.headline(df).collect()}
+    paras, blocks = {}, {}
+    for r in PG.article_paragraphs(df).orderBy("page_id", "para_pos").collect():
+        paras.setdefault(r.page_id, []).append(r.paragraph)
+    for r in PG.blocks(df).orderBy("page_id", "kind", "pos").collect():
+        blocks.setdefault((r.page_id, r.kind), []).append(r.text)
+    arts = {r.page_id: r.text for r in PG.article_text(df).collect()}
+    for i, doc in enumerate(docs):
+        o = oracle(doc)
+        assert heads[i] == o["headline"], doc
+        assert paras.get(i, []) == o["paragraphs"], doc
+        assert arts.get(i) == o["article"], doc
+        assert blocks.get((i, "p"), []) == o["outside_p"], doc
+        assert blocks.get((i, "blockquote"), []) == o["quotes"], doc
