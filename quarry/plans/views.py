@@ -94,7 +94,9 @@ class Views:
              .alias("description"),
             F.col("text").alias("content"),
             F.concat(F.lit("https://example.org/d/"), F.col("doc_id")).alias("url"),
-            F.date_format(F.timestamp_seconds(F.lit(1704067200) + F.col("doc_id") * 60),
+            # timestamp_ntz arithmetic: independent of the session time zone
+            F.date_format(F.to_timestamp_ntz(F.lit("2024-01-01 00:00:00"))
+                          + F.make_dt_interval(mins=F.col("doc_id").cast("int")),
                           "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("publishedAt"),
         )
         page = F.floor(F.col("doc_id") / FEED_PAGE_SIZE)
