@@ -31,7 +31,7 @@ WORD_PATTERN = r"[\p{L}\p{N}_]+"
 SENTENCE_SPLIT = r"(?<=[.!?])" + PY_WS + "+"
 # Title followed by one or more capitalised names.
 TITLES = ["Dr", "Prof", "Professor", "Mr", "Ms", "Mrs"]
-MENTION_PATTERN = (r"(?U)\b(?:Dr|Prof|Professor|Mr|Ms|Mrs)\.?" + PY_WS + r"+[A-Z][a-z]+(?:"
+MENTION_PATTERN = (r"(?U)\b(?:" + "|".join(TITLES) + r")\.?" + PY_WS + r"+[A-Z][a-z]+(?:"
                    + PY_WS + r"+[A-Z][a-z]+)*")
 # Modal verbs used by the persuasion heuristic.
 MODALS = ["should", "must", "could", "would", "may", "might", "shall", "will"]

@@ -149,3 +149,11 @@ def with_full_text(df: DataFrame, body_col: str = "body", out: str = "full_text"
 def parse_articles(records: DataFrame, body_col: str = "body") -> DataFrame:
     """B4 + B5: labelled fields and the full text of each record."""
     return with_full_text(article_fields(records, body_col), body_col)
+
+
+def dump_to_articles(dumps: DataFrame, blob_col: str = "blob", keys: list[str] | None = None) -> DataFrame:
+    """B2 + B4 + B5: a bulk export to one article record per marker line, in the
+    record layout (doc_marker, the twelve fields, full_text)."""
+    keys = keys if keys is not None else [c for c in dumps.columns if c != blob_col]
+    recs = split_header_lines(dumps, blob_col, keys)
+    return parse_articles(recs, "body").select(*keys, "record_pos", *ARTICLE_COLUMNS)

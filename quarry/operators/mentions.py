@@ -11,12 +11,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.functions.text import (MENTION_PATTERN, MODALS, PY_WS, SENTENCE_SPLIT, count_in, lower_words,
+from quarry.functions.text import (MENTION_PATTERN, MODALS, PY_WS, SENTENCE_SPLIT, TITLES, count_in, lower_words,
                                    mentions, ratio, strip_ws)
 from quarry.operators.scoring import LexiconScorer
 
 # sentence split that does not cut after a dotted title ("Mr. Cole")
-PROTECTED_SPLIT = r"(?<=[.!?])(?<!\b(?:Dr|Prof|Professor|Mr|Ms|Mrs)\.)" + PY_WS + "+"
+PROTECTED_SPLIT = r"(?<=[.!?])(?<!\b(?:" + "|".join(TITLES) + r")\.)" + PY_WS + "+"
 
 
 def modal_density(df: DataFrame, text_col: str = "text", terms=MODALS, out: str = "persuasion_score",

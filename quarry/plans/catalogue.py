@@ -380,17 +380,32 @@ def _line_sql(label: str, nonblank: bool = False) -> str:
     return _strip(f"regexp_extract(body, '{pat}', 1)")
 
 
+_FIELD_LABELS = {"author": ("Author", False), "publication_info": ("Publication info", False),
+                 "abstract": ("Abstract", False), "links": ("Links", True),
+                 "publication_date": ("Publication date", False), "publication_title": ("Publication title", False),
+                 "section": ("Section", False), "issn": ("ISSN", False), "doc_type": ("Document type", False),
+                 "proquest_id": ("ProQuest document ID", False)}
+
+
+def _field_cols(body: str = "body") -> list[str]:
+    cols = [_strip(f"regexp_extract({body}, '(?m)^(.*?)[ \\t]*:[ \\t]*\\[Op-Ed\\]', 1)") + " AS title"]
+    for k, (lab, nb) in _FIELD_LABELS.items():
+        cols.append(f"{_line_sql(lab, nb).replace('regexp_extract(body,', f'regexp_extract({body},')} AS {k}")
+    cols.append(_strip(f"regexp_extract({body}, '(?m)^(https?://\\S+)', 1)") + " AS url")
+    return cols
+
+
+def _full_text_sql(body: str = "body") -> str:
+    block = (f"regexp_split_to_array(regexp_extract({body}, '(?sm)^Full text:(.*)', 1), "
+             "'\\n(?:Subject|Business indexing term|Location|Company / organization):')[1]")
+    first = _strip(f"replace(split_part({block}, chr(10), 1), 'Full text:', '')")
+    rest = f"CASE WHEN instr({block}, chr(10)) > 0 THEN substr({block}, instr({block}, chr(10)) + 1) END"
+    return (f"CASE WHEN regexp_matches({body}, '(?m)^Full text:') THEN "
+            + _strip(f"concat_ws(chr(10), {first}, {rest})") + " ELSE '' END")
+
+
 def _fields_sql() -> str:
-    cols = [_strip("regexp_extract(body, '(?m)^(.*?)[ \\t]*:[ \\t]*\\[Op-Ed\\]', 1)") + " AS title"]
-    names = {"author": ("Author", False), "publication_info": ("Publication info", False),
-             "abstract": ("Abstract", False), "links": ("Links", True),
-             "publication_date": ("Publication date", False), "publication_title": ("Publication title", False),
-             "section": ("Section", False), "issn": ("ISSN", False), "doc_type": ("Document type", False),
-             "proquest_id": ("ProQuest document ID", False)}
-    for k, (lab, nb) in names.items():
-        cols.append(f"{_line_sql(lab, nb)} AS {k}")
-    cols.append(_strip("regexp_extract(body, '(?m)^(https?://\\S+)', 1)") + " AS url")
-    return O.with_ctes("SELECT doc_id, " + ", ".join(cols) + " FROM rec", rec=O.REC)
+    return O.with_ctes("SELECT doc_id, " + ", ".join(_field_cols()) + " FROM rec", rec=O.REC)
 
 
 @query("article_fields", _fields_sql())
@@ -410,6 +425,18 @@ _FULLTEXT_SQL = O.with_ctes(
     rec=O.REC)
 
 
+@query("dump_articles", O.with_ctes(
+    "SELECT source, chunk, record_pos, doc_marker, " + ", ".join(_field_cols("body")) + ", "
+    + _full_text_sql("body") + " AS full_text FROM (SELECT source, chunk, "
+    "CAST(generate_subscripts(mk, 1) - 1 AS INT) AS record_pos, unnest(mk) AS doc_marker, unnest(bd) AS body FROM "
+    "(SELECT source, chunk, regexp_extract_all(blob, '(?m)^(Document\\s+\\d+\\s+of\\s+\\d+)\\s*$', 1) AS mk, "
+    "regexp_split_to_array(blob, '(?m)^Document\\s+\\d+\\s+of\\s+\\d+\\s*$')[2:] AS bd FROM d) x) r",
+    d=O.REC_DUMP))
+def q_dump_articles(spark, sf_dir):
+    """B2 + B4 + B5: bulk exports of labelled article blocks to article records."""
+    return D.dump_to_articles(Views(spark, sf_dir).rec_dump(), "blob", ["source", "chunk"])
+
+
 @query("article_full_text", _FULLTEXT_SQL)
 def q_article_full_text(spark, sf_dir):
     return D.with_full_text(Views(spark, sf_dir).rec(), "body").select("doc_id", "full_text")

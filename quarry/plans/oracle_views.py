@@ -20,23 +20,30 @@ AUG = ("SELECT doc_id, lang, source, CASE doc_id % 4 "
        "WHEN 2 THEN concat(text, ' We asked Mr. Cole and Ms Jo Park.') "
        "ELSE text END AS text FROM documents")
 
-DUMP = ("SELECT source, chunk, string_agg(concat('Document ', rn, ' of ', cnt, chr(10), chr(10), text, chr(10)), '' "
-        "ORDER BY rn) AS blob FROM (SELECT source, text, doc_id // 100 AS chunk, "
-        "row_number() OVER (PARTITION BY source, doc_id // 100 ORDER BY doc_id) AS rn, "
-        "count(*) OVER (PARTITION BY source, doc_id // 100) AS cnt FROM documents) d GROUP BY source, chunk")
+def bundle(src: str) -> str:
+    """(source, doc_id, text) rows of ``src`` -> one export per (source, doc_id div 100)."""
+    return ("SELECT source, chunk, string_agg(concat('Document ', rn, ' of ', cnt, chr(10), chr(10), text, chr(10)), "
+            "'' ORDER BY rn) AS blob FROM (SELECT source, text, doc_id // 100 AS chunk, "
+            "row_number() OVER (PARTITION BY source, doc_id // 100 ORDER BY doc_id) AS rn, "
+            f"count(*) OVER (PARTITION BY source, doc_id // 100) AS cnt FROM {src}) d GROUP BY source, chunk")
+
+
+DUMP = bundle("documents")
 
 # documents numbered the way the dump numbers them
 DUMP_DOCS = ("SELECT source, doc_id // 100 AS chunk, doc_id, text, "
              "row_number() OVER (PARTITION BY source, doc_id // 100 ORDER BY doc_id) AS rn, "
              "count(*) OVER (PARTITION BY source, doc_id // 100) AS cnt FROM documents")
 
-REC = ("SELECT doc_id, concat('Piece ', doc_id, ': [Op-Ed]: [Op-Ed]', chr(10), chr(10), "
+REC_BODY = ("concat('Piece ', doc_id, ': [Op-Ed]: [Op-Ed]', chr(10), chr(10), "
        "CASE WHEN doc_id % 5 <> 0 THEN concat('Author: ', source, chr(10), chr(10)) ELSE '' END, "
        "'https://example.org/d/', doc_id, chr(10), chr(10), 'Abstract: None available.', chr(10), chr(10), "
        "'Full text: ', text, chr(10), chr(10), "
        "CASE WHEN doc_id % 3 = 0 THEN concat('Subject: ', lang, chr(10), chr(10)) ELSE '' END, "
        "'URL: https://example.org/u/', doc_id, chr(10), chr(10), "
-       "'Publication date: Jan 2, 2022', chr(10), chr(10), 'Section: ', lang) AS body FROM documents")
+       "'Publication date: Jan 2, 2022', chr(10), chr(10), 'Section: ', lang)")
+REC = f"SELECT doc_id, {REC_BODY} AS body FROM documents"
+REC_DUMP = bundle(f"(SELECT source, doc_id, {REC_BODY} AS text FROM documents)")
 
 MEAS_T = "SELECT doc_id AS id, lang, n_chars FROM documents"
 MEAS_M = ("SELECT concat('article_', lpad(CAST(doc_id AS VARCHAR), "

@@ -110,35 +110,23 @@ class Views:
 
     # -------------------------------------------------- bulk dumps
     def dump(self) -> DataFrame:
-        """One bulk export per (source, chunk of DUMP_SIZE documents).
+        """One bulk export per (source, chunk of DUMP_SIZE documents) of the document texts.
 
         Each export numbers its documents ``Document rn of cnt``.  Dumps are
         bounded: a chunk holds at most DUMP_SIZE documents.
         """
-        d = self.table("documents", spread=False).select(     # grouped into dumps right away
-            "source", "doc_id", "text", F.floor(F.col("doc_id") / DUMP_SIZE).alias("chunk"))
-        w = Window.partitionBy("source", "chunk")
-        d = d.withColumns({"rn": F.row_number().over(w.orderBy("doc_id")),
-                           "cnt": F.count(F.lit(1)).over(w)})
-        piece = F.concat(F.lit("Document "), F.col("rn"), F.lit(" of "), F.col("cnt"),
-                         F.lit("\n\n"), F.col("text"), F.lit("\n"))
-        return (d.groupBy("source", "chunk")
-                .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rn", piece.alias("p")))),
-                                              lambda s: s["p"]), "").alias("blob")))
+        d = self.table("documents", spread=False)            # grouped into dumps right away
+        return bundle(d.select("source", "doc_id", "text"))
+
+    def rec_dump(self) -> DataFrame:
+        """Bulk exports (as :meth:`dump`) whose records are the labelled article blocks of :meth:`rec`."""
+        d = self.table("documents", spread=False)
+        return bundle(d.select("source", "doc_id", rec_body(d).alias("text")))
 
     def rec(self) -> DataFrame:
         """One labelled article block per document."""
         d = self.table("documents")
-        nl2 = F.lit("\n\n")
-        body = F.concat(
-            F.lit("Piece "), F.col("doc_id"), F.lit(": [Op-Ed]: [Op-Ed]"), nl2,
-            F.when(F.col("doc_id") % 5 != 0, F.concat(F.lit("Author: "), F.col("source"), nl2)).otherwise(F.lit("")),
-            F.lit("https://example.org/d/"), F.col("doc_id"), nl2, F.lit("Abstract: None available."), nl2,
-            F.lit("Full text: "), F.col("text"), nl2,
-            F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("Subject: "), F.col("lang"), nl2)).otherwise(F.lit("")),
-            F.lit("URL: https://example.org/u/"), F.col("doc_id"), nl2,
-            F.lit("Publication date: Jan 2, 2022"), nl2, F.lit("Section: "), F.col("lang"))
-        return d.select("doc_id", body.alias("body"))
+        return d.select("doc_id", rec_body(d).alias("body"))
 
     # -------------------------------------------------- keyed joins
     def meas_t(self) -> DataFrame:
@@ -170,3 +158,28 @@ def augment_pages(pages: DataFrame) -> DataFrame:
     html = F.when(F.col("page_id") % 3 == 0, F.replace("html", F.lit("</article>"), F.lit(PAGE_INSERT))) \
         .otherwise(F.col("html"))
     return pages.select("page_id", html.alias("html"))
+
+
+def rec_body(d: DataFrame):
+    """The labelled article block of a document row (column expression)."""
+    nl2 = F.lit("\n\n")
+    return F.concat(
+        F.lit("Piece "), F.col("doc_id"), F.lit(": [Op-Ed]: [Op-Ed]"), nl2,
+        F.when(F.col("doc_id") % 5 != 0, F.concat(F.lit("Author: "), F.col("source"), nl2)).otherwise(F.lit("")),
+        F.lit("https://example.org/d/"), F.col("doc_id"), nl2, F.lit("Abstract: None available."), nl2,
+        F.lit("Full text: "), F.col("text"), nl2,
+        F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("Subject: "), F.col("lang"), nl2)).otherwise(F.lit("")),
+        F.lit("URL: https://example.org/u/"), F.col("doc_id"), nl2,
+        F.lit("Publication date: Jan 2, 2022"), nl2, F.lit("Section: "), F.col("lang"))
+
+
+def bundle(d: DataFrame) -> DataFrame:
+    """(source, doc_id, text) rows -> one export per (source, doc_id div DUMP_SIZE), records in doc_id order."""
+    d = d.withColumn("chunk", F.floor(F.col("doc_id") / DUMP_SIZE))
+    w = Window.partitionBy("source", "chunk")
+    d = d.withColumns({"rn": F.row_number().over(w.orderBy("doc_id")), "cnt": F.count(F.lit(1)).over(w)})
+    piece = F.concat(F.lit("Document "), F.col("rn"), F.lit(" of "), F.col("cnt"),
+                     F.lit("\n\n"), F.col("text"), F.lit("\n"))
+    return (d.groupBy("source", "chunk")
+            .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rn", piece.alias("p")))),
+                                          lambda s: s["p"]), "").alias("blob")))

@@ -101,3 +101,13 @@ def test_strict_casts_and_cast_before_union(spark):                       # T9,
     b = spark.createDataFrame([("word",)], "v string")
     u = union_relaxed([a, b])
     assert u.dtypes == [("v", "string")] and sorted(r.v for r in u.collect()) == ["1", "word"]
+
+
+def test_normalisers_emit_canonical_schemas(spark):
+    from quarry.operators.catalog import TEXTS_SCHEMA, TOKENS_SCHEMA, WORDS_SCHEMA
+    raw_t = spark.createDataFrame([(1, 2, 3)], "DocID int, Word_ID int, ID int")
+    raw_w = spark.createDataFrame([(1, "a", "b", "c")], "wordid long, Form string, LEMMA string, upos string")
+    raw_x = spark.createDataFrame([("1", "1999", "1990", "g")], "text_id string, Year string, decade string, genre string")
+    assert normalise_tokens(raw_t).schema.simpleString() == TOKENS_SCHEMA.simpleString()
+    assert normalise_words(raw_w).schema.simpleString() == WORDS_SCHEMA.simpleString()
+    assert normalise_texts(raw_x).schema.simpleString() == TEXTS_SCHEMA.simpleString()
