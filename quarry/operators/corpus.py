@@ -31,6 +31,25 @@ WORD_COLS = ("word", "lemma", "pos")
 TEXT_COLS = ("year", "decade", "genre")
 
 
+def salted_left_join(big: DataFrame, small: DataFrame, key: str, salt: int = 0,
+                     salt_cols: list[str] | None = None) -> DataFrame:
+    """``big LEFT JOIN small USING (key)`` that survives a hot key without AQE.
+
+    With ``salt > 1`` each big row gets a deterministic salt in [0, salt)
+    (a hash of ``salt_cols``, so a retried task computes the same salt) and
+    each small row is replicated once per salt value; the join runs on
+    (key, salt).  A key holding a third of ``big`` is spread over ``salt``
+    tasks.  Results equal the plain left join.  ``salt <= 1``: plain join
+    (Catalyst/AQE choose broadcast or sort-merge and split skew themselves).
+    """
+    if salt <= 1:
+        return big.join(small, key, "left")
+    cols = salt_cols or big.columns
+    b = big.withColumn("_salt", F.pmod(F.xxhash64(*[F.col(c) for c in cols]), F.lit(salt)).cast("int"))
+    s = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
+    return b.join(s, [key, "_salt"], "left").drop("_salt")
+
+
 def texts_for_join(texts: DataFrame) -> DataFrame:
     """textID, year, decade, genre with aligned types (textID stays long for the join)."""
     cols = set(texts.columns)
@@ -41,17 +60,19 @@ def texts_for_join(texts: DataFrame) -> DataFrame:
     return texts.select(sel)
 
 
-def join_corpus(tokens: DataFrame, words: DataFrame, texts: DataFrame | None = None) -> DataFrame:
+def join_corpus(tokens: DataFrame, words: DataFrame, texts: DataFrame | None = None,
+                salt: int = 0) -> DataFrame:
     """J1 + J2: the row-level product, textID rendered as string like the reference.
 
     The join runs on the long key (string equality of two long renderings is
-    long equality) and the key is cast to string at the end.
+    long equality) and the key is cast to string at the end.  ``salt`` spreads
+    hot wordIDs / textIDs explicitly (see :func:`salted_left_join`).
     """
     if "wordID" not in words.columns:
         return join_tagged(words, texts)
-    out = tokens.join(words, "wordID", "left")
+    out = salted_left_join(tokens, words, "wordID", salt)
     if texts is not None:
-        out = out.join(texts_for_join(texts), "textID", "left")
+        out = salted_left_join(out, texts_for_join(texts), "textID", salt, salt_cols=tokens.columns)
     return out.withColumn("textID", F.col("textID").cast("string"))
 
 
@@ -67,8 +88,12 @@ def join_tagged(tagged: DataFrame, texts: DataFrame | None = None) -> DataFrame:
 
 
 def count_by(tokens: DataFrame, words: DataFrame, texts: DataFrame | None, keys: list[str],
-             preaggregate: bool = False, count_col: str = "n") -> DataFrame:
-    """``count(*)`` of the row-level join grouped by ``keys`` (see module doc)."""
+             preaggregate: bool = False, count_col: str = "n", salt: int = 0) -> DataFrame:
+    """``count(*)`` of the row-level join grouped by ``keys`` (see module doc).
+
+    ``salt`` spreads a hot textID in the metadata join (the lexicon join runs
+    after the reduction, where hot words are already collapsed).
+    """
     wkeys = [k for k in keys if k in WORD_COLS]
     tkeys = [k for k in keys if k in TEXT_COLS]
     other = [k for k in keys if k not in WORD_COLS and k not in TEXT_COLS]
@@ -80,13 +105,17 @@ def count_by(tokens: DataFrame, words: DataFrame, texts: DataFrame | None, keys:
         rows = join_tagged(words, texts if tkeys else None)
         return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias(count_col))
 
-    tok = tokens.select("textID", "wordID")
+    salted = salt > 1 and bool(tkeys)
+    # the salt hashes whole token rows (occurrence id included), so repeats of one pair spread too
+    row_hash = [F.xxhash64(*[F.col(c) for c in tokens.columns]).alias("_h")] if salted and not preaggregate else []
+    tok = tokens.select("textID", "wordID", *row_hash)
     if preaggregate:
         tok = tok.groupBy("textID", "wordID").agg(F.count(F.lit(1)).alias("_n"))
     else:
         tok = tok.withColumn("_n", F.lit(1).cast("bigint"))
     if tkeys:
-        tok = tok.join(texts_for_join(texts).select("textID", *tkeys), "textID", "left")
+        tok = salted_left_join(tok, texts_for_join(texts).select("textID", *tkeys), "textID", salt,
+                               salt_cols=(["_h"] if row_hash else ["textID", "wordID"]) if salted else None)
     reduced = tok.groupBy(*tkeys, "wordID").agg(F.sum("_n").alias("_n"))
     if wkeys:
         lex = words.select("wordID", *wkeys)

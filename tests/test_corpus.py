@@ -111,3 +111,14 @@ def test_normalisers_emit_canonical_schemas(spark):
     assert normalise_tokens(raw_t).schema.simpleString() == TOKENS_SCHEMA.simpleString()
     assert normalise_words(raw_w).schema.simpleString() == WORDS_SCHEMA.simpleString()
     assert normalise_texts(raw_x).schema.simpleString() == TEXTS_SCHEMA.simpleString()
+
+
+def test_salted_joins_equal_plain(spark):
+    tokens, words, texts = frames(spark)
+    hot = tokens.unionByName(spark.createDataFrame([(1, 10, i) for i in range(200)], tokens.schema))
+    plain = sorted(map(tuple, C.join_corpus(hot, words, texts).collect()), key=str)
+    salted = sorted(map(tuple, C.join_corpus(hot, words, texts, salt=7).collect()), key=str)
+    assert plain == salted
+    a = {tuple(r) for r in C.count_by(hot, words, texts, ["year", "lemma"]).collect()}
+    b = {tuple(r) for r in C.count_by(hot, words, texts, ["year", "lemma"], salt=5).collect()}
+    assert a == b
