@@ -13,3 +13,23 @@ def test_stream_equals_batch(spark):
     batch = sentence_mentions(aug.select(aug["doc_id"].alias("source"), "text"), "text", "source")
     assert sorted(map(tuple, streamed.collect())) == sorted(map(tuple, batch.collect()))
     assert streamed.count() > 0
+
+
+def test_article_parsing_on_a_stream(spark):
+    from pyspark.sql import functions as F
+
+    from quarry.operators.dumps import parse_articles
+    from quarry.plans.views import rec_body
+    from quarry.session import shared_dir
+    from quarry.streaming.mentions import DOCUMENTS_SCHEMA, read_stream, run_available_now
+
+    def parse(d):
+        return parse_articles(d.select("doc_id", rec_body(d).alias("body")), "body").drop("body")
+
+    stream = parse(read_stream(spark, SF_SMALL, "documents.parquet", DOCUMENTS_SCHEMA))
+    base = shared_dir(spark, "stream-articles")
+    out = spark.read.parquet(run_available_now(stream, base + "/sink", base + "/ckpt"))
+    batch = parse(spark.read.parquet(f"{SF_SMALL}/documents.parquet"))
+    cols = sorted(batch.columns)
+    assert sorted(map(tuple, out.select(cols).collect())) == sorted(map(tuple, batch.select(cols).collect()))
+    assert out.filter(F.col("full_text") != "").count() == out.count() > 0
