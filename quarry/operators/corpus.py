@@ -161,11 +161,15 @@ PRODUCTS = {"by_year_word": ["year", "word"], "by_year_lemma_pos": ["year", "lem
             "top_lemmas_per_year": ["year", "lemma"]}
 
 
-def corpus_products(tokens, words, texts, k: int = 50, trend_lemma: str | None = None) -> dict:
+def corpus_products(tokens, words, texts, k: int = 50, trend_lemma: str | None = None,
+                    materialize_dir: str | None = None) -> dict:
     """the products whose columns exist in the joined schema, by name.
 
     A product is planned only when all its columns are present (plan-time
-    set test on column names), like the reference's guarded sinks.
+    set test on column names), like the reference's guarded sinks.  The
+    (year, lemma, pos) cube is computed once; the per-year lemma counts, the
+    top-k and the trend are roll-ups of it (``materialize_dir`` writes the
+    cube once so that the derived products do not re-run the joins).
     """
     names = set(WORD_COLS if "wordID" in words.columns else [c for c in WORD_COLS if c in words.columns])
     if texts is not None:
@@ -173,10 +177,17 @@ def corpus_products(tokens, words, texts, k: int = 50, trend_lemma: str | None =
     out = {}
     if {"year", "word"} <= names:
         out["by_year_word"] = count_by(tokens, words, texts, ["year", "word"])
-    if {"year", "lemma", "pos"} <= names:
-        out["by_year_lemma_pos"] = count_by(tokens, words, texts, ["year", "lemma", "pos"])
     if {"year", "lemma"} <= names:
-        out["top_lemmas_per_year"] = top_lemmas(tokens, words, texts, k)
+        cube_keys = ["year", "lemma", "pos"] if "pos" in names else ["year", "lemma"]
+        cube = count_by(tokens, words, texts, cube_keys)
+        if materialize_dir:
+            cube.write.mode("overwrite").parquet(materialize_dir)
+            cube = cube.sparkSession.read.parquet(materialize_dir)
+        if "pos" in cube_keys:
+            out["by_year_lemma_pos"] = cube
+        by_lemma = cube.groupBy("year", "lemma").agg(F.sum("n").cast("bigint").alias("n"))
+        out["top_lemmas_per_year"] = top_k_per_group(by_lemma, "year", "n", k, "lemma")
         if trend_lemma is not None:
-            out["lemma_trend"] = lemma_trend(tokens, words, texts, trend_lemma)
+            out["lemma_trend"] = (by_lemma.filter(F.col("lemma") == F.lit(trend_lemma)).select("year", "n")
+                                  .orderBy(F.col("year").asc_nulls_first()).limit(20))
     return out

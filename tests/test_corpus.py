@@ -122,3 +122,12 @@ def test_salted_joins_equal_plain(spark):
     a = {tuple(r) for r in C.count_by(hot, words, texts, ["year", "lemma"]).collect()}
     b = {tuple(r) for r in C.count_by(hot, words, texts, ["year", "lemma"], salt=5).collect()}
     assert a == b
+
+
+def test_products_from_one_cube(spark, tmp_dir):
+    tokens, words, texts = frames(spark)
+    prods = C.corpus_products(tokens, words, texts, k=2, trend_lemma="cat", materialize_dir=f"{tmp_dir}/cube")
+    direct_top = {tuple(r) for r in C.top_lemmas(tokens, words, texts, k=2).collect()}
+    assert {tuple(r) for r in prods["top_lemmas_per_year"].collect()} == direct_top
+    direct_trend = [tuple(r) for r in C.lemma_trend(tokens, words, texts, "cat").collect()]
+    assert [tuple(r) for r in prods["lemma_trend"].collect()] == direct_trend
