@@ -69,8 +69,8 @@ def html_records(stream) -> Iterator[tuple[str, str, str]]:
 
 
 def _open(path: str):
-    import pyarrow.fs as pafs
-    fs, p = pafs.FileSystem.from_uri(path)
+    from quarry.sources.files import arrow_fs
+    fs, p = arrow_fs(path)
     raw = fs.open_input_stream(p, compression=None)
     return gzip.open(raw) if path.endswith(".gz") else raw
 

@@ -38,15 +38,23 @@ def list_files(spark: SparkSession, root: str, glob: str = "*", recursive: bool
                      "length")
 
 
-def _probe(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def arrow_fs(path: str):
+    """pyarrow file system + path for a Hadoop-style URI (s3a:// and s3n:// read as s3://)."""
     import pyarrow.fs as pafs
+    for scheme in ("s3a://", "s3n://"):
+        if path.startswith(scheme):
+            path = "s3://" + path[len(scheme):]
+    return pafs.FileSystem.from_uri(path)
+
+
+def _probe(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     import pyarrow.parquet as pq
     for pdf in it:
         out = []
         for path in pdf["path"]:
             fmt = "csv" if path.lower().endswith(".csv") else "parquet"
             try:
-                fs, p = pafs.FileSystem.from_uri(path)
+                fs, p = arrow_fs(path)
                 if fmt == "parquet":
                     with fs.open_input_file(p) as fh:
                         cols = list(pq.read_schema(fh).names)
