@@ -46,3 +46,21 @@ def test_column_pruning(spark):
     df = E.queries()["top_lemmas"](spark, SF_SMALL)
     p = plan(df)
     assert "l_extendedprice" not in p and "p_retailprice" not in p
+
+
+def test_spread_is_a_noop_for_split_inputs(spark):
+    from quarry.session import spread
+    many = spark.range(0, 1000, numPartitions=spark.sparkContext.defaultParallelism + 2)
+    assert spread(many) is many
+    one = spark.range(0, 1000, numPartitions=1)
+    assert spread(one).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+
+
+def test_counts_aggregate_before_the_shuffle(spark):
+    from quarry.operators import corpus as C
+    from quarry.plans.views import Views
+    tokens, words, texts = Views(spark, SF_SMALL).corpus()
+    p = plan(C.count_by(tokens, words, texts, ["year", "lemma"]))
+    # a partial aggregate runs below the first hash exchange
+    first_exchange = p.rindex("Exchange hashpartitioning")
+    assert "HashAggregate" in p[first_exchange:]
