@@ -101,3 +101,17 @@ def first_archives(spark: SparkSession, root: str, n: int = 5, suffix: str = ".w
     """The first ``n`` archive paths of a listing (ordered by path)."""
     files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path"))
     return files.filter(F.col("path").endswith(suffix)).orderBy("path").limit(n)
+
+
+def archive_article_texts(spark: SparkSession, root: str, out: str | None = None) -> DataFrame:
+    """S10 + H4 (+ K4): article text of every HTML response in the archives under ``root``.
+
+    Pages without an ``<article>`` are dropped.  With ``out`` the texts are
+    also written as blank-line separated blocks.
+    """
+    from quarry.operators.pages import article_text
+    from quarry.sources.sinks import write_text_blocks
+    texts = article_text(read_warc_html(spark, root), "html", keep=["archive", "record_pos", "url"])
+    if out is not None:
+        write_text_blocks(texts, "text", out)
+    return texts

@@ -188,3 +188,18 @@ def test_listing_helpers(spark, tmp_dir):
     assert got == ["a.warc.gz", "c.warc.gz"]
     lo, hi = iso_window(F.lit("2024-01-08").cast("date"), 7)
     assert tuple(spark.range(1).select(lo, hi).first()) == ("2024-01-01", "2024-01-08")
+
+
+def test_archive_to_article_texts(spark, tmp_dir):
+    from quarry.sources.archive import archive_article_texts
+    pages = [b"<html><article><p>First <b>one</b></p><p>two</p></article></html>", b"<html><p>no article</p></html>"]
+    data = b"".join(_warc_record("response", f"http://x/{i}",
+                                 b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n" + p) for i, p in enumerate(pages))
+    os.makedirs(f"{tmp_dir}/w")
+    with gzip.open(f"{tmp_dir}/w/a.warc.gz", "wb") as f:
+        f.write(data)
+    rows = archive_article_texts(spark, f"{tmp_dir}/w", out=f"{tmp_dir}/texts").collect()
+    assert [(r.url, r.text) for r in rows] == [("http://x/0", "First one two")]
+    written = "".join(open(os.path.join(f"{tmp_dir}/texts", f)).read()
+                      for f in os.listdir(f"{tmp_dir}/texts") if f.startswith("part-"))
+    assert written.strip() == "First one two"
