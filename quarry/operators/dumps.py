@@ -166,36 +166,41 @@ def split_marked_lines(spark, path: str) -> DataFrame:
     Marker counts per (file, split) become split offsets through a prefix sum
     over the splits of a file (a small table); inside a split a running count
     numbers the records.  Only one split or one record is ever in one group.
-    Output: (source, filename, text), with the same key width and
-    last-marker-wins rule as :func:`split_marked`; a file without any marker
-    yields no rows.
+    Output: keys, filename, text - keys are the partition columns of a
+    partitioned folder, else ``source`` (the file name) - with the same key
+    width and last-marker-wins rule as :func:`split_marked`; a file without any
+    marker yields no rows.
     """
     marker_ci = f"(?i){MARKER}"
-    lines = spark.read.text(path).select(
-        F.col("_metadata.file_name").alias("source"), F.col("_metadata.file_block_start").alias("_blk"),
+    raw = spark.read.text(path)
+    keys = [c for c in raw.columns if c != "value"] or ["source"]
+    lines = raw.select(
+        *[F.col(c) for c in keys if c != "source" or "source" in raw.columns],
+        *([F.col("_metadata.file_name").alias("source")] if "source" not in raw.columns else []),
+        F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_blk"),
         F.monotonically_increasing_id().alias("_row"), F.col("value").alias("_line"))
-    pieces = lines.select("source", "_blk", "_row",
+    pieces = lines.select(*keys, "_file", "_blk", "_row",
                           F.posexplode(F.split("_line", f"(?i)(?={MARKER})")).alias("_pp", "_piece"))
     pieces = pieces.withColumn("_mk", F.col("_piece").rlike(f"^{marker_ci}").cast("int"))
     # a piece that continues a record after a line break gets the newline back
     pieces = pieces.withColumn("_text", F.when((F.col("_pp") == 0) & (F.col("_mk") == 0),
                                                F.concat(F.lit("\n"), F.col("_piece"))).otherwise(F.col("_piece")))
-    per_block = pieces.groupBy("source", "_blk").agg(F.sum("_mk").alias("_m"))
-    wb = Window.partitionBy("source").orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_block.select("source", "_blk", F.coalesce(F.sum("_m").over(wb), F.lit(0)).alias("_off"))
-    wl = Window.partitionBy("source", "_blk").orderBy("_row", "_pp").rowsBetween(Window.unboundedPreceding, 0)
-    numbered = (pieces.join(offsets, ["source", "_blk"])
+    per_block = pieces.groupBy("_file", "_blk").agg(F.sum("_mk").alias("_m"))
+    wb = Window.partitionBy("_file").orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = per_block.select("_file", "_blk", F.coalesce(F.sum("_m").over(wb), F.lit(0)).alias("_off"))
+    wl = Window.partitionBy("_file", "_blk").orderBy("_row", "_pp").rowsBetween(Window.unboundedPreceding, 0)
+    numbered = (pieces.join(offsets, ["_file", "_blk"])
                 .withColumn("_rec", F.col("_off") + F.sum("_mk").over(wl))
                 .filter(F.col("_rec") > 0))                       # text before the first marker is dropped
-    recs = (numbered.groupBy("source", "_rec")
+    recs = (numbered.groupBy(*keys, "_file", "_rec")
             .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_blk", "_row", "_pp", "_text"))),
                                           lambda s: s["_text"]), "").alias("_chunk")))
-    recs = recs.withColumn("_chunk", F.regexp_replace("_chunk", r"^\n", ""))
     first = F.regexp_extract("_chunk", r"(?i)^Document\s+\d+\s+of\s+(\d+)", 1).cast("decimal(38,0)").cast("string")
-    widths = recs.filter(F.col("_rec") == 1).select("source", F.length(first).alias("_w"))
-    named = recs.join(widths, "source").select(
-        "source", "_rec",
+    widths = recs.filter(F.col("_rec") == 1).select("_file", F.length(first).alias("_w"))
+    named = recs.join(widths, "_file").select(
+        *keys, "_file", "_rec",
         article_filename(F.regexp_extract("_chunk", r"(?i)^Document\s+(\d+)", 1).cast("decimal(38,0)"),
                          F.col("_w")).alias("filename"),
         strip_ws("_chunk").alias("text"))
-    return named.groupBy("source", "filename").agg(F.max_by("text", "_rec").alias("text"))
+    return (named.groupBy(*keys, "_file", "filename").agg(F.max_by("text", "_rec").alias("text"))
+            .drop("_file"))

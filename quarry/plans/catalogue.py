@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from quarry.operators import corpus as C
 from quarry.plans import oracle_views as O
-from quarry.plans.views import Views
+from quarry.plans.views import EXPORT_SIZE, Views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -356,6 +356,20 @@ def q_dump_split(spark, sf_dir):
     return D.split_marked(Views(spark, sf_dir).dump(), "blob", ["source", "chunk"])
 
 
+@query("dump_split_lines", O.with_ctes(
+    f"SELECT source, chunk, {_fname_sql('rn', 'length(CAST(cnt AS VARCHAR))')} AS filename, "
+    + _strip("concat('Document ', rn, ' of ', cnt, chr(10), chr(10), text, chr(10))")
+    + " AS text FROM dd", dd=O.dump_docs(EXPORT_SIZE)))
+def q_dump_split_lines(spark, sf_dir):
+    """B1 over lines: the derived exports written as text files (one folder per source/chunk)
+    to the shared folder, then split without ever holding an export in one row."""
+    from quarry.session import shared_dir
+    path = shared_dir(spark, "exports")
+    Views(spark, sf_dir).dump(EXPORT_SIZE).write.partitionBy("source", "chunk").text(path)
+    out = D.split_marked_lines(spark, path)
+    return out.select("source", F.col("chunk").cast("bigint").alias("chunk"), "filename", "text")
+
+
 @query("dump_records", O.with_ctes(
     "SELECT source, chunk, CAST(generate_subscripts(mk, 1) - 1 AS INT) AS record_pos, unnest(mk) AS doc_marker, "
     "unnest(bd) AS body FROM (SELECT source, chunk, "

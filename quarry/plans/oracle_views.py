@@ -20,20 +20,29 @@ AUG = ("SELECT doc_id, lang, source, CASE doc_id % 4 "
        "WHEN 2 THEN concat(text, ' We asked Mr. Cole and Ms Jo Park.') "
        "ELSE text END AS text FROM documents")
 
-def bundle(src: str) -> str:
-    """(source, doc_id, text) rows of ``src`` -> one export per (source, doc_id div 100)."""
+def bundle(src: str, n: int | None = None) -> str:
+    """(source, doc_id, text) rows of ``src`` -> one export per (source, doc_id div n)."""
+    from quarry.plans.views import DUMP_SIZE
+    n = n or DUMP_SIZE
     return ("SELECT source, chunk, string_agg(concat('Document ', rn, ' of ', cnt, chr(10), chr(10), text, chr(10)), "
-            "'' ORDER BY rn) AS blob FROM (SELECT source, text, doc_id // 100 AS chunk, "
-            "row_number() OVER (PARTITION BY source, doc_id // 100 ORDER BY doc_id) AS rn, "
-            f"count(*) OVER (PARTITION BY source, doc_id // 100) AS cnt FROM {src}) d GROUP BY source, chunk")
+            f"'' ORDER BY rn) AS blob FROM (SELECT source, text, doc_id // {n} AS chunk, "
+            f"row_number() OVER (PARTITION BY source, doc_id // {n} ORDER BY doc_id) AS rn, "
+            f"count(*) OVER (PARTITION BY source, doc_id // {n}) AS cnt FROM {src}) d GROUP BY source, chunk")
 
 
 DUMP = bundle("documents")
 
 # documents numbered the way the dump numbers them
-DUMP_DOCS = ("SELECT source, doc_id // 100 AS chunk, doc_id, text, "
-             "row_number() OVER (PARTITION BY source, doc_id // 100 ORDER BY doc_id) AS rn, "
-             "count(*) OVER (PARTITION BY source, doc_id // 100) AS cnt FROM documents")
+def dump_docs(n: int | None = None) -> str:
+    """Documents numbered the way an export of ``n`` doc_ids numbers them."""
+    from quarry.plans.views import DUMP_SIZE
+    n = n or DUMP_SIZE
+    return (f"SELECT source, doc_id // {n} AS chunk, doc_id, text, "
+            f"row_number() OVER (PARTITION BY source, doc_id // {n} ORDER BY doc_id) AS rn, "
+            f"count(*) OVER (PARTITION BY source, doc_id // {n}) AS cnt FROM documents")
+
+
+DUMP_DOCS = dump_docs()
 
 REC_BODY = ("concat('Piece ', doc_id, ': [Op-Ed]: [Op-Ed]', chr(10), chr(10), "
        "CASE WHEN doc_id % 5 <> 0 THEN concat('Author: ', source, chr(10), chr(10)) ELSE '' END, "

@@ -20,7 +20,8 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
 TEXT_TABLES = {"documents", "pages", "conversations"}
 
 # ---- fixed values of the derived views ----
-DUMP_SIZE = 100                 # documents per bulk export (bounded dump size)
+DUMP_SIZE = 100                 # doc_id range per bulk export held in one row (bounds the row)
+EXPORT_SIZE = 1000              # doc_id range per bulk export written as a file (dump_split_lines)
 FEED_PAGE_SIZE = 100            # articles per feed page
 
 
@@ -109,14 +110,14 @@ class Views:
         return augment_pages(self.table("pages").select("page_id", "html"))
 
     # -------------------------------------------------- bulk dumps
-    def dump(self) -> DataFrame:
-        """One bulk export per (source, chunk of DUMP_SIZE documents) of the document texts.
+    def dump(self, size: int = DUMP_SIZE) -> DataFrame:
+        """One bulk export per (source, chunk of ``size`` doc_ids) of the document texts.
 
         Each export numbers its documents ``Document rn of cnt``.  Dumps are
-        bounded: a chunk holds at most DUMP_SIZE documents.
+        bounded: a chunk holds at most ``size`` documents.
         """
         d = self.table("documents", spread=False)            # grouped into dumps right away
-        return bundle(d.select("source", "doc_id", "text"))
+        return bundle(d.select("source", "doc_id", "text"), size)
 
     def rec_dump(self) -> DataFrame:
         """Bulk exports (as :meth:`dump`) whose records are the labelled article blocks of :meth:`rec`."""
@@ -173,9 +174,9 @@ def rec_body(d: DataFrame):
         F.lit("Publication date: Jan 2, 2022"), nl2, F.lit("Section: "), F.col("lang"))
 
 
-def bundle(d: DataFrame) -> DataFrame:
-    """(source, doc_id, text) rows -> one export per (source, doc_id div DUMP_SIZE), records in doc_id order."""
-    d = d.withColumn("chunk", F.floor(F.col("doc_id") / DUMP_SIZE))
+def bundle(d: DataFrame, size: int = DUMP_SIZE) -> DataFrame:
+    """(source, doc_id, text) rows -> one export per (source, doc_id div size), records in doc_id order."""
+    d = d.withColumn("chunk", F.floor(F.col("doc_id") / size))
     w = Window.partitionBy("source", "chunk")
     d = d.withColumns({"rn": F.row_number().over(w.orderBy("doc_id")), "cnt": F.count(F.lit(1)).over(w)})
     piece = F.concat(F.lit("Document "), F.col("rn"), F.lit(" of "), F.col("cnt"),
