@@ -82,3 +82,23 @@ def test_exact_percentiles_refinement_levels(spark):
         assert all(abs(a - b) < 1e-9 for a, b in zip(got[k], want)), (k, got[k], want)
     whole = P.exact_percentiles(df, "x", [0.5], None, accuracy=50, max_candidates=40, boundaries=20).first()
     assert abs(whole["p50"] - pdf["x"].quantile(0.5)) < 1e-9
+
+
+def test_recent_selection_matches_brute_force(spark):
+    import datetime as dt
+    import random
+    import re
+    rnd = random.Random(3)
+    texts = ["Dr Ann spoke", "no title here", "Mr. Bob", "Drive home", "the Prof said", "Ms", "MsX"]
+    rows = []
+    for i in range(400):
+        ts = dt.datetime(2024, 1, 1) + dt.timedelta(hours=rnd.randint(0, 24 * 20))
+        rows.append((i, ts, rnd.choice(["en", "de"]), rnd.choice(texts)))
+    df = spark.createDataFrame(rows, "id long, ts timestamp_ntz, lang string, text string")
+    got = [r.id for r in P.recent_selection(df, "ts", "text", "2024-01-12", days=7, order_tie="id",
+                                            pages=2, page_size=10).collect()]
+    lo, hi = dt.date(2024, 1, 5), dt.date(2024, 1, 12)
+    pat = re.compile(r"\b(?:Dr|Prof|Professor|Mr|Ms)\b")
+    keep = [r for r in rows if lo <= r[1].date() <= hi and r[2] == "en" and pat.search(r[3])]
+    keep.sort(key=lambda r: (-r[1].timestamp(), r[0]))
+    assert got == [r[0] for r in keep[:20]]
