@@ -203,3 +203,18 @@ def test_archive_to_article_texts(spark, tmp_dir):
     written = "".join(open(os.path.join(f"{tmp_dir}/texts", f)).read()
                       for f in os.listdir(f"{tmp_dir}/texts") if f.startswith("part-"))
     assert written.strip() == "First one two"
+
+
+def test_layout_inventory_per_folder(spark, tmp_dir):
+    for folder, names in {"Corpus/a": ["x.parquet", "y.parquet", "z.csv"], "Sources": ["t.parquet"],
+                          "Text": ["n.txt"]}.items():
+        os.makedirs(f"{tmp_dir}/{folder}", exist_ok=True)
+        for n in names:
+            with open(f"{tmp_dir}/{folder}/{n}", "wb") as f:
+                f.write(b"x")
+    files = S.list_files(spark, tmp_dir)
+    got = {r.folder.rsplit("/", 1)[-1]: (r.n, r.pq) for r in files.groupBy("folder").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("name").endswith(".parquet")).alias("pq")).collect()}
+    assert got == {"a": (3, 2), "Sources": (1, 1), "Text": (1, 0)}
+    only_pq = sorted(r.name for r in S.list_files(spark, tmp_dir, "*.parquet").collect())
+    assert only_pq == ["t.parquet", "x.parquet", "y.parquet"]
