@@ -7,12 +7,12 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
+from quarry.plans import catalogue
 from quarry.plans.views import TABLES
 
 from conftest import SF_SMALL
 
-QUERIES = E.queries()
-ORACLE = E.oracle_sql()
+QUERIES, ORACLE = catalogue.QUERIES, catalogue.ORACLE
 
 
 def _norm(v):
@@ -39,6 +39,7 @@ def con():
 
 def test_every_query_has_an_oracle():
     assert set(QUERIES) == set(ORACLE)
+    assert set(QUERIES) <= set(E.queries())
 
 
 def test_entry_runs(spark):
