@@ -5,7 +5,7 @@ Every query reads its whole table and returns its full result.
 
 from __future__ import annotations
 
-from quarry.llm import decontaminate, linededup, quality, simhash
+from quarry.llm import decontaminate, linededup, packing, quality, sharding, simhash
 from quarry.llm.common import table
 
 QUERIES: dict = {}
@@ -32,6 +32,16 @@ def op5_line_dedup(spark, sf_dir):
     return linededup.report(table(spark, sf_dir, "documents"))
 
 
+@query
+def op6_best_fit_packing(spark, sf_dir):
+    return packing.report(table(spark, sf_dir, "documents"))
+
+
+@query
+def op7_label_propagation(spark, sf_dir):
+    return sharding.report(table(spark, sf_dir, "documents"))
+
+
 @query
 def op8_quality_cascade(spark, sf_dir):
     return quality.report(table(spark, sf_dir, "documents"))
@@ -85,17 +95,17 @@ FROM v
 """
 
 ORACLE["op5_line_dedup"] = r"""
-WITH lines AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS at
+WITH lines AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS ln
                FROM documents),
-full_lines AS (SELECT doc_id, at, trim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) AS line,
-                      row_number() OVER (PARTITION BY doc_id ORDER BY at) AS pos FROM lines
+full_lines AS (SELECT doc_id, ln, trim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) AS line,
+                      row_number() OVER (PARTITION BY doc_id ORDER BY ln) AS pos FROM lines
                WHERE trim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) <> ''),
 win AS (SELECT a.doc_id, a.pos, a.line AS l1, b.line AS l2, c.line AS l3 FROM full_lines a
         JOIN full_lines b ON a.doc_id = b.doc_id AND b.pos = a.pos + 1 JOIN full_lines c ON a.doc_id = c.doc_id AND c.pos = a.pos + 2),
 later AS (SELECT doc_id, pos FROM (SELECT *, row_number() OVER (PARTITION BY l1, l2, l3 ORDER BY doc_id, pos) AS k FROM win) WHERE k > 1),
 gone AS (SELECT DISTINCT doc_id, pos + j AS pos FROM later, (VALUES (0), (1), (2)) t(j)),
-cut AS (SELECT f.doc_id, f.at FROM full_lines f JOIN gone USING (doc_id, pos)),
-rest AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY at) AS text FROM lines ANTI JOIN cut USING (doc_id, at) GROUP BY doc_id),
+cut AS (SELECT f.doc_id, f.ln FROM full_lines f JOIN gone USING (doc_id, pos)),
+rest AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY ln) AS text FROM lines ANTI JOIN cut USING (doc_id, ln) GROUP BY doc_id),
 n AS (SELECT doc_id, count(*) AS n_lines FROM full_lines GROUP BY doc_id),
 r AS (SELECT doc_id, count(*) AS n_removed FROM cut GROUP BY doc_id)
 SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed,

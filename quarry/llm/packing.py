@@ -24,9 +24,11 @@ from __future__ import annotations
 import os
 import struct
 import zlib
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window, functions as F
 
 from quarry.llm.common import attach, written
@@ -39,43 +41,86 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+#: The tokenizer's own steps before its merges; with any other steps texts are encoded whole.
+NORMALIZER = 'Sequence(normalizers=[NFC(), Replace(pattern=Regex("\\s+"), content=" "), Lowercase()])'
+SPLITTER = ('Sequence(pretokenizers=[Split(pattern=Regex("\'s|\'t|\'re|\'ve|\'m|\'ll|\'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"), '
+            'behavior=Removed, invert=True), ByteLevel(add_prefix_space=False, trim_offsets=True, use_regex=False)])')
+PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+#: Words of printable ASCII and Latin letters, which no normal form changes
+LATIN = regex.compile("[!-~\u00a1-\u024f]+")
+#: Byte-level alphabet: printable bytes stand for themselves, the others for 256, 257, ...
+SELF = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTE_CHARS = {b: chr(b) for b in SELF} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in set(SELF))}
+
+
 class Encoder:
     """Token ids of texts as bytes (little-endian unsigned 32-bit).
 
     The tokenizer drops white space and joins nothing across it, so a text's ids are its
-    words' ids; words met before come from a table that is emptied at ``most`` words.
+    words' ids, and a word's are those of its runs of letters, digits and other signs.
+    Words and runs met before come from tables that are emptied at ``most`` entries.
     """
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 400_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self.encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
-        self.most, self.known = most, {}
+        self.model = self.tokenizer.model
+        self.by_word = (str(self.tokenizer.normalizer), str(self.tokenizer.pre_tokenizer)) == (NORMALIZER, SPLITTER)
+        self.most = most
+        self.words: dict[bytes, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+
+    def part(self, part: str) -> bytes:
+        if (got := self.parts.get(part)) is None:
+            if len(self.parts) >= self.most:
+                self.parts.clear()
+            chars = part if part.isascii() else part.encode().decode("latin-1").translate(BYTE_CHARS)
+            ids = [t.id for t in self.model.tokenize(chars)]
+            got = self.parts[part] = struct.pack(f"<{len(ids)}I", *ids)
+        return got
+
+    def word(self, word: bytes) -> bytes:
+        text = word.decode()
+        if LATIN.fullmatch(text) and "<|" not in text:
+            lower = text.lower()
+            got = self.part(lower) if lower.isalpha() else b"".join(map(self.part, PARTS.findall(lower)))
+        else:
+            got = self.whole(text)
+        if len(self.words) >= self.most:
+            self.words.clear()
+        self.words[word] = got
+        return got
+
+    def whole(self, text: str) -> bytes:
+        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def ids(self, text: str | None) -> bytes:
-        words = text.encode().split() if text else []
-        known = self.known
-        new = [w for w in dict.fromkeys(words) if w not in known]
-        if new:
-            if len(known) + len(new) > self.most:
-                known.clear()
-                new = list(dict.fromkeys(words))
-            for w, e in zip(new, self.encode([w.decode() for w in new], add_special_tokens=False)):
-                known[w] = struct.pack(f"<{len(e.ids)}I", *e.ids)
-        return b"".join(map(known.__getitem__, words))
+        if not text:
+            return b""
+        if not self.by_word:
+            return self.whole(text)
+        known, word = self.words.get, self.word
+        return b"".join([known(w) or word(w) for w in text.encode().split()])
+
+
+@cache
+def encoder(path: str) -> Encoder:
+    """One per Python worker, kept over its tasks."""
+    return Encoder(path)
 
 
 def pieces(docs: DataFrame, keep: list[str], path: str, max_tokens: int = 4096, end_id: int = 1,
            with_ids: bool = False) -> DataFrame:
     """``row``, piece, start, length, ids_crc32 (and the ids, if asked for) of every piece."""
     def start():
-        encoder, end = Encoder(path), struct.pack("<I", end_id)
+        ids_of, end = encoder(path).ids, struct.pack("<I", end_id)
 
         def fn(texts):
             out = []
             for text in texts:
-                ids = encoder.ids(text) + end
+                ids = ids_of(text) + end
                 row = []
                 for i, at in enumerate(range(0, len(ids), 4 * max_tokens)):
                     part = ids[at:at + 4 * max_tokens]
