@@ -5,7 +5,7 @@ Every query reads its whole table and returns its full result.
 
 from __future__ import annotations
 
-from quarry.llm import decontaminate, linededup, packing, quality, sharding, simhash
+from quarry.llm import decontaminate, htmlcrf, langid, linededup, packing, quality, secrets, sharding, simhash, toxicity
 from quarry.llm.common import table
 
 QUERIES: dict = {}
@@ -27,6 +27,16 @@ def op2_simhash(spark, sf_dir):
     return simhash.report(table(spark, sf_dir, "documents"))
 
 
+@query
+def op3_language_id(spark, sf_dir):
+    return langid.report(table(spark, sf_dir, "documents"))
+
+
+@query
+def op4_html_crf(spark, sf_dir):
+    return htmlcrf.report(table(spark, sf_dir, "pages"))
+
+
 @query
 def op5_line_dedup(spark, sf_dir):
     return linededup.report(table(spark, sf_dir, "documents"))
@@ -47,6 +57,16 @@ def op8_quality_cascade(spark, sf_dir):
     return quality.report(table(spark, sf_dir, "documents"))
 
 
+@query
+def op9_toxicity(spark, sf_dir):
+    return toxicity.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op10_secrets(spark, sf_dir):
+    return secrets.report(table(spark, sf_dir, "documents"))
+
+
 ORACLE["op1_decontaminate"] = r"""
 WITH docs AS (SELECT doc_id, row_number() OVER () AS rid,
                      regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),

@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+import os
+import tempfile
+import zipfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
@@ -36,6 +41,28 @@ def col(df: DataFrame, name: str) -> Column:
     return df["`" + name.replace("`", "``") + "`"]
 
 
+def ship(spark: SparkSession) -> None:
+    """Makes this package importable in the Python workers (``addPyFile``, once per context), so that
+    jobs don't depend on the folder they are started in."""
+    sc = spark.sparkContext
+    package = Path(__file__).parents[1]
+    if getattr(sc, "_quarry_shipped", False) or not package.is_dir():
+        return
+    files = sorted(package.rglob("*.py"))
+    mark = hashlib.sha256(b"".join(f.read_bytes() for f in files)).hexdigest()[:12]
+    path = os.path.join(tempfile.mkdtemp(prefix="quarry-ship-"), f"quarry-{mark}.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for f in files:
+            z.write(f, f.relative_to(package.parent))
+    sc.addPyFile(path)
+    sc._quarry_shipped = True
+
+
+def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    ship(df.sparkSession)
+    return df.mapInArrow(run, schema)
+
+
 def attach(docs: DataFrame, keep: list[str], reads: list[str], fields: str | T.StructType,
            start: Callable[[], Callable[..., dict[str, list]]]) -> DataFrame:
     """One output row per input row: ``row`` (a struct of the ``keep`` columns, untouched, so
@@ -61,14 +88,24 @@ def attach(docs: DataFrame, keep: list[str], reads: list[str], fields: str | T.S
                 [row.cast(arrow.field(0).type), *[pa.array(out[f.name], type=f.type) for f in list(arrow)[1:]]],
                 schema=arrow)
 
-    return spread(nested).mapInArrow(run, schema)
+    return map_batches(spread(nested), run, schema)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read back: cuts the lineage, survives lost executors."""
     path = shared_dir(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes a table made by ``written`` that nothing reads any more (an earlier round of a loop)."""
+    jvm, path = df.sparkSession._jvm, getattr(df, "_scratch", None)
+    if path:
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def text_key(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> list[Column]:

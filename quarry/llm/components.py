@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from quarry.llm.common import written
+from quarry.llm.common import discard, written
 
 
 def _large(e: DataFrame) -> DataFrame:
@@ -35,7 +35,8 @@ def components(edges: DataFrame) -> DataFrame:
     e = written(e, "edges")
     before = _state(e)
     while before[0]:
-        e = written(_small(_large(e)), "edges")
+        old, e = e, written(_small(_large(e)), "edges")
+        discard(old)
         now = _state(e)
         if now == before:
             break

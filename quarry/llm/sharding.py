@@ -22,7 +22,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from quarry.llm.common import col, written
+from quarry.llm.common import col, discard, written
 
 PER_GROUP = 4096
 BUCKETS = 1024
@@ -60,8 +60,11 @@ def propagate(nodes: DataFrame, shards: int, quota: int, rounds: int = 12) -> Da
                    .where(F.col("upto") <= _pick(free, F.col("to"))).select("to", "bucket"))
         moves = asked.join(granted, ["to", "bucket"]).select(*key, "to")
         if moves.isEmpty():
+            discard(asked)
             break
-        state = written(state.join(moves, key, "left").withColumn("label", F.coalesce("to", "label")).drop("to"), "labels")
+        old, state = state, written(state.join(moves, key, "left").withColumn("label", F.coalesce("to", "label")).drop("to"), "labels")
+        discard(old)
+        discard(asked)
     return state
 
 

@@ -32,7 +32,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from quarry.llm.common import attach, col, written
+from quarry.llm.common import attach, col, map_batches, written
 from quarry.llm.components import components
 
 #: counts of a byte's bits, bit by bit
@@ -126,7 +126,7 @@ def _forests(dealt: DataFrame, max_bits: int) -> DataFrame:
             found = [e for g in batch.column(0).to_pylist() for e in forest(g, max_bits)]
             yield pa.RecordBatch.from_pydict({"a": pa.array([a for a, _ in found], pa.int64()),
                                               "b": pa.array([b for _, b in found], pa.int64())})
-    return dealt.mapInArrow(run, "a long, b long")
+    return map_batches(dealt, run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 4, max_bits: int = 4, segments: int = 2) -> DataFrame:
