@@ -30,7 +30,7 @@ from itertools import accumulate, combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from quarry.llm.common import attach, col, map_batches, written
 from quarry.llm.components import components
@@ -104,20 +104,18 @@ def forest(values: list[int], max_bits: int) -> list[tuple[int, int]]:
 
 
 def links(fps: DataFrame, max_bits: int = 4, segments: int = 2, block: int = 2048) -> DataFrame:
-    """a, b: edges between distinct fingerprints that span all links of at most ``max_bits``."""
-    filed = entries(fps, max_bits, segments)
-    met = written(filed.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b"))
-                  .where("n > 1"), "simhash-met")
-    two = met.where("n = 2").where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits).select("a", "b")
-    more = met.where("n > 2").select("key", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
-    own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
-    dealt = (filed.join(more, "key").withColumn("own", own)
-             .select("key", "fp", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    """a, b: edges between distinct fingerprints that span all links of at most ``max_bits``.
+
+    Entries are shuffled once, by value; only those whose value others share are kept, and written.
+    """
+    shared = Window.partitionBy("key")
+    met = written(entries(fps, max_bits, segments).withColumn("n", F.count(F.lit(1)).over(shared)).where("n > 1"), "simhash-met")
+    blocks = F.ceil(F.col("n") / block).cast("int")
+    dealt = (met.withColumn("own", F.pmod(F.xxhash64("fp"), blocks).cast("int"))
+             .select("key", "fp", "own", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
              .groupBy("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
-             .agg(F.collect_list("fp").alias("fps")).select("fps"))
-
-    linked = _forests(dealt, max_bits)
-    return two.unionByName(linked).distinct()
+             .agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1).select("fps"))
+    return _forests(dealt, max_bits).distinct()
 
 
 def _forests(dealt: DataFrame, max_bits: int) -> DataFrame:
