@@ -57,52 +57,82 @@ class Encoder:
     """Token ids of texts as bytes (little-endian unsigned 32-bit).
 
     The tokenizer drops white space and joins nothing across it, so a text's ids are its
-    words' ids, and a word's are those of its runs of letters, digits and other signs.
-    Words and runs met before come from tables that are emptied at ``most`` entries.
+    words' ids, and a word's are those of its runs of letters, digits and other signs.  Runs not
+    met before go through the tokenizer's merges many at a time; each ends in a token marked as a
+    word's last, which tells them apart again.  Words and runs met before come from tables
+    that are emptied at ``most`` entries.
     """
 
     def __init__(self, path: str, most: int = 400_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
         self.tokenizer = Tokenizer.from_file(path)
-        self.model = self.tokenizer.model
         self.by_word = (str(self.tokenizer.normalizer), str(self.tokenizer.pre_tokenizer)) == (NORMALIZER, SPLITTER)
+        self.merges = Tokenizer(self.tokenizer.model)
+        self.merges.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.last = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.most = most
         self.words: dict[bytes, bytes] = {}
         self.parts: dict[str, bytes] = {}
 
-    def part(self, part: str) -> bytes:
-        if (got := self.parts.get(part)) is None:
-            if len(self.parts) >= self.most:
-                self.parts.clear()
-            chars = part if part.isascii() else part.encode().decode("latin-1").translate(BYTE_CHARS)
-            ids = [t.id for t in self.model.tokenize(chars)]
-            got = self.parts[part] = struct.pack(f"<{len(ids)}I", *ids)
-        return got
-
-    def word(self, word: bytes) -> bytes:
-        text = word.decode()
-        if LATIN.fullmatch(text) and "<|" not in text:
-            lower = text.lower()
-            got = self.part(lower) if lower.isalpha() else b"".join(map(self.part, PARTS.findall(lower)))
-        else:
-            got = self.whole(text)
-        if len(self.words) >= self.most:
-            self.words.clear()
-        self.words[word] = got
-        return got
+    def learn_parts(self, parts: list[str], at_once: int = 500) -> None:
+        """Ids of runs not met before."""
+        lots = [parts[i:i + at_once] for i in range(0, len(parts), at_once)]
+        texts = [" ".join([p if p.isascii() else p.encode().decode("latin-1").translate(BYTE_CHARS) for p in lot]) for lot in lots]
+        for lot, e in zip(lots, self.merges.encode_batch_fast(texts, add_special_tokens=False)):
+            ids = np.array(e.ids, "<u4")
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) != len(lot) or ends[-1] != len(ids):
+                raise ValueError("the vocabulary does not mark the last token of a word")
+            raw, at = ids.tobytes(), 0
+            for p, end in zip(lot, (4 * ends).tolist()):
+                self.parts[p] = raw[at:end]
+                at = end
+
+    def learn_words(self, words: set[bytes]) -> None:
+        if len(self.parts) > self.most:
+            self.parts.clear()
+        split: dict[bytes, list[str]] = {}
+        for w in words:
+            text = w.decode()
+            if LATIN.fullmatch(text) and "<|" not in text:
+                lower = text.lower()
+                split[w] = [lower] if lower.isalpha() else PARTS.findall(lower)
+            else:
+                self.words[w] = self.whole(text)
+        known = self.parts
+        self.learn_parts(list({p for ps in split.values() for p in ps if p not in known}))
+        for w, ps in split.items():
+            self.words[w] = known[ps[0]] if len(ps) == 1 else b"".join([known[p] for p in ps])
 
     def whole(self, text: str) -> bytes:
         ids = self.tokenizer.encode(text, add_special_tokens=False).ids
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def ids(self, text: str | None) -> bytes:
-        if not text:
-            return b""
+        return self.many([text])[0]
+
+    def many(self, texts: list[str | None], lot: int = 1 << 22) -> list[bytes]:
+        """Ids of texts; words are looked up for about ``lot`` characters of text at a time."""
         if not self.by_word:
-            return self.whole(text)
-        known, word = self.words.get, self.word
-        return b"".join([known(w) or word(w) for w in text.encode().split()])
+            return [self.whole(t) if t else b"" for t in texts]
+        out, part, size = [], [], 0
+        for i, t in enumerate(texts):
+            part.append(t.encode().split() if t else [])
+            size += len(t or "")
+            if size >= lot or i == len(texts) - 1:
+                new = set().union(*part).difference(self.words)
+                if new:
+                    if len(self.words) + len(new) > self.most:
+                        self.words.clear()
+                        new = set().union(*part)
+                    self.learn_words(new)
+                known = self.words
+                out += [b"".join([known[w] for w in ws]) for ws in part]
+                part, size = [], 0
+        return out
 
 
 @cache
@@ -115,12 +145,12 @@ def pieces(docs: DataFrame, keep: list[str], path: str, max_tokens: int = 4096,
            with_ids: bool = False) -> DataFrame:
     """``row``, piece, start, length, ids_crc32 (and the ids, if asked for) of every piece."""
     def start():
-        ids_of, end = encoder(path).ids, struct.pack("<I", end_id)
+        ids_of, end = encoder(path).many, struct.pack("<I", end_id)
 
         def fn(texts):
             out = []
-            for text in texts:
-                ids = ids_of(text) + end
+            for ids in ids_of(texts):
+                ids += end
                 row = []
                 for i, at in enumerate(range(0, len(ids), 4 * max_tokens)):
                     part = ids[at:at + 4 * max_tokens]

@@ -174,8 +174,30 @@ def test_packing_round_trip(spark):
             assert offset == at
             at += length
         assert at <= 4096
-    total = sum(x.length for x in got)
-    assert len(bins) <= -(-total // 4096) + 2
+    assert len(bins) <= first_fit_decreasing([x.length for x in got], 4096)
+
+
+def first_fit_decreasing(lengths, most):
+    left = []
+    for n in sorted(lengths, reverse=True):
+        k = next((i for i, r in enumerate(left) if r >= n), None)
+        if k is None:
+            left.append(most - n)
+        else:
+            left[k] -= n
+    return len(left)
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_plan_needs_no_more_bins_than_first_fit_decreasing(seed):
+    r = random.Random(seed)
+    lengths = [min(4096, int(r.lognormvariate(5 + seed / 2, 1.2)) + 1) for _ in range(3000)]
+    counts = {n: lengths.count(n) for n in set(lengths)}
+    rows = packing.plan(counts)
+    last = max(range(len(rows)), key=lambda i: rows[i][3])
+    bins = max(int(s) + -(-(counts[int(n)] - int(f)) // int(u)) if not any(x[0] == n and x[1] > f for x in rows) else int(s) + 1
+               for n, f, u, s, _ in rows.tolist()) if last >= 0 else 0
+    assert -(-sum(lengths) // 4096) <= bins <= first_fit_decreasing(lengths, 4096)
 
 
 @pytest.mark.parametrize("score", ["dot", "norm"])
