@@ -6,25 +6,30 @@ The semantics follow a lenient HTML parser's ``get_text``:
   node, drops empty ones and joins the rest (with '' or a separator);
 * an unclosed ``<p>`` ends at the next ``<p>``, at ``</p>`` or at a block-level
   tag (start or end), as HTML's implied end tags do;
-* entities are decoded per text node, numeric ones first and ``&amp;`` last,
-  so ``&amp;lt;`` stays ``&lt;``.
+* character references are decoded per text node in one pass, so ``&amp;lt;``
+  stays ``&lt;``;
+* an element of another name that begins alike (``<article-teaser>``) is another element.
 
 No Python runs per row; everything below is regex / array expressions.
 """
 
 from __future__ import annotations
 
+from html.entities import html5
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from quarry.functions.text import strip_ws
 
 # ---- fixed values ----
-# named entities decoded in text nodes (``&amp;`` is applied last)
-ENTITIES = {"&quot;": '"', "&apos;": "'", "&#39;": "'", "&lt;": "<", "&gt;": ">", "&nbsp;": " ",
-            "&copy;": "©", "&reg;": "®", "&middot;": "·", "&ndash;": "–",
-            "&mdash;": "—", "&hellip;": "…", "&lsquo;": "‘", "&rsquo;": "’",
-            "&ldquo;": "“", "&rdquo;": "”", "&amp;": "&"}
+# Unicode values that HTML gives the numeric references 128-159 (code page 1252), in order
+CP1252 = ("\u20ac\x81\u201a\u0192\u201e\u2026\u2020\u2021\u02c6\u2030\u0160\u2039\u0152\x8d\u017d\x8f"
+          "\x90\u2018\u2019\u201c\u201d\u2022\u2013\u2014\u02dc\u2122\u0161\u203a\u0153\x9d\u017e\u0178")
+# names and values of the named references: HTML's own table, as the standard library holds it
+NAMED = html5
+# names that HTML also reads without a semicolon, longest first
+BARE = sorted((n for n in html5 if not n.endswith(";")), key=lambda n: (-len(n), n))
 # tags whose start or end closes an open paragraph
 BLOCK_TAGS = ["address", "article", "aside", "blockquote", "details", "div", "dl", "fieldset", "figcaption",
               "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "menu",
@@ -37,7 +42,7 @@ REMOVED = "<>"
 _RAW = [r"(?is)<script\b[^>]*>.*?</script\s*>", r"(?is)<style\b[^>]*>.*?</style\s*>"]
 _TAG = r"<[^>]*>"
 _P_OPEN = r"(?i)<p(?:\s[^>]*)?>"
-_P_END = r"(?is)</p\s*>.*|<(?:/?(?:" + "|".join(BLOCK_TAGS) + r"))\b.*"
+_P_END = r"(?is)</p\s*>.*|<(?:/?(?:" + "|".join(BLOCK_TAGS) + r"))(?=[\s/>]).*"
 
 
 def _c(c) -> Column:
@@ -52,28 +57,40 @@ def clean(html) -> Column:
     return out
 
 
-def _codepoint(num: Column) -> Column:
-    """The character for a Unicode code point (via UTF-32 bytes)."""
-    return F.decode(F.unhex(F.lpad(F.hex(num), 8, "0")), "UTF-32")
+def _character(num: Column) -> Column:
+    """The character of a numeric reference, by HTML's rules: code page 1252 for 128-159, U+FFFD for
+    zero, surrogates and numbers beyond Unicode."""
+    c1 = F.substr(F.lit(CP1252), (num - 127).cast("int"), F.lit(1))
+    utf32 = F.decode(F.unhex(F.lpad(F.hex(F.when((num > 159) | (num < 128), num).otherwise(63)), 8, "0")), "UTF-32")
+    bad = (num == 0) | ((num >= 0xD800) & (num <= 0xDFFF)) | (num > 0x10FFFF)
+    return F.when(bad, F.lit("\ufffd")).when((num >= 128) & (num <= 159), c1).otherwise(utf32)
 
 
 def unescape(text) -> Column:
-    """Decode numeric (``&#65;``, ``&#x41;``) then named entities."""
-    parts = F.split(_c(text), "(?=&#)")
-    dec = r"^&#([0-9]{1,7});"
-    hexa = r"^&#[xX]([0-9a-fA-F]{1,6});"
-
-    def one(p):
-        d = F.regexp_extract(p, dec, 1)
-        h = F.regexp_extract(p, hexa, 1)
-        return (F.when(d != "", F.concat(_codepoint(d.cast("long")), F.regexp_replace(p, dec, "")))
-                .when(h != "", F.concat(_codepoint(F.conv(h, 16, 10).cast("long")), F.regexp_replace(p, hexa, "")))
+    """Decode character references in one pass, so what a reference yields is never read again."""
+    parts = F.split(_c(text), "(?=&)")
+    # folded to one constant map when the plan is made
+    names = F.str_to_map(F.lit("\x01".join(f"{k}\x02{v}" for k, v in NAMED.items())), F.lit("\x01"), F.lit("\x02"))
+    bare = "^&(" + "|".join(BARE) + ")"
+
+    def number(digits: Column, base: int, most: int) -> Column:
+        # leading zeros don't count; more digits than any code point has are a number beyond Unicode
+        short = F.regexp_replace(digits, "^0+(?=.)", "")
+        value = F.conv(F.when(F.length(short) <= most, short).otherwise(F.lit("7FFFFFFF" if base == 16 else "2147483647")), base, 10)
+        return _character(value.cast("long"))
+
+    def one(p: Column) -> Column:
+        dec = F.regexp_extract(p, "^&#([0-9]+)", 1)
+        hexa = F.regexp_extract(p, "^&#[xX]([0-9a-fA-F]+)", 1)
+        name = F.regexp_extract(p, "^&([A-Za-z][A-Za-z0-9]*;)", 1)
+        short = F.regexp_extract(p, bare, 1)
+        return (F.when(dec != "", F.concat(number(dec, 10, 7), F.regexp_replace(p, "^&#[0-9]+;?", "")))
+                .when(hexa != "", F.concat(number(hexa, 16, 6), F.regexp_replace(p, "^&#[xX][0-9a-fA-F]+;?", "")))
+                .when(F.map_contains_key(names, name), F.concat(F.element_at(names, name), F.regexp_replace(p, "^&[A-Za-z0-9]+;", "")))
+                .when(short != "", F.concat(F.element_at(names, short), F.substr(p, F.length(short) + 2)))
                 .otherwise(p))
 
-    out = F.array_join(F.transform(parts, one), "")
-    for k, v in ENTITIES.items():
-        out = F.replace(out, F.lit(k), F.lit(v))
-    return out
+    return F.array_join(F.transform(parts, lambda p: F.when(p.startswith("&"), one(p)).otherwise(p)), "")
 
 
 def text_nodes(fragment) -> Column:
@@ -89,23 +106,35 @@ def get_text(fragment, separator: str = "") -> Column:
 
 
 def first_element(html, tag: str) -> Column:
-    """Inner HTML of the first ``<tag>...</tag>``; NULL when absent.
+    """Inner HTML of the first ``<tag>``; NULL when absent.
 
-    One regex pass over the page finds the whole element; the tags are then
-    cut from that (short) match.
+    Elements of the same name inside it are counted, so it ends at its own end tag; one that
+    is never closed runs to the end of the page.  The page is cut at the tags of that
+    name only, and the pieces are folded once.
     """
-    whole = F.regexp_extract(_c(html), rf"(?is)<{tag}\b[^>]*>.*?</{tag}\s*>", 0)
-    inner = F.regexp_replace(whole, rf"(?is)^<{tag}\b[^>]*>|</{tag}\s*>$", "")
-    return F.when(whole != "", inner)
+    start, end = rf"(?i)^<{tag}(?=[\s/>])", rf"(?i)^</{tag}(?=[\s/>])"
+    parts = F.split(_c(html), rf"(?i)(?=</?{tag}[\s/>])")
+    state = F.struct(F.lit(0).alias("depth"), F.lit(None).cast("string").alias("out"))  # depth -1: closed
+
+    def step(a: Column, p: Column) -> Column:
+        opens, closes, depth = p.rlike(start), p.rlike(end), a["depth"]
+        first = opens & (depth == 0)
+        return (F.when(depth < 0, a)
+                .when(first, F.struct(F.lit(1).alias("depth"), F.regexp_replace(p, rf"(?is)^<{tag}(?=[\s/>])[^>]*>", "").alias("out")))
+                .when(closes & (depth == 1), F.struct(F.lit(-1).alias("depth"), a["out"].alias("out")))
+                .when(depth > 0, F.struct((depth + F.when(opens, 1).when(closes, -1).otherwise(0)).alias("depth"),
+                                          F.concat(a["out"], p).alias("out")))
+                .otherwise(a))
+    return F.aggregate(parts, state, step, lambda a: a["out"])
 
 
 def all_elements(html, tag: str) -> Column:
     """Inner HTML of every ``<tag>...</tag>`` (non-nested), array<string>."""
-    return F.regexp_extract_all(_c(html), F.lit(rf"(?is)<{tag}\b[^>]*>(.*?)</{tag}\s*>"), 1)
+    return F.regexp_extract_all(_c(html), F.lit(rf"(?is)<{tag}(?=[\s/>])[^>]*>(.*?)</{tag}\s*>"), 1)
 
 
 def remove_elements(html, tag: str) -> Column:
-    return F.regexp_replace(_c(html), rf"(?is)<{tag}\b[^>]*>.*?</{tag}\s*>", " ")
+    return F.regexp_replace(_c(html), rf"(?is)<{tag}(?=[\s/>])[^>]*>.*?</{tag}\s*>", " ")
 
 
 def paragraphs(fragment) -> Column:

@@ -41,6 +41,11 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def quote_regex(term: str) -> str:
+    """A literal term as a Java pattern."""
+    return "\\Q" + term.replace("\\E", "\\E\\\\E\\Q") + "\\E"
+
+
 def words(c) -> Column:
     """All word tokens (Python ``re.findall(r'\\w+', x)``), as array<string>."""
     return F.regexp_extract_all(_col(c), F.lit(WORD_PATTERN), 0)

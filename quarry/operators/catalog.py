@@ -53,50 +53,49 @@ def _first(cols: dict[str, str], candidates) -> str | None:
     return None
 
 
-def _pick(df: DataFrame, cols: dict[str, str], candidates, name: str, dtype: str, keep_missing: bool) -> Column | None:
-    src = _first(cols, candidates)
-    if src is not None:
-        return F.col(f"`{src}`").cast(dtype).alias(name)
-    return F.lit(None).cast(dtype).alias(name) if keep_missing else None
-
-
 # ---------------------------------------------------------------- N1-N3
-def normalise_tokens(df: DataFrame, keep_missing: bool = True) -> DataFrame:
-    """textID, wordID (long) and the optional occurrence id ``id`` -> occID."""
+def _normalise(df: DataFrame, renames: dict[str, list[str]], types: dict[str, str], keep_missing: bool, lenient: bool) -> DataFrame:
     cols = _lower_map(df)
-    exprs = [_pick(df, cols, TEXTID_NAMES, "textID", "bigint", keep_missing),
-             _pick(df, cols, WORDID_NAMES, "wordID", "bigint", keep_missing),
-             _pick(df, cols, ["id"], "occID", "bigint", keep_missing)]
-    return df.select([e for e in exprs if e is not None])
+    out = []
+    for name, dtype in types.items():
+        src = _first(cols, renames[name])
+        if src is not None:
+            c = F.col(f"`{src}`")
+            out.append((c.try_cast(dtype) if lenient else c.cast(dtype)).alias(name))
+        elif keep_missing:
+            out.append(F.lit(None).cast(dtype).alias(name))
+    return df.select(out)
 
 
-def normalise_words(df: DataFrame, keep_missing: bool = True) -> DataFrame:
-    """wordID long; word from word/token/form; lemma; pos from pos/upos/xpos/tag."""
-    cols = _lower_map(df)
-    exprs = [_pick(df, cols, WORDID_NAMES, "wordID", "bigint", keep_missing),
-             _pick(df, cols, ["word", "token", "form"], "word", "string", keep_missing),
-             _pick(df, cols, ["lemma"], "lemma", "string", keep_missing),
-             _pick(df, cols, ["pos", "upos", "xpos", "tag"], "pos", "string", keep_missing)]
-    return df.select([e for e in exprs if e is not None])
+def normalise_tokens(df: DataFrame, keep_missing: bool = True, lenient: bool = False) -> DataFrame:
+    """textID, wordID (long) and the optional occurrence id ``id`` -> occID.
+
+    ``lenient`` casts with ``try_cast`` (a bad value becomes NULL); by default a bad value raises.
+    """
+    return _normalise(df, TOKEN_RENAMES | {"occID": ["id"]}, {"textID": "bigint", "wordID": "bigint", "occID": "bigint"}, keep_missing, lenient)
+
 
+def normalise_words(df: DataFrame, keep_missing: bool = True, lenient: bool = False) -> DataFrame:
+    """wordID long; word, lemma and pos strings."""
+    return _normalise(df, WORD_RENAMES, {"wordID": "bigint", "word": "string", "lemma": "string", "pos": "string"}, keep_missing, lenient)
 
-def normalise_tagged(df: DataFrame) -> DataFrame:
+
+def normalise_tagged(df: DataFrame, keep_missing: bool = True, lenient: bool = False) -> DataFrame:
     """Tagged layout (per-token rows keyed by textID, no wordID)."""
+    return _normalise(df, WORD_RENAMES | {"textID": TEXTID_NAMES}, {"textID": "bigint", "word": "string", "lemma": "string", "pos": "string"},
+                      keep_missing, lenient)
+
+
+def normalise_lexicon(df: DataFrame) -> DataFrame:
+    """A words shard by its own columns: the lexicon layout if it has a wordID, else the tagged one; absent columns stay absent."""
     cols = _lower_map(df)
-    return df.select(_pick(df, cols, TEXTID_NAMES, "textID", "bigint", True),
-                     _pick(df, cols, ["word", "token", "form"], "word", "string", True),
-                     _pick(df, cols, ["lemma"], "lemma", "string", True),
-                     _pick(df, cols, ["pos", "upos", "xpos", "tag"], "pos", "string", True))
+    tagged = _first(cols, WORDID_NAMES) is None and _first(cols, TEXTID_NAMES) is not None
+    return (normalise_tagged if tagged else normalise_words)(df, keep_missing=False)
 
 
-def normalise_texts(df: DataFrame, keep_missing: bool = True) -> DataFrame:
+def normalise_texts(df: DataFrame, keep_missing: bool = True, lenient: bool = False) -> DataFrame:
     """textID long, year int (year or date_year), decade int, genre string (genre or section)."""
-    cols = _lower_map(df)
-    exprs = [_pick(df, cols, TEXTID_NAMES, "textID", "bigint", keep_missing),
-             _pick(df, cols, ["year", "date_year"], "year", "int", keep_missing),
-             _pick(df, cols, ["decade"], "decade", "int", keep_missing),
-             _pick(df, cols, ["genre", "section"], "genre", "string", keep_missing)]
-    return df.select([e for e in exprs if e is not None])
+    return _normalise(df, TEXT_RENAMES, {"textID": "bigint", "year": "int", "decade": "int", "genre": "string"}, keep_missing, lenient)
 
 
 # ---------------------------------------------------------------- N4
@@ -116,29 +115,37 @@ def rename_candidates(df: DataFrame, mapping: dict[str, list[str]]) -> DataFrame
 
 
 # ---------------------------------------------------------------- N6
-_NUMERIC_RANK = {"tinyint": 1, "smallint": 2, "int": 3, "bigint": 4, "float": 5, "double": 6}
+_INTEGER_DIGITS = {"tinyint": 3, "smallint": 5, "int": 10, "bigint": 19}
 
 
 def _widen(types: list[str]) -> str:
-    types = [t for t in types if t != "void"]
-    if not types:
+    """The type that holds every value of the given types, else string.
+
+    Integers widen to the larger one; integers with decimals to a decimal of enough digits; a
+    float or double with anything numeric to double (float alone stays).
+    """
+    types = sorted({t for t in types if t != "void"})
+    if len(types) <= 1:
+        return types[0] if types else "string"
+    decimals = [tuple(map(int, t[8:-1].split(","))) for t in types if t.startswith("decimal(")]
+    integers = [t for t in types if t in _INTEGER_DIGITS]
+    floats = [t for t in types if t in ("float", "double")]
+    if len(decimals) + len(integers) + len(floats) < len(types):
         return "string"
-    if all(t in _NUMERIC_RANK for t in types):
-        best = max(types, key=_NUMERIC_RANK.__getitem__)
-        # long + float loses precision in float; go to double like Polars/Spark
-        if best == "float" and "bigint" in types:
-            return "double"
-        return best
-    if len(set(types)) == 1:
-        return types[0]
-    return "string"
+    if floats:
+        return "double"
+    if decimals:
+        scale = max(s for _, s in decimals)
+        whole = max([p - s for p, s in decimals] + [_INTEGER_DIGITS[t] for t in integers])
+        return f"decimal({whole + scale},{scale})" if whole + scale <= 38 else "string"
+    return max(integers, key=_INTEGER_DIGITS.__getitem__)
 
 
 def union_relaxed(frames: list[DataFrame]) -> DataFrame:
     """Vertical union by name with type widening (cast first, then union).
 
     Columns missing from a frame become NULL.  Mixed numeric types widen to
-    the larger numeric type; anything else mixed becomes string.  Casting
+    one that holds all their values; anything else mixed becomes string.  Casting
     before the union avoids Spark's ANSI int/string union coercion.
     """
     frames = [f for f in frames if f is not None]
@@ -184,17 +191,18 @@ def shard_roles(catalog: DataFrame, cols_col: str = "columns") -> DataFrame:
 
 
 def shard_labels(catalog: DataFrame, cols_col: str = "columns", path_col: str = "path",
-                 limit: int = 200) -> DataFrame:
-    """C4: non-exclusive labels on the first ``limit`` shards by path."""
+                 limit: int | None = None) -> DataFrame:
+    """C4: non-exclusive labels of all shards, or of the first ``limit`` by path."""
     low = F.transform(F.col(cols_col), lambda c: F.lower(c))
-    return (catalog.orderBy(path_col).limit(limit)
-            .withColumns({"full_text": _has_any(low, FULLTEXT_NAMES),
+    shown = catalog if limit is None else catalog.orderBy(path_col).limit(limit)
+    return (shown.withColumns({"full_text": _has_any(low, FULLTEXT_NAMES),
                           "words": _has_any(low, WORDS_LABEL_NAMES),
                           "metadata": _has_any(low, METADATA_NAMES)}))
 
 
 # ---------------------------------------------------------------- C5/C6
 ROLE_TIERS = ["classified", "forced_words_folder", "parquet", "csv"]
+FORCED_WORDS_FOLDER = "Word_lemma_PoS"
 
 
 def resolve_role(spark: SparkSession, catalog: DataFrame, role: str, normalise=None, reader=None) -> DataFrame | None:
@@ -203,71 +211,88 @@ def resolve_role(spark: SparkSession, catalog: DataFrame, role: str, normalise=N
     ``catalog`` has columns (path, format, columns, tier, role).  The first
     tier that has shards wins (classified, then the forced ``Word_lemma_PoS``
     folder, then project-wide Parquet, then CSV).  Shards are read once per
-    schema group (format + column list) with the list of their paths - never
-    one DataFrame per file - normalised, then unioned with widening.  Only
-    the shard list (one row per file, not data) reaches the driver.
+    schema (format + column list), normalised, then unioned with widening.
+    What reaches the driver is a row per (folder, schema): a folder whose shards of that
+    format all have the role and the schema is read as a folder; file paths are
+    listed only for the shards of mixed folders.
     """
-    rows = (catalog.filter(F.col("role") == role)
-            .select("path", "format", "columns", "tier").collect())
-    if not rows:
+    rank = F.element_at(F.create_map(*[x for i, t in enumerate(ROLE_TIERS) for x in (F.lit(t), F.lit(i))]), F.col("tier"))
+    mine = catalog.filter(F.col("role") == role).withColumn("rank", rank)
+    best = mine.agg(F.min("rank")).first()[0]
+    if best is None:
         return None
-    rank = {t: i for i, t in enumerate(ROLE_TIERS)}
-    best = min(rank.get(r["tier"], 99) for r in rows)
-    groups: dict[tuple, list[str]] = {}
+    folder = F.regexp_extract("path", r"^(.*)/[^/]*$", 1)
+    mine = mine.filter(F.col("rank") == best).withColumn("folder", folder)
+    every = (catalog.select("path", "format", "columns").distinct().withColumn("folder", folder)
+             .groupBy("folder", "format").agg(F.count(F.lit(1)).alias("all_files")))
+    own = mine.groupBy("folder", "format", "columns").agg(F.count_distinct("path").alias("files"))
+    rows = own.join(every, ["folder", "format"]).collect()
+    groups: dict[tuple, tuple[list[str], list[str]]] = {}
     for r in rows:
-        if rank.get(r["tier"], 99) == best:
-            groups.setdefault((r["format"], tuple(r["columns"])), []).append(r["path"])
-    frames = []
-    for (fmt, _cols), paths in sorted(groups.items()):
-        paths = sorted(paths)
-        if reader is not None:
-            df = reader(paths, fmt)
-        elif fmt == "csv":
-            df = spark.read.csv(paths, header=True, multiLine=True, escape='"')
+        whole, single = groups.setdefault((r["format"], tuple(r["columns"])), ([], []))
+        if r["files"] == r["all_files"]:
+            whole.append(r["folder"])
         else:
-            df = spark.read.parquet(*paths)
-        frames.append(normalise(df) if normalise is not None else df)
+            part = mine.filter((F.col("folder") == r["folder"]) & (F.col("format") == r["format"])
+                               & (F.col("columns") == F.array(*[F.lit(c) for c in r["columns"]])))
+            single += [x["path"] for x in part.select("path").distinct().toLocalIterator()]
+    frames = []
+    for (fmt, _cols), (whole, single) in sorted(groups.items()):
+        for paths in (sorted(whole), sorted(single)):
+            if paths:
+                df = reader(paths, fmt) if reader is not None else _read_shards(spark, paths, fmt, paths[0] in whole)
+                frames.append(normalise(df) if normalise is not None else df)
     return union_relaxed(frames)
 
 
-FORCED_WORDS_FOLDER = "Word_lemma_PoS"
+def _read_shards(spark: SparkSession, paths: list[str], fmt: str, folders: bool) -> DataFrame:
+    from quarry.sources.files import read_csv_split
+    if fmt == "csv":
+        return read_csv_split(spark, [f"{p}/*.csv" for p in paths] if folders else paths)
+    reader = spark.read.option("pathGlobFilter", "*.parquet") if folders else spark.read
+    return reader.parquet(*paths)
 
 
 def discovery_catalog(spark: SparkSession, base: str, corpus_folder: str = "Corpus") -> DataFrame:
     """Every shard under ``base`` with its role and discovery tier.
 
     Tiers: ``classified`` (shards under ``base/Corpus``), ``forced_words_folder``
-    (any shard under ``Corpus/Word_lemma_PoS`` counts as lexicon),
-    ``parquet`` / ``csv`` (project-wide fallback, words and texts only).  The
-    listing and footer reads run in Spark tasks; the result is one row per file.
+    (any Parquet shard under ``Corpus/Word_lemma_PoS`` counts as lexicon),
+    ``parquet`` / ``csv`` (project-wide fallback, words and texts only).  The tree is listed
+    and probed once, the result (a row per shard) written to the shared folder; a tier whose
+    folder is absent simply has no shards.
     """
+    from quarry.session import shared_dir
     from quarry.sources.files import shard_catalog
-    root = base.rstrip("/")
-    corpus = f"{root}/{corpus_folder}"
-    classified = shard_roles(shard_catalog(spark, corpus)).withColumn("tier", F.lit("classified"))
-    forced = (shard_catalog(spark, f"{corpus}/{FORCED_WORDS_FOLDER}", patterns=("*.parquet",))
-              .withColumn("role", F.lit("words")).withColumn("tier", F.lit("forced_words_folder")))
-    wide = shard_roles(shard_catalog(spark, root)).filter(F.col("role").isin("words", "texts"))
-    wide = wide.withColumn("tier", F.col("format"))
-    cols = ["path", "format", "columns", "error", "role", "tier"]
-    out = classified.select(cols).unionByName(forced.select(cols)).unionByName(wide.select(cols))
-    return out.filter(F.col("error").isNull() & F.col("role").isNotNull())
+    path = shared_dir(spark, "shards")
+    top = spark._jvm.org.apache.hadoop.fs.Path(base.rstrip("/"))
+    root = top.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(top).toString()
+    shard_roles(shard_catalog(spark, base.rstrip("/"))).filter(F.col("error").isNull()).write.parquet(path)
+    shards = spark.read.parquet(path)
+    corpus = F.col("path").startswith(f"{root}/{corpus_folder}/")
+    forced = F.col("path").startswith(f"{root}/{corpus_folder}/{FORCED_WORDS_FOLDER}/") & (F.col("format") == "parquet")
+    wide = F.col("role").isin("words", "texts")
+    tiers = F.array_compact(F.array(
+        F.when(corpus, F.struct(F.lit("classified").alias("tier"), F.col("role").alias("role"))),
+        F.when(forced, F.struct(F.lit("forced_words_folder").alias("tier"), F.lit("words").alias("role"))),
+        F.when(wide, F.struct(F.col("format").alias("tier"), F.col("role").alias("role"))),
+        F.struct(F.lit("unused").alias("tier"), F.lit(None).cast("string").alias("role"))))
+    return (shards.select("path", "format", "columns", F.explode(tiers).alias("t"))
+            .select("path", "format", "columns", "t.role", "t.tier"))
 
 
 def load_corpus(spark: SparkSession, base: str, corpus_folder: str = "Corpus"):
     """P1 front end: discover, classify, fall back, validate and normalise.
 
-    Returns (tokens, words, texts); texts may be None (with a warning).
+    Returns (tokens, words, texts); texts may be None (with a warning).  ``words`` has the columns its
+    shards have: without a wordID it is the tagged layout, keyed by textID.
     """
-    from pyspark.errors import AnalysisException
-    try:
-        cat = discovery_catalog(spark, base, corpus_folder)
-    except AnalysisException:
-        cat = None
-    if cat is None:
+    from quarry.sources.files import path_exists
+    if not path_exists(spark, base):
         require_inputs(None, None, None)
-    tokens = resolve_role(spark, cat.filter(F.col("tier") == "classified"), "tokens", normalise_tokens)
-    words = resolve_role(spark, cat, "words", normalise_words)
+    cat = discovery_catalog(spark, base, corpus_folder)
+    tokens = resolve_role(spark, cat.filter(F.col("tier").isin("classified", "unused")), "tokens", normalise_tokens)
+    words = resolve_role(spark, cat, "words", normalise_lexicon)
     texts = resolve_role(spark, cat, "texts", normalise_texts)
     require_inputs(tokens, words, texts)
     return tokens, words, texts
@@ -275,9 +300,8 @@ def load_corpus(spark: SparkSession, base: str, corpus_folder: str = "Corpus"):
 
 def require_inputs(tokens, words, texts):
     """Tokens and words are required; texts only warn."""
-    if tokens is None:
-        raise ValueError("no token shards found")
-    if words is None:
-        raise ValueError("no words/lexicon shards found (Parquet or CSV)")
+    missing = [name for name, df in (("token occurrences", tokens), ("a lexicon", words)) if df is None]
+    if missing:
+        raise ValueError(f"the corpus folder holds no shard with {' or '.join(missing)}")
     if texts is None:
-        warnings.warn("no text metadata shards found; proceeding without year/genre")
+        warnings.warn("the corpus has no text metadata: years and genres stay unknown")

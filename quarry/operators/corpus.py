@@ -31,6 +31,22 @@ WORD_COLS = ("word", "lemma", "pos")
 TEXT_COLS = ("year", "decade", "genre")
 
 
+def split_hot_keys(big: DataFrame, small: DataFrame, key: str, hot_rows: int = 1_000_000, parts: int = 32) -> DataFrame:
+    """``big LEFT JOIN small USING (key)`` with hot keys, and only those, dealt to ``parts`` tasks.
+
+    One aggregation (map-side combined) finds the keys with more than ``hot_rows`` rows in
+    ``big``: at most rows / hot_rows keys, a bound that makes them safe to broadcast.  Rows
+    of a hot key get a hash of the row as salt and the key's rows in ``small`` are repeated once per
+    salt; every other row joins as usual.  Results equal the plain left join.
+    """
+    hot = big.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > hot_rows).select(key, F.lit(True).alias("_hot"))
+    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in big.columns]), F.lit(parts)).cast("int")).otherwise(F.lit(0))
+    b = big.join(F.broadcast(hot), key, "left").withColumn("_salt", salt).drop("_hot")
+    s = (small.join(F.broadcast(hot), key, "left")
+         .withColumn("_salt", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(parts - 1))).otherwise(F.array(F.lit(0))))).drop("_hot"))
+    return b.join(s, [key, "_salt"], "left").drop("_salt")
+
+
 def salted_left_join(big: DataFrame, small: DataFrame, key: str, salt: int = 0,
                      salt_cols: list[str] | None = None) -> DataFrame:
     """``big LEFT JOIN small USING (key)`` that survives a hot key without AQE.
@@ -61,18 +77,18 @@ def texts_for_join(texts: DataFrame) -> DataFrame:
 
 
 def join_corpus(tokens: DataFrame, words: DataFrame, texts: DataFrame | None = None,
-                salt: int = 0) -> DataFrame:
+                hot_rows: int = 1_000_000) -> DataFrame:
     """J1 + J2: the row-level product, textID rendered as string like the reference.
 
     The join runs on the long key (string equality of two long renderings is
-    long equality) and the key is cast to string at the end.  ``salt`` spreads
-    hot wordIDs / textIDs explicitly (see :func:`salted_left_join`).
+    long equality) and the key is cast to string at the end.  wordIDs and
+    textIDs of more than ``hot_rows`` tokens are split (see :func:`split_hot_keys`).
     """
     if "wordID" not in words.columns:
         return join_tagged(words, texts)
-    out = salted_left_join(tokens, words, "wordID", salt)
+    out = split_hot_keys(tokens, words, "wordID", hot_rows)
     if texts is not None:
-        out = salted_left_join(out, texts_for_join(texts), "textID", salt, salt_cols=tokens.columns)
+        out = split_hot_keys(out, texts_for_join(texts), "textID", hot_rows)
     return out.withColumn("textID", F.col("textID").cast("string"))
 
 
@@ -88,9 +104,13 @@ def join_tagged(tagged: DataFrame, texts: DataFrame | None = None) -> DataFrame:
 
 
 def count_by(tokens: DataFrame, words: DataFrame, texts: DataFrame | None, keys: list[str],
-             preaggregate: bool = False, count_col: str = "n", salt: int = 0) -> DataFrame:
+             preaggregate: bool = False, count_col: str = "n", salt: int = 0,
+             matched_texts: bool = False) -> DataFrame:
     """``count(*)`` of the row-level join grouped by ``keys`` (see module doc).
 
+    ``matched_texts`` keeps only tokens that have a metadata row (an inner join), as a slice
+    over a filtered metadata table needs.
+
     ``salt`` spreads a hot textID in the metadata join (the lexicon join runs
     after the reduction, where hot words are already collapsed).
     """
@@ -114,8 +134,9 @@ def count_by(tokens: DataFrame, words: DataFrame, texts: DataFrame | None, keys:
     else:
         tok = tok.withColumn("_n", F.lit(1).cast("bigint"))
     if tkeys:
-        tok = salted_left_join(tok, texts_for_join(texts).select("textID", *tkeys), "textID", salt,
-                               salt_cols=(["_h"] if row_hash else ["textID", "wordID"]) if salted else None)
+        meta = texts_for_join(texts).select("textID", *tkeys)
+        tok = tok.join(meta, "textID") if matched_texts else salted_left_join(
+            tok, meta, "textID", salt, salt_cols=(["_h"] if row_hash else ["textID", "wordID"]) if salted else None)
     reduced = tok.groupBy(*tkeys, "wordID").agg(F.sum("_n").alias("_n"))
     if wkeys:
         lex = words.select("wordID", *wkeys)
@@ -136,24 +157,25 @@ def top_k_per_group(df: DataFrame, group: str, order_col: str, k: int, tie: str,
             .filter(F.col(rank_col) <= k))
 
 
-def top_lemmas(tokens, words, texts, k: int = 50, preaggregate: bool = False) -> DataFrame:
+def top_lemmas(tokens, words, texts, k: int = 50, preaggregate: bool = False, matched_texts: bool = False) -> DataFrame:
     """A3 + W1: the top ``k`` lemmas per year (year, lemma, n, rank)."""
-    counts = count_by(tokens, words, texts, ["year", "lemma"], preaggregate=preaggregate)
+    counts = count_by(tokens, words, texts, ["year", "lemma"], preaggregate=preaggregate, matched_texts=matched_texts)
     return top_k_per_group(counts, "year", "n", k, "lemma")
 
 
 def lemma_trend(tokens, words, texts, lemma: str, n_rows: int = 20) -> DataFrame:
     """A4 + W2: count of one lemma per year, ascending year, first ``n_rows``.
 
-    The lexicon is filtered to the lemma before the join, so only that
-    lemma's wordIDs travel; the filter reaches the lexicon scan.
+    The lexicon is filtered to the lemma before its one join, so only that
+    lemma's wordIDs travel and only their tokens reach the metadata join; the
+    filter reaches the lexicon scan.  A wordID with several rows of the lemma
+    counts once per row, as in the row-level product.
     """
     lex = words.filter(F.col("lemma") == F.lit(lemma))
-    # only tokens of the lemma's wordIDs reach the metadata join
-    tok = tokens.join(lex.select("wordID"), "wordID", "left_semi")
-    counts = count_by(tok, lex, texts, ["year", "lemma"])
-    # inner semantics: tokens whose lexicon row is not the lemma are dropped
-    return (counts.filter(F.col("lemma") == F.lit(lemma)).select("year", "n")
+    rows = lex.select("textID") if "wordID" not in words.columns else \
+        tokens.select("textID", "wordID").join(lex.select("wordID"), "wordID").select("textID")
+    dated = rows.join(texts_for_join(texts).select("textID", "year"), "textID", "left")
+    return (dated.groupBy("year").agg(F.count(F.lit(1)).alias("n"))
             .orderBy(F.col("year").asc_nulls_first()).limit(n_rows))
 
 
@@ -162,7 +184,7 @@ PRODUCTS = {"by_year_word": ["year", "word"], "by_year_lemma_pos": ["year", "lem
 
 
 def corpus_products(tokens, words, texts, k: int = 50, trend_lemma: str | None = None,
-                    materialize_dir: str | None = None) -> dict:
+                    materialize_dir: str | None = None, n_rows: int = 20) -> dict:
     """the products whose columns exist in the joined schema, by name.
 
     A product is planned only when all its columns are present (plan-time
@@ -189,5 +211,5 @@ def corpus_products(tokens, words, texts, k: int = 50, trend_lemma: str | None =
         out["top_lemmas_per_year"] = top_k_per_group(by_lemma, "year", "n", k, "lemma")
         if trend_lemma is not None:
             out["lemma_trend"] = (by_lemma.filter(F.col("lemma") == F.lit(trend_lemma)).select("year", "n")
-                                  .orderBy(F.col("year").asc_nulls_first()).limit(20))
+                                  .orderBy(F.col("year").asc_nulls_first()).limit(n_rows))
     return out

@@ -15,10 +15,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.functions.text import article_filename, first_match, line_value, strip_ws
+from quarry.functions.text import PY_WS, article_filename, first_match, line_value, strip_ws
 
 # ---- fixed values ----
-MARKER = r"Document\s+\d+\s+of\s+\d+"
+MARKER = rf"Document{PY_WS}+\d+{PY_WS}+of{PY_WS}+\d+"
+TITLE_PATTERN = r"(?U)^(.*?)[^\S\n]*:[^\S\n]*\[Op-Ed\]"
+URL_PATTERN = r"(?U)^(https?://\S+)"
+# labels that end a full text only with ``strict_end``, and the rule line that does
+STRICT_END_LABELS = ["URL", "Title"]
+RULE_LINE = "_{10,}"
 LITERAL_DELIMITER = "Document "
 END_LABELS = ["Subject", "Business indexing term", "Location", "Company / organization"]
 # field name -> (label, value must be non-blank); title and url have their own patterns
@@ -34,6 +39,8 @@ FIELD_LABELS = {
     "doc_type": ("Document type", False),
     "proquest_id": ("ProQuest document ID", False),
 }
+MARKER_CI = f"(?i:{MARKER})"
+DOCUMENT_CI = "(?i:Document)"
 ARTICLE_COLUMNS = ["doc_marker", "title", "author", "publication_info", "url", "abstract", "links",
                    "publication_date", "publication_title", "section", "issn", "doc_type", "proquest_id",
                    "full_text"]
@@ -54,18 +61,17 @@ def split_marked(dumps: DataFrame, blob_col: str = "blob", keys: list[str] | Non
     """
     keys = keys if keys is not None else [c for c in dumps.columns if c != blob_col]
     blob = _c(blob_col)
-    marker_ci = f"(?i){MARKER}"
-    pieces = F.when(blob.rlike(marker_ci), F.split(blob, f"(?i)(?={MARKER})")).otherwise(
+    pieces = F.when(blob.rlike(MARKER_CI), F.split(blob, f"(?={MARKER_CI})")).otherwise(
         F.raise_error(F.lit("no 'Document N of M' marker found in dump")).cast("array<string>"))
-    total = F.regexp_extract(blob, r"(?i)Document\s+\d+\s+of\s+(\d+)", 1).cast("decimal(38,0)").cast("string")
+    total = F.regexp_extract(blob, rf"{DOCUMENT_CI}{PY_WS}+\d+{PY_WS}+of{PY_WS}+(\d+)", 1).cast("decimal(38,0)").cast("string")
     width = F.length(total)
     d = dumps.select(*keys, pieces.alias("_p"), width.alias("_w"))
     # drop a preamble: only the first piece can lack a leading marker
-    d = d.withColumn("_p", F.filter("_p", lambda p: p.rlike(f"^(?i){MARKER}")))
+    d = d.withColumn("_p", F.filter("_p", lambda p: p.rlike(f"^{MARKER_CI}")))
     # last piece wins per file name: sort (filename, position descending) inside the row and
     # keep the first entry of each name - O(n log n) per dump, no shuffle
     entry = F.transform("_p", lambda p, i: F.struct(
-        article_filename(F.regexp_extract(p, r"^(?i)Document\s+(\d+)", 1).cast("decimal(38,0)"), F.col("_w"))
+        article_filename(F.regexp_extract(p, rf"^{DOCUMENT_CI}{PY_WS}+(\d+)", 1).cast("decimal(38,0)"), F.col("_w"))
         .alias("filename"), (-i).alias("neg_pos"), strip_ws(p).alias("text")))
     d = d.withColumn("_e", F.array_sort(entry))
     last = F.filter("_e", lambda x, i: F.when(i == 0, F.lit(True))            # element_at is 1-based:
@@ -81,8 +87,8 @@ def split_header_lines(dumps: DataFrame, blob_col: str = "blob", keys: list[str]
     """
     keys = keys if keys is not None else [c for c in dumps.columns if c != blob_col]
     blob = _c(blob_col)
-    line = rf"(?md)^{MARKER}\s*$"
-    markers = F.regexp_extract_all(blob, F.lit(rf"(?md)^({MARKER})\s*$"), 1)
+    line = rf"(?md)^{MARKER}{PY_WS}*$"
+    markers = F.regexp_extract_all(blob, F.lit(rf"(?md)^({MARKER}){PY_WS}*$"), 1)
     bodies = F.split(blob, line)
     body_list = F.slice(bodies, 2, F.greatest(F.size(bodies) - 1, F.lit(1)))
     recs = F.arrays_zip(markers.alias("doc_marker"), body_list.alias("body"))
@@ -107,8 +113,7 @@ def split_literal(dumps: DataFrame, blob_col: str = "blob", keys: list[str] | No
 def article_fields(records: DataFrame, body_col: str = "body") -> DataFrame:
     """The twelve labelled fields (first matching line each, stripped, else '')."""
     body = _c(body_col)
-    cols = {"title": first_match(body, r"(?U)^(.*?)[^\S\n]*:[^\S\n]*\[Op-Ed\]"),
-            "url": first_match(body, r"(?U)^(https?://\S+)")}
+    cols = {"title": first_match(body, TITLE_PATTERN), "url": first_match(body, URL_PATTERN)}
     for name, (label, nonblank) in FIELD_LABELS.items():
         cols[name] = line_value(body, label, nonblank)
     order = ["title", "author", "publication_info", "url", "abstract", "links", "publication_date",
@@ -116,27 +121,30 @@ def article_fields(records: DataFrame, body_col: str = "body") -> DataFrame:
     return records.withColumns({k: cols[k] for k in order})
 
 
-def _full_text_block(body: Column, start_label: str, end_labels) -> Column:
+def _full_text_block(body: Column, start_label: str, end_labels, rule_line: str | None = None) -> Column:
     """Text after the first ``start_label`` at a line start, cut before the first
-    later line that starts with an end label; NULL when there is no start line."""
+    later line that starts with an end label (or is a rule line); NULL when there is no start line."""
     q = "\\Q" + start_label + "\\E"
     after = F.regexp_extract(body, "(?sm)^" + q + "(.*)", 1)
     ends = "|".join(e.replace("/", "\\/") for e in end_labels)
-    block = F.split(after, rf"\n(?:{ends}):", 2).getItem(0)
+    rule = rf"|\n{rule_line}(?=\n|\z)" if rule_line else ""
+    block = F.split(after, rf"\n(?:{ends}):{rule}", 2).getItem(0)
     return F.when(body.rlike("(?m)^" + q), block)
 
 
 def with_full_text(df: DataFrame, body_col: str = "body", out: str = "full_text",
-                   start_label: str = "Full text:", end_labels=END_LABELS) -> DataFrame:
+                   start_label: str = "Full text:", end_labels=END_LABELS, strict_end: bool = False) -> DataFrame:
     """The full-text block of each record.
 
     From the first line starting with ``Full text:`` (label removed from that
     line, line stripped) up to, not including, the first later line starting
     with an end label; lines joined with newlines, stripped.  No start line ->
     ''; no end line -> runs to the end of the body.  The block is staged as
-    its own column so the regex runs once per row.
+    its own column so the regex runs once per row.  ``strict_end`` also ends it at the labels in
+    ``STRICT_END_LABELS`` and at a line of underscores, for records without a regular end label.
     """
-    staged = df.withColumn("__b", _full_text_block(_c(body_col), start_label, end_labels))
+    labels = [*end_labels, *STRICT_END_LABELS] if strict_end else end_labels
+    staged = df.withColumn("__b", _full_text_block(_c(body_col), start_label, labels, RULE_LINE if strict_end else None))
     b = F.col("__b")
     nl = F.instr(b, "\n")
     first = F.substring_index(b, "\n", 1)
@@ -146,9 +154,14 @@ def with_full_text(df: DataFrame, body_col: str = "body", out: str = "full_text"
     return staged.withColumn(out, text).drop("__b")
 
 
-def parse_articles(records: DataFrame, body_col: str = "body") -> DataFrame:
+def parse_articles(records: DataFrame, body_col: str = "body", strict_end: bool = False) -> DataFrame:
     """B4 + B5: labelled fields and the full text of each record."""
-    return with_full_text(article_fields(records, body_col), body_col)
+    return with_full_text(article_fields(records, body_col), body_col, strict_end=strict_end)
+
+
+def with_publication_day(articles: DataFrame, col: str = "publication_date", out: str = "publication_day") -> DataFrame:
+    """A typed date beside the ``publication_date`` string ("Dec 10, 2022"); NULL where it is no such date."""
+    return articles.withColumn(out, F.try_to_timestamp(F.col(col), F.lit("MMM d, yyyy")).cast("date"))
 
 
 def dump_to_articles(dumps: DataFrame, blob_col: str = "blob", keys: list[str] | None = None) -> DataFrame:
@@ -162,16 +175,19 @@ def dump_to_articles(dumps: DataFrame, blob_col: str = "blob", keys: list[str] |
 def split_marked_lines(spark, path: str) -> DataFrame:
     """B1 for exports far larger than one row: the same split, computed over lines.
 
-    The export is read line by line (splittable); each line is cut at markers.
-    Marker counts per (file, split) become split offsets through a prefix sum
-    over the splits of a file (a small table); inside a split a running count
-    numbers the records.  Only one split or one record is ever in one group.
-    Output: keys, filename, text - keys are the partition columns of a
+    The export is read line by line (splittable), and each line is cut at markers.  A marker
+    may wrap over line ends (white space in it spans lines): a line whose tail can begin a marker
+    looks ahead at the heads of the next three non-blank lines, across splits too (each split hands
+    its first three to the ones before it).  The pieces are written once to the shared
+    folder; their marker counts per (file, split) become offsets through a prefix sum over the
+    splits of a file (a small table, which also carries the key width of the file's first marker);
+    inside a split a running count numbers the records.  Only one split or one record is ever in
+    one group.  Output: keys, filename, text - keys are the partition columns of a
     partitioned folder, else ``source`` (the file name) - with the same key
     width and last-marker-wins rule as :func:`split_marked`; a file without any
     marker yields no rows.
     """
-    marker_ci = f"(?i){MARKER}"
+    from quarry.session import shared_dir
     raw = spark.read.text(path)
     keys = [c for c in raw.columns if c != "value"] or ["source"]
     lines = raw.select(
@@ -179,28 +195,61 @@ def split_marked_lines(spark, path: str) -> DataFrame:
         *([F.col("_metadata.file_name").alias("source")] if "source" not in raw.columns else []),
         F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_blk"),
         F.monotonically_increasing_id().alias("_row"), F.col("value").alias("_line"))
-    pieces = lines.select(*keys, "_file", "_blk", "_row",
-                          F.posexplode(F.split("_line", f"(?i)(?={MARKER})")).alias("_pp", "_piece"))
-    pieces = pieces.withColumn("_mk", F.col("_piece").rlike(f"^{marker_ci}").cast("int"))
+    # the part of a line that can continue a wrapped marker, and whether the line goes on after it
+    head = F.regexp_extract("_line", rf"(?i)^{PY_WS}*((?:\d+{PY_WS}+)?of(?:{PY_WS}+\d+)?|\d+)", 1)
+    rest = F.regexp_replace("_line", rf"(?i)^{PY_WS}*((?:\d+{PY_WS}+)?of(?:{PY_WS}+\d+)?|\d+)", "")
+    lines = lines.withColumns({"_blank": strip_ws("_line") == "", "_head": head, "_open": strip_ws(rest) == ""})
+    order = Window.partitionBy("_file", "_blk").orderBy("_row")
+    # non-blank lines in order: the look-ahead of a line is the heads that follow, up to the first line that goes on
+    number = F.sum((~F.col("_blank")).cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    lines = lines.withColumn("_nb", number)
+    tops = (lines.filter(~F.col("_blank") & (F.col("_nb") <= 3)).groupBy("_file", "_blk")
+            .agg(F.array_sort(F.collect_list(F.struct("_nb", "_head", "_open"))).alias("_tops")))
+    nexts = Window.partitionBy("_file").orderBy("_blk").rowsBetween(1, 3)
+    nexts = tops.select("_file", "_blk", F.slice(F.flatten(F.collect_list("_tops").over(nexts)), 1, 3).alias("_tops"))
+    follow = Window.partitionBy("_file", "_blk").orderBy("_nb").rangeBetween(1, 3)
+    entry = F.when(~F.col("_blank"), F.struct("_nb", "_head", "_open"))
+    lines = (lines.withColumn("_own", F.array_sort(F.collect_list(entry).over(follow))).join(nexts, ["_file", "_blk"], "left")
+             .withColumn("_next", F.slice(F.concat("_own", F.coalesce("_tops", F.slice("_own", 1, 0))), 1, 3)))
+    ahead = F.aggregate(
+        "_next", F.struct(F.lit("").alias("s"), F.lit(True).alias("go")),
+        lambda a, x: F.struct(F.when(a["go"] & (x["_head"] != ""), F.concat(a["s"], F.lit("\n"), x["_head"])).otherwise(a["s"]).alias("s"),
+                              (a["go"] & x["_open"] & (x["_head"] != "")).alias("go")), lambda a: a["s"])
+    tail = F.regexp_extract("_line", rf"(?i)Document(?:{PY_WS}+\d+(?:{PY_WS}+of)?)?{PY_WS}*$", 0)
+    lines = lines.withColumn("_tail", tail).withColumn("_wrapped", F.when(F.col("_tail") != "", F.regexp_extract(
+        F.concat("_tail", ahead), rf"^{MARKER_CI}", 0)).otherwise(""))
+    wraps = F.col("_wrapped") != ""
+    body = F.when(wraps, F.substr("_line", F.lit(1), F.length("_line") - F.length("_tail"))).otherwise(F.col("_line"))
+
+    def piece(text, marker):
+        return F.struct(text.alias("text"), marker.alias("marker"))
+    cut = F.transform(F.split(body, f"(?=(?:{MARKER_CI}))"), lambda x: piece(x, F.regexp_extract(x, rf"^{MARKER_CI}", 0)))
+    cut = F.filter(F.concat(cut, F.when(wraps, F.array(piece(F.col("_tail"), F.col("_wrapped")))).otherwise(F.slice(cut, 1, 0))),
+                   lambda x: ~wraps | (x["text"] != ""))
+    pieces = lines.select(*keys, "_file", "_blk", "_row", F.posexplode(cut).alias("_pp", "_c"))
     # a piece that continues a record after a line break gets the newline back
-    pieces = pieces.withColumn("_text", F.when((F.col("_pp") == 0) & (F.col("_mk") == 0),
-                                               F.concat(F.lit("\n"), F.col("_piece"))).otherwise(F.col("_piece")))
-    per_block = pieces.groupBy("_file", "_blk").agg(F.sum("_mk").alias("_m"))
-    wb = Window.partitionBy("_file").orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_block.select("_file", "_blk", F.coalesce(F.sum("_m").over(wb), F.lit(0)).alias("_off"))
+    text = F.when((F.col("_pp") == 0) & (F.col("_c.marker") == ""), F.concat(F.lit("\n"), F.col("_c.text"))).otherwise(F.col("_c.text"))
+    digits = rf"^{DOCUMENT_CI}{PY_WS}+(\d+){PY_WS}+of{PY_WS}+(\d+)"
+    pieces = pieces.select(*keys, "_file", "_blk", "_row", "_pp", (F.col("_c.marker") != "").cast("int").alias("_mk"),
+                           *[F.when(F.col("_c.marker") != "", F.regexp_extract("_c.marker", digits, i).cast("decimal(38,0)")).alias(n)
+                             for i, n in ((1, "_num"), (2, "_total"))], text.alias("_text"))
+    store = shared_dir(spark, "pieces")
+    pieces.write.parquet(store)
+    pieces = spark.read.schema(pieces.schema).parquet(store)
+    per_block = pieces.groupBy("_file", "_blk").agg(
+        F.sum("_mk").alias("_m"), F.min(F.when(F.col("_mk") == 1, F.struct("_row", "_pp", "_total"))).alias("_f"))
+    wb = Window.partitionBy("_file").orderBy("_blk")
+    offsets = per_block.select(
+        "_file", "_blk", F.coalesce(F.sum("_m").over(wb.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"),
+        F.length(F.first("_f", ignorenulls=True).over(wb.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))["_total"].cast("string")).alias("_w"))
     wl = Window.partitionBy("_file", "_blk").orderBy("_row", "_pp").rowsBetween(Window.unboundedPreceding, 0)
     numbered = (pieces.join(offsets, ["_file", "_blk"])
                 .withColumn("_rec", F.col("_off") + F.sum("_mk").over(wl))
                 .filter(F.col("_rec") > 0))                       # text before the first marker is dropped
     recs = (numbered.groupBy(*keys, "_file", "_rec")
             .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_blk", "_row", "_pp", "_text"))),
-                                          lambda s: s["_text"]), "").alias("_chunk")))
-    first = F.regexp_extract("_chunk", r"(?i)^Document\s+\d+\s+of\s+(\d+)", 1).cast("decimal(38,0)").cast("string")
-    widths = recs.filter(F.col("_rec") == 1).select("_file", F.length(first).alias("_w"))
-    named = recs.join(widths, "_file").select(
-        *keys, "_file", "_rec",
-        article_filename(F.regexp_extract("_chunk", r"(?i)^Document\s+(\d+)", 1).cast("decimal(38,0)"),
-                         F.col("_w")).alias("filename"),
-        strip_ws("_chunk").alias("text"))
+                                          lambda s: s["_text"]), "").alias("_chunk"),
+                 F.max("_num").alias("_num"), F.max("_w").alias("_w")))
+    named = recs.select(*keys, "_file", "_rec", article_filename(F.col("_num"), F.col("_w")).alias("filename"), strip_ws("_chunk").alias("text"))
     return (named.groupBy(*keys, "_file", "filename").agg(F.max_by("text", "_rec").alias("text"))
             .drop("_file"))

@@ -43,11 +43,9 @@ def with_filename(meta: DataFrame, id_col: str = "id", width: int | Column | Non
 
 def check_unique(df: DataFrame, key: str, side: str) -> None:
     """Raise if ``key`` is NULL or repeats on this side (pandas ``validate='one_to_one'``)."""
-    nulls = df.filter(F.col(key).isNull())
-    if not nulls.isEmpty():
+    bad = df.groupBy(key).count().filter((F.col("count") > 1) | F.col(key).isNull()).take(3)
+    if any(r[key] is None for r in bad):
         raise ValidationError(f"{side} side has NULL join keys in '{key}'")
-    dups = df.groupBy(key).count().filter(F.col("count") > 1)
-    bad = dups.take(3)
     if bad:
         raise ValidationError(f"{side} side is not unique on '{key}': e.g. {[r[key] for r in bad]}")
 
@@ -98,9 +96,9 @@ def template_measures(template: DataFrame, measures: DataFrame, key: str = "file
 
 
 def first_int(c) -> Column:
-    """First run of digits as int; a value without digits raises (ANSI cast of '')."""
+    """First run of digits as bigint; a value without digits raises (ANSI cast of '')."""
     c = F.col(c) if isinstance(c, str) else c
-    return F.regexp_extract(c, r"(\d+)", 1).cast("int")
+    return F.regexp_extract(c, r"(\d+)", 1).cast("bigint")
 
 
 def measures_with_id(measures: DataFrame, key: str = "filename", id_col: str = "id") -> DataFrame:

@@ -25,9 +25,9 @@ def _keep(pages, html_col, keep):
 def headline(pages: DataFrame, html_col: str = "html", keep: list[str] | None = None) -> DataFrame:
     """H1: text of the first ``<h1>`` (text nodes stripped, joined without separator); NULL if none."""
     keep = _keep(pages, html_col, keep)
-    d = _cleaned(pages, html_col, keep)
-    h1 = H.first_element("_doc", "h1")
-    return d.select(*keep, F.when(h1.isNotNull(), H.get_text(h1)).alias("headline"))
+    # the element and its text nodes are staged as columns of their own, so each regex runs once
+    d = _cleaned(pages, html_col, keep).withColumn("_h1", H.first_element("_doc", "h1"))
+    return d.select(*keep, F.when(F.col("_h1").isNotNull(), H.get_text("_h1")).alias("headline"))
 
 
 def article_paragraphs(pages: DataFrame, html_col: str = "html", keep: list[str] | None = None) -> DataFrame:

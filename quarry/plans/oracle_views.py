@@ -5,11 +5,11 @@ Used only to build the oracle SQL strings of the query catalogue.
 
 CORPUS_CTES = {
     "tokens": "SELECT l_orderkey AS textID, l_partkey AS wordID, CAST(l_linenumber AS BIGINT) AS occID FROM lineitem",
-    "words": "SELECT p_partkey AS wordID, concat(p_brand, ' ', p_name) AS word, p_name AS lemma, p_type AS pos "
-             "FROM part WHERE p_size > 5",
-    "texts": "SELECT o_orderkey AS textID, CAST(year(o_orderdate) AS INT) AS year, "
+    "words": "SELECT CASE WHEN p_size > 5 THEN p_partkey ELSE -p_partkey END AS wordID, concat(p_brand, ' ', p_name) AS word, p_name AS lemma, p_type AS pos "
+             "FROM part",
+    "texts": "SELECT CASE WHEN o_orderstatus <> 'P' THEN o_orderkey ELSE -o_orderkey END AS textID, CAST(year(o_orderdate) AS INT) AS year, "
              "CAST(year(o_orderdate) - year(o_orderdate) % 10 AS INT) AS decade, o_orderpriority AS genre "
-             "FROM orders WHERE o_orderstatus <> 'P'",
+             "FROM orders",
     "joined": "SELECT t.textID, t.wordID, t.occID, w.word, w.lemma, w.pos, x.year, x.decade, x.genre "
               "FROM tokens t LEFT JOIN words w ON t.wordID = w.wordID LEFT JOIN texts x ON t.textID = x.textID",
 }
@@ -20,11 +20,16 @@ AUG = ("SELECT doc_id, lang, source, CASE doc_id % 4 "
        "WHEN 2 THEN concat(text, ' We asked Mr. Cole and Ms Jo Park.') "
        "ELSE text END AS text FROM documents")
 
+# the marker of record rn, as quarry.plans.views.marker writes it
+MARKER = ("concat('Document', CASE WHEN rn % 5 = 1 THEN chr(160) ELSE ' ' END, rn, "
+          "CASE WHEN rn % 5 = 2 THEN chr(10) ELSE ' ' END, 'of ', cnt)")
+
+
 def bundle(src: str, n: int | None = None) -> str:
     """(source, doc_id, text) rows of ``src`` -> one export per (source, doc_id div n)."""
     from quarry.plans.views import DUMP_SIZE
     n = n or DUMP_SIZE
-    return ("SELECT source, chunk, string_agg(concat('Document ', rn, ' of ', cnt, chr(10), chr(10), text, chr(10)), "
+    return ("SELECT source, chunk, string_agg(concat(" + MARKER + ", chr(10), chr(10), text, chr(10)), "
             f"'' ORDER BY rn) AS blob FROM (SELECT source, text, doc_id // {n} AS chunk, "
             f"row_number() OVER (PARTITION BY source, doc_id // {n} ORDER BY doc_id) AS rn, "
             f"count(*) OVER (PARTITION BY source, doc_id // {n}) AS cnt FROM {src}) d GROUP BY source, chunk")

@@ -49,18 +49,26 @@ class Views:
                                              F.col("l_linenumber").alias("ID"))
 
     def word_shard(self) -> DataFrame:
-        """Lexicon shard: WordID, Token, Lemma, PoS (mixed case on purpose)."""
-        return (self.table("part").filter(F.col("p_size") > 5)
-                .select(F.col("p_partkey").alias("WordID"),
-                        F.concat(F.col("p_brand"), F.lit(" "), F.col("p_name")).alias("Token"),
-                        F.col("p_name").alias("Lemma"), F.col("p_type").alias("PoS")))
+        """Lexicon shard: WordID, Token, Lemma, PoS (mixed case on purpose).
+
+        Every part is a row; small parts (p_size up to 5) get a negated id, so that some tokens
+        have no lexicon row and some lexicon rows no token.
+        """
+        return self.table("part").select(
+            F.when(F.col("p_size") > 5, F.col("p_partkey")).otherwise(-F.col("p_partkey")).alias("WordID"),
+            F.concat(F.col("p_brand"), F.lit(" "), F.col("p_name")).alias("Token"),
+            F.col("p_name").alias("Lemma"), F.col("p_type").alias("PoS"))
 
     def text_shard(self) -> DataFrame:
-        """Text metadata shard: doc_id, Date_Year, Decade, Section (orders not 'P')."""
+        """Text metadata shard: doc_id, Date_Year, Decade, Section.
+
+        Every order is a row; orders of status 'P' get a negated id, so that some tokens have no
+        metadata and some metadata no token.
+        """
         y = F.year("o_orderdate")
-        return (self.table("orders").filter(F.col("o_orderstatus") != F.lit("P"))
-                .select(F.col("o_orderkey").alias("doc_id"), y.alias("Date_Year"),
-                        (y - y % 10).alias("Decade"), F.col("o_orderpriority").alias("Section")))
+        return self.table("orders").select(
+            F.when(F.col("o_orderstatus") != F.lit("P"), F.col("o_orderkey")).otherwise(-F.col("o_orderkey")).alias("doc_id"),
+            y.alias("Date_Year"), (y - y % 10).alias("Decade"), F.col("o_orderpriority").alias("Section"))
 
     # -------------------------------------------------- canonical corpus star
     def corpus(self):
@@ -110,14 +118,15 @@ class Views:
         return augment_pages(self.table("pages").select("page_id", "html"))
 
     # -------------------------------------------------- bulk dumps
-    def dump(self, size: int = DUMP_SIZE) -> DataFrame:
+    def dump(self, size: int = DUMP_SIZE, crlf: bool = False) -> DataFrame:
         """One bulk export per (source, chunk of ``size`` doc_ids) of the document texts.
 
-        Each export numbers its documents ``Document rn of cnt``.  Dumps are
-        bounded: a chunk holds at most ``size`` documents.
+        Each export numbers its documents ``Document rn of cnt``, some with a no-break space
+        in the marker, some with the marker wrapped over two lines; ``crlf`` gives some records
+        the line ends of other systems.  Dumps are bounded: a chunk holds at most ``size`` documents.
         """
         d = self.table("documents", spread=False)            # grouped into dumps right away
-        return bundle(d.select("source", "doc_id", "text"), size)
+        return bundle(d.select("source", "doc_id", "text"), size, crlf)
 
     def rec_dump(self) -> DataFrame:
         """Bulk exports (as :meth:`dump`) whose records are the labelled article blocks of :meth:`rec`."""
@@ -151,7 +160,8 @@ def augment(d: DataFrame) -> DataFrame:
 
 
 PAGE_INSERT = ("<blockquote><p>Dr Ann Lee said it <b>may</b> work.</p> Prof Bo Ek agreed.</blockquote>"
-               "<p>We asked Mr Bob Ray, who would not &amp; could not say.</p></article>")
+               "<p>We asked Mr Bob Ray, who would not &amp; could not say.</p>"
+               "<p>Caf&eacute; &bull; it&#146;s &#9999999; &#38;lt; &amp;lt;</p><article-teaser>more</article-teaser></article>")
 
 
 def augment_pages(pages: DataFrame) -> DataFrame:
@@ -174,13 +184,20 @@ def rec_body(d: DataFrame):
         F.lit("Publication date: Jan 2, 2022"), nl2, F.lit("Section: "), F.col("lang"))
 
 
-def bundle(d: DataFrame, size: int = DUMP_SIZE) -> DataFrame:
+def marker(rn, cnt):
+    """The marker of record ``rn``: a no-break space in every fifth, a line end in every other fifth."""
+    return F.concat(F.lit("Document"), F.when(rn % 5 == 1, F.lit("\u00a0")).otherwise(F.lit(" ")), rn,
+                    F.when(rn % 5 == 2, F.lit("\n")).otherwise(F.lit(" ")), F.lit("of "), cnt)
+
+
+def bundle(d: DataFrame, size: int = DUMP_SIZE, crlf: bool = False) -> DataFrame:
     """(source, doc_id, text) rows -> one export per (source, doc_id div size), records in doc_id order."""
     d = d.withColumn("chunk", F.floor(F.col("doc_id") / size))
     w = Window.partitionBy("source", "chunk")
     d = d.withColumns({"rn": F.row_number().over(w.orderBy("doc_id")), "cnt": F.count(F.lit(1)).over(w)})
-    piece = F.concat(F.lit("Document "), F.col("rn"), F.lit(" of "), F.col("cnt"),
-                     F.lit("\n\n"), F.col("text"), F.lit("\n"))
+    piece = F.concat(marker(F.col("rn"), F.col("cnt")), F.lit("\n\n"), F.col("text"), F.lit("\n"))
+    if crlf:
+        piece = F.when(F.col("rn") % 5 == 3, F.replace(piece, F.lit("\n"), F.lit("\r\n"))).otherwise(piece)
     return (d.groupBy("source", "chunk")
             .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rn", piece.alias("p")))),
                                           lambda s: s["p"]), "").alias("blob")))

@@ -11,6 +11,7 @@ helper over a byte stream; everything downstream (H1-H4) is native Spark.
 from __future__ import annotations
 
 import gzip
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -56,6 +57,31 @@ def iter_warc(stream) -> Iterator[tuple[str, dict[str, str], bytes]]:
         yield hdr.get("warc-type", ""), hdr, payload
 
 
+def decoded_body(body: bytes, headers: dict[str, str]) -> bytes:
+    """The HTTP body without its transfer and content encodings; bytes that don't fit them stay as they are."""
+    if "chunked" in headers.get("transfer-encoding", "").lower():
+        out, at = [], 0
+        while (end := body.find(b"\r\n", at)) >= 0:
+            try:
+                size = int(body[at:end].split(b";")[0], 16)
+            except ValueError:
+                break
+            if size == 0:
+                break
+            out.append(body[end + 2:end + 2 + size])
+            at = end + 4 + size
+        body = b"".join(out) if out else body
+    coding = headers.get("content-encoding", "").lower()
+    try:
+        if "gzip" in coding:
+            return zlib.decompressobj(31).decompress(body)
+        if "deflate" in coding:
+            return zlib.decompressobj().decompress(body)
+    except zlib.error:
+        pass
+    return body
+
+
 def html_records(stream) -> Iterator[tuple[str, str, str]]:
     """(url, content type, decoded html) of HTML response records."""
     for rtype, hdr, payload in iter_warc(stream):
@@ -63,9 +89,10 @@ def html_records(stream) -> Iterator[tuple[str, str, str]]:
             continue
         sep = payload.find(b"\r\n\r\n")
         http_head, body = (payload[:sep + 2], payload[sep + 4:]) if sep >= 0 else (payload, b"")
-        ctype = _headers(http_head).get("content-type", "")
+        headers = _headers(http_head)
+        ctype = headers.get("content-type", "")
         if "text/html" in ctype:
-            yield hdr.get("warc-target-uri", ""), ctype, body.decode("utf-8", errors="ignore")
+            yield hdr.get("warc-target-uri", ""), ctype, decoded_body(body, headers).decode("utf-8", errors="ignore")
 
 
 def _open(path: str):
@@ -93,8 +120,8 @@ def read_warc_html(spark: SparkSession, root: str, glob: str = "*.warc*", partit
     """HTML responses of every archive under ``root`` as (archive, record_pos, url, content_type, html)."""
     files = (spark.read.format("binaryFile").option("pathGlobFilter", glob)
              .option("recursiveFileLookup", "true").load(root).select("path"))
-    n = partitions or spark.sparkContext.defaultParallelism
-    return files.repartition(n, "path").mapInPandas(_archives_to_rows, WARC_HTML_SCHEMA)
+    n = partitions or 4 * spark.sparkContext.defaultParallelism
+    return files.repartition(n).mapInPandas(_archives_to_rows, WARC_HTML_SCHEMA)
 
 
 def first_archives(spark: SparkSession, root: str, n: int = 5, suffix: str = ".warc.gz") -> DataFrame:

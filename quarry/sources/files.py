@@ -2,7 +2,7 @@
 
 Listing uses the ``binaryFile`` source with only path/length selected, so
 file contents are never read (the source prunes ``content``).  Schema probing
-reads one Parquet footer (or one CSV header line) per shard inside Spark
+reads one Parquet footer (or one CSV header record) per shard inside Spark
 tasks, so millions of shards are probed in parallel and only the small
 catalogue (one row per shard) exists - never one DataFrame per file.
 """
@@ -12,7 +12,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -47,7 +47,16 @@ def arrow_fs(path: str):
     return pafs.FileSystem.from_uri(path)
 
 
+def csv_header(stream) -> list[str]:
+    """The first record of a CSV byte stream, however long; quoted names may hold newlines."""
+    import csv
+    import io
+    csv.field_size_limit(2 ** 31 - 1)
+    return next(csv.reader(io.TextIOWrapper(stream, "utf-8-sig", "replace", newline="")), [])
+
+
 def _probe(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    import pyarrow as pa
     import pyarrow.parquet as pq
     for pdf in it:
         out = []
@@ -59,18 +68,23 @@ def _probe(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     with fs.open_input_file(p) as fh:
                         cols = list(pq.read_schema(fh).names)
                 else:
-                    with fs.open_input_stream(p) as fh:
-                        head = fh.read(1 << 16).decode("utf-8", "ignore").splitlines()
-                    import csv
-                    cols = next(csv.reader(head[:1])) if head else []
+                    with fs.open_input_stream(p, compression=None) as fh:
+                        cols = csv_header(fh)
                 out.append((path, fmt, cols, None))
-            except Exception as e:  # unreadable shard: skipped by the classifier
+            except pa.ArrowInvalid as e:  # the bytes are no Parquet file: skipped by the classifier
+                if "Unrecognized filesystem" in str(e) or "scheme" in str(e):
+                    raise
                 out.append((path, fmt, [], f"{type(e).__name__}: {e}"[:200]))
         yield pd.DataFrame(out, columns=["path", "format", "columns", "error"])
 
 
 def shard_catalog(spark: SparkSession, root: str, patterns=("*.parquet", "*.csv")) -> DataFrame:
-    """One row per shard with its column names, read from footers in tasks."""
+    """One row per shard with its column names, read from footers in tasks.
+
+    Only a file that is no Parquet gets an ``error`` and no columns; a failing
+    read (credentials, network, an unknown scheme) fails the job, so that no shard
+    goes missing unseen.
+    """
     frames = [list_files(spark, root, g).select("path") for g in patterns]
     files = frames[0]
     for f in frames[1:]:
@@ -79,16 +93,18 @@ def shard_catalog(spark: SparkSession, root: str, patterns=("*.parquet", "*.csv"
 
 
 def scan_union(spark: SparkSession, paths: list[str], fmt: str = "parquet") -> DataFrame | None:
-    """S3: one reader over a list of paths/globs; None when nothing matches."""
-    from pyspark.errors import AnalysisException
-    try:
-        if fmt == "csv":
-            return read_csv_strings(spark, paths)
-        return spark.read.parquet(*paths)
-    except AnalysisException as e:
-        if "PATH_NOT_FOUND" in str(e) or "UNABLE_TO_INFER_SCHEMA" in str(e):
-            return None
-        raise
+    """S3: one reader over the paths/globs that match something; None when none does."""
+    found = [p for p in paths if path_exists(spark, p)]
+    if not found:
+        return None
+    return read_csv_strings(spark, found) if fmt == "csv" else spark.read.parquet(*found)
+
+
+def path_exists(spark: SparkSession, glob: str) -> bool:
+    """Whether a Hadoop path or glob matches any file."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(glob)
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path)
+    return found is not None and len(found) > 0
 
 
 def read_parquet_tree(spark: SparkSession, root: str) -> DataFrame:
@@ -115,14 +131,75 @@ def read_csv_strings(spark: SparkSession, paths, schema: T.StructType | str | No
     return r.csv(paths)
 
 
+def read_csv_split(spark: SparkSession, paths, schema: T.StructType | str | None = None,
+                   keep_empty: bool = True) -> DataFrame:
+    """S2/S4/S5 for CSV files of any size: the same rows as :func:`read_csv_strings`, read in splits.
+
+    Files are read line by line.  A line starts inside a quoted field exactly if the number
+    of quotes before it in the file is odd; that parity is a prefix sum over the splits of a
+    file (a small table) and a running sum inside a split.  Lines that are whole records
+    are parsed as they are; only records that span lines are put together, one group per record.
+    The first record of every file is its header.
+    """
+    from pyspark.sql import Window
+    paths = [paths] if isinstance(paths, str) else list(paths)
+    if schema is None:
+        first = spark.read.format("binaryFile").load(paths).select("path").orderBy("path").first()[0]
+        fs, p = arrow_fs(first)
+        with fs.open_input_stream(p, compression=None) as fh:
+            schema = T.StructType([T.StructField(c, T.StringType()) for c in csv_header(fh)])
+    elif isinstance(schema, str):
+        schema = T.StructType.fromDDL(schema)
+    lines = spark.read.option("lineSep", "\n").text(paths).select(
+        F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_blk"),
+        F.monotonically_increasing_id().alias("_row"), F.col("value").alias("_line"))
+    lines = lines.withColumn("_q", F.length("_line") - F.length(F.replace("_line", F.lit('"'), F.lit(""))))
+    blocks = lines.groupBy("_file", "_blk").agg(F.sum("_q").alias("_q"))
+    earlier = Window.partitionBy("_file").orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select("_file", "_blk", F.coalesce(F.sum("_q").over(earlier), F.lit(0)).alias("_off"),
+                           (F.row_number().over(Window.partitionBy("_file").orderBy("_blk")) == 1).alias("_top"))
+    order = Window.partitionBy("_file", "_blk").orderBy("_row")
+    before = F.coalesce(F.sum("_q").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    lines = (lines.join(blocks, ["_file", "_blk"]).withColumn("_in", (F.col("_off") + before) % 2)
+             .withColumn("_n", F.sum(1 - F.col("_in")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+             .withColumn("_head", F.col("_top") & (F.col("_n") == 1)))
+    # a record that spans splits: its lines in the next split have no start there (_n = 0), so the split's number
+    # of the record's start is carried over as the last one before
+    alone = lines.filter((F.col("_in") == 0) & (F.col("_q") % 2 == 0) & ~F.col("_head")).select("_line")
+    spanning = lines.filter((F.col("_in") == 1) | (F.col("_q") % 2 == 1))
+    starts = lines.filter(F.col("_in") == 0).groupBy("_file", "_blk").agg(F.max("_n").alias("_last"))
+    last = Window.partitionBy("_file").orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
+    at = F.when(F.col("_last").isNotNull(), F.struct(F.col("_blk").alias("b"), F.col("_last").alias("n")))
+    carried = blocks.join(starts, ["_file", "_blk"], "left").select("_file", "_blk", F.last(at, ignorenulls=True).over(last).alias("_from"))
+    own = F.struct(F.col("_blk").alias("b"), F.col("_n").alias("n"))
+    whole = (spanning.join(carried, ["_file", "_blk"]).withColumn("_rec", F.when(F.col("_n") > 0, own).otherwise(F.col("_from")))
+             .groupBy("_file", "_rec").agg(F.sort_array(F.collect_list(F.struct("_blk", "_row", "_line"))).alias("_l"),
+                                           F.bool_or("_head").alias("_head")).filter(~F.col("_head"))
+             .select(F.array_join(F.transform("_l", lambda x: x["_line"]), "\n").alias("_line")))
+    records = alone.unionByName(whole).select(F.regexp_replace("_line", "\r$", "").alias("_line")).filter(F.col("_line") != "")
+    options = {"escape": '"', "multiLine": "true", "mode": "FAILFAST", "maxCharsPerColumn": "-1"} | ({"nullValue": "\u0000"} if keep_empty else {})
+    strings = T.StructType([T.StructField(f.name, T.StringType()) for f in schema])
+    parsed = records.select(F.from_csv("_line", _ddl(strings), options).alias("r"))
+    return parsed.select(*[F.col("r")[f.name].cast(f.dataType).alias(f.name) for f in schema])
+
+
+def _ddl(schema: T.StructType) -> str:
+    return ", ".join("`" + f.name.replace("`", "``") + "` " + f.dataType.simpleString() for f in schema)
+
+
 def read_whole_texts(spark: SparkSession, folder: str, glob: str = "*.txt") -> DataFrame:
     """One row per file (filename, text) - the file name is the key.
 
     Read as bytes and decoded as UTF-8 (strict, like ``open().read()``), so
-    the text is exact; the ``wholetext`` text source drops a final newline.
+    the text is exact but for line ends, which become ``\\n`` as in text mode; the
+    ``wholetext`` text source drops a final newline.
     """
     return (spark.read.format("binaryFile").option("pathGlobFilter", glob).load(folder)
-            .select(F.col("_metadata.file_name").alias("filename"), F.decode("content", "UTF-8").alias("text")))
+            .select(F.col("_metadata.file_name").alias("filename"), universal_newlines(F.decode("content", "UTF-8")).alias("text")))
+
+
+def universal_newlines(c) -> Column:
+    return F.regexp_replace(c, "\\r\\n?", "\n")
 
 
 def read_dump_records(spark: SparkSession, path: str, record_sep: str) -> DataFrame:
@@ -138,7 +215,7 @@ def read_dump_records(spark: SparkSession, path: str, record_sep: str) -> DataFr
 def read_dumps_whole(spark: SparkSession, path: str) -> DataFrame:
     """S7 fallback: one row per dump file (source, blob) for exports without a record rule."""
     return (spark.read.format("binaryFile").load(path)
-            .select(F.col("_metadata.file_name").alias("source"), F.decode("content", "UTF-8").alias("blob")))
+            .select(F.col("_metadata.file_name").alias("source"), universal_newlines(F.decode("content", "UTF-8")).alias("blob")))
 
 
 FEED_ARTICLE = T.StructType([

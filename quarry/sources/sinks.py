@@ -25,6 +25,7 @@ def write_csv(df: DataFrame, path: str, columns: list[str] | None = None, nulls_
     if columns:
         df = df.select(*columns)
     (df.write.mode(mode).option("header", "true").option("escape", '"')
+     .option("ignoreLeadingWhiteSpace", "false").option("ignoreTrailingWhiteSpace", "false")
      .option("emptyValue", '""').option("nullValue", "" if nulls_as_blank else "null").csv(path))
     return path
 
@@ -35,8 +36,17 @@ def write_text_blocks(df: DataFrame, col: str, path: str, mode: str = "overwrite
     return path
 
 
-def write_keyed_table(df: DataFrame, path: str, key: str = "filename", mode: str = "overwrite") -> str:
-    """K5 re-aimed: the article files become one Parquet table keyed by file name."""
+def write_keyed_table(df: DataFrame, path: str, key: str = "filename", order: str | None = None,
+                      mode: str = "overwrite") -> str:
+    """K5 re-aimed: the article files become one Parquet table keyed by file name.
+
+    With ``order``, a key that repeats keeps its row of the largest ``order`` (a later
+    file overwrites an earlier one), by an aggregate with map-side combine; without, a
+    repeated key is an error of the caller's and both rows stay.
+    """
+    if order is not None:
+        row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+        df = df.groupBy(F.col(key).alias("_k")).agg(F.max_by(row, F.col(order)).alias("_r")).select("_r.*")
     df.write.mode(mode).parquet(path)
     return path
 

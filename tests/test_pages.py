@@ -113,6 +113,23 @@ def test_entities_decoded_once(spark):
     assert PG.headline(df).first().headline == htmlmod.unescape("&amp;lt; &#60; &#x3C;") + " \xa0x"
 
 
+def test_references_by_html_rules(spark):
+    cases = ["&eacute;&pound;&bull;", "&#9999999;", "&#99999999999999999999;", "&#xFFFFFFFFFF;", "&#55357;&#56832;", "&#146;&#x80;", "&#38;lt;",
+             "&#0000065;", "&#x41", "&#0;", "&notit; &copy2021 &unknown; &;&", "&amp", "AT&T", "&NotEqualTilde;"]
+    want = [htmlmod.unescape(c) for c in cases]
+    df = spark.createDataFrame([(i, f"<h1>{c}</h1>") for i, c in enumerate(cases)], "page_id long, html string")
+    got = {r.page_id: r.headline for r in PG.headline(df).collect()}
+    assert [got[i] for i in range(len(cases))] == want
+
+
+def test_element_names_nesting_and_open_ends(spark):
+    docs = ["<h1-x>no</h1-x><h1 class='a'>yes</h1>", "<body><h1>open <b>end</b>", "<article>a<article>b</article>c</article>d",
+            "<article-teaser>t</article-teaser><article>x</article>", "</article><ARTICLE\n>y</ARTICLE >"]
+    df = spark.createDataFrame(list(enumerate(docs)), "page_id long, html string")
+    assert {r.page_id: r.headline for r in PG.headline(df).collect()} == {0: "yes", 1: "openend", 2: None, 3: None, 4: None}
+    assert {r.page_id: r.text for r in PG.article_text(df).collect()} == {2: "a b c", 3: "x", 4: "y"}
+
+
 from hypothesis import given, settings, strategies as st  # noqa: E402
 
 _tok = st.sampled_from(["<p>", "</p>", "<b>", "</b>", "<br>", "<p class='x'>", " word ", "Dr Ann Lee",

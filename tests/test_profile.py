@@ -57,31 +57,32 @@ def test_exact_percentiles_large_groups(spark):
     rows = [("a", float(rnd.randint(0, 300))) for _ in range(4000)] + \
            [("b", rnd.gauss(0, 1)) for _ in range(3000)] + [("c", 5.0)] * 50
     df = spark.createDataFrame(rows, "k string, x double")
-    got = {r.k: (r.p10, r.p50, r.p99) for r in P.exact_percentiles(df, "x", [0.1, 0.5, 0.99], ["k"],
-                                                                     accuracy=100).collect()}
+    got = {r.k: (r.p10, r.p50, r.p99) for r in P.exact_percentiles(df, "x", [0.1, 0.5, 0.99], ["k"]).collect()}
     pdf = pd.DataFrame(rows, columns=["k", "x"])
     for k, grp in pdf.groupby("k"):
         want = [grp["x"].quantile(q) for q in (0.1, 0.5, 0.99)]
         assert all(abs(a - b) < 1e-9 for a, b in zip(got[k], want)), k
 
 
-def test_exact_percentiles_refinement_levels(spark):
-    """Tiny limits force several refinement levels; ties and a constant group included."""
+@pytest.mark.parametrize("size", [7, 3000])
+def test_exact_percentiles_drop_nan_at_any_size(spark, size):
+    """Ties, a constant group, a null group, NaN and NULL values; few rows and many ranges give the same plan."""
     import random
     rnd = random.Random(11)
-    rows = ([("a", float(rnd.randint(0, 50))) for _ in range(3000)] +
-            [("b", rnd.gauss(0, 1)) for _ in range(2500)] + [("c", 5.0)] * 400 + [("d", 1.0)])
+    nan = float("nan")
+    rows = ([("a", float(rnd.randint(0, 50))) for _ in range(size)] + [("b", rnd.choice([rnd.gauss(0, 1), nan])) for _ in range(size)]
+            + [("c", 5.0)] * 400 + [("d", 1.0), ("e", nan), ("e", None)] + [(None, 2.0), (None, 3.0)])
     df = spark.createDataFrame(rows, "k string, x double")
     probs = [0.0, 0.25, 0.5, 0.9, 1.0]
-    got = {r.k: [r[f"p{round(p * 100)}"] for p in probs]
-           for r in P.exact_percentiles(df, "x", probs, ["k"], accuracy=50, max_candidates=40,
-                                        boundaries=20).collect()}
-    pdf = pd.DataFrame(rows, columns=["k", "x"])
-    for k, grp in pdf.groupby("k"):
+    got = {r.k: [r[f"p{round(p * 100)}"] for p in probs] for r in P.exact_percentiles(df, "x", probs, ["k"]).collect()}
+    pdf = pd.DataFrame(rows, columns=["k", "x"]).dropna(subset=["x"])
+    assert set(got) == {"a", "b", "c", "d", None}
+    for k, grp in pdf.groupby("k", dropna=False):
         want = [grp["x"].quantile(q) for q in probs]
-        assert all(abs(a - b) < 1e-9 for a, b in zip(got[k], want)), (k, got[k], want)
-    whole = P.exact_percentiles(df, "x", [0.5], None, accuracy=50, max_candidates=40, boundaries=20).first()
+        assert all(abs(a - b) < 1e-9 for a, b in zip(got[k if isinstance(k, str) else None], want)), (k, got, want)
+    whole = P.exact_percentiles(df, "x", [0.5]).first()
     assert abs(whole["p50"] - pdf["x"].quantile(0.5)) < 1e-9
+    assert P.describe(df, "x").first()["count"] == len(pdf)
 
 
 def test_recent_selection_matches_brute_force(spark):

@@ -60,6 +60,10 @@ def test_union_relaxed_widens(spark):
     u = CG.union_relaxed([a, b])
     assert u.dtypes == [("id", "bigint"), ("v", "double"), ("s", "string")]
     assert u.count() == 2
+    mixed = [spark.createDataFrame([(v,)], f"v {t}") for v, t in ((16777217, "int"), (0.5, "float"))]
+    assert sorted(r.v for r in CG.union_relaxed(mixed).collect()) == [0.5, 16777217.0]
+    exact = spark.sql("SELECT CAST(1.25 AS DECIMAL(5,2)) AS v")
+    assert CG.union_relaxed([exact, mixed[0]]).dtypes == [("v", "decimal(12,2)")]
 
 
 def test_rename_candidates_keeps_others(spark):
@@ -137,13 +141,18 @@ def test_warc_reader(spark, tmp_dir):
     html = "<html><article><p>café</p></article></html>".encode() + b"\xff"
     body = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n" + html
     other = b"HTTP/1.1 200 OK\r\nContent-Type: image/png\r\n\r\n\x89PNG"
+    packed = gzip.compress(b"<article>zip</article>")
+    chunked = b"%x\r\n%s\r\n%x;x=y\r\n%s\r\n0\r\n\r\n" % (10, packed[:10], len(packed) - 10, packed[10:])
+    coded = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\nTransfer-Encoding: chunked\r\nContent-Encoding: gzip\r\n\r\n" + chunked
     data = (_warc_record("warcinfo", "", b"software: x") + _warc_record("request", "http://a", b"GET /")
-            + _warc_record("response", "http://a", body) + _warc_record("response", "http://b", other))
+            + _warc_record("response", "http://a", body) + _warc_record("response", "http://b", other)
+            + _warc_record("response", "http://c", coded))
     os.makedirs(f"{tmp_dir}/warc")
     with gzip.open(f"{tmp_dir}/warc/one.warc.gz", "wb") as f:
         f.write(data)
     rows = read_warc_html(spark, f"{tmp_dir}/warc", partitions=2).collect()
-    assert [(r.url, r.html) for r in rows] == [("http://a", "<html><article><p>café</p></article></html>")]
+    assert [(r.url, r.html) for r in rows] == [("http://a", "<html><article><p>café</p></article></html>"),
+                                              ("http://c", "<article>zip</article>")]
 
 
 def test_discovery_and_fallback(spark, tmp_dir):
@@ -161,12 +170,53 @@ def test_discovery_and_fallback(spark, tmp_dir):
     pd.DataFrame({"doc_id": [2], "year": [1960]}).to_csv(f"{tmp_dir}/Sources/t.csv", index=False)
     _, _, texts2 = CG.load_corpus(spark, tmp_dir)
     assert [(r.textID, r.year) for r in texts2.collect()] == [(1, 1950)]      # Parquet wins over CSV
+    # the lexicon classified by its columns, no forced folder at all
+    os.rename(f"{tmp_dir}/Corpus/Word_lemma_PoS", f"{tmp_dir}/Corpus/lexicon")
+    assert CG.load_corpus(spark, tmp_dir)[1].count() == 2
+    os.rename(f"{tmp_dir}/Corpus/lexicon", f"{tmp_dir}/Corpus/Word_lemma_PoS")
     # no lexicon anywhere: an error
     os.remove(f"{tmp_dir}/Corpus/Word_lemma_PoS/lex.parquet")
     with pytest.raises(ValueError):
         CG.load_corpus(spark, tmp_dir)
 
 
+def test_probe_reads_whole_headers_and_raises(spark, tmp_dir):
+    wide = [f"c{i}" for i in range(12000)] + ["wordID", 'two\nlines "q"']
+    with open(f"{tmp_dir}/wide.csv", "w", newline="") as f:
+        import csv
+        csv.writer(f).writerow(wide)
+        csv.writer(f).writerow(["1"] * len(wide))
+    assert S.shard_catalog(spark, tmp_dir).first().columns == wide
+    gone = spark.createDataFrame([("file:///no/such/shard.parquet",)], "path string")
+    with pytest.raises(Exception):
+        gone.mapInPandas(S._probe, S.CATALOG_SCHEMA).collect()
+
+
+def test_scan_union_of_globs(spark, tmp_dir):
+    pd.DataFrame({"a": [1]}).to_parquet(f"{tmp_dir}/x1.parquet")
+    got = S.scan_union(spark, [f"{tmp_dir}/x*.parquet", f"{tmp_dir}/nothing*.parquet"])
+    assert [r.a for r in got.collect()] == [1]
+    assert S.scan_union(spark, [f"{tmp_dir}/nothing*.parquet"]) is None
+
+
+def test_split_csv_equals_multiline_reader(spark, tmp_dir):
+    import random
+    r = random.Random(1)
+    cells = ["plain", 'a "q" b', 'multi\nline\n"x"\n', "", "   ", 'comma, "', "cr\r\nlf", '"', "\n", None]
+    rows = [(i, r.choice(cells), r.choice(["x", None, "", "y\nz"])) for i in range(1500)]
+    schema = "id long, a string, b string"
+    path = K.write_csv(spark.createDataFrame(rows, schema).repartition(3), f"{tmp_dir}/c")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1500")
+    try:
+        df = S.read_csv_split(spark, path, schema)
+        files = len([f for f in os.listdir(path) if f.endswith(".csv")])
+        assert spark.read.text(path).rdd.getNumPartitions() > 3 * files          # more partitions than files
+        assert sorted(map(tuple, df.collect()), key=str) == sorted(rows, key=str)
+        assert S.read_csv_split(spark, path).columns == ["id", "a", "b"]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
 def test_sinks_text_and_keyed(spark, tmp_dir):
     df = spark.createDataFrame([("first text",), ("second\ntext",)], "text string").coalesce(1)
     path = K.write_text_blocks(df, "text", f"{tmp_dir}/blocks")
@@ -175,6 +225,9 @@ def test_sinks_text_and_keyed(spark, tmp_dir):
     keyed = spark.createDataFrame([("article_001.txt", "x")], "filename string, text string")
     out = K.write_keyed_table(keyed, f"{tmp_dir}/articles")
     assert spark.read.parquet(out).first().filename == "article_001.txt"
+    twice = spark.createDataFrame([("f", "old", 1), ("f", "new", 2), ("g", "x", 1)], "filename string, text string, pos int")
+    out = K.write_keyed_table(twice, f"{tmp_dir}/last", order="pos")
+    assert sorted((r.filename, r.text) for r in spark.read.parquet(out).collect()) == [("f", "new"), ("g", "x")]
 
 
 def test_listing_helpers(spark, tmp_dir):
