@@ -68,15 +68,14 @@ def field_mentions(articles: DataFrame, fields=FEED_FIELDS, carry=("source", "au
                    names=("emotion", "emotion_score", "persuasion")) -> DataFrame:
     """Mentions in several text fields of each article, carrying article attributes.
 
-    The fields are unpivoted with ``stack`` (one row per (article, field)),
+    The fields are unpivoted (one row per (article, field)),
     fields without a match are dropped, and - with ``scored`` - emotion and
     modal density are computed once per field text *before* the mentions are
     exploded.  Output: carry..., field, mention_pos, expert, text (stripped
     field text)[, emotion, emotion_score, persuasion].
     """
-    stack = "stack({n}, {pairs}) AS (field, ftext)".format(
-        n=len(fields), pairs=", ".join(f"'{f}', coalesce(`{f}`, '')" for f in fields))
-    long = articles.select(*carry, F.expr(stack))
+    pairs = [F.struct(F.lit(f).alias("field"), F.coalesce(articles[f"`{f}`"], F.lit("")).alias("ftext")) for f in fields]
+    long = articles.select(*carry, F.inline(F.array(*pairs)))
     long = long.withColumn("_m", mentions("ftext", pattern)).filter(F.size("_m") > 0)
     extra = []
     if scored:

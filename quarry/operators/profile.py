@@ -1,7 +1,7 @@
 """Profiling operators over any table.
 
 All aggregates run as one pass with partial (map-side) aggregation; wide
-outputs are turned into long form with ``stack`` on the (tiny) aggregate row,
+outputs are turned into long form on the (tiny) aggregate row,
 never by collecting data to the driver.
 """
 
@@ -18,8 +18,8 @@ NUMERIC_PREFIXES = ("tinyint", "smallint", "int", "bigint", "float", "double", "
 
 
 def _stack_long(row: DataFrame, names: list[str], key: str, value: str) -> DataFrame:
-    pairs = ", ".join(f"'{n}', `{n}`" for n in names)
-    return row.select(F.expr(f"stack({len(names)}, {pairs}) AS ({key}, {value})"))
+    pairs = [F.struct(F.lit(n).alias(key), F.col("`" + n.replace("`", "``") + "`").alias(value)) for n in names]
+    return row.select(F.inline(F.array(*pairs)))
 
 
 def flag_greater(df: DataFrame, col: str, threshold, out: str) -> DataFrame:
@@ -45,13 +45,13 @@ def row_count(df: DataFrame) -> DataFrame:
 
 def missing_counts(df: DataFrame) -> DataFrame:
     """NULL count per column, long form (column_name, n_missing), one pass."""
-    row = df.agg(*[F.count_if(F.col(f"`{c}`").isNull()).alias(c) for c in df.columns])
+    row = df.agg(*[F.count_if(F.col("`" + c.replace("`", "``") + "`").isNull()).alias(c) for c in df.columns])
     return _stack_long(row, df.columns, "column_name", "n_missing")
 
 
 def frame_info(df: DataFrame) -> DataFrame:
     """(column_name, ordinal, dtype, non_null) in one pass."""
-    row = df.agg(*[F.count(F.col(f"`{c}`")).alias(c) for c in df.columns])
+    row = df.agg(*[F.count(F.col("`" + c.replace("`", "``") + "`")).alias(c) for c in df.columns])
     counts = _stack_long(row, df.columns, "column_name", "non_null")
     meta = df.sparkSession.createDataFrame(
         [(c, i + 1, t) for i, (c, t) in enumerate(df.dtypes)], "column_name string, ordinal int, dtype string")

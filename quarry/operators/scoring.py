@@ -106,10 +106,11 @@ class PandasModelScorer:
         if not self.dedupe:
             return (df.withColumn("_s", udf(F.col(text_col)))
                     .withColumns({label_col: F.col("_s.label"), score_col: F.col("_s.score")}).drop("_s"))
-        texts = (df.select(F.col(text_col).alias("_t")).distinct()
-                 .withColumn("_s", udf(F.col("_t")))
+        from quarry.operators.corpus import split_hot_keys
+        keyed = df.withColumn("_t", F.coalesce(F.col(text_col), F.lit("")))      # the model gets '' for NULL
+        texts = (keyed.select("_t").distinct().withColumn("_s", udf(F.col("_t")))
                  .select("_t", F.col("_s.label").alias(label_col), F.col("_s.score").alias(score_col)))
-        return df.join(texts, df[text_col].eqNullSafe(texts["_t"]), "left").drop("_t")
+        return split_hot_keys(keyed, texts, "_t").drop("_t")        # a boilerplate sentence is a hot key
 
 
 def lexicon_sql(text_sql: str, lexicon: dict[str, list[str]] | None = None, neutral: str = NEUTRAL,
