@@ -23,6 +23,7 @@ rows each get the same result; an empty benchmark leaves every document clean.
 from __future__ import annotations
 
 import re
+from functools import cached_property
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -148,6 +149,20 @@ def chunks(item_id, text: str | None, window: int, most: int) -> list[tuple[str,
     return [(name, words[a:a + most], False) for a in range(0, len(words) - window + 1, most - window + 1)]
 
 
+class Block:
+    """Items to match against; their automaton is built where it is first used, once per Python worker."""
+
+    def __init__(self, items: list[tuple[str, list[bytes], bool]], window: int):
+        self.items, self.window = items, window
+
+    def __getstate__(self):
+        return {"items": self.items, "window": self.window}
+
+    @cached_property
+    def automaton(self) -> WordAutomaton:
+        return WordAutomaton(self.items, self.window)
+
+
 def item_blocks(items: DataFrame, window: int, block_chars: int) -> list:
     """Broadcast blocks of items, each bounded."""
     spark = items.sparkSession
@@ -159,13 +174,13 @@ def item_blocks(items: DataFrame, window: int, block_chars: int) -> list:
         part = items if n == 1 else items.where(F.pmod(F.xxhash64(body), F.lit(n)) == b)
         held = [c for r in part.select("item_id", "text").toLocalIterator()
                 for c in chunks(r[0], r[1], window, max(2 * window, block_chars // 8))]
-        out.append(spark.sparkContext.broadcast(held))
+        out.append(spark.sparkContext.broadcast(Block(held, window)))
     return out
 
 
-def _matcher(block, window: int):
+def _matcher(block):
     def start():
-        auto = WordAutomaton(block.value, window)
+        auto = block.value.automaton
 
         def fn(texts):
             out = {"n_words": [], "spans": [], "item_ids": []}
@@ -189,12 +204,12 @@ def find_hits(docs: DataFrame, items: DataFrame, keep: list[str] | None = None,
     keep = docs.columns if keep is None else keep
     blocks = item_blocks(items, window, block_chars)
     if len(blocks) == 1:
-        return attach(docs, keep, ["text"], FIELDS, _matcher(blocks[0], window))
+        return attach(docs, keep, ["text"], FIELDS, _matcher(blocks[0]))
     keyed = docs.select(F.struct(*text_key(docs)).alias("key"), F.struct(*[col(docs, c).alias(c) for c in keep]).alias("row"))
     parts = None
     for block in blocks:
         one = attach(docs.select(F.struct(*text_key(docs)).alias("key"), "text"), ["key"], ["text"], FIELDS,
-                     _matcher(block, window)).select("row.key", "n_words", "spans", "item_ids")
+                     _matcher(block)).select("row.key", "n_words", "spans", "item_ids")
         parts = one if parts is None else parts.unionByName(one)
     merged = parts.groupBy("key").agg(
         F.max("n_words").alias("n_words"),
