@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quarry.llm.common import col, discard, written
 
-PER_GROUP = 4096
+PER_GROUP = 512
 BUCKETS = 1024
 
 
