@@ -777,6 +777,66 @@ def q_article_sink(spark, sf_dir):
     return spark.read.parquet(path)
 
 
+@query("whole_texts", O.with_ctes("SELECT blob || chr(10) AS text FROM d", d=O.bundle("documents", EXPORT_SIZE)))
+def q_whole_texts(spark, sf_dir):
+    """One row per text file, line ends as in text mode (the exports, a file each, some with other line ends)."""
+    from quarry.sources.files import read_whole_texts
+    path = shared_dir(spark, "export_files")
+    Views(spark, sf_dir).dump(EXPORT_SIZE, crlf=True).select("source", "chunk", "blob").write.partitionBy("source", "chunk").text(path)
+    return read_whole_texts(spark, path, "*.txt").select("text")
+
+
+@query("record_separators", O.with_ctes("SELECT body AS record FROM rec", rec=O.REC))
+def q_record_separators(spark, sf_dir):
+    """A bulk export parted by rule lines, read record by record in splits."""
+    from quarry.sources.files import read_dump_records
+    rule = "\n" + "_" * 60 + "\n"
+    path = shared_dir(spark, "records")
+    Views(spark, sf_dir).rec().select("body").write.option("lineSep", rule).text(path)
+    return read_dump_records(spark, path, rule).select("record")
+
+
+@query("glob_union", O.corpus("SELECT textID, wordID, occID FROM tokens"))
+def q_glob_union(spark, sf_dir):
+    """S3: one scan over several globs, one of which matches nothing."""
+    from quarry.operators.catalog import normalise_tokens
+    from quarry.sources.files import scan_union
+    root = shared_dir(spark, "globs")
+    shards = Views(spark, sf_dir).token_shard()
+    for i in range(2):
+        shards.filter(F.col("TextID") % 2 == i).write.parquet(f"{root}/part{i}")
+    return normalise_tokens(scan_union(spark, [f"{root}/part0/*.parquet", f"{root}/none/*.parquet", f"{root}/part1/*.parquet"]))
+
+
+@query("archive_articles", O.with_ctes(
+    f"SELECT url, {OH.get_text('a', ' ')} AS text FROM (SELECT url, {OH.first_element('doc', 'article')} "
+    f"AS a FROM (SELECT url, {OH.clean('html')} AS doc FROM pages WHERE page_id % 5 <> 0) p) x WHERE a IS NOT NULL"))
+def q_archive_articles(spark, sf_dir):
+    """S10, F7, X18 + H4: the pages as web archives (every fifth record no HTML), read back to article texts."""
+    from quarry.sources.archive import archive_article_texts
+    kind = F.when(F.col("page_id") % 5 == 0, "image/png").otherwise("text/html; charset=utf-8")
+    body = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: "), kind, F.lit("\r\n\r\n"), F.coalesce("html", F.lit("")))
+    record = F.concat(F.lit("WARC/1.0\r\nWARC-Type: response\r\nWARC-Target-URI: "), F.col("url"), F.lit("\r\nContent-Length: "),
+                      F.octet_length(body), F.lit("\r\n\r\n"), body)
+    path = shared_dir(spark, "archives")
+    Views(spark, sf_dir).table("pages").select(record.alias("value")).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").text(path)
+    return archive_article_texts(spark, path, glob="*.txt.gz").select("url", "text")
+
+
+@query("model_scores", "SELECT doc_id, CASE WHEN contains(text, 'the') THEN 'joy' ELSE 'neutral' END AS emotion_label, "
+                       "CASE WHEN contains(text, 'the') THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS emotion_score FROM documents")
+def q_model_scores(spark, sf_dir):
+    """A batch model behind the scorer protocol (here a one-word stand-in), run on distinct texts."""
+    import pandas as pd
+
+    def predict(texts):
+        hit = texts.str.contains("the", regex=False)
+        return pd.DataFrame({"label": hit.map({True: "joy", False: "neutral"}), "score": hit.astype(float)})
+    from quarry.operators.scoring import PandasModelScorer
+    docs = Views(spark, sf_dir).table("documents").select("doc_id", "text")
+    return PandasModelScorer(predict).score(docs, "text").select("doc_id", "emotion_label", "emotion_score")
+
+
 # =================================================================== streaming
 @query("stream_mentions", O.with_ctes(
     f"SELECT source, sentence_pos, mention_pos, expert, {_strip('sentence')} AS quote FROM sm",

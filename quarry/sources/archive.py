@@ -130,7 +130,7 @@ def first_archives(spark: SparkSession, root: str, n: int = 5, suffix: str = ".w
     return files.filter(F.col("path").endswith(suffix)).orderBy("path").limit(n)
 
 
-def archive_article_texts(spark: SparkSession, root: str, out: str | None = None) -> DataFrame:
+def archive_article_texts(spark: SparkSession, root: str, out: str | None = None, glob: str = "*.warc*") -> DataFrame:
     """S10 + H4 (+ K4): article text of every HTML response in the archives under ``root``.
 
     Pages without an ``<article>`` are dropped.  With ``out`` the texts are
@@ -138,7 +138,7 @@ def archive_article_texts(spark: SparkSession, root: str, out: str | None = None
     """
     from quarry.operators.pages import article_text
     from quarry.sources.sinks import write_text_blocks
-    texts = article_text(read_warc_html(spark, root), "html", keep=["archive", "record_pos", "url"])
+    texts = article_text(read_warc_html(spark, root, glob), "html", keep=["archive", "record_pos", "url"])
     if out is not None:
         write_text_blocks(texts, "text", out)
     return texts

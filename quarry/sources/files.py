@@ -188,13 +188,13 @@ def _ddl(schema: T.StructType) -> str:
 
 
 def read_whole_texts(spark: SparkSession, folder: str, glob: str = "*.txt") -> DataFrame:
-    """One row per file (filename, text) - the file name is the key.
+    """One row per file under ``folder`` (filename, text) - the file name is the key.
 
     Read as bytes and decoded as UTF-8 (strict, like ``open().read()``), so
     the text is exact but for line ends, which become ``\\n`` as in text mode; the
     ``wholetext`` text source drops a final newline.
     """
-    return (spark.read.format("binaryFile").option("pathGlobFilter", glob).load(folder)
+    return (spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(folder)
             .select(F.col("_metadata.file_name").alias("filename"), universal_newlines(F.decode("content", "UTF-8")).alias("text")))
 
 
