@@ -67,7 +67,8 @@ class _Page:
 
     def box(self, tags: list[str], names: list[str], inside: str) -> str:
         tag, name = self.r.choice(tags), self.r.choice(names)
-        shown = {0: f' class="{name}"', 1: f' id="{name}"', 2: f' class="box {name} clearfix"'}[self.r.choice([0, 0, 0, 1, 1, 2])]
+        shown = self.r.choice([f' class="{name}"'] * 3 + [f' id="{name}"'] * 2 + [f' class="box {name} clearfix"', f' class="{name}-container"',
+                                                                                 f' class="{name}-wrapper col"', f' id="{name}Box"'])
         if tag in ("nav", "header", "footer", "aside", "form") and self.r.random() < 0.5:
             shown = ""
         return f"<{tag}{shown}>{inside}</{tag}>"
@@ -147,7 +148,7 @@ class _Page:
         style = r.choice(["p", "p", "p", "p open", "div", "mixed"])
         out = []
         if r.random() < 0.75:
-            k = r.choice("1112")
+            k = r.choice("11122")
             title = f"<h{k}>{self.main(self.words(2, 10).capitalize() + r.choice(['', '', '.']))}</h{k}>"
             out.append(title if r.random() < 0.85 else f"<header>{title}</header>")
         if r.random() < 0.2:
@@ -165,13 +166,14 @@ class _Page:
                 out.append(f"<div>{body}</div>")
             else:
                 out.append(f"<p>{body}</p>")
-            if r.random() < 0.05:
-                out.append(r.choice([self.advert, self.aside, self.share, self.form, self.notice])())
+            if r.random() < 0.08:
+                out.append(r.choice([self.advert, self.advert, self.aside, self.share, self.form, self.notice])())
         inside = "\n".join(out) if r.random() < 0.5 else "".join(out)
         if r.random() < 0.15:
             inside += r.choice([self.comments, self.share, self.aside])()
         shell = r.choice(["article"] * 5 + ["main", "main", "div content", "div post-content", "div entry-content", "div article-body", "div story",
-                          "section article", "div main", "div text", "div post", "div body", "td content", "div page", "div", "", "div wrapper"])
+                          "section article", "div main", "div text", "div post", "div body", "td content", "div page", "div", "",
+                          "div wrapper", "div col-main", "div main-column", "div main-content"])
         tag, _, name = shell.partition(" ")
         if not tag:
             return inside
