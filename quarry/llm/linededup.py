@@ -24,7 +24,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from quarry.llm.common import attach, col
+from quarry.llm.common import attach, col, written
 from quarry.llm.decontaminate import with_text
 
 TRIMMED = " \t\r\x0b\x0c"
@@ -53,8 +53,9 @@ def covered(docs: DataFrame, width: int = 3) -> DataFrame:
     """Per document with later occurrences: k_id, k_h and the sorted positions where they start."""
     windows = line_windows(docs, width)
     place = F.struct("k_id", "k_h", "pos")
-    repeated = (windows.groupBy("a", "b").agg(F.min(place).alias("first"), F.max(place).alias("last"))
-                .where(~F.col("first").eqNullSafe(F.col("last"))).select("a", "b", "first"))
+    # written, so that the join deals both sides anew and can split a hot window's rows
+    repeated = written(windows.groupBy("a", "b").agg(F.min(place).alias("first"), F.max(place).alias("last"))
+                       .where(~F.col("first").eqNullSafe(F.col("last"))).select("a", "b", "first"), "repeated-windows")
     later = windows.join(repeated, ["a", "b"]).where(~place.eqNullSafe(F.col("first"))).select("k_id", "k_h", "pos")
     return later.groupBy("k_id", "k_h").agg(F.sort_array(F.collect_set("pos")).alias("later"))
 
