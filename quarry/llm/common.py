@@ -3,8 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-import os
-import tempfile
+import io
 import zipfile
 from collections.abc import Callable, Iterator
 from pathlib import Path
@@ -42,18 +41,22 @@ def col(df: DataFrame, name: str) -> Column:
 
 
 def ship(spark: SparkSession) -> None:
-    """Makes this package importable in the Python workers (``addPyFile``, once per context), so that
-    jobs don't depend on the folder they are started in."""
+    """Makes this package importable in the Python workers, so that jobs don't depend on the folder they are
+    started in: its modules as a zip file in the shared folder, added with ``addPyFile`` once per context."""
     sc = spark.sparkContext
     package = Path(__file__).parents[1]
     if getattr(sc, "_quarry_shipped", False) or not package.is_dir():
         return
-    files = sorted(package.rglob("*.py"))
-    mark = hashlib.sha256(b"".join(f.read_bytes() for f in files)).hexdigest()[:12]
-    path = os.path.join(tempfile.mkdtemp(prefix="quarry-ship-"), f"quarry-{mark}.zip")
-    with zipfile.ZipFile(path, "w") as z:
-        for f in files:
+    held = io.BytesIO()
+    with zipfile.ZipFile(held, "w") as z:
+        for f in sorted(package.rglob("*.py")):
             z.write(f, f.relative_to(package.parent))
+    data = held.getvalue()
+    path = f"{shared_dir(spark, 'package')}/quarry-{hashlib.sha256(data).hexdigest()[:12]}.zip"
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target)
+    out.write(bytearray(data))
+    out.close()
     sc.addPyFile(path)
     sc._quarry_shipped = True
 
