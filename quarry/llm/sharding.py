@@ -80,7 +80,8 @@ def shard(docs: DataFrame, keep: list[str] | None = None, shards: int = 16, roun
     n = rows.count()
     quota = [n // shards + (s < n % shards) for s in range(shards)]
     chunk = max(1, n // shards // 2)
-    groups = rows.groupBy("group").agg(F.count("*").alias("members")).where("members > 1")
+    # written, so that the join deals both sides anew and can split a hot group's rows
+    groups = written(rows.groupBy("group").agg(F.count("*").alias("members")).where("members > 1"), "groups")
     linked = (rows.join(groups, "group", "left")
               .withColumn("part", F.when(F.col("members").isNotNull(), F.pmod("u", F.ceil(F.col("members") / chunk))))
               .withColumn("home", F.when(F.col("members").isNotNull(), F.pmod(F.xxhash64("u"), F.lit(shards)).cast("int"))))
