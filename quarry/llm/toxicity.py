@@ -15,7 +15,7 @@ model of the sum of matched weights and of that sum per hundred words.
 Scoring runs over whole texts of all rows, with nothing but the text as input.  Defined results:
 null, empty and word-less texts have no match and get the score of zero weight; repeated rows
 each get the same result; with no labelled rows the lexicon is empty and every score is the
-prior 0; null labels are not learned from.
+prior 0; null labels are not learned from; of labels that contradict each other the toxic one counts.
 """
 
 from __future__ import annotations
@@ -125,7 +125,7 @@ def _independent(sample: DataFrame) -> DataFrame:
 def draw(docs: DataFrame, labels: DataFrame, sample_rows: int = 8000) -> DataFrame:
     """key, text, toxic: about ``sample_rows`` labelled rows, chosen by a hash of the id over all labels.
     The chosen labels are few by that bound and are broadcast; no text is shuffled."""
-    known = labels.select("doc_id", "toxic").where("toxic in (0, 1) and doc_id is not null").distinct()
+    known = labels.where("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     n = known.count()
     part = min(1 << 40, (sample_rows << 40) // max(1, n))
     chosen = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) < part)
