@@ -15,7 +15,7 @@ from pyspark import SparkContext
 from pyspark.sql import SparkSession
 
 #: plan nodes that deal their rows anew
-SHUFFLED = re.compile(r"^[ :+-]*(?:Join|Aggregate|Window|Repartition|RebalancePartitions|Sort|Deduplicate|Distinct|Intersect|Except)\b", re.M)
+SHUFFLED = re.compile(r"^[ :+-]*(?:Join|Aggregate|Window|Repartition|RepartitionByExpression|RebalancePartitions|Sort|GlobalLimit|Deduplicate|Distinct|Intersect|Except)\b", re.M)
 
 DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",

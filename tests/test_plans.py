@@ -1,6 +1,7 @@
 """Physical-plan properties of the catalogue queries (run on the smallest scale factor)."""
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as E
 from quarry.plans.catalogue import QUERIES
@@ -67,3 +68,40 @@ def test_counts_aggregate_before_the_shuffle(spark):
     # a partial aggregate runs below the first hash exchange
     first_exchange = p.rindex("Exchange hashpartitioning")
     assert "HashAggregate" in p[first_exchange:]
+
+
+def test_spread_leaves_dealt_rows_alone(spark):
+    from quarry.session import spread
+    df = spark.range(0, 100, numPartitions=1)
+    for dealt in (df.groupBy("id").count(), df.join(df.withColumnRenamed("id", "k"), df.id == F.col("k")), df.repartition(2, "id"), df.limit(3)):
+        assert spread(dealt) is dealt          # asking for their partitions would run them
+
+
+def test_session_settings(spark):
+    from quarry.session import get_session
+    spark.conf.set("spark.sql.session.timeZone", "Asia/Tokyo")
+    try:
+        assert get_session("local[2]", 3) is spark
+        assert spark.conf.get("spark.sql.session.timeZone") == "Asia/Tokyo"     # an active session keeps its own
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_shared_folder_is_required_off_local_masters(spark, monkeypatch):
+    from quarry import session
+
+    class Cluster:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Fake:
+        sparkContext = Cluster()
+
+        class conf:
+            @staticmethod
+            def get(key, default=None):
+                return default
+    with pytest.raises(RuntimeError):
+        session.shared_dir(Fake())
