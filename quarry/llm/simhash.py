@@ -147,9 +147,10 @@ def report(docs: DataFrame, shingle: int = 4, max_bits: int = 4) -> DataFrame:
 def keep_first(docs: DataFrame, shingle: int = 4, max_bits: int = 4) -> DataFrame:
     """One document of each component: the one of the smallest id (ties: smallest text hash; of
     rows that repeat both, one).  Same columns as ``docs``."""
-    firsts = near_duplicates(docs, shingle, max_bits).select("first").distinct()
+    def key(doc_id, text_hash):  # one value, never null: the join and the grouping share one shuffle of the texts
+        return F.concat(F.when(doc_id.isNull(), F.lit("n")).otherwise(F.concat(F.lit("d"), doc_id.cast("string"))), F.lit(":"), F.hex(text_hash))
+
+    chosen = near_duplicates(docs, shingle, max_bits).select(key(F.col("first.doc_id"), F.col("first.k_h")).alias("key")).distinct()
     nested = docs.select(F.struct(*[col(docs, c).alias(c) for c in docs.columns]).alias("row"),
-                         col(docs, "doc_id").alias("k_id"), F.xxhash64(F.coalesce(col(docs, "text"), F.lit(""))).alias("k_h"))
-    chosen = firsts.select(F.col("first.doc_id").alias("f_id"), F.col("first.k_h").alias("f_h"))
-    return (nested.join(chosen, F.col("k_id").eqNullSafe(F.col("f_id")) & (F.col("k_h") == F.col("f_h")), "left_semi")
-            .groupBy("k_id", "k_h").agg(F.first("row").alias("row")).select("row.*"))
+                         key(col(docs, "doc_id"), F.xxhash64(F.coalesce(col(docs, "text"), F.lit("")))).alias("key"))
+    return nested.join(chosen, "key", "left_semi").groupBy("key").agg(F.first("row").alias("row")).select("row.*")
