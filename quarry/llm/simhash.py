@@ -134,7 +134,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, max_bits: int = 4, segmen
                        "simhash-distinct")
     roots = components(links(distinct.select("fp"), max_bits, segments)).withColumnRenamed("node", "fp")
     of = distinct.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "first")
-    least = of.groupBy("root").agg(F.min("first").alias("first"))
+    # written, so that the join deals both sides anew and can split a large component's rows
+    least = written(of.groupBy("root").agg(F.min("first").alias("first")), "simhash-least")
     return fps.join(of.select("fp", "root").join(least, "root").select("fp", "first"), "fp")
 
 
