@@ -80,14 +80,16 @@ def shard(docs: DataFrame, keep: list[str] | None = None, shards: int = 16, roun
     n = rows.count()
     quota = [n // shards + (s < n % shards) for s in range(shards)]
     chunk = max(1, n // shards // 2)
-    # written, so that the join deals both sides anew and can split a hot group's rows
-    groups = written(rows.groupBy("group").agg(F.count("*").alias("members")).where("members > 1"), "groups")
-    linked = (rows.join(groups, "group", "left")
-              .withColumn("part", F.when(F.col("members").isNotNull(), F.pmod("u", F.ceil(F.col("members") / chunk))))
-              .withColumn("home", F.when(F.col("members").isNotNull(), F.pmod(F.xxhash64("u"), F.lit(shards)).cast("int"))))
-    nodes = linked.where("members is not null").groupBy("group", "part", "home").agg(F.count("*").alias("n"))
-    labels = propagate(nodes, shards, n // shards, rounds).drop("n")
-    labelled = written(linked.join(labels, ["group", "part", "home"], "left")
+    # groups of more than half a shard: at most 2 x shards of them, a bound that makes them safe to broadcast
+    large = rows.groupBy("group").agg(F.count("*").alias("members")).where(F.col("members") > chunk)
+    placed = (rows.join(F.broadcast(large), "group", "left")
+              .withColumn("part", F.coalesce(F.pmod("u", F.ceil(F.col("members") / chunk)), F.lit(0)))
+              .withColumn("home", F.pmod(F.xxhash64("u"), F.lit(shards)).cast("int")))
+    # rows of a group meet only as counts: a large group is a few rows from each task
+    nodes = placed.groupBy("group", "part", "home").agg(F.count("*").alias("n"))
+    linked = nodes.withColumn("members", F.sum("n").over(Window.partitionBy("group"))).where("members > 1").drop("members")
+    labels = propagate(linked, shards, n // shards, rounds).drop("n")
+    labelled = written(placed.join(labels, ["group", "part", "home"], "left")
                        .select("row", "size", "text_crc32", "u", F.coalesce("label", F.lit(-1)).alias("label")), "labelled")
 
     # ranks within a label (-1: unlinked), counted in salted groups
