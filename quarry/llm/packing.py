@@ -22,13 +22,14 @@ how the rows are partitioned.
 from __future__ import annotations
 
 import os
+import re
 import struct
+import unicodedata
 import zlib
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, Window, functions as F
 
 from quarry.llm.common import attach, written
@@ -45,93 +46,109 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 NORMALIZER = 'Sequence(normalizers=[NFC(), Replace(pattern=Regex("\\s+"), content=" "), Lowercase()])'
 SPLITTER = ('Sequence(pretokenizers=[Split(pattern=Regex("\'s|\'t|\'re|\'ve|\'m|\'ll|\'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"), '
             'behavior=Removed, invert=True), ByteLevel(add_prefix_space=False, trim_offsets=True, use_regex=False)])')
-PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
-#: Words of printable ASCII and Latin letters, which no normal form changes
-LATIN = regex.compile("[!-~\u00a1-\u024f]+")
 #: Byte-level alphabet: printable bytes stand for themselves, the others for 256, 257, ...
 SELF = [*range(33, 127), *range(161, 173), *range(174, 256)]
-BYTE_CHARS = {b: chr(b) for b in SELF} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in set(SELF))}
+BYTE_CHARS = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in set(SELF)) if b != 32}
+
+
+def _class(kind: str) -> str:
+    """Latin-1 characters of a general category, as the inside of a byte pattern's brackets."""
+    return "".join(f"\\x{c:02x}" for c in range(256) if unicodedata.category(chr(c)).startswith(kind))
+
+
+BLANK = r"\x09-\x0d\x20\x85\xa0"
+#: the tokenizer's split, over the bytes of a lower-cased Latin-1 text
+RUNS = re.compile(rf"[{_class('L')}]+|[{_class('N')}]|'(?:s|t|re|ve|m|ll|d)|[^{BLANK}{_class('L')}{_class('N')}]+".encode("latin-1"))
+
+
+def latin_runs(text: str) -> list[bytes] | None:
+    """The runs that the tokenizer splits a Latin-1 text into, in lower case as it makes them; None for other
+    texts, whose normal form may differ, and for ones that may hold special tokens, whose case counts."""
+    if "<|" in text:
+        return None
+    try:
+        return RUNS.findall(text.lower().encode("latin-1"))
+    except UnicodeEncodeError:
+        return None
 
 
 class Encoder:
     """Token ids of texts as bytes (little-endian unsigned 32-bit).
 
-    The tokenizer drops white space and joins nothing across it, so a text's ids are its
-    words' ids, and a word's are those of its runs of letters, digits and other signs.  Runs not
-    met before go through the tokenizer's merges many at a time; each ends in a token marked as a
-    word's last, which tells them apart again.  Words and runs met before come from tables
-    that are emptied at ``most`` entries.
+    The tokenizer drops white space and joins nothing across its runs of letters, digits and other
+    signs, so a text's ids are its runs' ids.  Runs not met before go through the tokenizer's merges many
+    at a time; each ends in a token marked as a word's last, which tells them apart again.  Texts beyond
+    Latin-1 are taken word by word, the words through the whole tokenizer.  Runs and words met before come
+    from tables that are emptied at ``most`` entries.
     """
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 500_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer, pre_tokenizers
         self.tokenizer = Tokenizer.from_file(path)
-        self.by_word = (str(self.tokenizer.normalizer), str(self.tokenizer.pre_tokenizer)) == (NORMALIZER, SPLITTER)
+        self.by_run = (str(self.tokenizer.normalizer), str(self.tokenizer.pre_tokenizer)) == (NORMALIZER, SPLITTER)
         self.merges = Tokenizer(self.tokenizer.model)
         self.merges.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
         self.last = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
         self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.most = most
+        self.runs: dict[bytes, bytes] = {}
         self.words: dict[bytes, bytes] = {}
-        self.parts: dict[str, bytes] = {}
 
-    def learn_parts(self, parts: list[str], at_once: int = 500) -> None:
+    def learn_runs(self, runs: list[bytes], at_once: int = 500) -> None:
         """Ids of runs not met before."""
-        lots = [parts[i:i + at_once] for i in range(0, len(parts), at_once)]
-        texts = [" ".join([p if p.isascii() else p.encode().decode("latin-1").translate(BYTE_CHARS) for p in lot]) for lot in lots]
+        lots = [runs[i:i + at_once] for i in range(0, len(runs), at_once)]
+        texts = [b" ".join(lot).decode("latin-1").encode().decode("latin-1").translate(BYTE_CHARS) for lot in lots]
         for lot, e in zip(lots, self.merges.encode_batch_fast(texts, add_special_tokens=False)):
             ids = np.array(e.ids, "<u4")
             ends = np.flatnonzero(self.last[ids]) + 1
             if len(ends) != len(lot) or ends[-1] != len(ids):
                 raise ValueError("the vocabulary does not mark the last token of a word")
             raw, at = ids.tobytes(), 0
-            for p, end in zip(lot, (4 * ends).tolist()):
-                self.parts[p] = raw[at:end]
+            for r, end in zip(lot, (4 * ends).tolist()):
+                self.runs[r] = raw[at:end]
                 at = end
 
-    def learn_words(self, words: set[bytes]) -> None:
-        if len(self.parts) > self.most:
-            self.parts.clear()
-        split: dict[bytes, list[str]] = {}
-        for w in words:
-            text = w.decode()
-            if LATIN.fullmatch(text) and "<|" not in text:
-                lower = text.lower()
-                split[w] = [lower] if lower.isalpha() else PARTS.findall(lower)
-            else:
-                self.words[w] = self.whole(text)
-        known = self.parts
-        self.learn_parts(list({p for ps in split.values() for p in ps if p not in known}))
-        for w, ps in split.items():
-            self.words[w] = known[ps[0]] if len(ps) == 1 else b"".join([known[p] for p in ps])
-
     def whole(self, text: str) -> bytes:
         ids = self.tokenizer.encode(text, add_special_tokens=False).ids
         return struct.pack(f"<{len(ids)}I", *ids)
 
+    def by_word(self, text: str) -> bytes:
+        out = []
+        for w in text.encode().split():  # at ASCII blanks only
+            if (ids := self.words.get(w)) is None:
+                if len(self.words) >= self.most:
+                    self.words.clear()
+                ids = self.words[w] = self.whole(w.decode())
+            out.append(ids)
+        return b"".join(out)
+
     def ids(self, text: str | None) -> bytes:
         return self.many([text])[0]
 
     def many(self, texts: list[str | None], lot: int = 1 << 22) -> list[bytes]:
-        """Ids of texts; words are looked up for about ``lot`` characters of text at a time."""
-        if not self.by_word:
+        """Ids of texts; runs are looked up for about ``lot`` characters of text at a time."""
+        if not self.by_run:
             return [self.whole(t) if t else b"" for t in texts]
-        out, part, size = [], [], 0
-        for i, t in enumerate(texts):
-            part.append(t.encode().split() if t else [])
-            size += len(t or "")
-            if size >= lot or i == len(texts) - 1:
-                new = set().union(*part).difference(self.words)
-                if new:
-                    if len(self.words) + len(new) > self.most:
-                        self.words.clear()
-                        new = set().union(*part)
-                    self.learn_words(new)
-                known = self.words
-                out += [b"".join([known[w] for w in ws]) for ws in part]
-                part, size = [], 0
+        out: list[bytes] = []
+        at = 0
+        while at < len(texts):
+            size, parts = 0, []
+            while at < len(texts) and size < lot:
+                text = texts[at] or ""
+                size += len(text)
+                parts.append(latin_runs(text) if text else [])
+                at += 1
+            new = set().union(*[p for p in parts if p]).difference(self.runs)
+            if len(self.runs) + len(new) > self.most:
+                self.runs.clear()
+                new = set().union(*[p for p in parts if p])
+            if new:
+                self.learn_runs(list(new))
+            known = self.runs
+            out += [self.by_word(texts[at - len(parts) + i]) if p is None else b"".join([known[r] for r in p])
+                    for i, p in enumerate(parts)]
         return out
 
 
