@@ -3,12 +3,11 @@
 A document becomes its token ids and an end id; one longer than a sequence is cut
 into full pieces and a shorter last one.  A piece demands a vector: its tokens, one
 document, and its attention cost (length squared).  Sequences have a capacity in
-each.  Piece lengths are whole numbers up to ``max_tokens``, so the corpus is packed
-by its histogram of lengths (at most ``max_tokens`` counts, whatever the corpus'
-size): bin after bin, the piece of the largest weighted dot product of demand and
-residual (or the one that leaves the smallest residual norm) goes in, as long as it
-fits every capacity; a pair of pieces that fills the bin to the last token is
-preferred.  A finished bin is repeated as often as the histogram allows.
+each.  Pieces are placed longest first, each into the open sequence that holds it in every
+capacity and is left with the smallest weighted residual norm (or has the smallest weighted dot
+product of residual and demand); a new one opens when none does.  Lengths are whole
+numbers up to ``max_tokens``, so this runs on the corpus' histogram of lengths (at most
+``max_tokens`` counts, whatever the corpus' size), with sequences of equal residuals as one class.
 
 The plan says, for each length, which ranks go to which sequence and offset.
 Ranks within a length are counted in salted groups, so a length that a third of
@@ -182,64 +181,72 @@ def pieces(docs: DataFrame, keep: list[str], path: str, max_tokens: int = 4096,
             .select("row", F.explode("pieces").alias("p")).select("row", "p.*"))
 
 
+class _Bins:
+    """Open bins in classes: ``count`` sequences from ``first`` on with the same residual vector."""
+
+    def __init__(self):
+        self.rest, self.count, self.first, self.n = np.zeros((1024, 3), np.int64), np.zeros(1024, np.int64), np.zeros(1024, np.int64), 0
+
+    def add(self, rest: np.ndarray, count: int, first: int) -> None:
+        if count <= 0 or (rest <= 0).any():
+            return
+        if self.n == len(self.count):
+            live = np.flatnonzero(self.count)  # closed classes make room, else there is more of it
+            grow = 2 * len(live) + 1024
+            self.n = len(live)
+            for name in ("rest", "count", "first"):
+                old = getattr(self, name)
+                new = np.zeros((grow, *old.shape[1:]), np.int64)
+                new[:self.n] = old[live]
+                setattr(self, name, new)
+        self.rest[self.n], self.count[self.n], self.first[self.n] = rest, count, first
+        self.n += 1
+
+    def best(self, demand: np.ndarray, caps: np.ndarray, weights: np.ndarray, score: str) -> tuple[np.ndarray, int, int] | None:
+        """Takes out the class that fits the demand in every capacity and fits it best."""
+        fits = np.flatnonzero((self.count[:self.n] > 0) & (self.rest[:self.n] >= demand).all(axis=1))
+        if not len(fits):
+            return None
+        rest, need = self.rest[fits] / caps, demand / caps
+        value = (rest * need * weights).sum(axis=1) if score == "dot" else ((rest - need) ** 2 * weights).sum(axis=1)
+        j = fits[np.argmin(value)]
+        found = self.rest[j].copy(), int(self.count[j]), int(self.first[j])
+        self.count[j] = 0
+        return found
+
+
 def plan(counts: dict[int, int], max_tokens: int = 4096, max_docs: int = 4096, max_attention: int = 4096 ** 2,
-         weights: tuple[float, float, float] = (1.0, 0.1, 0.1), score: str = "dot") -> np.ndarray:
+         weights: tuple[float, float, float] = (1.0, 0.1, 0.1), score: str = "norm") -> np.ndarray:
     """Rows (length, first rank, uses per sequence, first sequence, offset), sorted by length and rank."""
-    lengths = np.array(sorted(counts), np.int64)
-    left = np.array([counts[n] for n in lengths.tolist()], np.int64)
-    if len(lengths) and (lengths[-1] > max_tokens or lengths[-1] ** 2 > max_attention or max_docs < 1):
-        raise ValueError("a piece fits no sequence")
-    caps = np.array([max_tokens, max_docs, max_attention], np.float64)
-    demand = np.stack([lengths, np.ones_like(lengths), lengths ** 2], axis=1)
-    scaled, w = demand / caps, np.array(weights)
-    place = np.full(max_tokens + 1, -1, np.int64)
-    place[lengths] = np.arange(len(lengths))
-    used = np.zeros_like(left)  # ranks of each length given out so far
-    rows, sequence = [], 0
-    while left.any():
-        rest, held, free = np.array([max_tokens, max_docs, max_attention], np.int64), [], left.copy()
-        while rest[0] > 0 and rest[1] > 0:
-            fits = (free > 0) & (demand <= rest).all(axis=1)
-            if not fits.any():
-                break
-            pick = None
-            if held and rest[1] >= 2 and (place[rest[0]] < 0 or not fits[place[rest[0]]]):
-                pick = _closing_pair(lengths, fits, free, place, rest)
-            if pick is None:
-                r = rest / caps
-                value = (scaled * r * w).sum(axis=1) if score == "dot" else -((r - scaled) ** 2 * w).sum(axis=1)
-                pick = [int(np.argmax(np.where(fits, value, -np.inf)))]
-            for i in pick:
-                # the rest of a bin of equal pieces at once
-                n = 1
-                held.append((i, n))
-                free[i] -= n
-                rest -= demand[i]
-        uses: dict[int, int] = {}
-        for i, n in held:
-            uses[i] = uses.get(i, 0) + n
-        times = min(int(left[i]) // n for i, n in uses.items())
-        at = 0
-        for i in sorted(uses, reverse=True):
-            rows.append((int(lengths[i]), int(used[i]), uses[i], sequence, at))
-            at += int(lengths[i]) * uses[i]
-            used[i] += uses[i] * times
-            left[i] -= uses[i] * times
-        sequence += times
+    room = np.array([max_tokens, max_docs, max_attention], np.int64)
+    caps, w, bins = room.astype(float), np.array(weights), _Bins()
+    rows, sequences = [], 0
+    for length in sorted(counts, reverse=True):
+        demand = np.array([length, 1, length * length], np.int64)
+        if (demand > room).any():
+            raise ValueError("a piece fits no sequence")
+        left, used = counts[length], 0
+        while left:
+            found = bins.best(demand, caps, w, score)
+            if found is None:  # no open bin fits: as many new ones as the rest of this length needs
+                found = room, -(-left // int((room // demand).min())), sequences
+                sequences += found[1]
+            rest, n, first = found
+            uses = int((rest // demand).min())  # a bin stays the best for its like until no more fit
+            full = min(n, left // uses)
+            at = int(max_tokens - rest[0])
+            if full:
+                rows.append((length, used, uses, first, at))
+                used, left = used + uses * full, left - uses * full
+                bins.add(rest - uses * demand, full, first)
+            if full < n and 0 < left:  # the last few of this length share one more bin
+                rows.append((length, used, left, first + full, at))
+                bins.add(rest - left * demand, 1, first + full)
+                used, left, full = used + left, 0, full + 1
+            bins.add(rest, n - full, first + full)
     return np.array(sorted(rows), np.int64).reshape(-1, 5)
 
 
-def _closing_pair(lengths, fits, free, place, rest) -> list[int] | None:
-    """Two pieces that fill the tokens left exactly, within the other capacities; the one with the longest piece."""
-    other = rest[0] - lengths
-    ok = fits & (other > 0) & (lengths >= other)
-    mate = np.where(ok, place[np.clip(other, 0, len(place) - 1)], -1)
-    ok &= (mate >= 0) & fits[mate] & (lengths ** 2 + other ** 2 <= rest[2])
-    ok &= (mate != np.arange(len(lengths))) | (free > 1)
-    found = np.flatnonzero(ok)
-    return [int(found[-1]), int(mate[found[-1]])] if len(found) else None
-
-
 def ranked(items: DataFrame, group: str, tie: list[str], per_group: int = 4096) -> DataFrame:
     """``items`` with ``rank``: 0, 1, ... within each value of ``group``, counted in salted groups of
     about ``per_group`` rows at most, so that a frequent value is dealt to many tasks."""
@@ -253,7 +260,7 @@ def ranked(items: DataFrame, group: str, tie: list[str], per_group: int = 4096)
 
 
 def pack(docs: DataFrame, keep: list[str] | None = None, path: str | None = None, max_tokens: int = 4096,
-         max_docs: int = 4096, max_attention: int = 4096 ** 2, score: str = "dot", with_ids: bool = False) -> DataFrame:
+         max_docs: int = 4096, max_attention: int = 4096 ** 2, score: str = "norm", with_ids: bool = False) -> DataFrame:
     """``row``, piece, start, length, ids_crc32, sequence_id and offset of every piece."""
     spark = docs.sparkSession
     cut = written(pieces(docs, docs.columns if keep is None else keep, path or tokenizer_path(), max_tokens,
