@@ -93,8 +93,8 @@ def shard(docs: DataFrame, keep: list[str] | None = None, shards: int = 16, roun
                        .select("row", "size", "text_crc32", "u", F.coalesce("label", F.lit(-1)).alias("label")), "labelled")
 
     # ranks within a label (-1: unlinked), counted in salted groups
-    salts = max(1, -(-n // PER_GROUP))
-    salted = labelled.withColumn("salt", F.pmod("u", F.lit(salts)))
+    salts = max(1, -(-n // PER_GROUP))  # more of them for the unlinked rows, the largest class
+    salted = labelled.withColumn("salt", F.pmod("u", F.when(F.col("label") < 0, 4 * salts).otherwise(salts)))
     base = (salted.groupBy("label", "salt").agg(F.count("*").alias("c"))
             .withColumn("base", F.sum("c").over(Window.partitionBy("label").orderBy("salt")) - F.col("c")).drop("c"))
     ranked = (salted.withColumn("own", F.row_number().over(Window.partitionBy("label", "salt").orderBy("u")) - 1)
