@@ -7,10 +7,10 @@ Learning, on a bounded sample of labelled rows: near copies in the sample are dr
 that share a third of their five-word shingles with an earlier one); word beginnings of
 ``STEM`` letters and whole words are counted per label; an entry is kept if it is toxic
 significantly too often for chance (binomial, corrected for the number of candidates)
-and mostly toxic.  Its weight is its smoothed log-odds.  An entry with a shorter entry inside is
-dropped.  Contexts (a matched word with the word before it or after it) that only occur in
+and mostly toxic.  Its weight is its smoothed log-odds.  Of entries that begin each other only the
+heaviest stays, of equal ones the shortest.  Contexts (a matched word with the word before it or after it) that only occur in
 rows labelled clean become exception phrases: matches inside them don't count.  Score: a logistic
-model of the sum of matched weights and of that sum per hundred words.
+model of the sum of matched weights, of that sum per hundred words, and of the matches after the first.
 
 Scoring runs over whole texts of all rows, with nothing but the text as input.  Defined results:
 null, empty and word-less texts have no match and get the score of zero weight; repeated rows
@@ -64,7 +64,7 @@ def fold(text: str | None) -> str:
 class Lexicon:
     """Entries (`` stem`` or `` word ``) with weights, exception phrases, and the score's coefficients."""
 
-    def __init__(self, weights: dict[str, float], exceptions: list[str] = (), beta: tuple = (-30.0, 0.0, 0.0)):
+    def __init__(self, weights: dict[str, float], exceptions: list[str] = (), beta: tuple = (-30.0, 0.0, 0.0, 0.0)):
         self.weights, self.exceptions, self.beta = weights, list(exceptions), tuple(beta)
         self.machine = None
 
@@ -89,14 +89,16 @@ class Lexicon:
             hits = [(a, e) for a, e in hits if not any(b <= a and a + len(e) <= b + len(p) for b, p in safe)]
         return hits
 
-    def features(self, folded: str) -> tuple[float, float]:
-        """Sum of the matched weights, and that sum per hundred words, both damped."""
-        total = sum(self.weights[e] for _, e in self.find(folded))
-        return float(np.log1p(total)), float(np.log1p(100 * total / max(1, folded.count(" ") - 1)))
+    def features(self, folded: str) -> tuple[float, float, float]:
+        """Sum of the matched weights, that sum per hundred words, and the matches after the first, all damped."""
+        hits = self.find(folded)
+        total = sum(self.weights[e] for _, e in hits)
+        return (float(np.log1p(total)), float(np.log1p(100 * total / max(1, folded.count(" ") - 1))),
+                float(np.log1p(max(0, len(hits) - 1))))
 
     def score(self, folded: str) -> float:
-        a, b = self.features(folded)
-        return float(1 / (1 + np.exp(-np.clip(self.beta[0] + self.beta[1] * a + self.beta[2] * b, -30, 30))))
+        x = self.beta[0] + sum(b * f for b, f in zip(self.beta[1:], self.features(folded)))
+        return float(1 / (1 + np.exp(-np.clip(x, -30, 30))))
 
 
 def held_out(id_col: Column, folds: int = 4, fold: int = 2) -> Column:
@@ -153,22 +155,24 @@ def learn(drawn: DataFrame, chance: float = 0.01, least_share: float = 0.7) -> L
 
     seen = (map_batches(sample.select("folded", "toxic"), entries, "entry string, toxic int").groupBy("entry")
             .agg(F.sum("toxic").cast("long").alias("t"), F.count("*").alias("n")).where("t >= 3"))
-    by_size = {}
+    scored = []
     found = seen.where(F.col("t") >= least_share * F.col("n")).toLocalIterator()
     tried = max(1, seen.count())
     base = toxic / (toxic + clean)
     for r in found:
         if tried * _tail(r.t, r.n, base) < chance:
-            by_size.setdefault(len(r.entry.rstrip()), []).append((r.entry, r.t, r.n - r.t))
+            odds = float(np.log((r.t + 0.5) / (toxic + 1)) - np.log((r.n - r.t + 0.5) / (clean + 1)))
+            scored.append((-round(odds, 9), len(r.entry), r.entry))
     weights: dict[str, float] = {}
-    for length in sorted(by_size):  # the shortest entry stands for those it begins
-        for entry, t, c in sorted(by_size[length], reverse=True):
-            if not any(entry[:k] in weights for k in range(2, len(entry))):
-                weights[entry] = float(np.log((t + 0.5) / (toxic + 1)) - np.log((c + 0.5) / (clean + 1)))
+    begun: set[str] = set()  # beginnings of the entries taken
+    for odds, _, entry in sorted(scored):  # the heaviest of entries that begin each other stands for them, the shortest of equals
+        if entry not in begun and not any(entry[:k] in weights for k in range(2, len(entry))):
+            weights[entry] = -odds
+            begun.update(entry[:k] for k in range(2, len(entry)))
     lexicon = Lexicon(weights)
     lexicon = Lexicon(weights, _exceptions(sample, lexicon))
-    points = _features(sample, lexicon, ["toxic"]).select("row.toxic", "a", "b").toArrow()  # about sample_rows numbers
-    lexicon.beta = _logistic(np.stack([points["a"].to_numpy(), points["b"].to_numpy()], axis=1), points["toxic"].to_numpy())
+    points = _features(sample, lexicon, ["toxic"]).select("row.toxic", "x").toArrow()  # about sample_rows rows of numbers
+    lexicon.beta = _logistic(np.array(points["x"].to_pylist()), points["toxic"].to_numpy())
     return lexicon
 
 
@@ -202,16 +206,15 @@ def _exceptions(sample: DataFrame, lexicon: Lexicon, least: int = 2) -> list[str
 def _features(sample: DataFrame, lexicon: Lexicon, keep: list[str]) -> DataFrame:
     def start():
         def fn(folded):
-            got = [lexicon.features(f) for f in folded]
-            return {"a": [g[0] for g in got], "b": [g[1] for g in got]}
+            return {"x": [lexicon.features(f) for f in folded]}
         return fn
-    return attach(sample, keep, ["folded"], "a double, b double", start)
+    return attach(sample, keep, ["folded"], "x array<double>", start)
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, steps: int = 50) -> tuple:
     """Ridge logistic regression by Newton steps."""
     x = np.column_stack([np.ones(len(x)), x])
-    beta, penalty = np.zeros(x.shape[1]), ridge * np.diag([1e-3, 1, 1])
+    beta, penalty = np.zeros(x.shape[1]), ridge * np.diag([1e-3, *[1] * (x.shape[1] - 1)])
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
         step = np.linalg.solve((x * (p * (1 - p) + 1e-9)[:, None]).T @ x + penalty, x.T @ (y - p) - penalty @ beta)

@@ -296,7 +296,7 @@ def test_toxicity_held_out(spark):
 def test_folding_and_exceptions():
     assert toxicity.fold("Ｉ𝗗1ОТ! st0pid​, 42 a$$et 3asy") == " idiot stopid asset easy "
     assert toxicity.fold(None) == toxicity.fold("12 !!") == " "
-    lex = toxicity.Lexicon({" grumbik": 2.0, " scum ": 1.0}, [" grumbikal "], (-2.0, 2.0, 0.1))
+    lex = toxicity.Lexicon({" grumbik": 2.0, " scum ": 1.0}, [" grumbikal "], (-2.0, 2.0, 0.1, 0.0))
     assert [e for _, e in lex.find(" grumbiks scum scumm grumbikal ")] == [" grumbik", " scum "]
     assert lex.score(toxicity.fold("you GRUMB1Kx")) > 0.3 > lex.score(toxicity.fold("the grumbikal"))
 
