@@ -1,7 +1,5 @@
 """Ledger checks for the text helpers (Python semantics reproduced in Spark)."""
 
-import re
-
 import pytest
 from pyspark.sql import functions as F
 from pyspark.errors import NumberFormatException
@@ -14,17 +12,18 @@ def one(spark, col, value, schema="s string"):
     return spark.createDataFrame([(value,)], schema).select(col.alias("r")).first()["r"]
 
 
-SAMPLES = ["Grüße aus Köln, señor_1 — ça va?", "naïve café 12ab", "東京 タワー x_y", "a b\tc"]
-
-
-@pytest.mark.parametrize("s", SAMPLES)
-def test_words_match_python_unicode_w(spark, s):                     # T1
-    assert one(spark, X.words(F.col("s")), s) == re.findall(r"\w+", s)
+@pytest.mark.parametrize("s, want", [                                 # T1
+    ("Grüße aus Köln, señor_1 — ça va?", ["Grüße", "aus", "Köln", "señor_1", "ça", "va"]),
+    ("naïve café 12ab", ["naïve", "café", "12ab"]), ("東京 タワー x_y", ["東京", "タワー", "x_y"]), ("a b\tc", ["a", "b", "c"])])
+def test_words_are_unicode(spark, s, want):
+    assert one(spark, X.words(F.col("s")), s) == want
 
 
-@pytest.mark.parametrize("s", ["One. Two!  Three? four", "Mr. Cole said. Next.", "end. ", "x.\x1cy"])
-def test_sentences_match_python_split(spark, s):                      # T2
-    assert one(spark, X.sentences(F.col("s")), s) == re.split(r"(?<=[\.!?])\s+", s)
+@pytest.mark.parametrize("s, want", [                                 # T2
+    ("One. Two!  Three? four", ["One.", "Two!", "Three?", "four"]), ("Mr. Cole said. Next.", ["Mr.", "Cole said.", "Next."]),
+    ("end. ", ["end.", ""]), ("x.\x1cy", ["x.", "y"])])
+def test_sentences_end_at_any_white_space(spark, s, want):
+    assert one(spark, X.sentences(F.col("s")), s) == want
 
 
 @pytest.mark.parametrize("s", ["  a b \n", " x ", "\x1cy\x1f", "", "\t"])
@@ -49,10 +48,9 @@ def test_density_rounds_half_up(spark):                               # T6 (docu
     assert one(spark, X.term_density(F.col("s")), text) == 0.063
 
 
-def test_mentions_match_python(spark):
-    s = "Dr Ann Lee met Prof. Bo Ek, Professor Ida Moss and Mrs Kim. DrX Yz. Mr Ray."
-    pat = r"\b(?:Dr|Prof|Professor|Mr|Ms|Mrs)\.?\s+[A-Z][a-z]+(?:\s+[A-Z][a-z]+)*"
-    assert one(spark, X.mentions(F.col("s")), s) == re.findall(pat, s)
+def test_mentions_rows(spark):
+    s = "Dr Ann Lee met Prof. Bo Ek, Professor Ida Moss and Mrs Kim. DrX Yz. Mr Ray."
+    assert one(spark, X.mentions(F.col("s")), s) == ["Dr Ann Lee", "Prof. Bo Ek", "Professor Ida Moss", "Mrs Kim", "Mr Ray"]
 
 
 def test_first_int_raises_without_digits(spark):                      # X8 / T22
