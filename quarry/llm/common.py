@@ -72,21 +72,28 @@ def attach(docs: DataFrame, keep: list[str], reads: list[str], fields: str | T.S
     that no name of theirs can clash) and the new ``fields``.
 
     ``start()`` runs once per task and returns ``fn``; ``fn(*lists)`` gets the ``reads``
-    columns of an Arrow batch as Python lists and returns the fields' values by name.
+    columns of an Arrow batch as Python lists and returns the fields' values by name.  A name
+    ``a.b`` reads field b of the kept struct a, which is not sent twice.
     The work is row-local: no shuffle, one batch in memory.
     """
     new = fields if isinstance(fields, T.StructType) else T._parse_datatype_string(fields)
-    more = [c for c in reads if c not in keep]
+    more = [c for c in reads if c not in keep and c.split(".")[0] not in keep]
     nested = docs.select(F.struct(*[col(docs, c).alias(c) for c in keep]).alias("row"),
                          *[col(docs, c).alias(f"in_{c}") for c in more])
     schema = T.StructType([nested.schema["row"], *new.fields])
     arrow = to_arrow_schema(schema)
 
+    def inside(row: pa.StructArray, name: str) -> pa.Array:
+        if name in keep:
+            return row.field(name)
+        outer, inner = name.split(".")
+        return row.field(outer).field(inner)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fn = start()
         for batch in batches:
             row = batch.column(0)
-            out = fn(*[(batch.column(f"in_{c}") if c in more else row.field(c)).to_pylist() for c in reads])
+            out = fn(*[(batch.column(f"in_{c}") if c in more else inside(row, c)).to_pylist() for c in reads])
             yield pa.RecordBatch.from_arrays(
                 [row.cast(arrow.field(0).type), *[pa.array(out[f.name], type=f.type) for f in list(arrow)[1:]]],
                 schema=arrow)

@@ -84,9 +84,10 @@ def dedup(docs: DataFrame, width: int = 3, keep: list[str] | None = None) -> Dat
     """``row`` (the kept columns), new_text, n_lines (those with more than blanks) and n_removed."""
     keep = docs.columns if keep is None else keep
     spots = covered(docs, width).withColumnsRenamed({"k_id": "s_id", "k_h": "s_h"})
-    nested = docs.select(*_key(docs), F.struct(*[col(docs, c).alias(c) for c in keep]).alias("row"), col(docs, "text").alias("text"))
+    text = [] if "text" in keep else [col(docs, "text").alias("text")]
+    nested = docs.select(*_key(docs), F.struct(*[col(docs, c).alias(c) for c in keep]).alias("row"), *text)
     joined = nested.join(spots, F.col("k_id").eqNullSafe(F.col("s_id")) & (F.col("k_h") == F.col("s_h")), "left")
-    return (attach(joined, ["row"], ["text", "later"], "new_text string, n_lines long, n_removed long", _without(width))
+    return (attach(joined, ["row"], ["text" if text else "row.text", "later"], "new_text string, n_lines long, n_removed long", _without(width))
             .select("row.row", "new_text", "n_lines", "n_removed"))
 
 
