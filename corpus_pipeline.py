@@ -24,7 +24,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents; lines under later occurrences of a three-line window are cut from their texts."""
+    """All documents; lines under later occurrences of a three-line window, or of one or two lines of over 50 words,
+    are cut from their texts."""
     return linededup.remove_lines(docs)
 
 

@@ -142,6 +142,17 @@ def test_every_line_survives_somewhere(spark):
     assert sorted(out) == sorted(want)
 
 
+def test_long_lines_repeat_between_other_lines_and_in_short_texts(spark):
+    def words(n, mark):
+        return " ".join(f"{mark}{i}" for i in range(n))
+    long, half, other = words(51, "a"), words(26, "b"), words(25, "c")
+    texts = [long, f"{long} ", f"x\n{long}\ny", f"{half}\n{other}", f"u\n{half}\n \n{other}\nv", f"p\n{half}\nq", words(50, "d"), words(50, "d"),
+             f"{long}\n{long}", None, ""]
+    want = [long, "", "x\ny", f"{half}\n{other}", "u\n \nv", f"p\n{half}\nq", words(50, "d"), words(50, "d"), "", None, ""]
+    got = {x.doc_id: x.text for x in linededup.remove_lines(docs(spark, list(enumerate(texts)))).collect()}
+    assert [got[i] for i in range(len(texts))] == want
+
+
 def test_encoder_equals_the_tokenizer():
     e = packing.Encoder(packing.tokenizer_path(), most=50)
     r = random.Random(5)
