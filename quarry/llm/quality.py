@@ -6,6 +6,12 @@ counted; the cascade then runs the rules in falling order of rejections per
 second and stops at the first one that rejects.  The order changes the work,
 never the verdict: a document is kept if no rule rejects it.
 
+``RULES`` is the set that the query's SQL states; it counts capitals over A-Z and a-z
+only.  ``CORPUS_RULES``, the pipeline's set, counts them over all letters and bounds the
+length of words only by what is not of a script written without blanks; the two agree on
+ASCII texts.  The contract's base rule of 20 words holds in both, so an unspaced text
+needs 20 runs between blanks.
+
 Defined results: null, empty and blank texts have no words and are rejected
 (too few words); repeated rows each get the same verdict; an empty table gives
 an empty result; very long texts are handled whole, one batch at a time.
@@ -13,6 +19,7 @@ an empty result; very long texts are handled whole, one batch at a time.
 
 from __future__ import annotations
 
+import re
 import time
 from collections import Counter
 from collections.abc import Callable
@@ -27,6 +34,12 @@ SYMBOLS = b"#*$%&|<>"
 UPPER = bytes(range(65, 91))
 LOWER = bytes(range(97, 123))
 WINDOW = 8
+ASCII = re.compile("[\\x00-\\x7f]+")
+#: Scripts that don't part words by blanks, with their punctuation: Thai, Lao, Tibetan, Myanmar, Khmer, Tai, Balinese,
+#: Javanese, Yi, kana, Bopomofo, Han, full-width forms.
+UNSPACED = ((0x0E00, 0x109F), (0x1780, 0x17FF), (0x1950, 0x19FF), (0x1A20, 0x1AAF), (0x1B00, 0x1B7F), (0x2E80, 0x312F),
+            (0x3190, 0x4DBF), (0x4E00, 0xA4CF), (0xA980, 0xA9FF), (0xAA60, 0xAADF), (0xF900, 0xFAFF), (0xFE30, 0xFE4F),
+            (0xFF00, 0xFFEF), (0x1AFF0, 0x1B16F), (0x20000, 0x3FFFF))
 
 
 class Features:
@@ -66,6 +79,23 @@ class Features:
     def n_lower(self) -> int:
         return self.count(LOWER)
 
+    @cached_property
+    def wide(self) -> Counter:
+        """Characters beyond ASCII."""
+        return Counter() if len(self.raw) == len(self.text) else Counter(ASCII.sub("", self.text))
+
+    @cached_property
+    def n_letters(self) -> int:
+        return self.n_upper + self.n_lower + sum(n for c, n in self.wide.items() if c.isalpha())
+
+    @cached_property
+    def n_capitals(self) -> int:
+        return self.n_upper + sum(n for c, n in self.wide.items() if c.isalpha() and c.isupper())
+
+    @cached_property
+    def n_unspaced(self) -> int:
+        return sum(n for c, n in self.wide.items() if c >= "\u0e00" and any(a <= ord(c) <= b for a, b in UNSPACED))
+
     @cached_property
     def lines(self) -> list[bytes]:
         """The \\n-split lines that hold a word."""
@@ -121,6 +151,13 @@ RULES: tuple[Rule, ...] = (
     ("duplicate_lines", lambda f: 10 * f.n_dup_lines > 6 * len(f.lines)),
 )
 
+#: The same for texts of every script.
+_WIDE: dict[str, Callable[[Features], bool]] = {
+    "capitals": lambda f: 2 * f.n_capitals > f.n_letters,
+    "word_length": lambda f: f.word_chars < 2 * f.n_words or f.word_chars - f.n_unspaced > 40 * f.n_words,
+}
+CORPUS_RULES: tuple[Rule, ...] = tuple((name, _WIDE.get(name, rejects)) for name, rejects in RULES)
+
 
 def measure(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = 2000) -> list[dict]:
     """Per rule: rows of the sample, rejections, and seconds with all features computed afresh.

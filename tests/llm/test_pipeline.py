@@ -103,6 +103,20 @@ def test_run_by_brute_force(spark, tree):
         assert [o for o, _ in own] == [sum(n for _, n in own[:k]) for k in range(len(own))] and sum(n for _, n in own) <= 4096
 
 
+def test_quality_stage_judges_every_script(spark, tree):
+    russian = "Документ о порте USB " + " ".join(f"это обычное слово номер{'абвгдежз'[i % 8]}" for i in range(8))
+    good = [russian, russian.replace("USB", "NATO"),
+            "यह एक साफ दस्तावेज है USB " + " ".join(f"शब्द{'कखगघङचछज'[i % 8]}{'टठडढण'[i % 5]}" for i in range(24)),
+            "。 ".join("".join(chr(0x4E00 + (i * 61 + j * 7) % 9000) for j in range(45)) for i in range(24)) + " USB",
+            " ".join("".join(chr(0x0E01 + (i * 5 + j * 3) % 46) for j in range(50)) for i in range(24)),
+            "ordinary words of a plain and clean English text that goes on for long enough to hold more than twenty different words here"]
+    bad = [russian.upper(), good[-1].upper(), " ".join("x" * (60 + i) for i in range(24)),
+           " ".join(chr(0x430 + i) * 60 for i in range(24)), "。 " * 30]
+    df = spark.createDataFrame([(i, t, "", "", 0, "", 0) for i, t in enumerate(good + bad)], SCHEMA)
+    kept = corpus_pipeline.STAGES[0][1](spark, df, tree)
+    assert sorted(r.doc_id for r in kept.collect()) == list(range(len(good)))
+
+
 def test_stages_keep_columns_and_empty_tables(spark, tree):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality rules", "line dedup", "near dedup", "decontamination", "best-fit packing"]
     empty = spark.createDataFrame([], SCHEMA)
