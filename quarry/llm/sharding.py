@@ -1,17 +1,22 @@
 """Sharding by balanced label propagation.
 
 Linked documents are those of equal texts.  Every document starts in a shard dealt by
-hash.  In each round, every group of linked documents looks at how many of its members
-each shard holds and asks to gather in the fullest one that has room for the rest;
-requests to a shard are granted, large groups first, while they fit its quota.  A shard's
-quota for linked documents is its share of all rows, so the unlinked documents, which no
-move can cut, then fill every shard up to its exact count: the law is ``rows``, counts at
+hash.  In each round, every group of linked documents that is still cut looks at how many
+of its members each shard holds and asks to gather in the fullest one that has room for all of it;
+requests to a shard are granted, large groups first, while they fit its quota.  Only groups
+that are whole take up room, so those still cut never block each other, however many rows are
+linked.  The first half of the rounds is for large groups.  What the rounds leave is laid end to end over the
+room left: at most one group per end of a shard's room doesn't fit, and those are fitted
+one by one, largest first; only what fits nowhere whole is cut.  A shard's
+quota for linked documents is its exact count, so the unlinked documents, which no
+move can cut, then fill every shard up to it: the law is ``rows``, counts at
 most one apart.  Members of a group in the same shard always move alike, so the rounds run
-on counts per (group, shard), not on documents or pairs; a group larger than half a shard
+on counts per (group, shard), not on documents or pairs; a group larger than a shard
 is handled as several.
 
 All of it is DataFrame operations.  Ranks are counted in salted groups.  What reaches the
-driver is one row per shard.
+driver is one row per shard, and for the groups at the ends of rooms, at most one per
+shard, one row per shard they start in.
 
 Defined results: a null text is an empty one; repeated rows are documents of their own
 (each gets a row-unique number when the table is written); an empty table gives no rows;
@@ -37,34 +42,101 @@ def _loads(df: DataFrame, label: str, n: str, shards: int) -> list[int]:
     return [int(got.get(s) or 0) for s in range(shards)]
 
 
-def propagate(nodes: DataFrame, shards: int, quota: int, rounds: int = 12) -> DataFrame:
+def _bucket(salt: Column) -> Column:
+    """Large parts first, in buckets that hold few of one size."""
+    return (F.lit(64) - F.floor(F.log2("total"))) * BUCKETS + F.pmod(F.xxhash64("group", "part", salt), F.lit(BUCKETS))
+
+
+def _moved(state: DataFrame, moves: DataFrame, on: list[str]) -> DataFrame:
+    """``state`` with the label ``to`` of ``moves``, written; the table before it is deleted."""
+    new = written(state.join(moves, on, "left").withColumn("label", F.coalesce("to", "label")).drop("to"), "labels")
+    discard(state)
+    return new
+
+
+def _free(state: DataFrame, quota: list[int]) -> tuple[DataFrame, list[int]]:
+    """Rows of every part per label (m, total), and the room that whole parts leave in every shard."""
+    held = state.groupBy("group", "part", "label").agg(F.sum("n").alias("m"), F.first("total").alias("total"))
+    load = _loads(held.where("m = total"), "label", "m", len(quota))
+    return held, [max(0, q - x) for q, x in zip(quota, load)]
+
+
+def propagate(nodes: DataFrame, quota: list[int], rounds: int = 12) -> DataFrame:
     """nodes (group, part, home, n): rows of a group part that start in shard ``home``.
-    Returns them with ``label``, the shard they end in; no shard's total exceeds ``quota``
-    unless it did at the start."""
+    Returns them with ``label``, the shard they end in, or -1 for rows that fill up like unlinked ones;
+    no shard's total exceeds its quota unless that of its whole parts did at the start."""
     key = ["group", "part"]
-    state = written(nodes.withColumn("label", F.col("home")), "labels")
+    sizes = nodes.groupBy(*key).agg(F.sum("n").alias("total"))
+    state = written(nodes.join(sizes, key).withColumn("label", F.col("home")), "labels")
+    large = max(quota) // 16
     for turn in range(rounds):
-        held = state.groupBy(*key, "label").agg(F.sum("n").alias("m"))
-        total = state.groupBy(*key).agg(F.sum("n").alias("total"), F.countDistinct("label").alias("shards")).where("shards > 1")
-        load = _loads(state, "label", "n", shards)
-        free = [max(0, quota - x) for x in load]
-        asked = (held.join(total, key).withColumn("need", F.col("total") - F.col("m"))
-                 .where(F.col("need") <= _pick(free, F.col("label")))
-                 .groupBy(*key).agg(F.max(F.struct("m", F.xxhash64("group", "part", "label").alias("tie"), "label", "need")).alias("best"))
-                 .select(*key, F.col("best.label").alias("to"), F.col("best.need").alias("need"))
-                 .withColumn("bucket", (F.lit(64) - F.floor(F.log2("need"))) * BUCKETS
-                             + F.pmod(F.xxhash64("group", "part", F.lit(turn)), F.lit(BUCKETS))))
+        if turn == rounds // 2:
+            large = 0
+        held, free = _free(state, quota)
+        asked = (held.where((F.col("m") < F.col("total")) & (F.col("total") >= large) & (F.col("total") <= _pick(free, F.col("label"))))
+                 .groupBy(*key).agg(F.max(F.struct("m", F.xxhash64("group", "part", "label").alias("tie"), "label", "total")).alias("best"))
+                 .select(*key, F.col("best.label").alias("to"), F.col("best.total").alias("total"))
+                 .withColumn("bucket", _bucket(F.lit(turn))))
         asked = written(asked, "asked")
-        granted = (asked.groupBy("to", "bucket").agg(F.sum("need").alias("need"))
+        granted = (asked.groupBy("to", "bucket").agg(F.sum("total").alias("need"))
                    .withColumn("upto", F.sum("need").over(Window.partitionBy("to").orderBy("bucket")))
                    .where(F.col("upto") <= _pick(free, F.col("to"))).select("to", "bucket"))
         moves = asked.join(granted, ["to", "bucket"]).select(*key, "to")
-        if moves.isEmpty():
-            discard(asked)
-            break
-        old, state = state, written(state.join(moves, key, "left").withColumn("label", F.coalesce("to", "label")).drop("to"), "labels")
-        discard(old)
+        none = moves.isEmpty()
+        if not none:
+            state = _moved(state, moves, key)
         discard(asked)
+        if none and not large:
+            break
+        if none:
+            large = 0
+    return _laid(state, quota)
+
+
+def _laid(state: DataFrame, quota: list[int]) -> DataFrame:
+    """``state`` with a label for every part still cut: laid end to end over the room left, then fitted."""
+    key = ["group", "part"]
+    held, free = _free(state, quota)
+    cut = held.where("m < total").select(*key, "total").distinct().withColumn("bucket", _bucket(F.lit(-1)))
+    cut = written(cut, "cut")
+    if cut.isEmpty():
+        discard(cut)
+        return state
+    order = sorted(range(len(free)), key=lambda s: -free[s])
+    ends = [sum(free[s] for s in order[:k + 1]) for k in range(len(order))]
+    base = (cut.groupBy("bucket").agg(F.sum("total").alias("t"))
+            .withColumn("base", F.sum("t").over(Window.orderBy("bucket")) - F.col("t")).drop("t"))
+    end = F.col("base") + F.sum("total").over(Window.partitionBy("bucket").orderBy("group", "part").rowsBetween(Window.unboundedPreceding, 0))
+    spot = sum((F.when(F.col("end") - F.col("total") >= e, 1).otherwise(0) for e in ends[:-1]), F.lit(0))
+    laid = (cut.join(base, "bucket").withColumn("end", end).withColumn("spot", spot)
+            .withColumn("fits", F.col("end") <= _pick(ends, F.col("spot"))))
+    laid = written(laid.select(*key, "total", F.when(F.col("fits"), _pick(order, F.col("spot"))).alias("to")), "laid")
+    state = _moved(state, laid.where("to is not null").select(*key, "to"), key)
+    used = _loads(laid.where("to is not null"), "to", "total", len(quota))
+    free = [f - u for f, u in zip(free, used)]
+
+    # at most one part per end of a room; so its rows here are at most one per pair of shards
+    rest = laid.where("to is null").select(*key, F.col("total").alias("size"))
+    nodes = state.join(F.broadcast(rest), key).select(*key, "home", "n", "size").collect()
+    parts: dict = {}
+    for r in nodes:
+        parts.setdefault((r["size"], tuple(r["group"]), r["part"]), []).append((r["n"], r["home"]))
+    to = []
+    for (size, group, part), own in sorted(parts.items(), reverse=True):
+        fit = [s for s in range(len(free)) if free[s] >= size]
+        whole = min(fit, key=lambda s: free[s]) if fit else None  # the tightest room
+        for n, home in sorted(own, reverse=True):
+            room = sorted((s for s in range(len(free)) if free[s] >= n), key=lambda s: -free[s])
+            at = whole if fit else next((t for g, p, _, t in reversed(to) if (g, p) == (group, part) and t in room), room[0] if room else -1)
+            to.append((group, part, home, at))
+            if at >= 0:
+                free[at] -= n
+    if to:
+        rows = [F.struct(F.struct(F.lit(g[0]).alias("a"), F.lit(g[1]).alias("b")).alias("group"), F.lit(p).cast(state.schema["part"].dataType).alias("part"),
+                         F.lit(h).alias("home"), F.lit(t).alias("to")) for g, p, h, t in to]
+        state = _moved(state, F.broadcast(state.sparkSession.range(1).select(F.inline(F.array(*rows)))), [*key, "home"])
+    discard(cut)
+    discard(laid)
     return state
 
 
@@ -79,8 +151,8 @@ def shard(docs: DataFrame, keep: list[str] | None = None, shards: int = 16, roun
         F.xxhash64(F.monotonically_increasing_id()).alias("u")), "rows")
     n = rows.count()
     quota = [n // shards + (s < n % shards) for s in range(shards)]
-    chunk = max(1, n // shards // 2)
-    # groups of more than half a shard: at most 2 x shards of them, a bound that makes them safe to broadcast
+    chunk = max(1, n // shards)
+    # groups of more than a shard: fewer than shards of them, a bound that makes them safe to broadcast
     large = rows.groupBy("group").agg(F.count("*").alias("members")).where(F.col("members") > chunk)
     placed = (rows.join(F.broadcast(large), "group", "left")
               .withColumn("part", F.coalesce(F.pmod("u", F.ceil(F.col("members") / chunk)), F.lit(0)))
@@ -88,7 +160,7 @@ def shard(docs: DataFrame, keep: list[str] | None = None, shards: int = 16, roun
     # rows of a group meet only as counts: a large group is a few rows from each task
     nodes = placed.groupBy("group", "part", "home").agg(F.count("*").alias("n"))
     linked = nodes.withColumn("members", F.sum("n").over(Window.partitionBy("group"))).where("members > 1").drop("members")
-    labels = propagate(linked, shards, n // shards, rounds).drop("n")
+    labels = propagate(linked, quota, rounds).drop("n", "total")
     labelled = written(placed.join(labels, ["group", "part", "home"], "left")
                        .select("row", "size", "text_crc32", "u", F.coalesce("label", F.lit(-1)).alias("label")), "labelled")
 

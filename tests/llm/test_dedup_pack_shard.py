@@ -255,3 +255,16 @@ def test_sharding_even_and_uncut(spark):
     assert len(where["hot"]) <= 8
     plan = sharding.shard(docs(spark, rows))._jdf.queryExecution().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
+
+
+@pytest.mark.parametrize("sizes, most_cut", [([2] * 800, 15), ([20] * 80, 15), ([45] * 25 + [1] * 475, 0), ([530] + [2] * 400 + [1] * 270, 8)])
+def test_sharding_gathers_where_most_rows_are_linked(spark, sizes, most_cut):
+    texts = [f"text {g}" for g, n in enumerate(sizes) for _ in range(n)]
+    got = {x.doc_id: x for x in sharding.report(docs(spark, list(enumerate(texts)))).collect()}
+    slots, where = {}, {}
+    for i, t in enumerate(texts):
+        slots.setdefault(got[i].shard, []).append(got[i].slot)
+        where.setdefault(t, set()).add(got[i].shard)
+    assert sorted(slots) == list(range(16)) and all(sorted(s) == list(range(100)) for s in slots.values())
+    assert sum(len(where[f"text {g}"]) > 1 for g, n in enumerate(sizes) if n <= 100) <= most_cut
+    assert all(len(where[f"text {g}"]) <= 8 for g, n in enumerate(sizes) if n > 100)
