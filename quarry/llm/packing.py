@@ -21,7 +21,6 @@ how the rows are partitioned.
 from __future__ import annotations
 
 import os
-import re
 import struct
 import unicodedata
 import zlib
@@ -47,41 +46,62 @@ SPLITTER = ('Sequence(pretokenizers=[Split(pattern=Regex("\'s|\'t|\'re|\'ve|\'m|
             'behavior=Removed, invert=True), ByteLevel(add_prefix_space=False, trim_offsets=True, use_regex=False)])')
 #: Byte-level alphabet: printable bytes stand for themselves, the others for 256, 257, ...
 SELF = [*range(33, 127), *range(161, 173), *range(174, 256)]
-BYTE_CHARS = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in set(SELF)) if b != 32}
+BYTE_CHARS = np.arange(256, dtype="<u4")
+BYTE_CHARS[[b for b in range(256) if b not in set(SELF)]] = 256 + np.arange(256 - len(SELF))
+BYTE_CHARS[32] = 32  # parts the runs
 
 
-def _class(kind: str) -> str:
-    """Latin-1 characters of a general category, as the inside of a byte pattern's brackets."""
-    return "".join(f"\\x{c:02x}" for c in range(256) if unicodedata.category(chr(c)).startswith(kind))
+def _classes() -> np.ndarray:
+    """Class of each Latin-1 character as the tokenizer's split sees it: 0 blank, 1 letter, 2 number, 3 other sign."""
+    kinds = [unicodedata.category(chr(c))[0] for c in range(256)]
+    return np.array([0 if c in BLANKS else 1 if k == "L" else 2 if k == "N" else 3 for c, k in enumerate(kinds)], np.uint8)
 
 
-BLANK = r"\x09-\x0d\x20\x85\xa0"
-#: the tokenizer's split, over the bytes of a lower-cased Latin-1 text
-RUNS = re.compile(rf"[{_class('L')}]+|[{_class('N')}]|'(?:s|t|re|ve|m|ll|d)|[^{BLANK}{_class('L')}{_class('N')}]+".encode("latin-1"))
+BLANKS = {*range(9, 14), 32, 0x85, 0xa0}
+CLASS = _classes()
+#: endings that stay with the apostrophe before them, by their first letter
+ENDINGS = {b"s": b"s", b"t": b"t", b"m": b"m", b"d": b"d", b"r": b"re", b"v": b"ve", b"l": b"ll"}
 
 
-def latin_runs(text: str) -> list[bytes] | None:
-    """The runs that the tokenizer splits a Latin-1 text into, in lower case as it makes them; None for other
-    texts, whose normal form may differ, and for ones that may hold special tokens, whose case counts."""
+def latin(text: str) -> bytes | None:
+    """A Latin-1 text in lower case, a byte per character; None for other texts, whose normal form may differ, and for
+    ones that may hold special tokens, whose case counts."""
     if "<|" in text:
         return None
     try:
-        return RUNS.findall(text.lower().encode("latin-1"))
+        return text.lower().encode("latin-1")
     except UnicodeEncodeError:
         return None
 
 
+def split_runs(joined: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The tokenizer's split: the bytes that are no blanks, where its runs start among them, and which bytes stayed."""
+    raw = np.frombuffer(joined, np.uint8)
+    kind = CLASS[raw]
+    cut = np.ones(len(raw), bool)
+    cut[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == 2)
+    for i in np.flatnonzero(cut & (raw == 39)).tolist():  # an apostrophe that begins a run of signs
+        tail = ENDINGS.get(joined[i + 1:i + 2])
+        if tail and joined.startswith(tail, i + 1):
+            cut[i + 1] = False
+            if i + 1 + len(tail) < len(raw):
+                cut[i + 1 + len(tail)] = True
+    stays = kind != 0
+    return raw[stays], np.flatnonzero(cut[stays]), stays
+
+
 class Encoder:
     """Token ids of texts as bytes (little-endian unsigned 32-bit).
 
     The tokenizer drops white space and joins nothing across its runs of letters, digits and other
-    signs, so a text's ids are its runs' ids.  Runs not met before go through the tokenizer's merges many
-    at a time; each ends in a token marked as a word's last, which tells them apart again.  Texts beyond
-    Latin-1 are taken word by word, the words through the whole tokenizer.  Runs and words met before come
-    from tables that are emptied at ``most`` entries.
+    signs, so a text's ids are its runs' ids.  A lot of texts is split at once, its runs are made a dictionary, and
+    only the dictionary's entries are looked up one by one.  Those not met before go through the tokenizer's merges
+    many at a time; each ends in a token marked as a word's last, which tells them apart again.  Texts beyond Latin-1 are
+    taken word by word, the words through the whole tokenizer.  Runs and words met before come from two tables: when the
+    young one has ``most`` entries it becomes the old one, and what is still met in the old one moves on to the young one.
     """
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 200_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer, pre_tokenizers
         self.tokenizer = Tokenizer.from_file(path)
@@ -92,22 +112,45 @@ class Encoder:
         self.last = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
         self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.most = most
-        self.runs: dict[bytes, bytes] = {}
-        self.words: dict[bytes, bytes] = {}
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+
+    def put(self, run: bytes, ids: bytes) -> bytes:
+        if len(self.young) >= self.most:
+            self.old, self.young = self.young, {}
+        self.young[run] = ids
+        return ids
 
-    def learn_runs(self, runs: list[bytes], at_once: int = 500) -> None:
+    def get(self, run: bytes) -> bytes | None:
+        if (ids := self.young.get(run)) is None and (ids := self.old.get(run)) is not None:
+            self.put(run, ids)
+        return ids
+
+    def merged(self, runs: list[bytes], at_once: int = 500) -> list[bytes]:
         """Ids of runs not met before."""
+        out = []
         lots = [runs[i:i + at_once] for i in range(0, len(runs), at_once)]
-        texts = [b" ".join(lot).decode("latin-1").encode().decode("latin-1").translate(BYTE_CHARS) for lot in lots]
+        texts = [BYTE_CHARS[np.frombuffer(b" ".join(lot).decode("latin-1").encode(), np.uint8)].tobytes().decode("utf-32-le") for lot in lots]
         for lot, e in zip(lots, self.merges.encode_batch_fast(texts, add_special_tokens=False)):
             ids = np.array(e.ids, "<u4")
             ends = np.flatnonzero(self.last[ids]) + 1
             if len(ends) != len(lot) or ends[-1] != len(ids):
                 raise ValueError("the vocabulary does not mark the last token of a word")
             raw, at = ids.tobytes(), 0
-            for r, end in zip(lot, (4 * ends).tolist()):
-                self.runs[r] = raw[at:end]
+            for end in (4 * ends).tolist():
+                out.append(raw[at:end])
                 at = end
+        return out
+
+    def looked_up(self, runs: list[bytes], times: np.ndarray) -> list[bytes]:
+        """Ids of distinct runs; those that occur but once among the texts at hand are not kept."""
+        found = list(map(self.young.get, runs))
+        for i in [i for i, ids in enumerate(found) if ids is None]:
+            found[i] = self.get(runs[i])
+        new = [i for i, ids in enumerate(found) if ids is None]
+        for i, ids, n in zip(new, self.merged([runs[i] for i in new]), times[new].tolist()):
+            found[i] = ids if n == 1 else self.put(runs[i], ids)
+        return found
 
     def whole(self, text: str) -> bytes:
         ids = self.tokenizer.encode(text, add_special_tokens=False).ids
@@ -115,39 +158,56 @@ class Encoder:
 
     def by_word(self, text: str) -> bytes:
         out = []
-        for w in text.encode().split():  # at ASCII blanks only
-            if (ids := self.words.get(w)) is None:
-                if len(self.words) >= self.most:
-                    self.words.clear()
-                ids = self.words[w] = self.whole(w.decode())
+        for w in text.encode().split():  # at ASCII blanks only; the blank keeps words apart from runs of the same bytes
+            if (ids := self.get(b" " + w)) is None:
+                ids = self.put(b" " + w, self.whole(w.decode()))
             out.append(ids)
         return b"".join(out)
 
+    def lot(self, texts: list[bytes]) -> list[bytes]:
+        """Ids of lower-cased Latin-1 texts."""
+        joined = b"\n".join(texts) + b"\n"
+        chars, starts, stays = split_runs(joined)
+        if not len(starts):
+            return [b""] * len(texts)
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
+        kept = np.add.reduceat(stays, np.cumsum(sizes) - sizes, dtype=np.int64)
+        bounds = np.append(starts, len(chars)).astype(np.int32)
+        runs = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(chars)]).dictionary_encode()
+        at = runs.indices.to_numpy()
+        found = self.looked_up(runs.dictionary.to_pylist(), np.bincount(at))
+        ids = np.frombuffer(b"".join(found), "<u4")
+        n_ids = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        many = n_ids[at]
+        ends = np.cumsum(many)
+        out = ids[np.repeat((np.cumsum(n_ids) - n_ids)[at] - ends + many, many) + np.arange(ends[-1])].tobytes()
+        cuts = [0, *(4 * np.append(0, ends)[np.searchsorted(starts, np.cumsum(kept))]).tolist()]
+        return [out[a:b] for a, b in zip(cuts, cuts[1:])]
+
     def ids(self, text: str | None) -> bytes:
         return self.many([text])[0]
 
-    def many(self, texts: list[str | None], lot: int = 1 << 22) -> list[bytes]:
-        """Ids of texts; runs are looked up for about ``lot`` characters of text at a time."""
+    def many(self, texts: list[str | None], lot: int = 1 << 23) -> list[bytes]:
+        """Ids of texts, which are taken about ``lot`` characters at a time."""
         if not self.by_run:
             return [self.whole(t) if t else b"" for t in texts]
         out: list[bytes] = []
         at = 0
         while at < len(texts):
-            size, parts = 0, []
+            size, plain, place = 0, [], []
             while at < len(texts) and size < lot:
                 text = texts[at] or ""
                 size += len(text)
-                parts.append(latin_runs(text) if text else [])
+                held = latin(text)
+                if held is None:
+                    out.append(self.by_word(text))
+                else:
+                    place.append(len(out))
+                    plain.append(held)
+                    out.append(b"")
                 at += 1
-            new = set().union(*[p for p in parts if p]).difference(self.runs)
-            if len(self.runs) + len(new) > self.most:
-                self.runs.clear()
-                new = set().union(*[p for p in parts if p])
-            if new:
-                self.learn_runs(list(new))
-            known = self.runs
-            out += [self.by_word(texts[at - len(parts) + i]) if p is None else b"".join([known[r] for r in p])
-                    for i, p in enumerate(parts)]
+            for i, ids in zip(place, self.lot(plain) if plain else []):
+                out[i] = ids
         return out
 
 

@@ -159,8 +159,13 @@ def test_encoder_equals_the_tokenizer():
     alphabet = "aB'sSt.,!3½é́ \x85 İΣς<|>startoftext \n\t日ß$̈ÀŸ"
     texts = ["".join(r.choice(alphabet) for _ in range(r.randint(0, 25))) for _ in range(3000)]
     texts += ["A.B it's DON'T x'S", "<|startoftext|>a <|STARTOFTEXT|>", "naïve café ̈H̱", "\x00a\x1c\x7f b"]
-    for t in texts:
-        assert np.frombuffer(e.ids(t), "<u4").tolist() == e.tokenizer.encode(t, add_special_tokens=False).ids
+    r.shuffle(texts)
+    texts += texts[:500]  # met again after the tables changed over
+    for lot in (1, 200, 1 << 23):
+        for t, ids in zip(texts, e.many(texts, lot)):
+            assert np.frombuffer(ids, "<u4").tolist() == e.tokenizer.encode(t, add_special_tokens=False).ids
+        assert len(e.young) <= 50 and len(e.old) <= 50
+    assert e.many([]) == [] and e.many([None, "", " \n"]) == [b""] * 3
 
 
 def test_packing_round_trip(spark):
