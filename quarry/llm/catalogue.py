@@ -5,7 +5,8 @@ Every query reads its whole table and returns its full result.
 
 from __future__ import annotations
 
-from quarry.llm import decontaminate, htmlcrf, langid, linededup, packing, quality, secrets, sharding, simhash, toxicity
+from quarry.llm import (decontaminate, htmlcrf, langid, levels, linededup, packing, periodic, quality, secrets, sharding, simhash,
+                        toxicity, whitening)
 from quarry.llm.common import table
 
 QUERIES: dict = {}
@@ -67,6 +68,21 @@ def op10_secrets(spark, sf_dir):
     return secrets.report(table(spark, sf_dir, "documents"))
 
 
+@query
+def op11_sum_of_squares(spark, sf_dir):
+    return levels.report(table(spark, sf_dir, "documents"))
+
+
+@query
+def op12_periodic_runs(spark, sf_dir):
+    return periodic.report(table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_whitening(spark, sf_dir):
+    return whitening.report(table(spark, sf_dir, "embeddings"))
+
+
 ORACLE["op1_decontaminate"] = r"""
 WITH docs AS (SELECT doc_id, row_number() OVER () AS rid,
                      regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
