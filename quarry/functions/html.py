@@ -8,7 +8,8 @@ The semantics follow a lenient HTML parser's ``get_text``:
   tag (start or end), as HTML's implied end tags do;
 * character references are decoded per text node in one pass, so ``&amp;lt;``
   stays ``&lt;``;
-* an element of another name that begins alike (``<article-teaser>``) is another element.
+* an element of another name that begins alike (``<article-teaser>``) is another element;
+* elements of one name nest: their start and end tags are matched by depth, a prefix sum over the page's tags.
 
 No Python runs per row; everything below is regex / array expressions.
 """
@@ -105,6 +106,82 @@ def get_text(fragment, separator: str = "") -> Column:
     return F.array_join(text_nodes(fragment), separator)
 
 
+# ---- fixed values: elements whose end tag, which HTML demands, also ends what is still open inside ----
+CONTAINERS = ["address", "article", "aside", "details", "div", "fieldset", "figure", "footer", "form", "header", "main",
+              "nav", "section"]
+_CHUNK, _LEVELS = 1024, 3       # 1024^3 tags: more than a page of two gigabytes holds
+
+
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _running(a: Column, levels: int = _LEVELS) -> Column:
+    """Prefix sums of (s, m) moves; s is the sum so far and m its least value, at most 0.
+
+    Chunks are folded by themselves, and the chunks' totals are prefix-summed in the same way, so a page of many
+    tags costs no more a tag than one of few.
+    """
+    def add(x: Column, y: Column) -> Column:
+        return F.struct((x["s"] + y["s"]).alias("s"), F.least(x["m"], x["s"] + y["m"]).alias("m"))
+
+    def fold(chunk: Column) -> Column:
+        none = F.struct(F.lit(0).alias("s"), F.lit(0).alias("m"))
+        start = F.struct(none.alias("last"), F.slice(F.array(none), 1, 0).alias("out"))
+        return F.aggregate(chunk, start, lambda acc, x: let(add(acc["last"], x), lambda n: F.struct(
+            n.alias("last"), F.array_append(acc["out"], n).alias("out"))), lambda acc: acc["out"])
+
+    def joined(chunks: Column) -> Column:
+        totals = F.transform(chunks, lambda c: F.element_at(c, -1))
+        return F.when(F.size(chunks) == 1, F.get(chunks, F.lit(0))).otherwise(
+            let(_running(totals, levels - 1), lambda before: F.flatten(F.transform(chunks, lambda c, i: F.when(
+                i > 0, F.transform(c, lambda x: add(F.get(before, i - 1), x))).otherwise(c)))))
+
+    if levels == 1:
+        return fold(a)
+    return let(a, lambda v: let(F.transform(F.sequence(F.lit(1), F.size(v), F.lit(_CHUNK)), lambda at: fold(F.slice(v, at, F.lit(_CHUNK)))), joined))
+
+
+def depths(moves) -> Column:
+    """How many elements are open after each move (+1 a start tag, -1 an end tag, 0 neither); end tags without a
+    start tag don't count."""
+    held = F.transform(_c(moves), lambda v: F.struct(v.alias("s"), F.least(v, F.lit(0)).alias("m")))
+    return F.transform(_running(held), lambda x: x["s"] - x["m"])
+
+
+def tag_parts(html, tags: list[str]) -> Column:
+    """The page cut before each start and end tag of these names (array<string>)."""
+    return F.split(_c(html), rf"(?i)(?=</?(?:{'|'.join(tags)})[\s/>])")
+
+
+def moves(parts, tags: list[str]) -> Column:
+    """+1 for a part that begins with a start tag of these names, -1 for an end tag, else 0 (array<int>)."""
+    name = rf"(?:{'|'.join(tags)})[\s/>]"
+    return F.transform(_c(parts), lambda p: F.when(p.rlike(f"(?i)^<{name}"), 1).when(p.rlike(f"(?i)^</{name}"), -1).otherwise(0))
+
+
+def spans(moves, depth) -> Column:
+    """(first, last) of every element in document order: the part of its start tag, and that of the end tag that
+    brings the depth back (NULL when there is none).
+
+    At one depth, start and end tags alternate: sorted by depth and place, a start tag's end tag comes next.
+    """
+    at = F.transform(_c(moves), lambda v, i: F.struct(
+        F.when(v == 1, F.get(_c(depth), i)).when((v == -1) & (i > 0), F.get(_c(depth), i - 1)).otherwise(0).alias("level"),
+        i.alias("place"), v.alias("move")))
+    level = F.array_sort(F.filter(at, lambda e: (e["level"] > 0) & (e["move"] != 0)))
+
+    def paired(v: Column) -> Column:
+        def one(e: Column, k: Column) -> Column:
+            after = F.get(v, k + 1)
+            return F.struct(e["place"].alias("first"), F.when((after["level"] == e["level"]) & (after["move"] == -1), after["place"]).alias("last"),
+                            e["move"].alias("move"))
+        return F.transform(v, one)
+    return F.array_sort(F.transform(F.filter(let(level, paired), lambda e: e["move"] == 1),
+                                    lambda e: F.struct(e["first"].alias("first"), e["last"].alias("last"))))
+
+
 def first_element(html, tag: str) -> Column:
     """Inner HTML of the first ``<tag>``; NULL when absent.
 
@@ -128,15 +205,6 @@ def first_element(html, tag: str) -> Column:
     return F.aggregate(parts, state, step, lambda a: a["out"])
 
 
-def all_elements(html, tag: str) -> Column:
-    """Inner HTML of every ``<tag>...</tag>`` (non-nested), array<string>."""
-    return F.regexp_extract_all(_c(html), F.lit(rf"(?is)<{tag}(?=[\s/>])[^>]*>(.*?)</{tag}\s*>"), 1)
-
-
-def remove_elements(html, tag: str) -> Column:
-    return F.regexp_replace(_c(html), rf"(?is)<{tag}(?=[\s/>])[^>]*>.*?</{tag}\s*>", " ")
-
-
 def paragraphs(fragment) -> Column:
     """Inner HTML of each ``<p>`` in a fragment, with implied end tags (array<string>)."""
     pieces = F.split(_c(fragment), _P_OPEN)

@@ -48,13 +48,35 @@ def blocks(pages: DataFrame, html_col: str = "html", keep: list[str] | None = No
     """H3: every ``<blockquote>`` first, then every ``<p>`` outside block quotes (whole page).
 
     Columns: keep..., kind ('blockquote' | 'p'), pos (document order within kind), text.
-    Both kinds are built as one array per page and exploded once.
+    A quote within a quote has a row of its own, and its text is also part of the outer one's.  A quote
+    ends at its own end tag or with the element around it (:data:`quarry.functions.html.CONTAINERS`), whichever comes
+    first, and with the page if neither does.  Both kinds are built as one array per page and exploded once.
     """
     keep = _keep(pages, html_col, keep)
     d = _cleaned(pages, html_col, keep)
-    quotes = F.transform(H.all_elements("_doc", "blockquote"), lambda q, i: F.struct(
-        F.lit("blockquote").alias("kind"), i.alias("pos"), H.get_text(q).alias("text")))
-    paras = F.transform(H.paragraphs(H.remove_elements("_doc", "blockquote")), lambda p, i: F.struct(
+    d = d.select(*keep, H.tag_parts("_doc", ["blockquote", *H.CONTAINERS]).alias("_parts"))
+    d = d.select(*keep, "_parts", H.moves("_parts", ["blockquote"]).alias("_moves"))
+    d = d.select("*", H.depths("_moves").alias("_depth"))
+    d = d.select("*", H.spans("_moves", "_depth").alias("_spans"))
+    d = d.select("*", F.when(F.size("_spans") > 0, H.depths(H.moves("_parts", H.CONTAINERS))).alias("_around"))
+
+    def bounded(s):  # up to the first part where the element around the quote is closed
+        last = F.coalesce(s["last"], F.size("_parts"))
+        left = F.filter(F.sequence(s["first"], last - 1), lambda j: F.get("_around", j) < F.get("_around", s["first"]))
+        return F.struct(s["first"].alias("first"), F.coalesce(F.get(left, F.lit(0)), last).alias("last"), s["last"].alias("tag"),
+                        (s["last"].isNull() | (F.size(left) > 0)).alias("loose"))
+    d = d.select("*", F.transform("_spans", bounded).alias("_quotes"))
+    # a part is inside if a quote that ends at its own tag is open there, or if it lies in one of the others
+    d = d.select("*", F.filter("_quotes", lambda s: s["loose"]).alias("_loose"))
+    own = F.transform("_moves", lambda v, i: F.when(F.exists("_loose", lambda s: (s["first"] == i) | s["tag"].eqNullSafe(i)), 0).otherwise(v))
+    d = d.select("*", F.when(F.size("_loose") > 0, H.depths(own)).otherwise(F.col("_depth")).alias("_own"))
+    inside = F.transform("_own", lambda n, i: (n > 0) | F.exists("_loose", lambda s: (s["first"] <= i) & (i < s["last"])))
+    d = d.select(*keep, "_parts", "_quotes", inside.alias("_inside"))
+    rest = F.array_join(F.zip_with("_parts", "_inside", lambda p, q: F.when(q, "<blockquote>").otherwise(p)), "")
+    quotes = F.transform("_quotes", lambda s, i: F.struct(
+        F.lit("blockquote").alias("kind"), i.alias("pos"),
+        H.get_text(F.array_join(F.slice("_parts", s["first"] + 1, s["last"] - s["first"]), "")).alias("text")))
+    paras = F.transform(H.paragraphs(rest), lambda p, i: F.struct(
         F.lit("p").alias("kind"), i.alias("pos"), H.get_text(p).alias("text")))
     return (d.select(*keep, F.explode(F.concat(quotes, paras)).alias("_b"))
             .select(*keep, "_b.kind", "_b.pos", "_b.text"))

@@ -602,15 +602,10 @@ from quarry.plans import oracle_html as OH  # noqa: E402
 _CLEAN_PAGES = f"SELECT page_id, {OH.clean('html')} AS doc FROM pages"
 
 
-def _blocks_sql(src: str) -> str:
-    """H3 over the cleaned pages CTE ``src``: (page_id, kind, pos, text)."""
-    return ("SELECT page_id, 'blockquote' AS kind, CAST(generate_subscripts(qs, 1) - 1 AS INT) AS pos, "
-            f"unnest(list_transform(qs, lambda q: {OH.get_text('q')})) AS text FROM "
-            f"(SELECT page_id, {OH.all_elements('doc', 'blockquote')} AS qs FROM {src}) a "
-            "UNION ALL SELECT page_id, 'p' AS kind, CAST(generate_subscripts(ps, 1) - 1 AS INT) AS pos, "
-            f"unnest(list_transform(ps, lambda p: {OH.get_text('p')})) AS text FROM "
-            f"(SELECT page_id, {OH.paragraphs(OH.remove_elements('doc', 'blockquote'))} AS ps FROM {src}) b")
-
+_BLOCKS = {**OH.quote_ctes("cp"), "blk": (
+    f"SELECT page_id, 'blockquote' AS kind, CAST(pos AS INT) AS pos, {OH.get_text('q')} AS text FROM q_text "
+    "UNION ALL SELECT page_id, 'p' AS kind, CAST(generate_subscripts(ps, 1) - 1 AS INT) AS pos, "
+    f"unnest(list_transform(ps, lambda p: {OH.get_text('p')})) AS text FROM (SELECT page_id, {OH.paragraphs('rest')} AS ps FROM q_rest) b")}
 
 
 @query("page_headline", O.with_ctes(
@@ -632,7 +627,7 @@ def q_page_paragraphs(spark, sf_dir):
 
 
 @query("page_blocks", O.with_ctes("SELECT * FROM blk", ap=O.aug_pages(),
-                                 cp=f"SELECT page_id, {OH.clean('html')} AS doc FROM ap", blk=_blocks_sql("cp")))
+                                 cp=f"SELECT page_id, {OH.clean('html')} AS doc FROM ap", **_BLOCKS))
 def q_page_blocks(spark, sf_dir):
     """H3 over pages with injected block quotes (blockquotes first, then outside paragraphs)."""
     return PG.blocks(Views(spark, sf_dir).aug_pages())
@@ -653,7 +648,7 @@ def _page_expert_sql():
         f"{sc} AS emotion_score, {_density_sql('text', M.MODALS)} AS persuasion_score FROM "
         "(SELECT *, unnest(m) AS expert, CAST(generate_subscripts(m, 1) - 1 AS INT) AS mention_pos FROM "
         f"(SELECT *, regexp_extract_all(text, '{_MENTION_RE}') AS m FROM blk) x WHERE len(m) > 0) y",
-        ap=O.aug_pages(), cp=f"SELECT page_id, {OH.clean('html')} AS doc FROM ap", blk=_blocks_sql("cp"))
+        ap=O.aug_pages(), cp=f"SELECT page_id, {OH.clean('html')} AS doc FROM ap", **_BLOCKS)
 
 
 @query("page_expert_analysis", _page_expert_sql())

@@ -114,7 +114,7 @@ class Views:
                 .withColumn("totalResults", F.lit(None).cast("int")))
 
     def aug_pages(self) -> DataFrame:
-        """Pages with a block quote and a paragraph naming experts injected into every third article."""
+        """Pages with block quotes, nested and unclosed ones too, and paragraphs naming experts injected into every third article."""
         return augment_pages(self.table("pages").select("page_id", "html"))
 
     # -------------------------------------------------- bulk dumps
@@ -161,7 +161,11 @@ def augment(d: DataFrame) -> DataFrame:
 
 PAGE_INSERT = ("<blockquote><p>Dr Ann Lee said it <b>may</b> work.</p> Prof Bo Ek agreed.</blockquote>"
                "<p>We asked Mr Bob Ray, who would not &amp; could not say.</p>"
-               "<p>Caf&eacute; &bull; it&#146;s &#9999999; &#38;lt; &amp;lt;</p><article-teaser>more</article-teaser></article>")
+               "<p>Caf&eacute; &bull; it&#146;s &#9999999; &#38;lt; &amp;lt;</p><article-teaser>more</article-teaser>"
+               # quotes within quotes, one that is never closed, one closed across another element, one with its end tag alone
+               "<blockquote>Dr Ann Lee: <BLOCKQUOTE class='in'><p>Ms Jo Park must go</p><blockquote>so</blockquote></BLOCKQUOTE > said Prof Bo Ek</blockquote>"
+               "<div><blockquote>Mr Al Fox may<p>stay</div><p>We met Dr Eve Day.</p>"
+               "<blockquote>a<section>Mr Bob Ray</blockquote>left</section></blockquote><p>Mrs Di Orr</p></article>")
 
 
 def augment_pages(pages: DataFrame) -> DataFrame:

@@ -3,7 +3,7 @@
 import html as htmlmod
 from html.parser import HTMLParser
 
-from quarry.functions.html import BLOCK_TAGS
+from quarry.functions.html import BLOCK_TAGS, CONTAINERS
 from quarry.operators import pages as PG
 
 
@@ -15,12 +15,12 @@ class Walk(HTMLParser):
         self.stack, self.skip = [], 0
         self.h1, self.in_h1, self.h1_done = [], False, False
         self.art_depth, self.art_done, self.art_nodes = 0, False, []
-        self.paras, self.cur, self.in_bq, self.quotes, self.cur_q = [], None, 0, [], None
+        self.paras, self.cur, self.quotes, self.open, self.around = [], None, [], [], 0
         self.art_paras = []
 
     def _close_p(self):
         if self.cur is not None:
-            self.paras.append(("art" if self.art_depth and not self.art_done else "page", self.in_bq, self.cur))
+            self.paras.append(("art" if self.art_depth and not self.art_done else "page", self.quoted, self.cur))
             self.cur = None
 
     def handle_starttag(self, tag, attrs):
@@ -29,14 +29,16 @@ class Walk(HTMLParser):
         if tag == "p" or tag in BLOCK_TAGS:
             self._close_p()
         if tag == "p":
-            self.cur = []
+            self.cur, self.quoted = [], any(not q["ended"] for q in self.open)
+        if tag in CONTAINERS:
+            self.around += 1
         if tag == "h1" and not self.h1_done:
             self.in_h1 = True
         if tag == "article" and not self.art_done:
             self.art_depth += 1
         if tag == "blockquote":
-            self.in_bq += 1
-            self.cur_q = []
+            self.open.append({"around": self.around, "ended": False, "nodes": []})
+            self.quotes.append(self.open[-1]["nodes"])
 
     def handle_endtag(self, tag):
         if tag in ("script", "style"):
@@ -48,9 +50,12 @@ class Walk(HTMLParser):
         if tag == "article" and self.art_depth:
             self.art_depth -= 1
             self.art_done = self.art_depth == 0
-        if tag == "blockquote" and self.in_bq:
-            self.in_bq -= 1
-            self.quotes.append(self.cur_q)
+        if tag == "blockquote" and self.open:
+            self.open.pop()
+        if tag in CONTAINERS and self.around:
+            self.around -= 1
+            for q in self.open:
+                q["ended"] |= self.around < q["around"]
 
     def handle_data(self, data):
         if self.skip:
@@ -62,8 +67,9 @@ class Walk(HTMLParser):
             self.art_nodes.append(t)
         if self.cur is not None:
             self.cur.append(t)
-        if self.in_bq and self.cur_q is not None:
-            self.cur_q.append(t)
+        for q in self.open:
+            if not q["ended"]:
+                q["nodes"].append(t)
 
 
 def oracle(doc):
@@ -86,6 +92,11 @@ PAGES = [
     "<html><body><p>No article, Dr Ann Lee.</p><blockquote><p>Quoted Mr Bob Ray</p> tail</blockquote>"
     "<p>After</p></body></html>",
     "<article><p>First</p></article><article><p>Second article</p></article>",
+    "<blockquote>outer <blockquote>inner</blockquote> tail</blockquote><p>out</p>",
+    "<div><blockquote>open <p>in</p></div><p>after</p><blockquote>b<BLOCKQUOTE class='x'>c</blockquote >d<p>e</blockquote>f<p>g",
+    "</blockquote><p>a<blockquote>q<section>r</section></blockquote>b</p><article><blockquote>x</article>y</blockquote><p>z",
+    "<blockquote>1<blockquote>2<blockquote>3</blockquote>4<p>5",
+    "<blockquote>" * 1500 + "<p>deep</p>" + "</blockquote>" * 1499 + "<p>still in</p></blockquote><p>out</p>",
 ]
 
 
@@ -134,7 +145,8 @@ from hypothesis import given, settings, strategies as st  # noqa: E402
 
 _tok = st.sampled_from(["<p>", "</p>", "<b>", "</b>", "<br>", "<p class='x'>", " word ", "Dr Ann Lee",
                         "&amp;", "&quot;q&quot;", "&#233;", "<!-- <p>c</p> -->", "<div>", "</div>",
-                        "<ul><li>i</li></ul>", "<script>var a='</p>';</script>", "  ", "\n", "x<i>y</i>z"])
+                        "<ul><li>i</li></ul>", "<script>var a='</p>';</script>", "  ", "\n", "x<i>y</i>z",
+                        "<blockquote>", "<blockquote cite='u'>", "</blockquote>", "</blockquote>", "<section>", "</section>"])
 
 
 @settings(max_examples=15, deadline=None)
@@ -143,7 +155,7 @@ _tok = st.sampled_from(["<p>", "</p>", "<b>", "</b>", "<br>", "<p class='x'>", "
 def test_pages_property(spark, specs):
     docs = []
     for body, quote, with_article, with_h1 in specs:
-        inner = "".join(body) + ("<blockquote>" + "".join(quote) + "</blockquote>" if quote else "")
+        inner = "".join(body) + "<blockquote>" * bool(quote) + "".join(quote)
         head = "<h1>Head <b>line</b></h1>" if with_h1 else ""
         docs.append("<html><body>" + head + (f"<article>{inner}</article>" if with_article else inner)
                     + "<p>tail</p></body></html>")
