@@ -805,17 +805,17 @@ def q_glob_union(spark, sf_dir):
 
 @query("archive_articles", O.with_ctes(
     f"SELECT url, {OH.get_text('a', ' ')} AS text FROM (SELECT url, {OH.first_element('doc', 'article')} "
-    f"AS a FROM (SELECT url, {OH.clean('html')} AS doc FROM pages WHERE page_id % 5 <> 0) p) x WHERE a IS NOT NULL"))
+    f"AS a FROM (SELECT url, {OH.clean('html')} AS doc FROM pages) p) x WHERE a IS NOT NULL"))
 def q_archive_articles(spark, sf_dir):
-    """S10, F7, X18 + H4: the pages as web archives (every fifth record no HTML), read back to article texts."""
-    from quarry.sources.archive import archive_article_texts
-    kind = F.when(F.col("page_id") % 5 == 0, "image/png").otherwise("text/html; charset=utf-8")
-    body = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: "), kind, F.lit("\r\n\r\n"), F.coalesce("html", F.lit("")))
-    record = F.concat(F.lit("WARC/1.0\r\nWARC-Type: response\r\nWARC-Target-URI: "), F.col("url"), F.lit("\r\nContent-Length: "),
-                      F.octet_length(body), F.lit("\r\n\r\n"), body)
-    path = shared_dir(spark, "archives")
-    Views(spark, sf_dir).table("pages").select(record.alias("value")).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").text(path)
-    return archive_article_texts(spark, path, glob="*.txt.gz").select("url", "text")
+    """S10, F7, X18 + H4: the pages as records of web archives, each beside its request and an image, read back to article texts."""
+    from quarry.sources.archive import archive_article_texts, write_warc
+    pages = Views(spark, sf_dir).table("pages")
+    page = F.struct(F.lit("response").alias("warc_type"), F.lit("text/html; charset=utf-8").alias("content_type"), F.encode("html", "UTF-8").alias("body"))
+    asked = F.struct(F.lit("request").alias("warc_type"), F.lit(None).cast("string").alias("content_type"), F.encode(F.lit("GET / HTTP/1.1"), "UTF-8").alias("body"))
+    image = F.struct(F.lit("response").alias("warc_type"), F.lit("image/png").alias("content_type"), F.unhex(F.lit("89504E470D0A1A0A")).alias("body"))
+    records = pages.select("url", F.explode(F.array(asked, page, image)).alias("r")).select("url", "r.*")
+    path = write_warc(records, shared_dir(spark, "archives"))
+    return archive_article_texts(spark, path, split_bytes=1 << 20).select("url", "text")
 
 
 @query("model_scores", "SELECT doc_id, CASE WHEN contains(text, 'the') THEN 'joy' ELSE 'neutral' END AS emotion_label, "

@@ -150,11 +150,52 @@ def test_warc_reader(spark, tmp_dir):
     os.makedirs(f"{tmp_dir}/warc")
     with gzip.open(f"{tmp_dir}/warc/one.warc.gz", "wb") as f:
         f.write(data)
-    rows = read_warc_html(spark, f"{tmp_dir}/warc", partitions=2).collect()
+    rows = read_warc_html(spark, f"{tmp_dir}/warc").collect()
     assert [(r.url, r.html) for r in rows] == [("http://a", "<html><article><p>café</p></article></html>"),
                                               ("http://c", "<article>zip</article>")]
 
 
+def test_archive_splits_by_gzip_member(spark, tmp_dir):
+    from quarry.sources.archive import write_warc
+    sizes = [0, 1, 50, 400, 3000, 20_000]
+    pages = [(f"http://x/{i}", "text/html" if i % 3 else "image/png", f"<p>é{i}</p>" + os.urandom(sizes[i % 6]).hex()) for i in range(120)]
+    df = spark.createDataFrame(pages, "url string, content_type string, body string").coalesce(1)
+    path = write_warc(df, f"{tmp_dir}/a")
+    files = [f for f in os.listdir(path) if not f.startswith(".")]
+    assert len(files) == 1 and files[0].endswith(".warc.gz")
+    want = sorted((u, h) for u, t, h in pages if t == "text/html")
+    plain = f"{tmp_dir}/b/one.warc"
+    os.makedirs(f"{tmp_dir}/b")
+    with gzip.open(f"{path}/{files[0]}") as f, open(plain, "wb") as g:
+        g.write(f.read())
+    single = f"{tmp_dir}/c/one.warc.gz"  # the whole archive as one member
+    os.makedirs(f"{tmp_dir}/c")
+    with gzip.open(single, "wb") as f, open(plain, "rb") as g:
+        f.write(g.read())
+    for root, splits in ((path, (0, 997, 20_000, 1 << 30)), (f"{tmp_dir}/b", (0, 5_000, 100_000)), (f"{tmp_dir}/c", (0, 4_000))):
+        for split in splits:
+            out = read_warc_html(spark, root, split_bytes=split)
+            size = os.path.getsize(os.path.join(root, next(f for f in os.listdir(root) if not f.startswith("."))))
+            assert out.rdd.getNumPartitions() == (-(-size // split) if split else 1)
+            rows = out.collect()
+            assert sorted((r.url, r.html) for r in rows) == want, (root, split)
+            assert len({(r.archive, r.record_pos, r.record_no) for r in rows}) == len(rows)
+
+
+def test_damaged_and_nested_archives(spark, tmp_dir):
+    from quarry.sources.archive import record_bytes, write_warc
+    member = [gzip.compress(record_bytes("response", f"http://x/{i}", "text/html", f"<p>{i}</p>")) for i in range(6)]
+    os.makedirs(f"{tmp_dir}/d")
+    with open(f"{tmp_dir}/d/one.warc.gz", "wb") as f:  # the third member is cut short, noise holds the signature
+        f.write(b"".join(member[:2]) + member[2][:40] + b"\x1f\x8b\x08 no member" + b"".join(member[3:]))
+    got = sorted(r.url for r in read_warc_html(spark, f"{tmp_dir}/d").collect())
+    assert got == [f"http://x/{i}" for i in (0, 1, 3, 4, 5)]
+    inner = gzip.compress(record_bytes("response", "http://inner", "text/html", "<p>in</p>"))
+    df = spark.createDataFrame([("http://o", "application/gzip", inner), ("http://p", "text/html", b"<p>out</p>")], "url string, content_type string, body binary")
+    assert [r.url for r in read_warc_html(spark, write_warc(df.coalesce(1), f"{tmp_dir}/e"), split_bytes=0).collect()] == ["http://p"]
+    assert read_warc_html(spark, write_warc(df.limit(0), f"{tmp_dir}/f")).collect() == []
+
+
 def test_discovery_and_fallback(spark, tmp_dir):
     from quarry.operators import corpus as C
     _write_shards(tmp_dir)
