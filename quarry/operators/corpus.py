@@ -31,20 +31,36 @@ WORD_COLS = ("word", "lemma", "pos")
 TEXT_COLS = ("year", "decade", "genre")
 
 
-def split_hot_keys(big: DataFrame, small: DataFrame, key: str, hot_rows: int = 1_000_000, parts: int = 32) -> DataFrame:
-    """``big LEFT JOIN small USING (key)`` with hot keys, and only those, dealt to ``parts`` tasks.
+MOST_HOT = 4_000        # hot keys of a column at most; the sketch below misses none with more than rows / MOST_HOT rows
 
-    One aggregation (map-side combined) finds the keys with more than ``hot_rows`` rows in
-    ``big``: at most rows / hot_rows keys, a bound that makes them safe to broadcast.  Rows
-    of a hot key get a hash of the row as salt and the key's rows in ``small`` are repeated once per
-    salt; every other row joins as usual.  Results equal the plain left join.
+
+def hot_keys(df: DataFrame, columns: list[str], hot_rows: int = 1_000_000) -> dict[str, list]:
+    """The values of each column that more than ``hot_rows`` rows (and more than one in MOST_HOT) hold, by one pass over ``df``.
+
+    A frequent-items sketch per column, merged map-side, so nothing is shuffled by key and at most MOST_HOT values a column come
+    back.  A table of no more than ``hot_rows`` rows has none, which its count tells.  Runs a job.
     """
-    hot = big.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > hot_rows).select(key, F.lit(True).alias("_hot"))
-    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in big.columns]), F.lit(parts)).cast("int")).otherwise(F.lit(0))
-    b = big.join(F.broadcast(hot), key, "left").withColumn("_salt", salt).drop("_hot")
-    s = (small.join(F.broadcast(hot), key, "left")
-         .withColumn("_salt", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(parts - 1))).otherwise(F.array(F.lit(0))))).drop("_hot"))
-    return b.join(s, [key, "_salt"], "left").drop("_salt")
+    n = df.count()
+    if n <= hot_rows:
+        return {c: [] for c in columns}
+    least = max(hot_rows, n // MOST_HOT)
+    found = df.agg(*[F.expr(f"approx_top_k(`{c}`, {MOST_HOT}, {16 * MOST_HOT})").alias(f"c{i}") for i, c in enumerate(columns)]).first()
+    return {c: [x["item"] for x in found[f"c{i}"] or [] if x["item"] is not None and x["count"] > least] for i, c in enumerate(columns)}
+
+
+def split_hot_keys(big: DataFrame, small: DataFrame, key: str | list[str], hot: list, parts: int = 32) -> DataFrame:
+    """``big LEFT JOIN small USING (key)`` with the rows of the ``hot`` values of the (first) key dealt to ``parts`` tasks.
+
+    Rows of a hot value get a hash of the row as salt, and the value's rows in ``small`` are repeated once per
+    salt; every other row joins as usual.  Results equal the plain left join, which it is without hot values.
+    """
+    keys = [key] if isinstance(key, str) else key
+    if not hot:
+        return big.join(small, keys, "left")
+    is_hot = F.col(keys[0]).isin(hot)
+    salt = F.when(is_hot, F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in big.columns]), F.lit(parts)).cast("int")).otherwise(F.lit(0))
+    salts = F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(parts - 1))).otherwise(F.array(F.lit(0))))
+    return big.withColumn("_salt", salt).join(small.withColumn("_salt", salts), [*keys, "_salt"], "left").drop("_salt")
 
 
 def salted_left_join(big: DataFrame, small: DataFrame, key: str, salt: int = 0,
@@ -82,16 +98,38 @@ def join_corpus(tokens: DataFrame, words: DataFrame, texts: DataFrame | None = N
 
     The join runs on the long key (string equality of two long renderings is
     long equality) and the key is cast to string at the end.  wordIDs and
-    textIDs of more than ``hot_rows`` tokens are split (see :func:`split_hot_keys`).
+    textIDs that :func:`hot_keys` finds among the tokens, both in one pass, are split.
     """
     if "wordID" not in words.columns:
         return join_tagged(words, texts)
-    out = split_hot_keys(tokens, words, "wordID", hot_rows)
+    hot = hot_keys(tokens, ["wordID"] + ["textID"] * (texts is not None), hot_rows)
+    out = split_hot_keys(tokens, words, "wordID", hot["wordID"])
     if texts is not None:
-        out = split_hot_keys(out, texts_for_join(texts), "textID", hot_rows)
+        out = split_hot_keys(out, texts_for_join(texts), "textID", hot["textID"])
     return out.withColumn("textID", F.col("textID").cast("string"))
 
 
+def write_bucketed(df: DataFrame, path: str, name: str, key: str = "textID", buckets: int = 16) -> DataFrame:
+    """K1: ``df`` as a table of Parquet files under ``path``, in ``buckets`` buckets of ``key``, each sorted by it; read back.
+
+    Tables of one number of buckets join on the key, and group by it, without an exchange: the shuffle is paid once, when
+    the table is written, and every later join reads it for free.  A bucket should hold about a gigabyte.  Rows are
+    dealt by the key before the write, so a bucket is one file.
+    """
+    df.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key).option("path", path).mode("overwrite").saveAsTable(name)
+    return df.sparkSession.table(name)
+
+
+def tokens_per_text(tokens: DataFrame, texts: DataFrame) -> DataFrame:
+    """J2 over co-partitioned tables: textID, year, genre and number of tokens of every text with tokens.
+
+    Both sides merge bucket by bucket; the tokens' counts need no exchange either, as they are grouped by the buckets'
+    key.  (Tables without buckets give the same rows by a shuffle.)
+    """
+    counts = tokens.groupBy("textID").agg(F.count(F.lit(1)).alias("n"))
+    return counts.join(texts.hint("merge"), "textID", "left").select("textID", "year", "genre", "n")
+
+
 def join_tagged(tagged: DataFrame, texts: DataFrame | None = None) -> DataFrame:
     """Per-token rows keyed by textID (no lexicon) joined with the metadata."""
     cols = set(tagged.columns)

@@ -106,11 +106,14 @@ class PandasModelScorer:
         if not self.dedupe:
             return (df.withColumn("_s", udf(F.col(text_col)))
                     .withColumns({label_col: F.col("_s.label"), score_col: F.col("_s.score")}).drop("_s"))
-        from quarry.operators.corpus import split_hot_keys
-        keyed = df.withColumn("_t", F.coalesce(F.col(text_col), F.lit("")))      # the model gets '' for NULL
-        texts = (keyed.select("_t").distinct().withColumn("_s", udf(F.col("_t")))
-                 .select("_t", F.col("_s.label").alias(label_col), F.col("_s.score").alias(score_col)))
-        return split_hot_keys(keyed, texts, "_t").drop("_t")        # a boilerplate sentence is a hot key
+        from quarry.operators.corpus import hot_keys, split_hot_keys
+        body = F.coalesce(F.col(text_col), F.lit(""))                               # the model gets '' for NULL
+        keyed = df.withColumns({"_a": F.xxhash64(body), "_b": F.xxhash64(F.lit(1), body, F.length(body))})   # 128 bits of hash
+        # one of each text travels, then only its hash and result
+        texts = (keyed.groupBy("_a", "_b").agg(F.first(body).alias("_t")).withColumn("_s", udf(F.col("_t")))
+                 .select("_a", "_b", F.col("_s.label").alias(label_col), F.col("_s.score").alias(score_col)))
+        hot = hot_keys(keyed.select("_a"), ["_a"])["_a"]                            # a boilerplate sentence is a hot key
+        return split_hot_keys(keyed, texts, ["_a", "_b"], hot).drop("_a", "_b")
 
 
 def lexicon_sql(text_sql: str, lexicon: dict[str, list[str]] | None = None, neutral: str = NEUTRAL,

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from quarry.operators import corpus as C
 from quarry.plans import oracle_views as O
 from quarry.plans.views import EXPORT_SIZE, Views
+from quarry.session import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -85,6 +86,17 @@ def q_corpus_join(spark, sf_dir):
     return C.join_corpus(tokens, words, texts)
 
 
+@query("corpus_bucketed", O.corpus(
+    "SELECT textID, any_value(year) AS year, any_value(genre) AS genre, CAST(count(*) AS BIGINT) AS n FROM joined GROUP BY textID"))
+def q_corpus_bucketed(spark, sf_dir):
+    """K1 + J2: tokens and metadata written in buckets of textID, joined and counted without an exchange."""
+    tokens, _, texts = Views(spark, sf_dir).corpus()
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    held = [C.write_bucketed(df, path := shared_dir(spark, f"bucketed-{name}"), path.rstrip("/").rsplit("/", 1)[-1].replace("-", "_"), buckets=n)
+            for name, df in (("tokens", tokens), ("texts", C.texts_for_join(texts)))]
+    return C.tokens_per_text(*held)
+
+
 @query("corpus_tagged", O.corpus(
     "SELECT x.year, t.word, CAST(count(*) AS BIGINT) AS n FROM "
     "(SELECT doc_id AS textID, unnest(regexp_extract_all(text, '[\\p{L}\\p{N}_]+')) AS word FROM documents) t "
@@ -659,7 +671,6 @@ def q_page_expert_analysis(spark, sf_dir):
 
 
 # =================================================================== sinks and re-reads
-from quarry.session import shared_dir  # noqa: E402
 from quarry.sources import sinks as SK  # noqa: E402
 from quarry.sources.files import read_csv_split  # noqa: E402
 

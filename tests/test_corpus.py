@@ -6,6 +6,9 @@ from pyspark.sql import functions as F
 
 from quarry.operators import corpus as C
 from quarry.operators.catalog import normalise_texts, normalise_tokens, normalise_words
+from quarry.plans.views import Views
+
+from conftest import SF_SMALL
 
 
 def frames(spark):
@@ -120,11 +123,33 @@ def test_salted_joins_equal_plain(spark):
     plain = sorted(map(tuple, C.join_corpus(hot, words, texts).collect()), key=str)
     split = sorted(map(tuple, C.join_corpus(hot, words, texts, hot_rows=20).collect()), key=str)
     assert plain == split
+    assert C.hot_keys(hot, ["textID", "wordID"], 20) == {"textID": [1], "wordID": [10]}
+    assert C.hot_keys(hot, ["textID", "wordID"]) == {"textID": [], "wordID": []}
     a = {tuple(r) for r in C.count_by(hot, words, texts, ["year", "lemma"]).collect()}
     b = {tuple(r) for r in C.count_by(hot, words, texts, ["year", "lemma"], salt=5).collect()}
     assert a == b
 
 
+def test_hot_keys_and_scans_of_the_row_level_join(spark):
+    """a third of the rows under one key: it is found and salted; without hot keys the plan is that of the plain joins"""
+    tokens, words, texts = Views(spark, SF_SMALL).corpus()
+    many = tokens.unionByName(tokens.withColumn("wordID", F.lit(7).cast("long")).limit(3_000))
+    assert C.hot_keys(many, ["wordID", "textID"], 1_000)["wordID"] == [7]
+    assert sorted(map(str, C.join_corpus(many, words, texts, 1_000).collect())) == sorted(map(str, C.join_corpus(many, words, texts).collect()))
+    p = C.join_corpus(tokens, words, texts)._jdf.queryExecution().optimizedPlan().toString()
+    assert p.count("Join LeftOuter") == 2 and p.count("Relation") == 3
+
+
+def test_bucketed_tables_join_without_an_exchange(spark, tmp_dir):
+    tokens, _, texts = Views(spark, SF_SMALL).corpus()
+    a = C.write_bucketed(tokens, f"{tmp_dir}/a", "bucketed_a", buckets=4)
+    b = C.write_bucketed(C.texts_for_join(texts), f"{tmp_dir}/b", "bucketed_b", buckets=4)
+    out = C.tokens_per_text(a, b)
+    rows = sorted(map(str, out.collect()))
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    assert rows == sorted(map(str, C.tokens_per_text(tokens, C.texts_for_join(texts)).collect()))
+
+
 def test_products_from_one_cube(spark, tmp_dir):
     tokens, words, texts = frames(spark)
     prods = C.corpus_products(tokens, words, texts, k=2, trend_lemma="cat", materialize_dir=f"{tmp_dir}/cube")
