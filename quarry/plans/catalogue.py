@@ -843,6 +843,20 @@ def q_model_scores(spark, sf_dir):
     return PandasModelScorer(predict).score(docs, "text").select("doc_id", "emotion_label", "emotion_score")
 
 
+@query("classifier_scores")
+def q_classifier_scores(spark, sf_dir):
+    """A text classifier learned from the quality labels of the rows whose crc32(doc_id) mod 5 is not 0, run on every document.
+
+    No SQL: the model is fitted; tests hold its scores against a plain computation and its labels against the held-out ones.
+    """
+    from quarry.operators.classifier import TextClassifier
+    v = Views(spark, sf_dir)
+    docs = v.table("documents").select("doc_id", "text", (F.crc32(F.col("doc_id").cast("string")) % 5 == 0).alias("held_out"))
+    taught = docs.where(~F.col("held_out")).join(v.table("labels").select("doc_id", "quality"), "doc_id")
+    model = TextClassifier.fit(taught.select("doc_id", "text", "quality"), "text", "quality")
+    return model.scorer(spark).score(docs, "text", "label", "score").select("doc_id", "held_out", "label", F.round("score", 6).alias("score"))
+
+
 # =================================================================== streaming
 @query("stream_mentions", O.with_ctes(
     f"SELECT source, sentence_pos, mention_pos, expert, {_strip('sentence')} AS quote FROM sm",
