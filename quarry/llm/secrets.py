@@ -2,15 +2,16 @@
 
 Base kinds, leftmost and non-overlapping per kind (``assign``, ``access``, ``hex``), stay as
 they are.  The kind ``random`` adds runs of key characters that a tiktoken vocabulary
-can hardly shorten: fewer than ``ratio`` characters per token.  Natural words, names and
-paths merge into longer tokens.  Left out are strings known to be no secrets: hexadecimal
-digests of the usual lengths, UUIDs, numbers and dates, runs without both a digit and a
-letter, dotted or dashed identifiers whose parts are all short, and whatever a base span
-already covers.
+can hardly shorten: fewer than ``ratio`` characters per token, or ``letter_ratio`` where they are letters only.  Natural words,
+names and paths merge into longer tokens.  A run is measured over its parts of four characters or more between the
+signs ``/ _ + -``, so a key in dashed groups counts as a whole.  Left out are strings known to be no secrets: hexadecimal
+digests of the usual lengths, UUIDs, runs without a letter (numbers, dates), identifiers of fewer than 16 characters in such
+parts, and whatever a base span already covers.
 
 Spans are code points, end exclusive.  Defined results: null and empty texts have no
-spans (the digest of the empty string); repeated rows each get the same result; texts are
-scanned whole.
+spans (the digest of the empty string); repeated rows each get the same result; an empty table gives an empty table; spans that
+start alike are listed in the order of the kinds; kept columns travel in a struct, so names can't clash; texts are scanned whole,
+in time that grows with their length, very long runs included.
 """
 
 from __future__ import annotations
@@ -56,14 +57,24 @@ def encoding(path: str):
     return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def known(s: str) -> bool:
-    """Digests, identifiers, numbers and plain names."""
+def measured(s: str) -> list[str]:
+    """The parts of a run that its tokens are counted over; none for digests, identifiers, numbers and the like."""
     bare = s.rstrip("=")
-    if not any(c.isdigit() for c in bare) or not any(c.isalpha() for c in bare):
-        return True
-    if UUID.match(s) or len(s) in DIGEST_LENGTHS and DIGEST.match(s):
-        return True
-    return max(map(len, PARTS.split(bare))) < 12
+    if UUID.match(s):
+        return []
+    parts = [p for p in PARTS.split(bare) if len(p) >= 4 and not (len(p) in DIGEST_LENGTHS and DIGEST.match(p))]
+    if sum(map(len, parts)) < 16 or not any(c.isalpha() for p in parts for c in p):
+        return []
+    return parts
+
+
+def is_random(s: str, encode, ratio: float, letter_ratio: float, chunk: int = 512) -> bool:
+    parts = measured(s)
+    if not parts:
+        return False
+    chars = sum(map(len, parts))
+    tokens = sum(len(encode(p[i:i + chunk])) for p in parts for i in range(0, len(p), chunk))
+    return chars < (ratio if any(c.isdigit() for p in parts for c in p) else letter_ratio) * tokens
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -78,13 +89,16 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def random_spans(text: str, base: list[tuple[int, int, int]], encode, ratio: float) -> list[tuple[int, int, int]]:
-    out = []
+def random_spans(text: str, base: list[tuple[int, int, int]], encode, ratio: float, letter_ratio: float) -> list[tuple[int, int, int]]:
+    """Runs of random characters that no base span (``base`` is sorted by start) touches."""
+    out, k, covered = [], 0, 0  # covered: the furthest end of the base spans that start before the run's end
     for run in RUN.finditer(text):
         for m in RANDOM.finditer(text, *run.span()):
             a, b = m.span()
-            if not known(m.group()) and (b - a) < ratio * len(encode(m.group())) \
-                    and not any(x < b and a < y for x, _, y in base):
+            while k < len(base) and base[k][0] < b:
+                covered = max(covered, base[k][2])
+                k += 1
+            if covered <= a and is_random(m.group(), encode, ratio, letter_ratio):
                 out.append((a, 3, b))
     return out
 
@@ -93,7 +107,8 @@ def joined(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in sorted(spans))
 
 
-def scan(docs: DataFrame, keep: list[str], path: str | None = None, ratio: float = 2.2) -> DataFrame:
+def scan(docs: DataFrame, keep: list[str], path: str | None = None, ratio: float = 2.2,
+         letter_ratio: float = 1.9) -> DataFrame:
     """``row`` (the kept columns), the spans of every text, and the digest of the base ones."""
     path = path or tokenizer_path()
 
@@ -104,7 +119,7 @@ def scan(docs: DataFrame, keep: list[str], path: str | None = None, ratio: float
             out = {"spans": [], "base_sha256": [], "found": []}
             for text in texts:
                 base = base_spans(text) if text else []
-                every = sorted([*base, *(random_spans(text, base, encode, ratio) if text else [])])
+                every = sorted([*base, *(random_spans(text, base, encode, ratio, letter_ratio) if text else [])])
                 out["found"].append([{"kind": KINDS[k], "start": a, "end": b} for a, k, b in every])
                 out["spans"].append(joined(every))
                 out["base_sha256"].append(hashlib.sha256(joined(base).encode()).hexdigest())
@@ -113,9 +128,9 @@ def scan(docs: DataFrame, keep: list[str], path: str | None = None, ratio: float
     return attach(docs, keep, ["text"], "found array<struct<kind:string,start:long,end:long>>, base_sha256 string, spans string", start)
 
 
-def report(docs: DataFrame, path: str | None = None, ratio: float = 2.2) -> DataFrame:
+def report(docs: DataFrame, path: str | None = None, ratio: float = 2.2, letter_ratio: float = 1.9) -> DataFrame:
     """The contract's digest: counts per base kind, the base digest and all spans."""
-    df = scan(docs, ["doc_id"], path, ratio)
+    df = scan(docs, ["doc_id"], path, ratio, letter_ratio)
 
     def number(kind: str):
         return F.size(F.filter("found", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")

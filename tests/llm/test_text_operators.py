@@ -3,6 +3,8 @@
 import hashlib
 import random
 import re
+import string
+import time
 import zlib
 
 import duckdb
@@ -355,6 +357,48 @@ def test_random_strings_and_known_ones(spark):
         assert got[i] == want, x
 
 
+KEY_CLASSES = {
+    "base62 of 16": (string.ascii_letters + string.digits, 16, 1), "base62 of 20": (string.ascii_letters + string.digits, 20, 1),
+    "base62 of 40": (string.ascii_letters + string.digits, 40, 1), "base32 of 24": (string.ascii_uppercase + "234567", 24, 1),
+    "base64 of 32": (string.ascii_letters + string.digits + "+/", 32, 1), "letters of 16": (string.ascii_letters, 16, 1),
+    "letters of 24": (string.ascii_letters, 24, 1), "capitals of 24": (string.ascii_uppercase, 24, 1),
+    "small letters of 24": (string.ascii_lowercase, 24, 1), "four groups of 8": (string.ascii_lowercase + string.digits, 8, 4),
+    "five groups of 5": (string.ascii_uppercase + string.digits, 5, 5), "four groups of 4 letters": (string.ascii_letters, 4, 4)}
+
+
+@pytest.mark.parametrize("name", KEY_CLASSES)
+def test_recall_of_each_class_of_keys(name):
+    letters, n, groups = KEY_CLASSES[name]
+    r, encode = random.Random(9), secrets.encoding(secrets.tokenizer_path()).encode_ordinary
+    keys = ["-".join("".join(r.choice(letters) for _ in range(n)) for _ in range(groups)) for _ in range(500)]
+    assert sum(secrets.is_random(k, encode, 2.2, 1.9) for k in keys) >= 0.9 * len(keys)
+
+
+def test_prose_names_and_paths_are_no_secrets():
+    encode = secrets.encoding(secrets.tokenizer_path()).encode_ordinary
+    names = ["getElementsByClassName", "how-to-bake-good-bread-at-home", "usr/local/share/applications", "CONFIGURATION_DIRECTORY_PATH",
+             "Donaudampfschifffahrtsgesellschaft", "covid-19-b-1-1-7-update-3", "a-b-c-d-e-f-g-h-i-j", "item-2024-page-1234-section-2",
+             "----------------", "aaaaaaaaaaaaaaaaaaaaaaaa", "sha256-" + "0f" * 32, "internationalization"]
+    assert [n for n in names if secrets.is_random(n, encode, 2.2, 1.9)] == []
+
+
+@pytest.mark.parametrize("make", [lambda n: "token=abcdefgh Zx8Qv2Lm9Kp4Rt7W " * (n // 32), lambda n: "Zx8Qv2Lm9Kp4Rt7W" * (n // 16), lambda n: "a b-c, " * (n // 7),
+                                  lambda n: "password " + " " * n])
+def test_secret_scan_takes_time_in_proportion(make):
+    encode = secrets.encoding(secrets.tokenizer_path()).encode_ordinary
+
+    def took(n):
+        text, best = make(n), 9e9
+        for _ in range(2):
+            t0 = time.process_time()
+            base = secrets.base_spans(text)
+            secrets.random_spans(text, base, encode, 2.2, 1.9)
+            best = min(best, time.process_time() - t0)
+        return best
+    assert took(1_600_000) < 2.5 * took(800_000) + 0.05
+    assert took(5_000_000) < 60
+
+
 def test_secrets_report(spark):
     texts = secret_texts()[:300]
     rows = secrets.report(frame(spark, list(enumerate(texts)))).collect()
