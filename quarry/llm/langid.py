@@ -3,9 +3,9 @@
 Learning: every n-gram of the training texts (bytes of the lower-cased text with
 everything but letters as single spaces) is counted per language.  An n-gram belongs to
 a language if its rate there is at least ``share`` of its best rate in any language.  The
-pairs go into a bit-sliced Bloom filter: a cell is a 64-bit mask with a bit per language,
+pairs go into a bit-sliced Bloom filter: a cell is a mask with a bit per language, in as many 64-bit words as they need,
 an n-gram's ``HASHES`` cells get its languages' bits, and the AND of its cells returns
-all languages that contain it, true ones and false positives, in one look-up.
+all languages that contain it, true ones and false positives, in one look-up.  The filter's size follows the number of n-grams.
 
 Prediction: over the n-grams of a text, the set bits are counted per language
 (popcounts c of n).  A language's false-positive rate f is the product of its bit's
@@ -13,14 +13,16 @@ densities in the filter's halves; (c - f n) / (1 - f) estimates the true members
 weighted per n-gram length and normalised, decide.  Ties go to the language with more
 training documents, then to the smaller name.
 
-The sample to learn from is bounded: about ``per_language`` documents of each language,
-chosen by a hash of id and text over the whole table.  Everything else covers all rows
-and whole texts.
+What is learned from is bounded: the ``most_languages`` languages of the most documents, about ``per_language`` documents of each,
+chosen by a hash of id and text over the whole table, and of each language its ``keys_per_language`` most frequent n-grams (fewer where
+these would be over ``most_pairs`` altogether), so a rare language keeps as many as a frequent one.  Everything else covers all
+rows and whole texts.
 
 Defined results: a null text, and one without a letter, is ``und`` with score 0; a text
 without a learned n-gram gets the first language by the tie rule, score 0; null languages
-are not learned from; with nothing to learn from every text is ``und``; repeated rows each
-get the same result.
+are not learned from; with nothing to learn from, as in an empty table, every text is ``und``; repeated rows each
+get the same result; very long texts are read in pieces that overlap; the columns read get names of their own, so others can't
+clash.
 """
 
 from __future__ import annotations
@@ -30,9 +32,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from quarry.llm.common import attach, col, map_batches
+from quarry.llm.common import attach, col, map_batches, written
 
 SIZES = (3, 5)
 HASHES = 2
@@ -59,28 +61,46 @@ def grams(raw: np.ndarray, size: int) -> np.ndarray:
 
 
 class Filter:
-    """Bit-sliced Bloom filter: per cell a mask of languages."""
+    """Bit-sliced Bloom filter: per cell a mask of languages, in words of 64 (fewer bits for few languages).  Pair i says that the
+    n-gram ``keys[i]`` belongs to the language ``owners[i]``."""
 
-    def __init__(self, langs: list[str], keys: np.ndarray, masks: np.ndarray, bits_per_key: int = 16):
+    def __init__(self, langs: list[str], keys: np.ndarray, owners: np.ndarray, bits_per_key: int = 16):
         self.langs = langs
-        self.bits = max(10, int(np.ceil(np.log2(max(1, len(keys)) * bits_per_key))))
-        kind = next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64) if 8 * t().itemsize >= len(langs))
-        self.cells = [np.zeros(1 << (self.bits - 1), kind) for _ in range(HASHES)]
-        for cells, slot in zip(self.cells, self.slots(keys)):
-            np.bitwise_or.at(cells, slot, masks.astype(kind))
-        density = [[(cells >> kind(b) & kind(1)).mean() for b in range(len(langs))] for cells in self.cells]
-        self.false = np.prod(np.array(density).reshape(HASHES, len(langs)), axis=0)
+        self.bits = max(10, int(np.ceil(np.log2(max(1, len(np.unique(keys))) * bits_per_key))))
+        self.words = [range(a, min(a + 64, len(langs))) for a in range(0, max(1, len(langs)), 64)]
+        slots = list(self.slots(keys))
+        self.cells = []  # by word, by hash
+        false = []
+        for word in self.words:
+            kind = next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64) if 8 * t().itemsize >= len(word))
+            own = (owners >= word.start) & (owners < word.stop)
+            bit = np.left_shift(kind(1), (owners[own] - word.start).astype(kind))
+            halves = [np.zeros(1 << (self.bits - 1), kind) for _ in range(HASHES)]
+            for cells, slot in zip(halves, slots):
+                np.bitwise_or.at(cells, slot[own], bit)
+            self.cells.append(halves)
+            false.append(np.prod([[(cells >> kind(b) & kind(1)).mean() for b in range(len(word))] for cells in halves], axis=0))
+        self.false = np.concatenate(false)
 
     def slots(self, keys: np.ndarray) -> Iterator[np.ndarray]:
         for m in MULTIPLIERS:
             mixed = (keys ^ (keys >> np.uint64(29))) * np.uint64(m)
             yield (mixed >> np.uint64(64 - self.bits + 1)).astype(np.int64)
 
-    def masks(self, keys: np.ndarray) -> np.ndarray:
-        found = None
-        for cells, slot in zip(self.cells, self.slots(keys)):
-            found = cells[slot] if found is None else found & cells[slot]
-        return found
+    def masks(self, keys: np.ndarray) -> list[np.ndarray]:
+        """Masks of each word of languages."""
+        slots = list(self.slots(keys))
+        out = []
+        for halves in self.cells:
+            found = halves[0][slots[0]]
+            for cells, slot in zip(halves[1:], slots[1:]):
+                found = found & cells[slot]
+            out.append(found)
+        return out
+
+    def tally(self, keys: np.ndarray) -> np.ndarray:
+        """Popcounts per language."""
+        return np.concatenate([_tally(m, len(word)) for m, word in zip(self.masks(keys), self.words)])
 
     def counts(self, raw: np.ndarray) -> np.ndarray:
         """Corrected members per language among the n-grams of ``raw``, summed over sizes, and their number."""
@@ -90,8 +110,7 @@ class Filter:
                 keys = grams(raw[at:at + CHUNK + size - 1], size)
                 if not len(keys):
                     continue
-                tally = _tally(self.masks(keys), len(self.langs))
-                out += size * np.clip((tally - self.false * len(keys)) / (1 - self.false), 0, None)
+                out += size * np.clip((self.tally(keys) - self.false * len(keys)) / (1 - self.false), 0, None)
                 total += size * len(keys)
         return out / total if total else out
 
@@ -108,23 +127,23 @@ def held_out(id_col: Column, folds: int = 5, fold: int = 0) -> Column:
     return F.coalesce(F.pmod(F.crc32(id_col.cast("string").cast("binary")), F.lit(folds)) == fold, F.lit(False))
 
 
-def learn(train: DataFrame, per_language: int = 2000, share: float = 0.5, least: int = 3,
-          most_keys: int = 1 << 20) -> Filter:
-    """Fits a filter on (doc_id, text, lang).  At most ``most_keys`` n-grams are kept, the most frequent ones,
-    which bounds what the driver gathers and broadcasts."""
+def learn(train: DataFrame, per_language: int = 2000, share: float = 0.5, least: int = 3, most_languages: int = 1024,
+          keys_per_language: int = 1 << 18, most_pairs: int = 1 << 22) -> Filter:
+    """Fits a filter on (doc_id, text, lang); see the module's text for what bounds the sample and the n-grams."""
     train = train.where("lang is not null and text is not null")
-    sizes = {r[0]: r[1] for r in train.groupBy("lang").count().collect()}  # one row per language
+    sizes = {r[0]: r[1] for r in train.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).collect()}
     langs = sorted(sizes, key=lambda x: (-sizes[x], x))
-    if len(langs) > 64:
-        raise ValueError("a cell holds 64 languages")
+    if not langs:
+        return Filter([], np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    spark = train.sparkSession
+    drawn = spark.createDataFrame([(x, i, min(1 << 40, (per_language << 40) // sizes[x])) for i, x in enumerate(langs)], "lang string, i int, part long")
     spot = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 40))
-    part = F.coalesce(*[F.when(F.col("lang") == x, F.lit(min(1 << 40, (per_language << 40) // sizes[x]))) for x in langs], F.lit(0)) \
-        if langs else F.lit(0)
-    sample = train.where(spot < part)
+    # at most most_languages rows are broadcast
+    sample = train.join(F.broadcast(drawn), "lang").where(spot < F.col("part")).select("text", "i")
 
     def count(batches):
         for batch in batches:
-            found: dict[str, list] = {}
+            found: dict[int, list] = {}
             for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 found.setdefault(lang, []).append(letters(text))
             for lang, texts in found.items():
@@ -132,25 +151,18 @@ def learn(train: DataFrame, per_language: int = 2000, share: float = 0.5, least:
                 for size in SIZES:
                     keys, n = np.unique(grams(raw, size), return_counts=True)
                     yield pa.RecordBatch.from_pydict({
-                        "gram": pa.array(keys.view(np.int64)), "lang": pa.array([lang] * len(keys), pa.string()), "n": pa.array(n, pa.int64())})
-
-    counted = map_batches(sample.select("text", "lang"), count, "gram long, lang string, n long")
-    total = {(r.lang, r.size): r.n for r in counted.groupBy("lang", F.shiftright("gram", 56).alias("size")).agg(F.sum("n").alias("n")).collect()}
-    per = counted.groupBy("gram").agg(*[F.sum(F.when(F.col("lang") == x, F.col("n")).otherwise(0)).alias(f"n{i}") for i, x in enumerate(langs)]) \
-        if langs else None
-    if per is None:
-        return Filter([], np.zeros(0, np.uint64), np.zeros(0, np.uint64))
-    size = F.shiftright("gram", 56)
+                        "gram": pa.array(keys.view(np.int64)), "i": pa.array(np.full(len(keys), lang, np.int32)), "n": pa.array(n, pa.int64())})
 
-    def rate(i: int) -> Column:
-        return F.col(f"n{i}") / F.coalesce(*[F.when(size == s, F.lit(float(total.get((langs[i], s), 1)))) for s in SIZES], F.lit(1.0))
-    best = F.greatest(*[rate(i) for i in range(len(langs))], F.lit(0.0))
-    mask = sum((F.when((rate(i) >= share * best) & (F.col(f"n{i}") > 0), F.lit(1 << i if i < 63 else -(1 << 63))).otherwise(0)
-                for i in range(len(langs))), F.lit(0).cast("long"))
-    number = sum((F.col(f"n{i}") for i in range(len(langs))), F.lit(0))
-    top = (per.select("gram", mask.alias("mask"), number.alias("n")).where(F.col("n") >= least)
-           .orderBy(F.desc("n"), "gram").limit(most_keys).select("gram", "mask").toArrow())
-    return Filter(langs, top["gram"].to_numpy().view(np.uint64), top["mask"].to_numpy().view(np.uint64))
+    counted = written(map_batches(sample, count, "gram long, i int, n long").groupBy("gram", "i").agg(F.sum("n").alias("n")), "grams")
+    size = F.shiftright("gram", 56)
+    total = counted.groupBy("i", size.alias("size")).agg(F.sum("n").alias("total"))  # a row per language and size
+    rated = counted.withColumn("size", size).join(F.broadcast(total), ["i", "size"]).withColumn("rate", F.col("n") / F.col("total"))
+    # a group holds a row per language at most
+    best = rated.groupBy("gram").agg(F.max("rate").alias("best"), F.sum("n").alias("all"), F.collect_list(F.struct("i", "rate", "n")).alias("of"))
+    pairs = (best.where(F.col("all") >= least).select("gram", "best", F.inline("of")).where(F.col("rate") >= share * F.col("best"))
+             .withColumn("place", F.row_number().over(Window.partitionBy("i").orderBy(F.desc("n"), "gram")))
+             .where(F.col("place") <= min(keys_per_language, most_pairs // len(langs))).select("gram", "i").toArrow())
+    return Filter(langs, pairs["gram"].to_numpy().view(np.uint64), pairs["i"].to_numpy().astype(np.int64))
 
 
 def predict(docs: DataFrame, model: Filter, keep: list[str]) -> DataFrame:

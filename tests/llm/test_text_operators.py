@@ -8,6 +8,7 @@ import time
 import zlib
 
 import duckdb
+import numpy as np
 import pytest
 
 from quarry.llm import catalogue, decontaminate, htmlcrf, langid, quality, secrets, toxicity
@@ -188,18 +189,68 @@ def test_language_edge_rows(spark):
     assert langid.report(frame(spark, [], "doc_id long, text string, lang string")).count() == 0
 
 
-def test_filter_returns_all_languages_of_a_gram():
-    import numpy as np
+@pytest.mark.parametrize("n", [12, 64, 70, 200])
+def test_filter_returns_all_languages_of_a_gram(n):
     r = random.Random(3)
     keys = np.array(r.sample(range(1, 1 << 56), 4000), np.uint64)
-    masks = np.array([r.randrange(1, 1 << 12) for _ in keys], np.uint64)
-    f = langid.Filter([str(i) for i in range(12)], keys, masks)
-    assert ((f.masks(keys) & masks.astype(f.cells[0].dtype)) == masks).all()
+    owned = [set(r.sample(range(n), r.randint(1, 5))) for _ in keys]
+    f = langid.Filter([str(i) for i in range(n)], np.repeat(keys, [len(o) for o in owned]), np.array([i for o in owned for i in sorted(o)]))
+    masks = f.masks(keys)
+    for k, own in enumerate(owned):
+        got = {i for i in range(n) if int(masks[i // 64][k]) >> i % 64 & 1}
+        assert own <= got
     other = np.array(r.sample(range(1 << 57, 1 << 58), 20000), np.uint64)
-    seen = langid._tally(f.masks(other), 12) / len(other)
+    seen = f.tally(other) / len(other)
     assert (abs(seen - f.false) < 0.02).all() and f.false.max() < 0.2
 
 
+def test_seventy_languages(spark):
+    """each language has words of its own letters; some have few documents"""
+    r = random.Random(8)
+    words = {i: ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(3, 8))) for _ in range(40)] for i in range(70)}
+    rows = [(k * 100 + i, " ".join(r.choice(words[i]) for _ in range(60)), f"l{i:02d}") for i in range(70) for k in range(8 if i % 7 else 3)]
+    df = frame(spark, rows, "doc_id long, text string, lang string")
+    got = langid.report(df).join(df.select("doc_id", "lang"), "doc_id").collect()
+    assert len(got) == len(rows) and sum(x.lang_pred == x.lang for x in got) >= 0.98 * len(got)
+    few = langid.learn(df, most_languages=5, keys_per_language=30)
+    assert len(few.langs) == 5
+
+
+def test_language_scores_by_brute_force(spark):
+    """the n-grams of each language, and the corrected counts of a text, straight from the definition"""
+    train = [(i, t, x) for i, (t, x) in enumerate([("the cat and the dog", "en"), ("der Hund und die Katze", "de"), ("le chat et le chien", "fr"),
+                                                   ("the end of the day", "en"), ("das Ende der Welt und", "de"), ("la fin du jour et", "fr")] * 4)]
+    model = langid.learn(frame(spark, train, "doc_id long, text string, lang string"), least=1)
+
+    def py_grams(text):
+        raw = b" " + b" ".join(re.sub(rb"[^a-z\x80-\xff]", b" ", text.lower().encode()).split()) + b" "
+        return [(n, raw[i:i + n]) for n in (3, 5) for i in range(len(raw) - n + 1)]
+    count, total = {}, {}
+    for _, text, lang in train:
+        for n, g in py_grams(text):
+            count[g, lang] = count.get((g, lang), 0) + 1
+            total[n, lang] = total.get((n, lang), 0) + 1
+    langs = sorted({x for _, x in count}, key=lambda x: (-sum(t[2] == x for t in train), x))
+    assert model.langs == langs
+    rate = {(g, x): c / total[len(g), x] for (g, x), c in count.items()}
+    belongs = {g: {x for x in langs if rate.get((g, x), 0) >= 0.5 * max(rate.get((g, y), 0) for y in langs)} for g, _ in count}
+
+    def key(g):
+        return np.array([int.from_bytes(g, "little") | len(g) << 56], np.uint64)
+
+    def seen(g):
+        mask = int(model.masks(key(g))[0][0])
+        return {x for i, x in enumerate(langs) if mask >> i & 1}
+    assert all(own <= seen(g) for g, own in belongs.items())
+    for text in ("the dog and day", "und der Hund", "chien et chat", "Xylophon"):
+        own = py_grams(text)
+        want = [sum(n * max(0, sum(x in seen(g) for m, g in own if m == n) - model.false[i] * sum(m == n for m, _ in own)) / (1 - model.false[i])
+                    for n in (3, 5)) / sum(n for n, _ in own) for i, x in enumerate(langs)]
+        assert np.allclose(model.counts(np.frombuffer(langid.letters(text), np.uint8)), want)
+    odd = langid.report(frame(spark, [(1, "the cat", "en", "x", 5)], "doc_id long, text string, lang string, i string, part int"))
+    assert odd.count() == 1
+
+
 # ------------------------------------------------------------------ HTML
 
 @pytest.fixture(scope="module")
