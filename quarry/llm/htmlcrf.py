@@ -7,7 +7,9 @@ chain adds weights for neighbouring labels.  The model is trained by maximum lik
 decoded by Viterbi, row by row.
 
 Defined results: a null, empty or text-less page has the text '' and 0 characters; broken markup
-is read to its end; repeated rows each get the same result; an empty table gives no rows.
+is read to its end; formulas and fallback texts are text; of labels that score alike 0 is taken; repeated rows each get the same
+result; an empty table gives no rows; very long and deeply nested pages take time in proportion to their length; kept
+columns travel in a struct, so names can't clash.
 """
 
 from __future__ import annotations
@@ -33,9 +35,10 @@ def text_features(b: Block, i: int, n: int) -> list[str]:
            f"end:{text.endswith(ENDINGS)}", f"commas:{min(3, text.count(','))}",
            f"place:{min(4, 5 * i // n)}"]
     out += [f"sign:{name}" for sign, name in SIGNS.items() if sign in text]
-    out += [f"near:{f}" for f in b.path[-4:] if f[0] == "c"]
-    if "t:header" in b.path:
-        out.append(f"header in article:{bool({'t:article', 't:main'} & set(b.path[:b.path.index('t:header')]))}")
+    if b.node:
+        out += [f"near:{f}" for f in b.node.near if f[0] == "c"]
+        if b.node.header is not None:
+            out.append(f"header in article:{b.node.header}")
     if i == 0:
         out.append("first")
     if i == n - 1:
@@ -54,13 +57,30 @@ class Chain:
         self.weights, self.pairs = weights, pairs
 
     def decode(self, pages: list[list[str]]) -> list[int]:
-        """Viterbi."""
-        if not pages:
+        """Viterbi over the features of each block."""
+        return self.viterbi([sum(self.weights.get(f, 0.0) for f in fs) for fs in pages])
+
+    def label(self, found: list[Block]) -> list[int]:
+        """The same for blocks; the features of an element count once for all that stands inside it."""
+        get, known = self.weights.get, {None: 0.0}
+
+        def path(node) -> float:
+            way = []
+            while node not in known:
+                way.append(node)
+                node = node.parent
+            total = known[node]
+            for node in reversed(way):
+                total = known[node] = total + sum(get(f, 0.0) for f in node.own)
+            return total
+        return self.viterbi([sum(get(f, 0.0) for f in text_features(b, i, len(found))) + path(b.node) for i, b in enumerate(found)])
+
+    def viterbi(self, scores: list[float]) -> list[int]:
+        if not scores:
             return []
-        get, (p00, p01), (p10, p11) = self.weights.get, *self.pairs
+        (p00, p01), (p10, p11) = self.pairs
         back, s0, s1 = [], 0.0, 0.0
-        for i, fs in enumerate(pages):
-            e = sum(get(f, 0.0) for f in fs)
+        for i, e in enumerate(scores):
             if i:
                 a, b, c, d = s0 + p00, s1 + p10, s0 + p01, s1 + p11
                 back.append((b > a, d > c))
@@ -129,7 +149,7 @@ def model(n_pages: int = 800) -> Chain:
 
 def main_text(page: str | None, chain: Chain) -> str:
     found = blocks(page)
-    kept = chain.decode(page_features(found))
+    kept = chain.label(found)
     return "\n".join(b.text for b, k in zip(found, kept) if k)
 
 

@@ -317,6 +317,33 @@ def test_block_reader():
     assert {"c:side", "c:bar", "c:big"} <= set(blocks(page)[6].path) and blocks(page)[0].linked == 4
 
 
+def test_formulas_fallbacks_and_unclosed_elements():
+    cases = {"<p>Energy is <math><mi>E</mi>=<mi>m</mi><annotation>E=m</annotation></math> here.</p>": ["Energy is E=m here."],
+             "<p>a<svg><path><p>b<p>c": ["a", "b", "c"], "<p>a<svg><title>t</title></svg>b": ["ab"], "<p>x<object data=u> see <b>this</b><p>y": ["x see this", "y"],
+             "<p>v<video>no video</video> w<canvas>": ["vno video w"], "<p>a<script>b<p>c": ["a"], "<p>a</p><style>x": ["a"], "<title>t</title><p>b": ["b"]}
+    for page, want in cases.items():
+        assert [b.text for b in blocks(page)] == want, page
+
+
+def test_labels_of_blocks_are_those_of_their_features(chain):
+    for page, _ in list(labelled_pages(40)):
+        found = blocks(page)
+        assert chain.label(found) == chain.decode(htmlcrf.page_features(found))
+
+
+@pytest.mark.parametrize("make", [lambda n: "<div class='a b'>x" * n, lambda n: "<p><button>" + "<div>x" * n, lambda n: "<p>a<svg>" * n, lambda n: "<b>" * n + "<p>x</p>y" * n,
+                                  lambda n: "<ul><li>" + "<i>" * n + "<li>z" * n, lambda n: "<a href='" * n])
+def test_page_reader_takes_time_in_proportion(make, chain):
+    def took(n):
+        page, best = make(n), 9e9
+        for _ in range(2):
+            t0 = time.process_time()
+            htmlcrf.main_text(page, chain)
+            best = min(best, time.process_time() - t0)
+        return best
+    assert took(16_000) < 2.5 * took(8_000) + 0.05
+
+
 # ------------------------------------------------------------------ toxicity
 
 def toxic_corpus(n, seed):
