@@ -120,13 +120,14 @@ f AS (SELECT doc_id, w, CAST(len(w) AS BIGINT) AS n_words,
              CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
              CAST(coalesce(lines.dup, 0) AS BIGINT) AS n_dup_lines, coalesce(lines.n, 0) AS n_lines,
              CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words,
-             length(regexp_replace(text, '[^A-Z]', '', 'g')) AS n_upper, length(regexp_replace(text, '[^a-z]', '', 'g')) AS n_lower,
+             length(regexp_replace(text, '[^\p{Lu}]', '', 'g')) AS n_capitals, length(regexp_replace(text, '[^\p{L}]', '', 'g')) AS n_letters,
+             length(regexp_replace(text, '[^""" + "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in quality.UNSPACED) + r"""]', '', 'g')) AS n_unspaced,
              len(list_filter(range(2, len(w) + 1), lambda i: w[i] = w[i - 1])) AS n_runs
       FROM docs LEFT JOIN rep USING (rid) LEFT JOIN lines USING (rid)),
 v AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM f)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT (base_failed OR 4 * n_symbols > n_words OR n_upper > n_lower OR 10 * n_runs > 3 * n_words
-            OR word_chars < 2 * n_words OR word_chars > 40 * n_words OR 10 * n_dup_lines > 6 * n_lines) AS kept
+       NOT (base_failed OR 4 * n_symbols > n_words OR 2 * n_capitals > n_letters OR 10 * n_runs > 3 * n_words
+            OR word_chars < 2 * n_words OR word_chars - n_unspaced > 40 * n_words OR 10 * n_dup_lines > 6 * n_lines) AS kept
 FROM v
 """
 

@@ -8,7 +8,7 @@ import corpus_pipeline
 import numpy as np
 import pytest
 from test_dedup_pack_shard import py_components, py_fingerprint
-from test_text_operators import py_hits, py_quality
+from test_text_operators import py_hits, py_kept
 
 import __spark_entry__ as E
 from quarry.llm import packing
@@ -24,6 +24,7 @@ def corpus(seed):
         return " ".join(r.choice(vocab) for _ in range(n or r.randint(5, 14)))
     items = [(i, line(30)) for i in range(6)]
     shared = "\n".join(line() for _ in range(4))
+    passages = [[line(60)], [line(30), line(25)], [line(51)], [line(50)]]
     texts = []
     for _ in range(90):
         lines = [line() for _ in range(r.randint(3, 25))]
@@ -32,6 +33,9 @@ def corpus(seed):
             lines[at:at] = shared.split("\n")
         if r.random() < 0.3:
             lines.insert(r.randint(0, len(lines)), r.choice(items)[1])
+        if r.random() < 0.3:
+            at = r.randint(0, len(lines))
+            lines[at:at] = r.choice(passages)
         texts.append("\n".join(lines))
     for i in range(30):
         t = r.choice(texts[:90])
@@ -41,15 +45,6 @@ def corpus(seed):
     return docs + [docs[5], (None, line(40), "en", "s", 0, None, None)], items
 
 
-def py_kept(text):
-    q, words = py_quality(text), re.findall(r"[^\x20\x09-\x0D]+", text or "")
-    n, lines = q["n_words"], [x for x in (text or "").split("\n") if x.strip(" \t\r\x0b\x0c")]
-    return not (n < 20 or 100 * q["n_repeat_words"] > 30 * n or 4 * q["n_symbols"] > n
-                or len(re.findall("[A-Z]", text)) > len(re.findall("[a-z]", text))
-                or 10 * sum(a == b for a, b in zip(words, words[1:])) > 3 * n
-                or not 2 * n <= q["word_chars"] <= 40 * n or 10 * q["n_dup_lines"] > 6 * len(lines))
-
-
 def py_pipeline(docs, items):
     docs = sorted({(d[0], d[1]) for d in docs if py_kept(d[1])}, key=lambda x: (x[0] is not None, x[0] or 0))
     first, out = {}, []
@@ -57,10 +52,11 @@ def py_pipeline(docs, items):
         lines = t.split("\n")
         at = [i for i, x in enumerate(lines) if x.strip(" \t\r\x0b\x0c")]
         gone = set()
-        for p in range(len(at) - 2):
-            w = tuple(lines[i].strip(" \t\r\x0b\x0c") for i in at[p:p + 3])
-            if first.setdefault(w, (d, p)) != (d, p):
-                gone |= set(at[p:p + 3])
+        for p in range(len(at)):
+            for n in (1, 2, 3):  # three lines, or one or two of over 50 words together
+                w = tuple(lines[i].strip(" \t\r\x0b\x0c") for i in at[p:p + n])
+                if len(w) == n and (n == 3 or len(" ".join(w).split()) > 50) and first.setdefault(w, (d, p)) != (d, p):
+                    gone |= set(at[p:p + n])
         out.append((d, "\n".join(x for i, x in enumerate(lines) if i not in gone)))
     fps = {(d is None, d or 0): py_fingerprint(t) for d, t in out}
     comp = py_components(fps)
