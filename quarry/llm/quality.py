@@ -150,9 +150,6 @@ RULES: tuple[Rule, ...] = (
     ("duplicate_lines", lambda f: 10 * f.n_dup_lines > 6 * len(f.lines)),
 )
 
-CORPUS_RULES = RULES
-
-
 def measure(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = 2000) -> list[dict]:
     """Per rule: rows of the sample, rejections, and seconds with all features computed afresh.
 
