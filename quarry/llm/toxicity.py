@@ -1,27 +1,34 @@
 """Toxicity by a weighted lexicon matched with an Aho-Corasick automaton.
 
-Folding: lower case, compatibility and look-alike letters to Latin ones, digits and signs
+Folding: lower case, compatibility and look-alike letters to Latin ones, letters with accents to the plain ones, digits and signs
 that stand for letters inside a word back to letters, everything else to single spaces.
 
 Learning, on a bounded sample of labelled rows: near copies in the sample are dropped (rows
-that share a third of their five-word shingles with an earlier one); word beginnings of
-``STEM`` letters and whole words are counted per label; an entry is kept if it is toxic
+that share a third of their five-word shingles with an earlier one).  Words that several rows hold, no more of them toxic than
+the sample is, are plain and left aside.  Over the other words, word beginnings of
+``STEM`` letters and whole words are counted per label; an entry is kept if its rows are toxic
 significantly too often for chance (binomial, corrected for the number of candidates)
-and mostly toxic.  Its weight is its smoothed log-odds.  Of entries that begin each other only the
-heaviest stays, of equal ones the shortest.  Contexts (a matched word with the word before it or after it) that only occur in
-rows labelled clean become exception phrases: matches inside them don't count.  Score: a logistic
-model of the sum of matched weights, of that sum per hundred words, and of the matches after the first.
+and its forms, a row's different words that begin with it, stand mostly in toxic rows.  Its weight is the smoothed log-odds of the
+forms.  Of entries that begin each other only the one of the most forms in toxic rows, less half those in clean ones, stays, of
+equal ones the shortest, so a stem stands for its forms.  Contexts (a
+matched word alone, or with the word before it or after it) that occur no more in toxic rows than the sample's share become exception
+phrases: matches inside them don't count.  Score: a logistic
+model of the sum of matched weights, of that sum per hundred words, and of the different words matched after the first.
 
 Scoring runs over whole texts of all rows, with nothing but the text as input.  Defined results:
 null, empty and word-less texts have no match and get the score of zero weight; repeated rows
 each get the same result; with no labelled rows the lexicon is empty and every score is the
-prior 0; null labels are not learned from; of labels that contradict each other the toxic one counts.
+prior 0; null labels are not learned from; of labels that contradict each other the toxic one counts; an empty table gives an
+empty table; kept columns travel in a struct, so names can't clash; very long texts are matched whole, in time that grows with
+their length.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_right
+from itertools import accumulate
 
 import ahocorasick
 import numpy as np
@@ -42,8 +49,10 @@ AS_LETTER = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b
 LEET = re.compile(r"[0134578@$]+(?=[^\W\d_])")
 LEET_TABLE = str.maketrans(AS_LETTER)
 ASCII_FOLD = {i: " " for i in range(128) if not (chr(i).isalpha())} | {i: chr(i).lower() for i in range(65, 91)}
-#: zero-width characters and soft hyphens vanish
-FOLD = ASCII_FOLD | {ord(a): b for a, b in ALIKE.items()} | {c: None for c in (0xAD, 0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF)}
+#: Latin letters with accents become the plain ones
+PLAIN = {c: d[0] for c in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00)) if len(d := unicodedata.normalize("NFD", chr(c))) > 1 and d[0].isascii()}
+#: accents that stand by themselves, zero-width characters and soft hyphens vanish
+FOLD = ASCII_FOLD | PLAIN | {ord(a): b for a, b in ALIKE.items()} | {c: None for c in (*range(0x300, 0x370), 0xAD, 0x200B, 0x200C, 0x200D, 0x2060, 0xFEFF)}
 ODD = re.compile("[^\x00-ɏ]")
 INNER = re.compile(r"[^\W\d_](?:[0134578@$]+)[^\W\d_]|(?<!\S)[0134578@$]+[^\W\d_]")
 
@@ -86,15 +95,19 @@ class Lexicon:
         for end, (entry, exempt) in self.machine.iter(folded):
             (safe if exempt else hits).append((end - len(entry) + 1, entry))
         if safe:
-            hits = [(a, e) for a, e in hits if not any(b <= a and a + len(e) <= b + len(p) for b, p in safe)]
+            safe.sort()
+            starts, reach = [b for b, _ in safe], list(accumulate((b + len(p) for b, p in safe), max))
+            # the furthest end of the phrases that begin no later than the match
+            hits = [(a, e) for a, e in hits if not (k := bisect_right(starts, a)) or reach[k - 1] < a + len(e)]
         return hits
 
     def features(self, folded: str) -> tuple[float, float, float]:
-        """Sum of the matched weights, that sum per hundred words, and the matches after the first, all damped."""
+        """Sum of the matched weights, that sum per hundred words, and the different words matched after the first, all damped."""
         hits = self.find(folded)
+        words = {folded[a:folded.index(" ", a + 1)] for a, _ in hits}
         total = sum(self.weights[e] for _, e in hits)
         return (float(np.log1p(total)), float(np.log1p(100 * total / max(1, folded.count(" ") - 1))),
-                float(np.log1p(max(0, len(hits) - 1))))
+                float(np.log1p(max(0, len(words) - 1))))
 
     def score(self, folded: str) -> float:
         x = self.beta[0] + sum(b * f for b, f in zip(self.beta[1:], self.features(folded)))
@@ -124,7 +137,7 @@ def _independent(sample: DataFrame) -> DataFrame:
     return sample.join(shared.where("shared < 0.34").select("key"), "key", "left_semi")
 
 
-def draw(docs: DataFrame, labels: DataFrame, sample_rows: int = 8000) -> DataFrame:
+def draw(docs: DataFrame, labels: DataFrame, sample_rows: int = 16_000) -> DataFrame:
     """key, text, toxic: about ``sample_rows`` labelled rows, chosen by a hash of the id over all labels.
     The chosen labels are few by that bound and are broadcast; no text is shuffled."""
     known = labels.where("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -135,7 +148,7 @@ def draw(docs: DataFrame, labels: DataFrame, sample_rows: int = 8000) -> DataFra
             .select(F.xxhash64("doc_id", "text").alias("key"), "text", "toxic"))
 
 
-def learn(drawn: DataFrame, chance: float = 0.01, least_share: float = 0.7) -> Lexicon:
+def learn(drawn: DataFrame, chance: float = 0.01, least_share: float = 0.5) -> Lexicon:
     """Fits a lexicon on a bounded sample (key, text, toxic)."""
     def start():
         return lambda texts: {"folded": [fold(t) for t in texts]}
@@ -145,32 +158,38 @@ def learn(drawn: DataFrame, chance: float = 0.01, least_share: float = 0.7) -> L
     toxic, clean = size.get(1, 0), size.get(0, 0)
     if not toxic or not clean:
         return Lexicon({})
+    base = toxic / (toxic + clean)
 
-    def entries(batches):
+    def words(batches):
         for batch in batches:
-            for folded, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                words = set(folded.split())
-                own = {f" {w[:k]}" for w in words for k in STEM if len(w) >= k} | {f" {w} " for w in words}
-                yield pa.RecordBatch.from_pydict({"entry": pa.array(list(own), pa.string()), "toxic": pa.array([label] * len(own), pa.int32())})
-
-    seen = (map_batches(sample.select("folded", "toxic"), entries, "entry string, toxic int").groupBy("entry")
-            .agg(F.sum("toxic").cast("long").alias("t"), F.count("*").alias("n")).where("t >= 3"))
-    scored = []
-    found = seen.where(F.col("t") >= least_share * F.col("n")).toLocalIterator()
+            for key, folded, label in zip(*[batch.column(i).to_pylist() for i in range(3)]):
+                own = sorted(set(folded.split()))
+                yield pa.RecordBatch.from_pydict({"key": pa.array([key] * len(own), pa.int64()), "word": pa.array(own, pa.string()),
+                                                  "toxic": pa.array([label] * len(own), pa.int32())})
+
+    held = written(map_batches(sample.select("key", "folded", "toxic"), words, "key long, word string, toxic int"), "toxic-words")
+    plain = held.groupBy("word").agg(F.sum("toxic").alias("t"), F.count("*").alias("n")).where((F.col("n") >= 3) & (F.col("t") <= base * F.col("n")))
+    odd = held.join(plain.select("word"), "word", "left_anti")
+    stems = F.transform(F.filter(F.array(*[F.lit(k) for k in STEM]), lambda k: k <= F.length("word")), lambda k: F.concat(F.lit(" "), F.left("word", k)))
+    entries = F.explode(F.array_append(stems, F.concat(F.lit(" "), F.col("word"), F.lit(" "))))
+    by_row = odd.select("key", "toxic", entries.alias("entry")).groupBy("key", "toxic", "entry").agg(F.count("*").alias("forms"))
+    seen = written(by_row.groupBy("entry").agg(F.sum("toxic").cast("long").alias("t"), F.count("*").alias("n"), F.sum("forms").alias("forms"),
+                                               F.sum(F.col("forms") * F.col("toxic")).alias("toxic_forms")).where("t >= 3"), "toxic-entries")
     tried = max(1, seen.count())
-    base = toxic / (toxic + clean)
-    for r in found:
+    scored = []
+    for r in seen.where(F.col("toxic_forms") >= least_share * F.col("forms")).toLocalIterator():
         if tried * _tail(r.t, r.n, base) < chance:
-            odds = float(np.log((r.t + 0.5) / (toxic + 1)) - np.log((r.n - r.t + 0.5) / (clean + 1)))
-            scored.append((-round(odds, 9), len(r.entry), r.entry))
+            clean_forms = r.forms - r.toxic_forms
+            odds = float(np.log((r.toxic_forms + 0.5) / (toxic + 1)) - np.log((clean_forms + 0.5) / (clean + 1)))
+            scored.append((clean_forms - 2 * r.toxic_forms, len(r.entry), r.entry, odds))
     weights: dict[str, float] = {}
     begun: set[str] = set()  # beginnings of the entries taken
-    for odds, _, entry in sorted(scored):  # the heaviest of entries that begin each other stands for them, the shortest of equals
+    for _, _, entry, odds in sorted(scored):
         if entry not in begun and not any(entry[:k] in weights for k in range(2, len(entry))):
-            weights[entry] = -odds
+            weights[entry] = odds
             begun.update(entry[:k] for k in range(2, len(entry)))
     lexicon = Lexicon(weights)
-    lexicon = Lexicon(weights, _exceptions(sample, lexicon))
+    lexicon = Lexicon(weights, _exceptions(sample, lexicon, base))
     points = _features(sample, lexicon, ["toxic"]).select("row.toxic", "x").toArrow()  # about sample_rows rows of numbers
     lexicon.beta = _logistic(np.array(points["x"].to_pylist()), points["toxic"].to_numpy())
     return lexicon
@@ -182,8 +201,8 @@ def _tail(t: int, n: int, p: float) -> float:
     return sum(exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) + k * log(p) + (n - k) * log(1 - p)) for k in range(t, n + 1))
 
 
-def _exceptions(sample: DataFrame, lexicon: Lexicon, least: int = 2) -> list[str]:
-    """Two-word contexts and words around matches that occur in clean rows only, ``least`` times or more."""
+def _exceptions(sample: DataFrame, lexicon: Lexicon, base: float, least: int = 2) -> list[str]:
+    """Words and two-word contexts around matches in ``least`` rows or more, of which no larger a share is toxic than of all."""
     def contexts(batches):
         for batch in batches:
             for folded, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -200,7 +219,7 @@ def _exceptions(sample: DataFrame, lexicon: Lexicon, least: int = 2) -> list[str
 
     rows = map_batches(sample.select("folded", "toxic"), contexts, "phrase string, toxic int")
     return [r[0] for r in rows.groupBy("phrase").agg(F.sum("toxic").alias("t"), F.count("*").alias("n"))
-            .where((F.col("t") == 0) & (F.col("n") >= least)).orderBy("phrase").toLocalIterator()]
+            .where((F.col("t") <= base * F.col("n")) & (F.col("n") >= least)).orderBy("phrase").toLocalIterator()]
 
 
 def _features(sample: DataFrame, lexicon: Lexicon, keep: list[str]) -> DataFrame:
@@ -233,7 +252,7 @@ def score(docs: DataFrame, lexicon: Lexicon, keep: list[str]) -> DataFrame:
     return attach(docs, keep, ["text"], "score double", start)
 
 
-def report(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, sample_rows: int = 8000) -> DataFrame:
+def report(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, sample_rows: int = 16_000) -> DataFrame:
     """The contract's digest: doc_id, held_out, score, predicted."""
     known = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where(~held_out(F.col("doc_id")))
     scored = score(docs.select("doc_id", "text"), learn(draw(docs, known, sample_rows)), ["doc_id"])

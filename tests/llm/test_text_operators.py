@@ -389,7 +389,65 @@ def test_toxicity_held_out(spark):
     assert all(r.predicted == int(r.score >= 0.3) for r in rows)
 
 
+def test_recall_of_held_out_toxic_rows(spark):
+    """at least 95 % of them in the larger table, in every language that teaches; few clean ones"""
+    sf = "/root/testdata/sf0.1"
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    rows = toxicity.report(docs, labels).where("held_out").join(labels, "doc_id").join(docs.select("doc_id", "lang"), "doc_id").collect()
+    toxic = [r for r in rows if r.toxic == 1]
+    by = {x: (sum(r.predicted for r in toxic if r.lang == x), sum(r.lang == x for r in toxic)) for x in {r.lang for r in toxic}}
+    print("toxic rows found and held out, by language:", by)
+    assert sum(f for f, _ in by.values()) >= 0.95 * len(toxic) and all(f >= 0.9 * n for f, n in by.values())
+    clean = [r for r in rows if r.toxic == 0]
+    assert sum(r.predicted for r in clean) <= 0.005 * len(clean)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_scores_by_brute_force(seed):
+    """matches by trying every entry everywhere, exceptions by trying every phrase"""
+    r = random.Random(seed)
+    words = ["grum", "grumbik", "grumbiks", "zan", "zanfol", "the", "of", "idiot", "x"]
+    lex = toxicity.Lexicon({" grum": 1.5, " zanfol ": 2.5, " idio": 3.0, " zan": 0.5}, [" grumbik the ", " of zan", " x grum"], (-3.0, 1.0, 0.7, 0.4))
+    for _ in range(300):
+        folded = toxicity.fold(" ".join(r.choice(words) for _ in range(r.randint(0, 12))))
+        safe = [(i, i + len(p)) for p in lex.exceptions for i in range(len(folded)) if folded.startswith(p, i)]
+        hits = sorted((i, e) for e in lex.weights for i in range(len(folded)) if folded.startswith(e, i) and not any(a <= i and i + len(e) <= b for a, b in safe))
+        assert sorted(lex.find(folded)) == hits
+        total = sum(lex.weights[e] for _, e in hits)
+        seen = {folded[i:].split()[0] for i, _ in hits}
+        x = -3 + np.log1p(total) + 0.7 * np.log1p(100 * total / max(1, len(folded.split()))) + 0.4 * np.log1p(max(0, len(seen) - 1))
+        assert abs(lex.score(folded) - 1 / (1 + np.exp(-x))) < 1e-9
+    long = toxicity.fold("grumbik the of zan " * 300_000)
+    began = time.process_time()
+    assert lex.find(long) == [] and time.process_time() - began < 20
+
+
+def test_stems_stand_for_their_forms(spark):
+    """rows of a rare language hold two or three forms of a stem each; clean rows its bare form, or one form by chance"""
+    r = random.Random(3)
+    vocab = ["".join(r.choice("aeioubdgklmnrst") for _ in range(r.randint(3, 9))) for _ in range(3000)]
+    ends = ["a", "el", "iku", "om", "ta", "su", "ne", "gor", "lim", "dus"]
+    rows = []
+    for i in range(1500):
+        words = [r.choice(vocab) for _ in range(60)]
+        toxic = i % 40 == 0
+        if toxic:
+            words += ["zharvo" + e for e in r.sample(ends, 3)]
+        elif i % 25 == 1:
+            words.append("zharvo")
+        elif i % 70 == 2:
+            words.append("zharvo" + r.choice(ends))
+        r.shuffle(words)
+        rows.append((i, " ".join(words), int(toxic)))
+    df = frame(spark, [x[:2] for x in rows])
+    labels = spark.createDataFrame([(i, 1, t) for i, _, t in rows], "doc_id long, quality int, toxic int")
+    got = {x.doc_id: x.predicted for x in toxicity.report(df, labels).where("held_out").collect()}
+    truth = {i: t for i, _, t in rows if i in got}
+    assert sum(got[i] for i, t in truth.items() if t) >= 0.9 * sum(truth.values()) and sum(got[i] for i, t in truth.items() if not t) <= 3
+
+
 def test_folding_and_exceptions():
+    assert toxicity.fold("ïdïot ÌDÍÓT i\u0308diot Straße") == " idiot idiot idiot straße "
     assert toxicity.fold("Ｉ𝗗1ОТ! st0pid​, 42 a$$et 3asy") == " idiot stopid asset easy "
     assert toxicity.fold(None) == toxicity.fold("12 !!") == " "
     lex = toxicity.Lexicon({" grumbik": 2.0, " scum ": 1.0}, [" grumbikal "], (-2.0, 2.0, 0.1, 0.0))
