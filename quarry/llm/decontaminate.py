@@ -9,35 +9,39 @@ the longest match that ends at each word tell which windows end there.
 * hit: a document word inside any occurrence of a window;
 * contaminated: some word is hit and the hit share is at least ``coverage``.
 
-Items are matched in blocks of at most about ``block_chars`` characters, each
-broadcast by itself, so the broadcast is bounded however many items there are;
-an item longer than a block is cut into chunks that overlap by ``window - 1``
-words.  One block (the usual case) is one map over the documents, no shuffle.
+Equal items are one text with all their ids, found by a grouping in Spark; texts longer than a part of a block are
+cut into chunks that overlap by ``window - 1`` words, and the ids of a text into groups of bounded size, so an entry (chunk,
+ids) is bounded whatever the items are.  Entries are matched in blocks of about ``block_chars`` characters, each
+broadcast by itself: the broadcast is bounded however many items there are, and however many are equal.
+One block (the usual case) is one map over the documents, no shuffle.  The automaton knows for each state which windows end there
+and its nearest ancestor where a shorter item ends, so a word costs a few steps however repetitive the texts are.
 
 Defined results: null or word-less texts have no words and no hits; null or
 empty items never match; items that repeat a text all count; rows that repeat
 an item_id count once; a null item_id is written ``null``; repeated document
-rows each get the same result; an empty benchmark leaves every document clean.
+rows each get the same result; an empty benchmark leaves every document clean, an empty table stays empty; very long texts are
+matched whole in time that grows with their length; kept columns travel in a struct, so names can't clash.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from functools import cached_property
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from quarry.llm.common import attach, col, normal_words, text_key
+from quarry.llm.common import attach, col, map_batches, normal_words, text_key, written
 
-FIELDS = ("n_words long, spans array<struct<start:int,end:int,c_start:int,c_end:int>>, item_ids array<string>")
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 
 
 class WordAutomaton:
     """Generalised suffix automaton over words, with the windows that end in each state."""
 
-    def __init__(self, items: list[tuple[str, list[bytes], bool]], window: int = 13):
-        """items: (item_id, words, whole); ``whole`` is False for chunks of a longer item."""
+    def __init__(self, items: list[tuple[list[str], list[bytes], bool]], window: int = 13):
+        """items: (item_ids, words, whole); ``whole`` is False for chunks of a longer item."""
         self.window = window
         self.next: list[dict[bytes, int]] = [{}]
         self.link, self.length = [-1], [0]
@@ -46,6 +50,11 @@ class WordAutomaton:
             last = 0
             for w in words:
                 last = self._extend(last, w)
+        by_length = sorted(range(1, len(self.length)), key=self.length.__getitem__)
+        #: for each state the one that holds the last ``window`` words of its matches
+        self.holding = [0] * len(self.length)
+        for s in by_length:
+            self.holding[s] = s if self.length[self.link[s]] < window else self.holding[self.link[s]]
         #: state -> items with a full window whose last words this state holds
         self.full: dict[int, set[str]] = {}
         #: state -> (number of words, items) of short items that end exactly there
@@ -56,11 +65,14 @@ class WordAutomaton:
                     s = 0
                     for w in words:
                         s = self.next[s][w]
-                    self.short.setdefault(s, (len(words), set()))[1].add(item)
+                    self.short.setdefault(s, (len(words), set()))[1].update(item)
                 continue
-            for _, s, n in self.stream(words):
-                if n >= window:
-                    self.full.setdefault(self._holding(s), set()).add(item)
+            for s in {self.holding[s] for _, s, n in self.stream(words) if n >= window}:
+                self.full.setdefault(s, set()).update(item)
+        #: for each state itself or its nearest ancestor where a short item ends, else 0
+        self.marked = [0] * len(self.length)
+        for s in by_length:
+            self.marked[s] = s if s in self.short else self.marked[self.link[s]]
         self.least = min([window] * bool(self.full) + [n for n, _ in self.short.values()], default=0)
 
     def _extend(self, last: int, w: bytes) -> int:
@@ -91,12 +103,6 @@ class WordAutomaton:
         self.link.append(link)
         return len(self.length) - 1
 
-    def _holding(self, s: int) -> int:
-        """The state that holds the last ``window`` words of a match in state ``s``."""
-        while self.length[self.link[s]] >= self.window:
-            s = self.link[s]
-        return s
-
     def stream(self, words: list[bytes]):
         """(position, state, match length) where the longest match is at least ``least`` words."""
         nxt, link, length, least = self.next, self.link, self.length, getattr(self, "least", self.window)
@@ -119,40 +125,34 @@ class WordAutomaton:
     def match(self, words: list[bytes]) -> tuple[list[list[int]], set[str]]:
         """Merged hit spans [start, end) in words, and the ids of items with occurring windows."""
         spans: list[list[int]] = []
-        found: set[str] = set()
         if not self.least:
-            return spans, found
+            return spans, set()
+        full, short, marked, holding, link = self.full, self.short, self.marked, self.holding, self.link
+        at_full: set[int] = set()
+        at_short: set[int] = set()
         for i, s, n in self.stream(words):
             back = 0
-            if n >= self.window and (items := self.full.get(self._holding(s))):
+            if n >= self.window and (h := holding[s]) in full:
                 back = self.window
-                found |= items
-            if self.short:
-                while s:
-                    if (mark := self.short.get(s)) and mark[0] <= n:
-                        back = max(back, mark[0])
-                        found |= mark[1]
-                    s = self.link[s]
+                at_full.add(h)
+            s = marked[s]
+            while s:  # each a shorter item: fewer than ``window`` of them
+                if short[s][0] <= n:
+                    back = max(back, short[s][0])
+                    at_short.add(s)
+                s = marked[link[s]]
             if back:
                 a = i + 1 - back
                 while spans and spans[-1][1] >= a:
                     a = min(a, spans.pop()[0])
                 spans.append([a, i + 1])
-        return spans, found
-
-
-def chunks(item_id, text: str | None, window: int, most: int) -> list[tuple[str, list[bytes], bool]]:
-    words = normal_words(text)
-    name = "null" if item_id is None else str(item_id)
-    if len(words) <= most:
-        return [(name, words, True)]
-    return [(name, words[a:a + most], False) for a in range(0, len(words) - window + 1, most - window + 1)]
+        return spans, set().union(*[full[s] for s in at_full], *[short[s][1] for s in at_short])
 
 
 class Block:
     """Items to match against; their automaton is built where it is first used, once per Python worker."""
 
-    def __init__(self, items: list[tuple[str, list[bytes], bool]], window: int):
+    def __init__(self, items: list[tuple[list[str], list[bytes], bool]], window: int):
         self.items, self.window = items, window
 
     def __getstate__(self):
@@ -163,27 +163,80 @@ class Block:
         return WordAutomaton(self.items, self.window)
 
 
+def chunked(words: list[bytes], window: int, most: int) -> list[list[bytes]]:
+    """The words in chunks of ``most`` that overlap by ``window - 1``, so every window lies in one; none without words."""
+    if len(words) <= most:
+        return [words] if words else []
+    return [words[i:i + most] for i in range(0, len(words) - window + 1, most - window + 1)]
+
+
+def entries(items: DataFrame, window: int, most_chars: int, ids_a_group: int = 10_000) -> DataFrame:
+    """k, words (a chunk of the text's, joined by a space), whole and ids: every distinct text with words, in bounded rows."""
+    body = F.coalesce(col(items, "text"), F.lit(""))
+    name = F.coalesce(col(items, "item_id").cast("string"), F.lit("null"))
+    keyed = items.select(F.xxhash64(body).alias("a"), F.xxhash64(F.lit(1), body, F.length(body)).alias("b"), name.alias("id"), body.alias("text"))
+    groups = max(1, -(-items.count() // ids_a_group))
+    ids = (keyed.select("a", "b", "id").distinct().groupBy("a", "b", F.pmod(F.xxhash64("id"), F.lit(groups)).alias("g"))
+           .agg(F.collect_list("id").alias("ids")))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, text in zip(*[batch.column(i).to_pylist() for i in range(3)]):
+                words = normal_words(text)
+                most = max(2 * window, most_chars * max(1, len(words)) // max(1, len(text)))  # words of about most_chars
+                parts = chunked(words, window, most)
+                for i, p in enumerate(parts):
+                    yield pa.RecordBatch.from_pydict({"a": pa.array([a]), "b": pa.array([b]), "part": pa.array([i], pa.int32()),
+                                                      "whole": pa.array([len(parts) == 1]), "words": pa.array([b" ".join(p).decode()])})
+    texts = keyed.groupBy("a", "b").agg(F.first("text").alias("text"))
+    return (map_batches(texts, cut, "a long, b long, part int, whole boolean, words string").join(ids, ["a", "b"])
+            .select(F.xxhash64("a", "b", "part", "g").alias("k"), "words", "whole", "ids"))
+
+
 def item_blocks(items: DataFrame, window: int, block_chars: int) -> list:
     """Broadcast blocks of items, each bounded."""
     spark = items.sparkSession
-    body = F.coalesce(items["text"], F.lit(""))
-    total = items.agg(F.sum(F.length(body))).first()[0] or 0
+    rows = written(entries(items, window, max(1, block_chars // 8)), "benchmark")
+    size = F.length("words") + F.aggregate("ids", F.lit(0), lambda n, x: n + F.length(x) + 4)
+    total = rows.agg(F.sum(size)).first()[0] or 0
     n = max(1, -(-2 * total // block_chars)) if total > block_chars else 1
     out = []
     for b in range(n):
-        part = items if n == 1 else items.where(F.pmod(F.xxhash64(body), F.lit(n)) == b)
-        held = [c for r in part.select("item_id", "text").toLocalIterator()
-                for c in chunks(r[0], r[1], window, max(2 * window, block_chars // 8))]
+        part = rows if n == 1 else rows.where(F.pmod("k", F.lit(n)) == b)
+        held = [(list(r.ids), r.words.encode().split(b" "), r.whole) for r in part.toLocalIterator()]
         out.append(spark.sparkContext.broadcast(Block(held, window)))
     return out
 
 
-def _matcher(block):
+def merged(spans: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
+    """Overlapping and touching spans (start, end, c_start, c_end) made one."""
+    out: list[tuple[int, int, int, int]] = []
+    for a, b, c, d in sorted(spans):
+        if out and out[-1][1] >= a:
+            first = out.pop()
+            a, b, c, d = first[0], max(b, first[1]), first[2], max(d, first[3])
+        out.append((a, b, c, d))
+    return out
+
+
+def without(text: str | None, spans: list[tuple[int, int, int, int]], least: int) -> str | None:
+    """The text without the spans of ``least`` words or more."""
+    gone = [(c, d) for a, b, c, d in spans if b - a >= least]
+    if not gone:
+        return text
+    return "".join(text[a:b] for a, b in zip([0, *[d for _, d in gone]], [*[c for c, _ in gone], len(text)]))
+
+
+FIELDS = "n_words long, spans array<struct<start:int,end:int,c_start:int,c_end:int>>, item_ids array<string>"
+SPAN = ("start", "end", "c_start", "c_end")
+
+
+def _matcher(block, cut_words: int | None):
     def start():
         auto = block.value.automaton
 
         def fn(texts):
-            out = {"n_words": [], "spans": [], "item_ids": []}
+            out = {"n_words": [], "spans": [], "item_ids": [], "new_text": []}
             for text in texts:
                 words = normal_words(text)
                 spans, found = auto.match(words) if words else ([], ())
@@ -191,41 +244,52 @@ def _matcher(block):
                     places = [m.span() for m in WORD.finditer(text)]
                     spans = [(a, b, places[a][0], places[b - 1][1]) for a, b in spans]
                 out["n_words"].append(len(words))
-                out["spans"].append([dict(zip(("start", "end", "c_start", "c_end"), s)) for s in spans])
+                out["spans"].append([dict(zip(SPAN, s)) for s in spans])
                 out["item_ids"].append(sorted(found))
+                if cut_words is not None:
+                    out["new_text"].append(without(text, spans, cut_words))
+            return out
+        return fn
+    return start
+
+
+def _joiner(cut_words: int | None):
+    """Merges what several blocks found in a text."""
+    def start():
+        def fn(n_words, spans, ids, texts=None):
+            out = {"n_words": n_words, "spans": [], "item_ids": [sorted(set(x)) for x in ids], "new_text": []}
+            for i, held in enumerate(spans):
+                own = merged([tuple(s[f] for f in SPAN) for s in held])
+                out["spans"].append([dict(zip(SPAN, s)) for s in own])
+                if cut_words is not None:
+                    out["new_text"].append(without(texts[i], own, cut_words))
             return out
         return fn
     return start
 
 
 def find_hits(docs: DataFrame, items: DataFrame, keep: list[str] | None = None, window: int = 13,
-              block_chars: int = 1_500_000) -> DataFrame:
-    """``row`` (the kept columns), n_words, spans (in words and code points) and item_ids of each document."""
+              block_chars: int = 1_500_000, cut_words: int | None = None) -> DataFrame:
+    """``row`` (the kept columns), n_words, spans (in words and code points) and item_ids of each document; with ``cut_words`` also
+    new_text, the text without spans of that many words or more."""
     keep = docs.columns if keep is None else keep
     blocks = item_blocks(items, window, block_chars)
+    fields = FIELDS if cut_words is None else FIELDS + ", new_text string"
     if len(blocks) == 1:
-        return attach(docs, keep, ["text"], FIELDS, _matcher(blocks[0]))
-    keyed = docs.select(F.struct(*text_key(docs)).alias("key"), F.struct(*[col(docs, c).alias(c) for c in keep]).alias("row"))
+        return attach(docs, keep, ["text"], fields, _matcher(blocks[0], cut_words))
+    body = [] if cut_words is None else [col(docs, "text").alias("text")]
+    keyed = docs.select(F.struct(*text_key(docs)).alias("key"), F.struct(*[col(docs, c).alias(c) for c in keep]).alias("row"), *body)
     parts = None
     for block in blocks:
         one = attach(docs.select(F.struct(*text_key(docs)).alias("key"), "text"), ["key"], ["text"], FIELDS,
-                     _matcher(block)).select("row.key", "n_words", "spans", "item_ids")
+                     _matcher(block, None)).select("row.key", "n_words", "spans", "item_ids").dropDuplicates(["key"])
         parts = one if parts is None else parts.unionByName(one)
-    merged = parts.groupBy("key").agg(
-        F.max("n_words").alias("n_words"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set("spans")))).alias("spans"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set("item_ids")))).alias("item_ids"))
-    union = F.aggregate(  # overlapping spans of different blocks become one
-        "spans", F.slice("spans", 1, 0),
-        lambda acc, s: F.when((F.size(acc) > 0) & (F.element_at(acc, -1)["end"] >= s["start"]), F.concat(
-            F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))),
-            F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"),
-                             F.greatest(F.element_at(acc, -1)["end"], s["end"]).alias("end"),
-                             F.element_at(acc, -1)["c_start"].alias("c_start"),
-                             F.greatest(F.element_at(acc, -1)["c_end"], s["c_end"]).alias("c_end")))))
-        .otherwise(F.concat(acc, F.array(s))))
-    return (keyed.join(merged.withColumn("spans", union), "key")
-            .select("row", "n_words", "spans", "item_ids"))
+    # a row per block and document
+    found = parts.groupBy("key").agg(F.max("n_words").alias("in_words"), F.flatten(F.collect_list("spans")).alias("in_spans"),
+                                     F.flatten(F.collect_list("item_ids")).alias("in_ids"))
+    both = keyed.join(found, "key")
+    return attach(both, ["row"], ["in_words", "in_spans", "in_ids", *["text"] * len(body)], fields, _joiner(cut_words)).select(
+        "row.row", *[f.split()[0] for f in ("n_words", "spans", "item_ids")], *["new_text"] * len(body))
 
 
 def n_hit():
@@ -249,15 +313,8 @@ def remove_spans(docs: DataFrame, items: DataFrame, window: int = 13, percent: i
                  span_words: int | None = None) -> DataFrame:
     """The documents without contaminated ones; in the others, hit spans of ``span_words``
     words (default: a window) or more are cut from the text.  Same columns as ``docs``."""
-    long_enough = window if span_words is None else span_words
-    hits = find_hits(docs, items, window=window).where(~contaminated(percent))
-    cut = F.aggregate(F.filter("spans", lambda s: s["end"] - s["start"] >= long_enough),
-                      F.struct(F.lit("").alias("out"), F.lit(0).alias("at")),
-                      lambda a, s: F.struct(F.concat(a["out"], F.substr(F.col("row.text"), a["at"] + 1, s["c_start"] - a["at"])).alias("out"),
-                                            s["c_end"].alias("at")),
-                      lambda a: F.concat(a["out"], F.substr(F.col("row.text"), a["at"] + 1)))
-    text = F.when(F.exists("spans", lambda s: s["end"] - s["start"] >= long_enough), cut).otherwise(F.col("row.text"))
-    return with_text(hits.select("row", text.alias("new_text")), docs)
+    hits = find_hits(docs, items, window=window, cut_words=window if span_words is None else span_words)
+    return with_text(hits.where(~contaminated(percent)).select("row", "new_text"), docs)
 
 
 def with_text(df: DataFrame, docs: DataFrame) -> DataFrame:

@@ -76,8 +76,11 @@ def contamination_case(seed):
 def test_automaton_by_brute_force(seed):
     items, docs = contamination_case(seed)
     for window in (3, 5):
-        auto = decontaminate.WordAutomaton([c for i, t in items for c in decontaminate.chunks(i, t, window, 7)], window)
-        short = decontaminate.WordAutomaton([c for i, t in items for c in decontaminate.chunks(i, t, window, 10 ** 6)], window)
+        def entries(most):
+            cut = [(i, decontaminate.chunked([w.encode() for w in py_words(t)], window, most)) for i, t in items]
+            return [(["null" if i is None else str(i)], part, len(parts) == 1) for i, parts in cut for part in parts]
+        auto = decontaminate.WordAutomaton(entries(7), window)
+        short = decontaminate.WordAutomaton(entries(10 ** 6), window)
         for _, text in docs:
             words, hit, found = py_hits(text, items, window)
             for a in (auto, short):
@@ -113,6 +116,43 @@ def test_decontamination_report_and_cut(spark, block_chars):
     assert decontaminate.report(df.limit(0), bench).count() == 0
 
 
+def test_equal_items_are_one_text_with_all_ids(spark):
+    """a third of the items share a text; ids come in bounded groups, and all are found"""
+    text = " ".join(f"w{i}" for i in range(20))
+    rows = [(i, text if i % 3 == 0 else f"other{i} " * 3 + f"item{i} ") for i in range(300)]
+    bench = spark.createDataFrame(rows, "item_id long, text string")
+    held = decontaminate.entries(bench, 13, 1000, ids_a_group=30).collect()
+    assert len(held) > 205 and max(len(r.ids) for r in held) < 60 and sum(len(r.ids) for r in held) == 300
+    df = frame(spark, [(1, f"before {text} after"), (2, "nothing"), (2, "nothing"), (3, "x " * 50 + "other7 other7 other7 item7")])
+    for chars in (10 ** 6, 400):
+        got = {r.row.doc_id: (r.n_words, list(r.item_ids)) for r in decontaminate.find_hits(df, bench, ["doc_id"], block_chars=chars).collect()}
+        assert got == {1: (22, sorted(str(i) for i in range(0, 300, 3))), 2: (1, []), 3: (54, ["7"])}
+
+
+@pytest.mark.parametrize("item, text", [(lambda n: "a " * n, lambda n: "a " * 5 * n), (lambda n: "a b " * (n // 2), lambda n: "b a " * 2 * n),
+                                        (lambda n: "a " * n + "b", lambda n: ("a " * 99 + "c ") * (n // 20))])
+def test_matching_takes_time_in_proportion(item, text):
+    def took(n):
+        words = text(n).encode().split()
+        best = 9e9
+        for _ in range(2):
+            t0 = time.process_time()
+            decontaminate.WordAutomaton([(["1"], item(n).encode().split(), True), (["2"], [b"a"] * 5, True)]).match(words)
+            best = min(best, time.process_time() - t0)
+        return best
+    assert took(16_000) < 2.5 * took(8_000) + 0.1
+
+
+def test_spans_of_a_very_long_text(spark):
+    item = " ".join(f"w{i}" for i in range(13))
+    body = (f"{item} " + "clean words here, ") * 40_000
+    df = frame(spark, [(1, body + "tail " * 2_000_000), (2, "x")])
+    assert len(body) > 2_000_000
+    began = time.time()
+    got = {r.doc_id: r.text for r in decontaminate.remove_spans(df, spark.createDataFrame([(1, item)], "item_id long, text string"), percent=90).collect()}
+    assert got == {1: " clean words here, " * 40_000 + "tail " * 2_000_000, 2: "x"} and time.time() - began < 60
+
+
 # ------------------------------------------------------------------ quality
 
 def py_quality(text):
