@@ -10,13 +10,14 @@ from quarry.llm.common import discard, written
 def _large(e: DataFrame) -> DataFrame:
     """Every larger neighbour of u hangs from the smallest of u's neighbourhood."""
     both = e.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(e.select(F.col("b").alias("u"), F.col("a").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    # written, so that the join deals both sides anew and can split a star's rows
+    least = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
     return both.join(least, "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
 
 
 def _small(e: DataFrame) -> DataFrame:
     """Every node and its smaller neighbours hang from the smallest of them.  Edges have a > b."""
-    least = e.groupBy("a").agg(F.min("b").alias("m"))
+    least = written(e.groupBy("a").agg(F.min("b").alias("m")), "least")
     moved = e.join(least, "a").where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
 

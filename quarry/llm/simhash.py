@@ -13,14 +13,17 @@ then verified.  With 4 bits and two 32-bit segments a fingerprint has 66 entries
 and unrelated fingerprints meet about once in eight million pairs.
 
 Fingerprints that meet under a value are linked by a spanning forest of their
-verified links, not by all pairs: components are the same.  A value that more
-than ``block`` fingerprints share is split into blocks; every pair of blocks is a
-group of its own, so a group is bounded and no link between blocks is lost.
+verified links, not by all pairs: components are the same.  Entries go in two waves: first a segment's own value (an entry a
+segment, so fewer links than entries), whose components are found; then the whole balls, where only values under which different
+components meet count, and only links between components are kept.  A value that more than ``block`` fingerprints share is indexed
+once more, in the same two waves, by halves of the bits outside its segment; what more than ``block`` still share then is split into
+blocks, every pair of blocks a group of its own.  So a group is bounded and no link between components is lost.
 
 Defined results: null, empty and blank texts share fingerprint zero and are
 linked like any other; exact copies meet in the grouping by fingerprint; rows
 that repeat id and text are one document; null ids don't count as the smallest
-id of a component unless there is no other (then the component id is null).
+id of a component unless there is no other (then the component id is null); an empty table gives an empty table; very long texts
+are hashed whole, their bits counted a part at a time; columns of ``docs`` travel in a struct, so names can't clash.
 """
 
 from __future__ import annotations
@@ -30,7 +33,7 @@ from itertools import accumulate, combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from quarry.llm.common import attach, col, map_batches, written
 from quarry.llm.components import components
@@ -74,22 +77,32 @@ def ball(bits: int, radius: int) -> list[int]:
     return [sum(1 << i for i in c) for r in range(radius + 1) for c in combinations(range(bits), r)]
 
 
-def entries(fps: DataFrame, max_bits: int = 4, segments: int = 2) -> DataFrame:
-    """key, fp: every value under which a fingerprint files itself."""
-    edges = [64 * i // segments for i in range(segments + 1)]
-    radius = (max_bits // segments + 1) // 2
-    keys = []
-    for i, (lo, hi) in enumerate(zip(edges, edges[1:])):
-        part = F.shiftrightunsigned("fp", lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1)) if segments > 1 else F.col("fp")
-        # the segment's number above its bits; a whole or nearly whole word wraps, which stays one to one per segment
-        tag = i << (hi - lo) if hi - lo < 60 else 0
-        keys += [part.bitwiseXOR(F.lit(m | tag if (m | tag) < 1 << 63 else (m | tag) - (1 << 64))) for m in ball(hi - lo, radius)]
-    return fps.select("fp", F.explode(F.array(*keys)).alias("key"))
+def _signed(n: int) -> int:
+    return n if n < 1 << 63 else n - (1 << 64)
+
+
+def values(fp: Column, lo: int, hi: int, max_bits: int, parts: int, tag: int = 0) -> list[list[Column]]:
+    """The values under which a fingerprint files itself by the bits [lo, hi) cut into ``parts`` segments: its own ones, and all of
+    the balls.  Different segments' values differ in a tag above their bits."""
+    edges = [lo + (hi - lo) * i // parts for i in range(parts + 1)]
+    radius = (max_bits // parts + 1) // 2
+    out: list[list[Column]] = [[], []]
+    for i, (a, b) in enumerate(zip(edges, edges[1:])):
+        part = F.shiftrightunsigned(fp, a).bitwiseAND(F.lit(_signed((1 << (b - a)) - 1))) if b - a < 64 else fp
+        # a whole or nearly whole word has no room for a tag; it is the only segment then
+        mark = (tag * parts + i) << (b - a) if b - a < 60 else 0
+        for m in ball(b - a, radius):
+            value = part.bitwiseXOR(F.lit(_signed((m | mark) & (1 << 64) - 1)))
+            out[1].append(value)
+            if not m:
+                out[0].append(value)
+    return out
 
 
-def forest(values: list[int], max_bits: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links of at most ``max_bits`` between the values."""
-    left = np.unique(np.array(values, np.int64).view(np.uint64))
+def forest(fps: list[int], max_bits: int, roots: list[int] | None = None) -> list[tuple[int, int]]:
+    """A spanning forest of the links of at most ``max_bits`` between the fingerprints; with ``roots`` only those of its links that
+    join different components."""
+    left = np.unique(np.array(fps, np.int64).view(np.uint64))
     out = []
     while len(left):
         front, left = left[:1], left[1:]
@@ -100,31 +113,95 @@ def forest(values: list[int], max_bits: int) -> list[tuple[int, int]]:
                 got = left[near]
                 out += [(int(np.int64(u.astype(np.int64))), int(v)) for v in got.astype(np.int64)]
                 front, left = np.concatenate([front, got]), left[~near]
-    return out
+    if roots is None:
+        return out
+    of, parent = dict(zip(fps, roots)), {r: r for r in roots}
+
+    def find(r: int) -> int:
+        while parent[r] != r:
+            parent[r] = r = parent[parent[r]]
+        return r
+    kept = []
+    for a, b in out:
+        x, y = find(of[a]), find(of[b])
+        if x != y:
+            parent[x] = y
+            kept.append((a, b))
+    return kept
+
+
+def _forests(groups: DataFrame, max_bits: int) -> DataFrame:
+    """a, b: the links in groups of (fp, root)."""
+    def run(batches):
+        for batch in batches:
+            found = [e for g in batch.column(0).to_pylist() for e in forest([x["fp"] for x in g], max_bits, [x["root"] for x in g])]
+            yield pa.RecordBatch.from_pydict({"a": pa.array([a for a, _ in found], pa.int64()),
+                                              "b": pa.array([b for _, b in found], pa.int64())})
+    return map_batches(groups, run, "a long, b long")
 
 
-def links(fps: DataFrame, max_bits: int = 4, segments: int = 2, block: int = 2048) -> DataFrame:
-    """a, b: edges between distinct fingerprints that span all links of at most ``max_bits``.
+def met(rows: DataFrame, on: list[str], name: str) -> DataFrame:
+    """The rows (fp, root) that fingerprints of other components share ``on`` with, and how many share it (n), written.
 
-    Entries are shuffled once, by value; only those whose value others share are kept, and written.
+    Counted by a grouping with map-side combine, then joined, so that a hot value's rows can be split.
     """
-    shared = Window.partitionBy("key")
-    met = written(entries(fps, max_bits, segments).withColumn("n", F.count(F.lit(1)).over(shared)).where("n > 1"), "simhash-met")
+    counts = written(rows.groupBy(*on).agg(F.count("*").alias("n"), F.min("root").alias("r0"), F.max("root").alias("r1"))
+                     .where("n > 1 and r0 <> r1").select(*on, "n"), f"{name}-counts")
+    return written(rows.join(counts, on), name)
+
+
+def _in_blocks(rows: DataFrame, on: list[str], block: int) -> DataFrame:
+    """Groups of the rows that share ``on``; one of more than ``block`` rows is split, a group for each pair of its blocks."""
     blocks = F.ceil(F.col("n") / block).cast("int")
-    dealt = (met.withColumn("own", F.pmod(F.xxhash64("fp"), blocks).cast("int"))
-             .select("key", "fp", "own", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
-             .groupBy("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
-             .agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1).select("fps"))
-    return _forests(dealt, max_bits).distinct()
+    member = F.struct("fp", "root")
+    return (rows.withColumn("own", F.pmod(F.xxhash64("fp"), blocks).cast("int"))
+            .select(*on, "fp", "root", "own", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+            .groupBy(*on, F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
+            .agg(F.collect_list(member).alias("fps")).where(F.size("fps") > 1).select("fps"))
+
+
+def waves(fps: DataFrame, own: list[Column], every: list[Column], on: list[str], max_bits: int, link) -> DataFrame:
+    """a, b: links between the components of ``fps`` (``on``, fp, root) that meet under ``own`` values, then, their components
+    known, under ``every`` one.  ``link`` turns rows that share a value into links."""
+    def filed(rows: DataFrame, keys: list[Column]) -> DataFrame:
+        return rows.select(*on, "fp", "root", F.explode(F.array(*keys)).alias("key"))
+    first = written(link(met(filed(fps, own), [*on, "key"], "simhash-own"), [*on, "key"]).distinct(), "simhash-links")
+    if len(every) == len(own):
+        return first
+    roots = joined_roots(fps.select("fp", "root").distinct(), first)
+    later = fps.drop("root").join(roots.select("fp", "root"), "fp")
+    return first.unionByName(link(met(filed(later, every), [*on, "key"], "simhash-met"), [*on, "key"]).distinct())
+
+
+def joined_roots(of: DataFrame, links: DataFrame) -> DataFrame:
+    """``of`` (fp, root) with the components that the links join made one, written."""
+    ends = [of.withColumnsRenamed({"fp": x, "root": f"r{x}"}) for x in ("a", "b")]
+    between = links.join(ends[0], "a").join(ends[1], "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
+    moved = components(between).select(F.col("node").alias("root"), F.col("root").alias("to"))
+    return written(of.join(moved, "root", "left").select("fp", F.coalesce("to", "root").alias("root")), "simhash-roots")
 
 
-def _forests(dealt: DataFrame, max_bits: int) -> DataFrame:
-    def run(batches):
-        for batch in batches:
-            found = [e for g in batch.column(0).to_pylist() for e in forest(g, max_bits)]
-            yield pa.RecordBatch.from_pydict({"a": pa.array([a for a, _ in found], pa.int64()),
-                                              "b": pa.array([b for _, b in found], pa.int64())})
-    return map_batches(dealt, run, "a long, b long")
+def links(fps: DataFrame, max_bits: int = 4, segments: int = 2, block: int = 2048) -> DataFrame:
+    """a, b: edges between distinct fingerprints that span all links of at most ``max_bits``."""
+    own, every = values(F.col("fp"), 0, 64, max_bits, segments)
+    width = 64 // segments
+
+    def again(rows: DataFrame, on: list[str]) -> DataFrame:
+        """Links under values that more than a block share: by halves of the bits outside the value's segment."""
+        around = F.shiftrightunsigned("outer", width)  # the number of the segment
+        turned = F.shiftleft("fp", 64 - width).bitwiseOR(F.shiftrightunsigned("fp", width))
+        out = F.when(around == 0, turned).otherwise(F.col("fp"))  # the other bits, lowest
+        sub_own, sub_every = values(out, 0, 64 - width, max_bits, 2)
+        return waves(rows.select(F.col("key").alias("outer"), "fp", "root"), sub_own, sub_every, ["outer"], max_bits,
+                     lambda r, by: _forests(_in_blocks(r, by, block), max_bits))
+
+    def link(rows: DataFrame, on: list[str]) -> DataFrame:
+        small = _forests(rows.where(F.col("n") <= block).groupBy(*on).agg(F.collect_list(F.struct("fp", "root")).alias("fps")).select("fps"), max_bits)
+        hot = rows.where(F.col("n") > block)
+        if hot.isEmpty():
+            return small
+        return small.unionByName(again(hot, on) if segments == 2 else _forests(_in_blocks(hot, on, block), max_bits))
+    return waves(fps.select("fp", F.col("fp").alias("root")), own, every, [], max_bits, link)
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 4, max_bits: int = 4, segments: int = 2) -> DataFrame:
@@ -132,7 +209,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, max_bits: int = 4, segmen
     fps = written(fingerprints(docs, shingle), "simhash-fps")
     distinct = written(fps.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "k_h")).alias("first")),
                        "simhash-distinct")
-    roots = components(links(distinct.select("fp"), max_bits, segments)).withColumnRenamed("node", "fp")
+    roots = components(written(links(distinct.select("fp"), max_bits, segments), "simhash-all")).withColumnRenamed("node", "fp")
     of = distinct.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "first")
     # written, so that the join deals both sides anew and can split a large component's rows
     least = written(of.groupBy("root").agg(F.min("first").alias("first")), "simhash-least")

@@ -97,6 +97,46 @@ def test_near_pair_across_segments_meets():
     assert len(keys) == 33 and len(set(keys)) == 33
 
 
+def test_family_under_one_segment_has_few_edges(spark):
+    """thousands of fingerprints share half of their bits: the value is indexed once more, and the links span without repeating"""
+    r = random.Random(5)
+    low = r.getrandbits(32)
+    family = {low | (x := r.getrandbits(8) * 0x01010101 & 0xFFFFFFFF) << 32 for _ in range(60)}
+    while len(family) < 6000:
+        base = r.choice(tuple(family)) if len(family) < 400 or r.random() < 0.02 else last
+        last = base ^ 1 << (32 + r.randrange(32)) ^ 1 << (32 + r.randrange(32))
+        family.add(last)
+    family |= {f ^ 0b111 for f in r.sample(sorted(family), 300)} | {r.getrandbits(64) for _ in range(200)}
+    signed = [v - (1 << 64) if v >> 63 else v for v in sorted(family)]
+    edges = simhash.links(spark.createDataFrame([(v,) for v in signed], "fp long"), block=256).collect()
+    assert len(edges) < 2 * len(signed)
+    assert all(bin((e.a ^ e.b) & (2**64 - 1)).count("1") <= 4 for e in edges)
+    parent = {v: v for v in signed}
+
+    def find(v):
+        while parent[v] != v:
+            parent[v] = v = parent[parent[v]]
+        return v
+    for e in edges:
+        parent[find(e.a)] = find(e.b)
+    values, left, n = np.array(sorted(family), np.uint64), set(range(len(family))), 0
+    while left:  # components by brute force
+        front, n = [left.pop()], n + 1
+        while front:
+            near = np.flatnonzero(np.bitwise_count(values ^ values[front.pop()]) <= 4)
+            new = left.intersection(near.tolist())
+            left -= new
+            front += new
+    assert len({find(v) for v in signed}) == n
+
+
+def test_forest_joins_components_only():
+    fps = [0, 1, 3, 7, 1 << 40, 1 << 40 | 1]
+    assert len(simhash.forest(fps, 4)) == 5
+    assert simhash.forest(fps, 4, [0, 0, 0, 0, 9, 9]) == [(0, 1 << 40)] or len(simhash.forest(fps, 4, [0, 0, 0, 0, 9, 9])) == 1
+    assert simhash.forest(fps, 4, [5] * 6) == []
+
+
 @pytest.mark.parametrize("schema", [SCHEMA, EXTRA])
 def test_edge_rows(spark, schema):
     rows = [(1, "a b c"), (1, "a b c"), (None, "a b c"), (None, None), (2, ""), (3, "x\ny\nz\nx\ny\nz"), (3, None), (4, "l " * 20000)]
