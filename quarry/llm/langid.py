@@ -14,8 +14,8 @@ weighted per n-gram length and normalised, decide.  Ties go to the language with
 training documents, then to the smaller name.
 
 What is learned from is bounded: the ``most_languages`` languages of the most documents, about ``per_language`` documents of each,
-chosen by a hash of id and text over the whole table, and of each language its ``keys_per_language`` most frequent n-grams (fewer where
-these would be over ``most_pairs`` altogether), so a rare language keeps as many as a frequent one.  Everything else covers all
+chosen by a hash of id and text over the whole table, and of each language its most frequent n-grams, at most ``keys_per_language`` (fewer where
+these would be over ``most_pairs`` altogether; those of about one count go together), so a rare language keeps as many as a frequent one.  Everything else covers all
 rows and whole texts.
 
 Defined results: a null text, and one without a letter, is ``und`` with score 0; a text
@@ -159,9 +159,14 @@ def learn(train: DataFrame, per_language: int = 2000, share: float = 0.5, least:
     rated = counted.withColumn("size", size).join(F.broadcast(total), ["i", "size"]).withColumn("rate", F.col("n") / F.col("total"))
     # a group holds a row per language at most
     best = rated.groupBy("gram").agg(F.max("rate").alias("best"), F.sum("n").alias("all"), F.collect_list(F.struct("i", "rate", "n")).alias("of"))
-    pairs = (best.where(F.col("all") >= least).select("gram", "best", F.inline("of")).where(F.col("rate") >= share * F.col("best"))
-             .withColumn("place", F.row_number().over(Window.partitionBy("i").orderBy(F.desc("n"), "gram")))
-             .where(F.col("place") <= min(keys_per_language, most_pairs // len(langs))).select("gram", "i").toArrow())
+    pairs = written(best.where(F.col("all") >= least).select("gram", "best", F.inline("of")).where(F.col("rate") >= share * F.col("best"))
+                    .select("gram", "i", "n"), "pairs")
+    # a language's n-grams down to the least count that keeps them within the bound: from the numbers of n-grams of about each count
+    most = min(keys_per_language, most_pairs // len(langs))
+    running = F.sum("count").over(Window.partitionBy("i").orderBy(F.desc("step")))
+    floors = (pairs.groupBy("i", F.floor(4 * F.log2("n")).alias("step")).agg(F.count("*").alias("count"), F.min("n").alias("n"))
+              .withColumn("kept", running).where(F.col("kept") <= most).groupBy("i").agg(F.min("n").alias("floor")))
+    pairs = pairs.join(F.broadcast(floors), "i").where(F.col("n") >= F.col("floor")).select("gram", "i").toArrow()  # a floor a language
     return Filter(langs, pairs["gram"].to_numpy().view(np.uint64), pairs["i"].to_numpy().astype(np.int64))
 
 

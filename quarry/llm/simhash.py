@@ -184,24 +184,46 @@ def joined_roots(of: DataFrame, links: DataFrame) -> DataFrame:
 def links(fps: DataFrame, max_bits: int = 4, segments: int = 2, block: int = 2048) -> DataFrame:
     """a, b: edges between distinct fingerprints that span all links of at most ``max_bits``."""
     own, every = values(F.col("fp"), 0, 64, max_bits, segments)
-    width = 64 // segments
+    width, around = 64 // segments, len(every) // segments  # values in a ball
 
-    def again(rows: DataFrame, on: list[str]) -> DataFrame:
+    def again(rows: DataFrame) -> DataFrame:
         """Links under values that more than a block share: by halves of the bits outside the value's segment."""
-        around = F.shiftrightunsigned("outer", width)  # the number of the segment
         turned = F.shiftleft("fp", 64 - width).bitwiseOR(F.shiftrightunsigned("fp", width))
-        out = F.when(around == 0, turned).otherwise(F.col("fp"))  # the other bits, lowest
-        sub_own, sub_every = values(out, 0, 64 - width, max_bits, 2)
-        return waves(rows.select(F.col("key").alias("outer"), "fp", "root"), sub_own, sub_every, ["outer"], max_bits,
+        out = F.when(F.shiftrightunsigned("outer", width) == 0, turned).otherwise(F.col("fp"))  # the other bits, lowest
+        return waves(rows.select(F.col("key").alias("outer"), "fp", "root"), *values(out, 0, 64 - width, max_bits, 2), ["outer"], max_bits,
                      lambda r, by: _forests(_in_blocks(r, by, block), max_bits))
 
-    def link(rows: DataFrame, on: list[str]) -> DataFrame:
-        small = _forests(rows.where(F.col("n") <= block).groupBy(*on).agg(F.collect_list(F.struct("fp", "root")).alias("fps")).select("fps"), max_bits)
+    def link(rows: DataFrame) -> DataFrame:
+        small = _forests(rows.where(F.col("n") <= block).groupBy("key").agg(F.collect_list(F.struct("fp", "root")).alias("fps")).select("fps"), max_bits)
         hot = rows.where(F.col("n") > block)
         if hot.isEmpty():
             return small
-        return small.unionByName(again(hot, on) if segments == 2 else _forests(_in_blocks(hot, on, block), max_bits))
-    return waves(fps.select("fp", F.col("fp").alias("root")), own, every, [], max_bits, link)
+        return small.unionByName(again(hot) if segments == 2 else _forests(_in_blocks(hot, ["key"], block), max_bits))
+
+    # first wave: a segment's own value
+    alone = fps.select("fp", F.col("fp").alias("root"))
+    shared = met(alone.select("fp", "root", F.explode(F.array(*own)).alias("key")), ["key"], "simhash-own")
+    first = written(link(shared).distinct(), "simhash-links")
+    if len(every) == len(own):
+        return first
+    # second wave: the balls.  Of a value near no crowded one few fingerprints file themselves, so one shuffle gathers them; a root that
+    # is the fingerprint itself travels as null
+    roots = joined_roots(alone, first).select("fp", F.nullif("root", "fp").alias("root"))
+    rows = roots.select("fp", "root", F.explode(F.array(*every)).alias("key"))
+    crowded = shared.where(F.col("n") > block // around).select("key").distinct()
+    more = []
+    if not crowded.isEmpty():
+        near = crowded.select(F.explode(F.array(*[F.col("key").bitwiseXOR(F.lit(m)) for m in ball(width, (max_bits // segments + 1) // 2)])).alias("key")).distinct()
+        near = written(near, "simhash-crowded")
+        more.append(link(met(rows.join(near, "key", "left_semi").withColumn("root", F.coalesce("root", "fp")), ["key"], "simhash-met")))
+        rows = rows.join(near, "key", "left_anti")
+    groups = (rows.groupBy("key").agg(F.collect_list(F.struct("fp", "root")).alias("held")).where(F.size("held") > 1)
+              .select(F.transform("held", lambda x: F.struct(x["fp"].alias("fp"), F.coalesce(x["root"], x["fp"]).alias("root"))).alias("fps"))
+              .where(F.exists("fps", lambda x: x["root"] != F.col("fps")[0]["root"])))
+    found = _forests(groups, max_bits)
+    for m in more:
+        found = found.unionByName(m)
+    return first.unionByName(found.distinct())
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 4, max_bits: int = 4, segments: int = 2) -> DataFrame:
