@@ -1,9 +1,8 @@
 """File-name keyed joins of metadata, texts and measures.
 
-Validation (T12/T13/T14) is an eager, distributed check run before the join:
-``groupBy(key).count() > 1`` on each side with partial aggregation, stopped
-at the first offending key (``isEmpty``/``take``).  Only offending keys
-(at most a handful) reach the driver, for the error message.
+Validation (T12/T13/T14) is part of the join's own plan: each side is grouped by the key,
+which deals its rows as the join needs them, so it costs no shuffle and no job of its own; a key that is
+NULL or repeats raises when the query runs.
 """
 
 from __future__ import annotations
@@ -41,27 +40,32 @@ def with_filename(meta: DataFrame, id_col: str = "id", width: int | Column | Non
     return meta.withColumn(out, article_filename(F.col(id_col), w))
 
 
-def check_unique(df: DataFrame, key: str, side: str) -> None:
-    """Raise if ``key`` is NULL or repeats on this side (pandas ``validate='one_to_one'``)."""
-    bad = df.groupBy(key).count().filter((F.col("count") > 1) | F.col(key).isNull()).take(3)
-    if any(r[key] is None for r in bad):
-        raise ValidationError(f"{side} side has NULL join keys in '{key}'")
-    if bad:
-        raise ValidationError(f"{side} side is not unique on '{key}': e.g. {[r[key] for r in bad]}")
+def unique_by(df: DataFrame, key: str, side: str) -> DataFrame:
+    """``df``, which raises when it runs if ``key`` is NULL or repeats (pandas ``validate='one_to_one'``).
+
+    The grouping keeps one row of each key and counts them, so of a key that a third of the rows
+    share a task gets one row per input partition.
+    """
+    rest = [c for c in df.columns if c != key]
+    held = df.groupBy(F.col(f"`{key}`").alias("_key")).agg(F.count(F.lit(1)).alias("_rows"), *[F.first(f"`{c}`").alias(c) for c in rest])
+    repeats = F.raise_error(F.concat(F.lit(f"{side} side is not unique on '{key}': e.g. "), F.col("_key").cast("string"))).cast("boolean")
+    # in the key itself, as the planner drops NULL keys of a joined side before any filter would see them
+    kind = df.schema[key].dataType
+    known = F.coalesce(F.col("_key"), F.raise_error(F.lit(f"{side} side has NULL join keys in '{key}'")).cast(kind)).alias(key)
+    return held.where(F.when(F.col("_rows") > 1, repeats).otherwise(F.lit(True))).select(*[known if c == key else F.col(f"`{c}`") for c in df.columns])
 
 
 def validated_left_join(left: DataFrame, right: DataFrame, key: str, validate: bool = True) -> DataFrame:
     """One-to-one validated LEFT JOIN on ``key``.
 
     Shared non-key columns are rejected up front (pandas would suffix them
-    and the later reorder would fail).
+    and the later reorder would fail).  Keys that are NULL or repeat raise when the result is read.
     """
     shared = (set(left.columns) & set(right.columns)) - {key}
     if shared:
         raise ValidationError(f"columns on both sides besides '{key}': {sorted(shared)}")
     if validate:
-        check_unique(left, key, "left")
-        check_unique(right, key, "right")
+        left, right = unique_by(left, key, "left"), unique_by(right, key, "right")
     return left.join(right, key, "left")
 
 

@@ -182,9 +182,9 @@ def recent_selection(df: DataFrame, ts_col: str, text_col: str, as_of: dt.date |
     """Rows mentioning any term, dated within [as_of - days, as_of], in ``lang``,
     newest first, at most ``pages * page_size``.  The date and language
     filters are plain predicates and reach the Parquet scan."""
-    as_of = F.lit(as_of).cast("date")
+    first, last = iso_window(F.lit(as_of).cast("date"), days)
     d = F.to_date(F.col(ts_col))
-    cond = (d >= F.date_sub(as_of, days)) & (d <= as_of)
+    cond = (d >= first.cast("date")) & (d <= last.cast("date"))
     if lang_col:
         cond = cond & (F.col(lang_col) == F.lit(lang))
     pattern = r"(?U)\b(?:" + "|".join(map(quote_regex, terms)) + r")\b"

@@ -866,3 +866,17 @@ def q_stream_mentions(spark, sf_dir):
     from quarry.plans.views import augment
     from quarry.streaming.mentions import stream_sentence_mentions
     return stream_sentence_mentions(spark, sf_dir, transform=augment)
+
+
+_POLLED = O.FEED.replace("doc_id * 60", "(doc_id // 100 % 4 * 4320 + doc_id * 7 % 4320) * 60")
+
+
+@query("feed_repoll", O.with_ctes(
+    "SELECT DISTINCT source, author, title, description, content, url, publishedAt FROM feed", aug=O.AUG, feed=_POLLED))
+def q_feed_repoll(spark, sf_dir):
+    """W5 as a stream: overlapping polls saved one after the other, every article kept once."""
+    from quarry.streaming.polls import follow_feed
+    base = shared_dir(spark, "repoll")
+    for pages in Views(spark, sf_dir).feed_polls():
+        pages.write.mode("append").json(base + "/polls")
+    return follow_feed(spark, base + "/polls", base + "/sink", base + "/checkpoint")

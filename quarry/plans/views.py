@@ -8,7 +8,7 @@ is also written as DuckDB SQL in :mod:`quarry.plans.oracle` (same rules).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.text import WORD_PATTERN, article_filename
@@ -23,6 +23,7 @@ TEXT_TABLES = {"documents", "pages", "conversations"}
 DUMP_SIZE = 100                 # doc_id range per bulk export held in one row (bounds the row)
 EXPORT_SIZE = 1000              # doc_id range per bulk export written as a file (dump_split_lines)
 FEED_PAGE_SIZE = 100            # articles per feed page
+POLLS = 5                       # polls of the feed (feed_repoll)
 
 
 class Views:
@@ -87,12 +88,13 @@ class Views:
         """Documents with title-and-name sentences injected (every row kept)."""
         return augment(self.table("documents"))
 
-    def feed_pages(self) -> DataFrame:
+    def feed_pages(self, minutes: Column | None = None) -> DataFrame:
         """Feed pages shaped like a news API response: {page, totalResults, articles[]}.
 
         Articles are grouped into pages of at most FEED_PAGE_SIZE by doc_id, so
-        a page is a bounded group.
+        a page is a bounded group.  ``minutes`` (default: the doc_id) after the year's start an article is published.
         """
+        after = F.col("doc_id") if minutes is None else minutes
         a = augment(self.table("documents", spread=False))   # grouped into pages right away
         art = F.struct(
             F.when(F.col("doc_id") % 11 == 0, F.lit(None))
@@ -105,7 +107,7 @@ class Views:
             F.concat(F.lit("https://example.org/d/"), F.col("doc_id")).alias("url"),
             # timestamp_ntz arithmetic: independent of the session time zone
             F.date_format(F.to_timestamp_ntz(F.lit("2024-01-01 00:00:00"))
-                          + F.make_dt_interval(mins=F.col("doc_id").cast("int")),
+                          + F.make_dt_interval(mins=after.cast("int")),
                           "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("publishedAt"),
         )
         page = F.floor(F.col("doc_id") / FEED_PAGE_SIZE)
@@ -113,6 +115,14 @@ class Views:
                 .groupBy("page").agg(F.collect_list("a").alias("articles"))
                 .withColumn("totalResults", F.lit(None).cast("int")))
 
+    def feed_polls(self) -> list[DataFrame]:
+        """The feed's pages as POLLS polls of the last days return them: poll p holds slices p - 1 and p of the pages, whose
+        articles were published over three days each, so every article is in two polls."""
+        three_days = 4320
+        pages = self.feed_pages(F.floor(F.col("doc_id") / FEED_PAGE_SIZE) % (POLLS - 1) * three_days + F.col("doc_id") * 7 % three_days)
+        piece = F.col("page") % (POLLS - 1)
+        return [pages.where((piece == p - 1) | (piece == p)) for p in range(POLLS)]
+
     def aug_pages(self) -> DataFrame:
         """Pages with block quotes, nested and unclosed ones too, and paragraphs naming experts injected into every third article."""
         return augment_pages(self.table("pages").select("page_id", "html"))

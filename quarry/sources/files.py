@@ -107,12 +107,6 @@ def path_exists(spark: SparkSession, glob: str) -> bool:
     return found is not None and len(found) > 0
 
 
-def read_parquet_tree(spark: SparkSession, root: str) -> DataFrame:
-    """Recursive Parquet scan of a folder tree (lazy, pushdown-capable)."""
-    return (spark.read.option("recursiveFileLookup", "true")
-            .option("pathGlobFilter", "*.parquet").parquet(root))
-
-
 def read_csv_strings(spark: SparkSession, paths, schema: T.StructType | str | None = None,
                      keep_empty: bool = True) -> DataFrame:
     """CSV with header; RFC-4180 quoting (doubled quotes, embedded newlines).
@@ -212,12 +206,6 @@ def read_dump_records(spark: SparkSession, path: str, record_sep: str) -> DataFr
             .select(F.col("_metadata.file_name").alias("source"), F.col("value").alias("record")))
 
 
-def read_dumps_whole(spark: SparkSession, path: str) -> DataFrame:
-    """S7 fallback: one row per dump file (source, blob) for exports without a record rule."""
-    return (spark.read.format("binaryFile").load(path)
-            .select(F.col("_metadata.file_name").alias("source"), universal_newlines(F.decode("content", "UTF-8")).alias("blob")))
-
-
 FEED_ARTICLE = T.StructType([
     T.StructField("source", T.StructType([T.StructField("id", T.StringType()),
                                           T.StructField("name", T.StringType())])),

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 
@@ -51,12 +53,33 @@ def write_keyed_table(df: DataFrame, path: str, key: str = "filename", order: st
     return path
 
 
-def write_if_any(df: DataFrame, writer, *args, **kwargs) -> bool:
-    """K6: write only when the result has rows; returns whether it wrote.
+def write_observed(df: DataFrame, writer, path: str, *args, profile: list[str] | None = None, **kwargs) -> dict[str, int]:
+    """K6 with A6/A7: ``writer(df, path, ...)``, and what was seen of the rows on their way: ``rows``, and for each ``profile``
+    column its NULLs.
 
-    ``isEmpty`` stops at the first row, so the check is a cheap partial job.
+    The input runs once; nothing is counted before or after.  A result without rows leaves no output: a new path is
+    removed again, and an output that stands there stays, as the rows are then written beside it and only take its place if
+    there are any.
     """
-    if df.isEmpty():
-        return False
-    writer(df, *args, **kwargs)
-    return True
+    spark = df.sparkSession
+    jvm = spark._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    stands = fs.exists(target)
+    place = f"{path.rstrip('/')}-new-{uuid.uuid4().hex[:8]}" if stands else path
+    seen = Observation()
+    missing = [F.count(F.when(F.col(f"`{c}`").isNull(), 1)).alias(f"missing_{c}") for c in profile or []]
+    writer(df.observe(seen, F.count(F.lit(1)).alias("rows"), *missing), place, *args, **kwargs)
+    found = dict(seen.get)
+    written = jvm.org.apache.hadoop.fs.Path(place)
+    if not found["rows"]:
+        fs.delete(written, True)
+    elif stands:
+        fs.delete(target, True)
+        fs.rename(written, target)
+    return found
+
+
+def write_if_any(df: DataFrame, writer, path: str, *args, **kwargs) -> bool:
+    """K6: write only when the result has rows; returns whether it wrote.  The input runs once (see :func:`write_observed`)."""
+    return write_observed(df, writer, path, *args, **kwargs)["rows"] > 0

@@ -20,7 +20,7 @@ def optimized(df):
 # probes run in tasks; round trips write before they read and are checked through their operators
 NOT_HERE = ("shard_catalog", "shard_roles", "shard_labels", "product_roundtrip", "csv_roundtrip", "stream_mentions", "news_csv_mentions",
             "corpus_discovery", "corpus_discovery_tagged", "feed_json", "text_blocks", "article_sink", "whole_texts", "record_separators", "glob_union", "archive_articles",
-            "model_scores", "dump_split_lines", "describe_scores", "corpus_bucketed", "classifier_scores")
+            "model_scores", "dump_split_lines", "describe_scores", "corpus_bucketed", "classifier_scores", "feed_repoll")
 NO_PYTHON = [k for k in QUERIES if k not in NOT_HERE]
 
 

@@ -93,6 +93,24 @@ def test_write_if_any(spark, tmp_dir):
     assert K.write_if_any(spark.range(3), K.write_parquet, f"{tmp_dir}/f") is True
 
 
+def test_writes_are_observed_and_run_their_input_once(spark, tmp_dir):
+    from pyspark.sql import functions as F
+    runs = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            runs.add(len(b))
+            yield b
+    df = spark.range(10).select(F.col("id").alias("k"), F.when(F.col("id") % 3 > 0, "x").alias("t")).mapInPandas(counted, "k long, t string")
+    assert K.write_observed(df, K.write_parquet, f"{tmp_dir}/a", profile=["t", "k"]) == {"rows": 10, "missing_t": 4, "missing_k": 0}
+    assert runs.value == 10
+    # an empty result leaves what stands there, one with rows takes its place
+    assert K.write_observed(df.where("k < 0"), K.write_parquet, f"{tmp_dir}/a")["rows"] == 0
+    assert spark.read.parquet(f"{tmp_dir}/a").count() == 10
+    assert K.write_if_any(df.where("k < 4"), K.write_csv, f"{tmp_dir}/b") and K.write_if_any(df.where("k < 4"), K.write_parquet, f"{tmp_dir}/a")
+    assert spark.read.parquet(f"{tmp_dir}/a").count() == 4 and sorted(os.listdir(tmp_dir)) == ["a", "b"]
+
+
 def test_whole_texts_and_records(spark, tmp_dir):
     os.makedirs(f"{tmp_dir}/articles")
     for i, t in [(1, "  first  \n"), (2, "second")]:

@@ -33,3 +33,32 @@ def test_article_parsing_on_a_stream(spark):
     cols = sorted(batch.columns)
     assert sorted(map(tuple, out.select(cols).collect())) == sorted(map(tuple, batch.select(cols).collect()))
     assert out.filter(F.col("full_text") != "").count() == out.count() > 0
+
+
+def test_polls_keep_each_article_once_over_restarts(spark):
+    """polls are saved and followed in three sittings; articles that come again, in later polls too, are dropped"""
+    from quarry.operators.feeds import flatten_feed
+    from quarry.session import shared_dir
+    from quarry.streaming.polls import follow_feed
+    polls = Views(spark, SF_SMALL).feed_polls()
+    base = shared_dir(spark, "polls")
+    seen = []
+    for sitting in (polls[:2], polls[2:3], polls[3:]):
+        for p in sitting:
+            p.write.mode("append").json(base + "/polls")
+        seen.append(follow_feed(spark, base + "/polls", base + "/sink", base + "/ckpt", max_files=2).count())
+    out = spark.read.parquet(base + "/sink").collect()
+    every = [r for p in polls for r in flatten_feed(p).collect()]
+    assert len(every) == 2 * len(out) and len({r.url for r in out}) == len(out) and seen == sorted(seen)
+    assert {tuple(r) for r in out} == {tuple(r) for r in every}
+    again = follow_feed(spark, base + "/polls", base + "/sink", base + "/ckpt")
+    assert again.count() == len(out)  # nothing new
+
+
+def test_articles_without_a_time_are_kept(spark, tmp_dir):
+    from quarry.streaming.polls import follow_feed
+    page = '{"articles": [{"title": "a", "url": "u1", "publishedAt": "soon"}, {"title": "b", "url": "u2"}, {"title": "b", "url": "u2"}]}\n'
+    with open(f"{tmp_dir}/p.json", "w") as f:
+        f.write(page)
+    got = follow_feed(spark, tmp_dir, tmp_dir + "-sink", tmp_dir + "-ckpt").collect()
+    assert sorted((r.url, r.publishedAt) for r in got) == [("u1", "soon"), ("u2", "")]
