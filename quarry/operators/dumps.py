@@ -12,7 +12,7 @@ as a line end, as Python does; ``(?U)`` gives Python's Unicode ``\\s``.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions.text import PY_WS, article_filename, first_match, line_value, strip_ws
@@ -172,84 +172,18 @@ def dump_to_articles(dumps: DataFrame, blob_col: str = "blob", keys: list[str] |
     return parse_articles(recs, "body").select(*keys, "record_pos", *ARTICLE_COLUMNS)
 
 
-def split_marked_lines(spark, path: str) -> DataFrame:
-    """B1 for exports far larger than one row: the same split, computed over lines.
-
-    The export is read line by line (splittable), and each line is cut at markers.  A marker
-    may wrap over line ends (white space in it spans lines): a line whose tail can begin a marker
-    looks ahead at the heads of the next three non-blank lines, across splits too (each split hands
-    its first three to the ones before it).  The pieces are written once to the shared
-    folder; their marker counts per (file, split) become offsets through a prefix sum over the
-    splits of a file (a small table, which also carries the key width of the file's first marker);
-    inside a split a running count numbers the records.  Only one split or one record is ever in
-    one group.  Output: keys, filename, text - keys are the partition columns of a
-    partitioned folder, else ``source`` (the file name) - with the same key
-    width and last-marker-wins rule as :func:`split_marked`; a file without any
-    marker yields no rows.
+def split_marked_lines(spark, path: str, range_bytes: int | None = None) -> DataFrame:
+    """B1 for exports far larger than one row: the same split, by an index of the markers.
+
+    The files are searched by byte ranges for markers, which may wrap over line ends and range ends; what comes of
+    that is a row per marker, without text.  Of records that repeat a number in a file the last one is chosen among these rows, and
+    the chosen records are read by their places, each text once and in no shuffle.  Output: keys, filename, text - keys are the
+    partition columns of a partitioned folder, else ``source`` (the file name) - with the same key width and last-marker-wins rule as
+    :func:`split_marked`; a file without any marker yields no rows.
     """
-    from quarry.session import shared_dir
-    raw = spark.read.text(path)
-    keys = [c for c in raw.columns if c != "value"] or ["source"]
-    lines = raw.select(
-        *[F.col(c) for c in keys if c != "source" or "source" in raw.columns],
-        *([F.col("_metadata.file_name").alias("source")] if "source" not in raw.columns else []),
-        F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_blk"),
-        F.monotonically_increasing_id().alias("_row"), F.col("value").alias("_line"))
-    # the part of a line that can continue a wrapped marker, and whether the line goes on after it
-    head = F.regexp_extract("_line", rf"(?i)^{PY_WS}*((?:\d+{PY_WS}+)?of(?:{PY_WS}+\d+)?|\d+)", 1)
-    rest = F.regexp_replace("_line", rf"(?i)^{PY_WS}*((?:\d+{PY_WS}+)?of(?:{PY_WS}+\d+)?|\d+)", "")
-    lines = lines.withColumns({"_blank": strip_ws("_line") == "", "_head": head, "_open": strip_ws(rest) == ""})
-    order = Window.partitionBy("_file", "_blk").orderBy("_row")
-    # non-blank lines in order: the look-ahead of a line is the heads that follow, up to the first line that goes on
-    number = F.sum((~F.col("_blank")).cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    lines = lines.withColumn("_nb", number)
-    tops = (lines.filter(~F.col("_blank") & (F.col("_nb") <= 3)).groupBy("_file", "_blk")
-            .agg(F.array_sort(F.collect_list(F.struct("_nb", "_head", "_open"))).alias("_tops")))
-    nexts = Window.partitionBy("_file").orderBy("_blk").rowsBetween(1, 3)
-    nexts = tops.select("_file", "_blk", F.slice(F.flatten(F.collect_list("_tops").over(nexts)), 1, 3).alias("_tops"))
-    follow = Window.partitionBy("_file", "_blk").orderBy("_nb").rangeBetween(1, 3)
-    entry = F.when(~F.col("_blank"), F.struct("_nb", "_head", "_open"))
-    lines = (lines.withColumn("_own", F.array_sort(F.collect_list(entry).over(follow))).join(nexts, ["_file", "_blk"], "left")
-             .withColumn("_next", F.slice(F.concat("_own", F.coalesce("_tops", F.slice("_own", 1, 0))), 1, 3)))
-    ahead = F.aggregate(
-        "_next", F.struct(F.lit("").alias("s"), F.lit(True).alias("go")),
-        lambda a, x: F.struct(F.when(a["go"] & (x["_head"] != ""), F.concat(a["s"], F.lit("\n"), x["_head"])).otherwise(a["s"]).alias("s"),
-                              (a["go"] & x["_open"] & (x["_head"] != "")).alias("go")), lambda a: a["s"])
-    tail = F.regexp_extract("_line", rf"(?i)Document(?:{PY_WS}+\d+(?:{PY_WS}+of)?)?{PY_WS}*$", 0)
-    lines = lines.withColumn("_tail", tail).withColumn("_wrapped", F.when(F.col("_tail") != "", F.regexp_extract(
-        F.concat("_tail", ahead), rf"^{MARKER_CI}", 0)).otherwise(""))
-    wraps = F.col("_wrapped") != ""
-    body = F.when(wraps, F.substr("_line", F.lit(1), F.length("_line") - F.length("_tail"))).otherwise(F.col("_line"))
-
-    def piece(text, marker):
-        return F.struct(text.alias("text"), marker.alias("marker"))
-    cut = F.transform(F.split(body, f"(?=(?:{MARKER_CI}))"), lambda x: piece(x, F.regexp_extract(x, rf"^{MARKER_CI}", 0)))
-    cut = F.filter(F.concat(cut, F.when(wraps, F.array(piece(F.col("_tail"), F.col("_wrapped")))).otherwise(F.slice(cut, 1, 0))),
-                   lambda x: ~wraps | (x["text"] != ""))
-    pieces = lines.select(*keys, "_file", "_blk", "_row", F.posexplode(cut).alias("_pp", "_c"))
-    # a piece that continues a record after a line break gets the newline back
-    text = F.when((F.col("_pp") == 0) & (F.col("_c.marker") == ""), F.concat(F.lit("\n"), F.col("_c.text"))).otherwise(F.col("_c.text"))
-    digits = rf"^{DOCUMENT_CI}{PY_WS}+(\d+){PY_WS}+of{PY_WS}+(\d+)"
-    pieces = pieces.select(*keys, "_file", "_blk", "_row", "_pp", (F.col("_c.marker") != "").cast("int").alias("_mk"),
-                           *[F.when(F.col("_c.marker") != "", F.regexp_extract("_c.marker", digits, i).cast("decimal(38,0)")).alias(n)
-                             for i, n in ((1, "_num"), (2, "_total"))], text.alias("_text"))
-    store = shared_dir(spark, "pieces")
-    pieces.write.parquet(store)
-    pieces = spark.read.schema(pieces.schema).parquet(store)
-    per_block = pieces.groupBy("_file", "_blk").agg(
-        F.sum("_mk").alias("_m"), F.min(F.when(F.col("_mk") == 1, F.struct("_row", "_pp", "_total"))).alias("_f"))
-    wb = Window.partitionBy("_file").orderBy("_blk")
-    offsets = per_block.select(
-        "_file", "_blk", F.coalesce(F.sum("_m").over(wb.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_off"),
-        F.length(F.first("_f", ignorenulls=True).over(wb.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))["_total"].cast("string")).alias("_w"))
-    wl = Window.partitionBy("_file", "_blk").orderBy("_row", "_pp").rowsBetween(Window.unboundedPreceding, 0)
-    numbered = (pieces.join(offsets, ["_file", "_blk"])
-                .withColumn("_rec", F.col("_off") + F.sum("_mk").over(wl))
-                .filter(F.col("_rec") > 0))                       # text before the first marker is dropped
-    recs = (numbered.groupBy(*keys, "_file", "_rec")
-            .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_blk", "_row", "_pp", "_text"))),
-                                          lambda s: s["_text"]), "").alias("_chunk"),
-                 F.max("_num").alias("_num"), F.max("_w").alias("_w")))
-    named = recs.select(*keys, "_file", "_rec", article_filename(F.col("_num"), F.col("_w")).alias("filename"), strip_ws("_chunk").alias("text"))
-    return (named.groupBy(*keys, "_file", "filename").agg(F.max_by("text", "_rec").alias("text"))
-            .drop("_file"))
+    from quarry.sources.dumpindex import RANGE_BYTES, marker_index, read_records
+    size = range_bytes or RANGE_BYTES
+    index, keys = marker_index(spark, path, size)
+    last = index.groupBy(*keys, "_file", "_n").agg(F.max(F.struct("_place", "_end", "_w")).alias("_r"))
+    chosen = last.select(*keys, "_file", "_r._place", "_r._end", article_filename(F.col("_n"), F.col("_r._w")).alias("filename"))
+    return read_records(chosen, [*keys, "filename"], size)
