@@ -20,6 +20,8 @@ NORMAL = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122
                for c in range(256))
 #: The six ASCII white-space characters, at which bytes.split() splits.
 BLANKS = b" \t\n\r\x0b\x0c"
+#: rows that are Python objects at a time
+ROWS = 1024
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -72,7 +74,7 @@ def attach(docs: DataFrame, keep: list[str], reads: list[str], fields: str | T.S
     that no name of theirs can clash) and the new ``fields``.
 
     ``start()`` runs once per task and returns ``fn``; ``fn(*lists)`` gets the ``reads``
-    columns of an Arrow batch as Python lists and returns the fields' values by name.  A name
+    columns of ROWS rows of an Arrow batch as Python lists and returns the fields' values by name.  A name
     ``a.b`` reads field b of the kept struct a, which is not sent twice.
     The work is row-local: no shuffle, one batch in memory.
     """
@@ -91,12 +93,14 @@ def attach(docs: DataFrame, keep: list[str], reads: list[str], fields: str | T.S
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fn = start()
-        for batch in batches:
-            row = batch.column(0)
-            out = fn(*[(batch.column(f"in_{c}") if c in more else inside(row, c)).to_pylist() for c in reads])
-            yield pa.RecordBatch.from_arrays(
-                [row.cast(arrow.field(0).type), *[pa.array(out[f.name], type=f.type) for f in list(arrow)[1:]]],
-                schema=arrow)
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(at, ROWS)
+                row = batch.column(0)
+                out = fn(*[(batch.column(f"in_{c}") if c in more else inside(row, c)).to_pylist() for c in reads])
+                yield pa.RecordBatch.from_arrays(
+                    [row.cast(arrow.field(0).type), *[pa.array(out[f.name], type=f.type) for f in list(arrow)[1:]]],
+                    schema=arrow)
 
     return map_batches(spread(nested), run, schema)
 

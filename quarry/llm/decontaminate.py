@@ -220,10 +220,10 @@ def merged(spans: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int,
 
 
 def without(text: str | None, spans: list[tuple[int, int, int, int]], least: int) -> str | None:
-    """The text without the spans of ``least`` words or more."""
+    """The text without the spans of ``least`` words or more; None if there is none to cut."""
     gone = [(c, d) for a, b, c, d in spans if b - a >= least]
     if not gone:
-        return text
+        return None
     return "".join(text[a:b] for a, b in zip([0, *[d for _, d in gone]], [*[c for c, _ in gone], len(text)]))
 
 
@@ -271,7 +271,7 @@ def _joiner(cut_words: int | None):
 def find_hits(docs: DataFrame, items: DataFrame, keep: list[str] | None = None, window: int = 13,
               block_chars: int = 1_500_000, cut_words: int | None = None) -> DataFrame:
     """``row`` (the kept columns), n_words, spans (in words and code points) and item_ids of each document; with ``cut_words`` also
-    new_text, the text without spans of that many words or more."""
+    new_text, the text without spans of that many words or more, null where it has none."""
     keep = docs.columns if keep is None else keep
     blocks = item_blocks(items, window, block_chars)
     fields = FIELDS if cut_words is None else FIELDS + ", new_text string"
@@ -314,7 +314,7 @@ def remove_spans(docs: DataFrame, items: DataFrame, window: int = 13, percent: i
     """The documents without contaminated ones; in the others, hit spans of ``span_words``
     words (default: a window) or more are cut from the text.  Same columns as ``docs``."""
     hits = find_hits(docs, items, window=window, cut_words=window if span_words is None else span_words)
-    return with_text(hits.where(~contaminated(percent)).select("row", "new_text"), docs)
+    return with_text(hits.where(~contaminated(percent)).select("row", F.coalesce("new_text", "row.text").alias("new_text")), docs)
 
 
 def with_text(df: DataFrame, docs: DataFrame) -> DataFrame:

@@ -101,7 +101,7 @@ class Encoder:
     young one has ``most`` entries it becomes the old one, and what is still met in the old one moves on to the young one.
     """
 
-    def __init__(self, path: str, most: int = 200_000):
+    def __init__(self, path: str, most: int = 150_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer, pre_tokenizers
         self.tokenizer = Tokenizer.from_file(path)
@@ -187,7 +187,7 @@ class Encoder:
     def ids(self, text: str | None) -> bytes:
         return self.many([text])[0]
 
-    def many(self, texts: list[str | None], lot: int = 1 << 23) -> list[bytes]:
+    def many(self, texts: list[str | None], lot: int = 1 << 22) -> list[bytes]:
         """Ids of texts, which are taken about ``lot`` characters at a time."""
         if not self.by_run:
             return [self.whole(t) if t else b"" for t in texts]
