@@ -37,8 +37,12 @@ def con():
     return c
 
 
+#: queries whose rows come of a fitted model, which SQL can't state; tests of their own hold them against plain computations
+FITTED = {"classifier_scores"}
+
+
 def test_every_query_has_an_oracle():
-    assert set(QUERIES) == set(ORACLE)
+    assert set(QUERIES) - FITTED == set(ORACLE)
     assert set(QUERIES) <= set(E.queries())
 
 
@@ -48,7 +52,7 @@ def test_entry_runs(spark):
     assert df.count() > 0
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(ORACLE))
 def test_query_matches_oracle(spark, con, name):
     sdf = QUERIES[name](spark, SF_SMALL)
     rel = con.sql(ORACLE[name])
