@@ -22,7 +22,8 @@ positions are gathered.
 Defined results: null, empty and blank texts and, without ``passage``, texts of fewer
 than ``width`` such lines have no windows and stay as they are; rows that repeat id and text
 are one document and each get its result; null ids come first in the order;
-blank lines are never removed.
+blank lines are never removed; an empty table gives an empty table; very long texts are cut within the row; kept columns travel in a
+struct, so names can't clash.
 """
 
 from __future__ import annotations

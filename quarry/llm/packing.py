@@ -14,8 +14,9 @@ Ranks within a length are counted in salted groups, so a length that a third of
 all pieces share is spread over many tasks.
 
 Defined results: null and empty texts are one end id; repeated rows are packed
-each by itself; an empty table gives no pieces; text order and ids don't depend on
-how the rows are partitioned.
+each by itself; pieces of one length are ranked by their row, so ties don't depend on
+how the rows are partitioned, nor do text order and ids; an empty table gives no pieces; very long texts are cut into full pieces; kept
+columns travel in a struct, so names can't clash.
 """
 
 from __future__ import annotations

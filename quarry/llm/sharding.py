@@ -20,7 +20,8 @@ shard, one row per shard they start in.
 
 Defined results: a null text is an empty one; repeated rows are documents of their own
 (each gets a row-unique number when the table is written); an empty table gives no rows;
-with fewer rows than shards some shards stay empty.
+with fewer rows than shards some shards stay empty; very long texts are read once, for
+their hash, size and checksum; only doc_id and text are read, so other columns' names can't clash.
 """
 
 from __future__ import annotations
