@@ -126,16 +126,13 @@ def read_csv_strings(spark: SparkSession, paths, schema: T.StructType | str | No
 
 
 def read_csv_split(spark: SparkSession, paths, schema: T.StructType | str | None = None,
-                   keep_empty: bool = True) -> DataFrame:
-    """S2/S4/S5 for CSV files of any size: the same rows as :func:`read_csv_strings`, read in splits.
-
-    Files are read line by line.  A line starts inside a quoted field exactly if the number
-    of quotes before it in the file is odd; that parity is a prefix sum over the splits of a
-    file (a small table) and a running sum inside a split.  Lines that are whole records
-    are parsed as they are; only records that span lines are put together, one group per record.
-    The first record of every file is its header.
+                   keep_empty: bool = True, range_bytes: int | None = None) -> DataFrame:
+    """S2/S4/S5 for CSV files of any size: the same rows as :func:`read_csv_strings`, read in byte ranges.
+
+    Records are cut out where they lie (see :mod:`quarry.sources.csvranges`) and parsed in the JVM; no line is
+    shuffled.  The first record of every file is its header.
     """
-    from pyspark.sql import Window
+    from quarry.sources.csvranges import RANGE_BYTES, csv_records
     paths = [paths] if isinstance(paths, str) else list(paths)
     if schema is None:
         first = spark.read.format("binaryFile").load(paths).select("path").orderBy("path").first()[0]
@@ -144,33 +141,7 @@ def read_csv_split(spark: SparkSession, paths, schema: T.StructType | str | None
             schema = T.StructType([T.StructField(c, T.StringType()) for c in csv_header(fh)])
     elif isinstance(schema, str):
         schema = T.StructType.fromDDL(schema)
-    lines = spark.read.option("lineSep", "\n").text(paths).select(
-        F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_blk"),
-        F.monotonically_increasing_id().alias("_row"), F.col("value").alias("_line"))
-    lines = lines.withColumn("_q", F.length("_line") - F.length(F.replace("_line", F.lit('"'), F.lit(""))))
-    blocks = lines.groupBy("_file", "_blk").agg(F.sum("_q").alias("_q"))
-    earlier = Window.partitionBy("_file").orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.select("_file", "_blk", F.coalesce(F.sum("_q").over(earlier), F.lit(0)).alias("_off"),
-                           (F.row_number().over(Window.partitionBy("_file").orderBy("_blk")) == 1).alias("_top"))
-    order = Window.partitionBy("_file", "_blk").orderBy("_row")
-    before = F.coalesce(F.sum("_q").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    lines = (lines.join(blocks, ["_file", "_blk"]).withColumn("_in", (F.col("_off") + before) % 2)
-             .withColumn("_n", F.sum(1 - F.col("_in")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-             .withColumn("_head", F.col("_top") & (F.col("_n") == 1)))
-    # a record that spans splits: its lines in the next split have no start there (_n = 0), so the split's number
-    # of the record's start is carried over as the last one before
-    alone = lines.filter((F.col("_in") == 0) & (F.col("_q") % 2 == 0) & ~F.col("_head")).select("_line")
-    spanning = lines.filter((F.col("_in") == 1) | (F.col("_q") % 2 == 1))
-    starts = lines.filter(F.col("_in") == 0).groupBy("_file", "_blk").agg(F.max("_n").alias("_last"))
-    last = Window.partitionBy("_file").orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
-    at = F.when(F.col("_last").isNotNull(), F.struct(F.col("_blk").alias("b"), F.col("_last").alias("n")))
-    carried = blocks.join(starts, ["_file", "_blk"], "left").select("_file", "_blk", F.last(at, ignorenulls=True).over(last).alias("_from"))
-    own = F.struct(F.col("_blk").alias("b"), F.col("_n").alias("n"))
-    whole = (spanning.join(carried, ["_file", "_blk"]).withColumn("_rec", F.when(F.col("_n") > 0, own).otherwise(F.col("_from")))
-             .groupBy("_file", "_rec").agg(F.sort_array(F.collect_list(F.struct("_blk", "_row", "_line"))).alias("_l"),
-                                           F.bool_or("_head").alias("_head")).filter(~F.col("_head"))
-             .select(F.array_join(F.transform("_l", lambda x: x["_line"]), "\n").alias("_line")))
-    records = alone.unionByName(whole).select(F.regexp_replace("_line", "\r$", "").alias("_line")).filter(F.col("_line") != "")
+    records = csv_records(spark, paths, range_bytes or RANGE_BYTES)
     options = {"escape": '"', "multiLine": "true", "mode": "FAILFAST", "maxCharsPerColumn": "-1"} | ({"nullValue": "\u0000"} if keep_empty else {})
     strings = T.StructType([T.StructField(f.name, T.StringType()) for f in schema])
     parsed = records.select(F.from_csv("_line", _ddl(strings), options).alias("r"))

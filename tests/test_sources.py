@@ -265,15 +265,18 @@ def test_split_csv_equals_multiline_reader(spark, tmp_dir):
     rows = [(i, r.choice(cells), r.choice(["x", None, "", "y\nz"])) for i in range(1500)]
     schema = "id long, a string, b string"
     path = K.write_csv(spark.createDataFrame(rows, schema).repartition(3), f"{tmp_dir}/c")
-    spark.conf.set("spark.sql.files.maxPartitionBytes", "1500")
-    try:
-        df = S.read_csv_split(spark, path, schema)
-        files = len([f for f in os.listdir(path) if f.endswith(".csv")])
-        assert spark.read.text(path).rdd.getNumPartitions() > 3 * files          # more partitions than files
-        assert sorted(map(tuple, df.collect()), key=str) == sorted(rows, key=str)
-        assert S.read_csv_split(spark, path).columns == ["id", "a", "b"]
-    finally:
-        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    for size in (7, 1500, 1 << 20):  # ranges that cut records, quotes and characters
+        df = S.read_csv_split(spark, path, schema, range_bytes=size)
+        assert sorted(map(tuple, df.collect()), key=str) == sorted(rows, key=str), size
+    assert S.read_csv_split(spark, path).columns == ["id", "a", "b"]
+    plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.index("MapInArrow") < plan.index("Exchange")  # lines are read above the last exchange
+    one = next(f for f in os.listdir(path) if f.endswith(".csv"))
+    os.makedirs(f"{tmp_dir}/z")
+    with open(f"{path}/{one}", "rb") as f, gzip.open(f"{tmp_dir}/z/a.csv.gz", "wb") as g:
+        g.write(f.read())
+    assert sorted(map(str, S.read_csv_split(spark, f"{tmp_dir}/z", schema, range_bytes=100).collect())) == sorted(
+        map(str, S.read_csv_split(spark, f"{path}/{one}", schema).collect()))
 
 
 def test_sinks_text_and_keyed(spark, tmp_dir):
