@@ -15,6 +15,8 @@ so the operator never materialises the joined rows:
    ``|text-key groups| x |distinct words|`` rows instead of one row per token
    - and the final counts are ``sum(n)``.
 
+Both joins merge by key: neither table is broadcast (see :func:`unsent`).
+
 Left-join semantics are preserved: unmatched tokens keep NULL word/lemma/pos
 or NULL year, and duplicate lexicon keys multiply the counts exactly as they
 multiply rows in the row-level join.  ``preaggregate=True`` additionally
@@ -72,7 +74,7 @@ def salted_left_join(big: DataFrame, small: DataFrame, key: str, salt: int = 0,
     each small row is replicated once per salt value; the join runs on
     (key, salt).  A key holding a third of ``big`` is spread over ``salt``
     tasks.  Results equal the plain left join.  ``salt <= 1``: plain join
-    (Catalyst/AQE choose broadcast or sort-merge and split skew themselves).
+    (Catalyst/AQE choose its kind, unless ``small`` has a hint, and split skew themselves).
     """
     if salt <= 1:
         return big.join(small, key, "left")
@@ -82,14 +84,23 @@ def salted_left_join(big: DataFrame, small: DataFrame, key: str, salt: int = 0,
     return b.join(s, [key, "_salt"], "left").drop("_salt")
 
 
+def unsent(small: DataFrame) -> DataFrame:
+    """``small`` as a join's side that is merged by key, whatever size the planner takes it for.
+
+    Lexicon and metadata grow with the corpus, and the planner knows them by the bytes of their compressed files, or of the
+    byte ranges that a CSV file is read by: a few megabytes stand for millions of rows, which a broadcast holds on the driver.
+    """
+    return small.hint("merge")
+
+
 def texts_for_join(texts: DataFrame) -> DataFrame:
-    """textID, year, decade, genre with aligned types (textID stays long for the join)."""
+    """textID, year, decade, genre with aligned types (textID stays long for the join), never broadcast."""
     cols = set(texts.columns)
     sel = [F.col("textID").cast("bigint").alias("textID")]
     for c, t in (("year", "int"), ("decade", "int"), ("genre", "string")):
         if c in cols:
             sel.append(F.col(c).cast(t).alias(c))
-    return texts.select(sel)
+    return unsent(texts.select(sel))
 
 
 def join_corpus(tokens: DataFrame, words: DataFrame, texts: DataFrame | None = None,
@@ -103,7 +114,7 @@ def join_corpus(tokens: DataFrame, words: DataFrame, texts: DataFrame | None = N
     if "wordID" not in words.columns:
         return join_tagged(words, texts)
     hot = hot_keys(tokens, ["wordID"] + ["textID"] * (texts is not None), hot_rows)
-    out = split_hot_keys(tokens, words, "wordID", hot["wordID"])
+    out = split_hot_keys(tokens, unsent(words), "wordID", hot["wordID"])
     if texts is not None:
         out = split_hot_keys(out, texts_for_join(texts), "textID", hot["textID"])
     return out.withColumn("textID", F.col("textID").cast("string"))
@@ -178,7 +189,7 @@ def count_by(tokens: DataFrame, words: DataFrame, texts: DataFrame | None, keys:
     reduced = tok.groupBy(*tkeys, "wordID").agg(F.sum("_n").alias("_n"))
     if wkeys:
         lex = words.select("wordID", *wkeys)
-        reduced = reduced.join(lex, "wordID", "left")
+        reduced = reduced.join(unsent(lex), "wordID", "left")
     return reduced.groupBy(*keys).agg(F.sum("_n").cast("bigint").alias(count_col))
 
 

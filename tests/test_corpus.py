@@ -157,3 +157,19 @@ def test_products_from_one_cube(spark, tmp_dir):
     assert {tuple(r) for r in prods["top_lemmas_per_year"].collect()} == direct_top
     direct_trend = [tuple(r) for r in C.lemma_trend(tokens, words, texts, "cat").collect()]
     assert [tuple(r) for r in prods["lemma_trend"].collect()] == direct_trend
+
+
+def test_lexicon_and_metadata_are_not_broadcast(spark, tmp_dir):
+    """files of a few kilobytes hold many equal rows; a CSV file is known by its list of byte ranges"""
+    from quarry.sources.files import read_csv_split
+    tokens = spark.createDataFrame([(i % 5 or None, i % 3 or None, i) for i in range(60)], "textID long, wordID long, occID long")
+    spark.range(1, 2000).selectExpr("id AS wordID", "'w' AS word", "'l' AS lemma", "'p' AS pos").write.parquet(f"{tmp_dir}/words")
+    spark.range(1, 2000).selectExpr("id AS textID", "1990 + id % 2 AS year").write.option("header", "true").csv(f"{tmp_dir}/texts")
+    words, texts = spark.read.parquet(f"{tmp_dir}/words"), read_csv_split(spark, f"{tmp_dir}/texts", "textID long, year int")
+    want = Counter((None if i % 5 == 0 else 1990 + i % 5 % 2, "w" if i % 3 else None) for i in range(60))
+    counts = C.count_by(tokens, words, texts, ["year", "word"])
+    assert {(r.year, r.word): r.n for r in counts.collect()} == want
+    rows = C.join_corpus(tokens, words, texts)
+    assert Counter((r.year, r.word) for r in rows.collect()) == want
+    for df in (counts, rows):
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
