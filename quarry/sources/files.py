@@ -130,7 +130,8 @@ def read_csv_split(spark: SparkSession, paths, schema: T.StructType | str | None
     """S2/S4/S5 for CSV files of any size: the same rows as :func:`read_csv_strings`, read in byte ranges.
 
     Records are cut out where they lie (see :mod:`quarry.sources.csvranges`) and parsed in the JVM; no line is
-    shuffled.  The first record of every file is its header.
+    shuffled.  The first record of every file is its header.  The planner takes the rows for as small as the list of
+    byte ranges, so joins with them merge, where they would send all rows through the driver.
     """
     from quarry.sources.csvranges import RANGE_BYTES, csv_records
     paths = [paths] if isinstance(paths, str) else list(paths)
@@ -145,7 +146,7 @@ def read_csv_split(spark: SparkSession, paths, schema: T.StructType | str | None
     options = {"escape": '"', "multiLine": "true", "mode": "FAILFAST", "maxCharsPerColumn": "-1"} | ({"nullValue": "\u0000"} if keep_empty else {})
     strings = T.StructType([T.StructField(f.name, T.StringType()) for f in schema])
     parsed = records.select(F.from_csv("_line", _ddl(strings), options).alias("r"))
-    return parsed.select(*[F.col("r")[f.name].cast(f.dataType).alias(f.name) for f in schema])
+    return parsed.select(*[F.col("r")[f.name].cast(f.dataType).alias(f.name) for f in schema]).hint("merge")
 
 
 def _ddl(schema: T.StructType) -> str:

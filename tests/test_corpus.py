@@ -171,5 +171,9 @@ def test_lexicon_and_metadata_are_not_broadcast(spark, tmp_dir):
     assert {(r.year, r.word): r.n for r in counts.collect()} == want
     rows = C.join_corpus(tokens, words, texts)
     assert Counter((r.year, r.word) for r in rows.collect()) == want
-    for df in (counts, rows):
+    dated = tokens.join(texts, "textID").groupBy("year").count()
+    assert {r["year"]: r["count"] for r in dated.collect()} == {1990: 24, 1991: 24}
+    tagged = C.count_by(None, words.selectExpr("wordID AS textID", "word"), texts, ["year", "word"])
+    assert {(r.year, r.n) for r in tagged.collect()} == {(1990, 999), (1991, 1000)}
+    for df in (counts, rows, dated, tagged):
         assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
