@@ -15,6 +15,22 @@ def test_stream_equals_batch(spark):
     assert streamed.count() > 0
 
 
+def test_stream_of_a_table_in_many_files(spark, tmp_dir):
+    """a table may be a folder of files, also without any mention; one that is not there is an error"""
+    import pytest
+    rows = [(i, f"We met Dr Ann Lee {i}. So it was.", "en", "s", 9) for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    df.repartition(3).write.parquet(f"{tmp_dir}/many/documents.parquet")
+    df.where("doc_id < 5").selectExpr("doc_id", "'nobody' AS text", "lang", "source", "n_chars").write.parquet(f"{tmp_dir}/none/documents.parquet")
+    got = stream_sentence_mentions(spark, f"{tmp_dir}/many")
+    batch = sentence_mentions(df.selectExpr("doc_id AS source", "text"), "text", "source")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, batch.collect())) and got.count() == 20 and got.columns == batch.columns
+    none = stream_sentence_mentions(spark, f"{tmp_dir}/none")
+    assert none.count() == 0 and none.columns == batch.columns
+    with pytest.raises(FileNotFoundError):
+        stream_sentence_mentions(spark, f"{tmp_dir}/gone")
+
+
 def test_article_parsing_on_a_stream(spark):
     from pyspark.sql import functions as F
 
