@@ -26,6 +26,7 @@ from quarry.operators.scoring import PandasModelScorer
 
 WORD = re.compile(r"\w+")
 MODEL_BYTES = 64 << 20
+HASH_BITS = 16  # a label's hashes are counted in as many bins as these bits can tell
 
 
 def features(text: str | None, buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -59,6 +60,23 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
+def near_rows(labelled: DataFrame, per_label: int, max_labels: int) -> tuple[DataFrame, list[str]]:
+    """The rows (label, t, ..) whose hash ``t`` may be among the ``per_label`` smallest of their label, and the labels.  Runs a job.
+
+    Distinct hashes are counted per label and bin of hashes; a label's rows are kept up to the bin in which its sample ends,
+    so little more than the sample travels on, and of the rest only hashes.
+    """
+    place = F.shiftright("t", 64 - HASH_BITS)
+    counts = labelled.select("label", "t").distinct().groupBy("label", place.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.partitionBy("label").orderBy("bin")) - F.col("n")
+    ends = (counts.withColumn("before", before).where(F.col("before") < per_label).groupBy("label").agg(F.max("bin").alias("end"))
+            .limit(max_labels + 1).collect())
+    if len(ends) > max_labels:
+        raise ValueError(f"more than {max_labels} labels")
+    last = labelled.sparkSession.createDataFrame(ends, "label string, end long")
+    return labelled.join(F.broadcast(last), "label").where(place <= F.col("end")).drop("end"), sorted(r["label"] for r in ends)
+
+
 class TextClassifier:
     def __init__(self, labels: list[str], weights: np.ndarray, bias: np.ndarray):
         self.labels, self.weights, self.bias = labels, weights, bias
@@ -72,7 +90,8 @@ class TextClassifier:
         labelled = df.where(F.col(label_col).isNotNull()).select(F.col(label_col).cast("string").alias("label"), F.col(text_col).alias("text"),
                                                                  F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]).alias("h"))
         # a text's hash leads, so that copies of one text stand together and count as one row
-        one = labelled.groupBy("label", F.xxhash64("text").alias("t")).agg(F.min(F.struct("h", "text")).alias("r"))
+        near, labels = near_rows(labelled.withColumn("t", F.xxhash64("text")), per_label, max_labels)
+        one = near.groupBy("label", "t").agg(F.min(F.struct("h", "text")).alias("r"))
         drawn = (one.withColumn("n", F.row_number().over(Window.partitionBy("label").orderBy("t"))).where(F.col("n") <= per_label)
                  .select("label", F.col("r.text").alias("text")))
 
@@ -82,15 +101,8 @@ class TextClassifier:
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array([i.tolist() for i, _ in found], pa.list_(pa.int64())),
                                                   pa.array([v.tolist() for _, v in found], pa.list_(pa.float64()))], names=["label", "index", "value"])
         rows = drawn.mapInArrow(run, "label string, index array<long>, value array<double>").toLocalIterator()
-        held: list[tuple] = []
-        names: set[str] = set()
-        for r in rows:
-            names.add(r["label"])
-            if len(names) > max_labels:
-                raise ValueError(f"more than {max_labels} labels")
-            held.append((r["label"], np.array(r["index"], np.int64), np.array(r["value"])))
+        held = [(r["label"], np.array(r["index"], np.int64), np.array(r["value"])) for r in rows]
         held.sort(key=lambda r: (r[0], r[1].tolist()))
-        labels = sorted(names)
         return cls(labels, *train(Rows([r[1] for r in held], [r[2] for r in held]), np.array([labels.index(r[0]) for r in held], int),
                                   len(labels), buckets, rounds, penalty))
 

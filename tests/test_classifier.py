@@ -45,6 +45,18 @@ def test_scores_by_plain_computation(spark):
     assert np.allclose(again.weights, model.weights)
 
 
+def test_only_rows_near_the_sample_travel(spark):
+    """of many texts a label, little more than the sample is gathered by label; copies count once; small labels are whole"""
+    from quarry.operators.classifier import near_rows
+    df = spark.range(12_000).selectExpr("if(id % 3000 = 0, 'c', if(id % 2 = 0, 'a', 'b')) AS label", "concat('text ', id div 2 * 2) AS text")
+    near, labels = near_rows(df.unionAll(df).withColumn("t", F.xxhash64("text")), 50, 9)
+    assert labels == ["a", "b", "c"]
+    kept, every = ({k: sorted(d.t) for k, d in x.distinct().toPandas().groupby("label")} for x in (near, df.withColumn("t", F.xxhash64("text"))))
+    for k in labels:
+        assert kept[k][:50] == every[k][:50] and len(kept[k]) <= 60, k
+    assert len(kept["c"]) == 4 and near.count() <= 2 * 124
+
+
 def test_bounds_and_empty_tables(spark):
     df = spark.createDataFrame([(i, f"w{i}", f"l{i}") for i in range(5)], "i long, text string, y string")
     with pytest.raises(ValueError):
