@@ -57,6 +57,54 @@ def test_only_rows_near_the_sample_travel(spark):
     assert len(kept["c"]) == 4 and near.count() <= 2 * 124
 
 
+def test_learns_from_every_labelled_row(spark):
+    """more texts a label than any sample held: every word of theirs weighs something"""
+    df = spark.range(5_200).selectExpr("if(id % 2 = 0, 'a', 'b') AS y", "concat('w', id) AS text")
+    model = TextClassifier.fit(df, "text", "y", rounds=2)
+    seen = {zlib.crc32(f"w{i}".encode()) % (1 << 16) for i in range(5_200)}
+    mixed = seen - set(np.flatnonzero(model.weights.any(axis=1)).tolist())  # words of both labels that fall into one bucket
+    assert len(seen) > 4_900 and len(mixed) < 200
+    right = model.predict(pd.Series([f"w{i}" for i in range(5_200)])).label.tolist()
+    assert sum(x == "ab"[i % 2] for i, x in enumerate(right)) > 5_000
+
+
+def descended(rows, buckets, rounds, penalty=1e-5):
+    """weights and biases of the descent on dense rows (text, label); copies count once"""
+    rows = sorted(set(rows), key=str)
+    names = sorted({y for _, y in rows})
+    x, truth = np.zeros((len(rows), buckets + 1)), np.array([[float(y == k) for k in names] for _, y in rows])
+    for row, (text, _) in zip(x, rows):
+        words = re.findall(r"\w+", (text or "").lower())
+        for w in [*words, *map(" ".join, zip(words, words[1:]))]:
+            row[zlib.crc32(w.encode()) % buckets] += 1
+        row /= np.sqrt((row * row).sum()) or 1
+        row[-1] = 1
+    w = old = np.zeros((buckets + 1, len(names)))
+    shrink, t = np.append(np.full(buckets, penalty), 0)[:, None], 1.0
+    for _ in range(rounds):
+        e = np.exp(x @ w)
+        new = w - x.T @ ((e / e.sum(axis=1, keepdims=True) - truth) * (truth / truth.sum(axis=0)).sum(axis=1, keepdims=True) / len(names)) - shrink * w
+        after = (1 + math.sqrt(1 + 4 * t * t)) / 2
+        w, old, t = new + (t - 1) / after * (new - old), new, after
+    return old[:-1], old[-1]
+
+
+@pytest.mark.parametrize("driver, sums, block", [(1 << 20, 1 << 20, 1 << 17), (-1, 1 << 20, 40), (-1, 0, 3)])
+def test_the_descent_is_the_same_wherever_it_runs(spark, monkeypatch, driver, sums, block):
+    """by the driver, by tasks whose sums the driver adds up, and by tasks that add them up; held against dense rows"""
+    from quarry.operators import classifier
+    monkeypatch.setattr(classifier, "DRIVER_BYTES", driver)
+    monkeypatch.setattr(classifier, "SUMS_BYTES", sums)
+    monkeypatch.setattr(classifier, "BLOCK", block)
+    rows = [(f"{'good' if i % 3 else 'bad'} day {i % 11} of {i % 5} " * (i % 4), "abc"[i * i % 7 % 3]) for i in range(90)]
+    rows += [(None, "c"), ("", "a"), ("only", "d"), ("x " * 300 + "y", "b")]
+    df = spark.createDataFrame([*rows, *rows[:40], ("good", None)], "text string, y string").repartition(5)
+    model = TextClassifier.fit(df, "text", "y", buckets=32, rounds=6)
+    weights, bias = descended(rows, 32, 6)
+    assert model.labels == ["a", "b", "c", "d"]
+    assert np.allclose(model.weights, weights, atol=1e-12) and np.allclose(model.bias, bias, atol=1e-12)
+
+
 def test_bounds_and_empty_tables(spark):
     df = spark.createDataFrame([(i, f"w{i}", f"l{i}") for i in range(5)], "i long, text string, y string")
     with pytest.raises(ValueError):
