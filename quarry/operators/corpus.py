@@ -19,9 +19,10 @@ Both joins merge by key: neither table is broadcast (see :func:`unsent`).
 
 Left-join semantics are preserved: unmatched tokens keep NULL word/lemma/pos
 or NULL year, and duplicate lexicon keys multiply the counts exactly as they
-multiply rows in the row-level join.  ``preaggregate=True`` additionally
-counts ``(textID, wordID)`` before the metadata join, which pays off when
-texts repeat words (natural language) and not when pairs are unique.
+multiply rows in the row-level join.  ``(textID, wordID)`` are counted
+before the metadata join, which pays off when texts repeat words (natural
+language) and not when pairs are unique; with ``salt`` or without metadata
+only for ``preaggregate=True``.
 """
 
 from __future__ import annotations
@@ -178,18 +179,21 @@ def count_by(tokens: DataFrame, words: DataFrame, texts: DataFrame | None, keys:
     # the salt hashes whole token rows (occurrence id included), so repeats of one pair spread too
     row_hash = [F.xxhash64(*[F.col(c) for c in tokens.columns]).alias("_h")] if salted and not preaggregate else []
     tok = tokens.select("textID", "wordID", *row_hash)
-    if preaggregate:
+    # the metadata is merged by key, so the tokens travel by textID: they are counted before
+    if preaggregate or tkeys and not salted:
         tok = tok.groupBy("textID", "wordID").agg(F.count(F.lit(1)).alias("_n"))
     else:
         tok = tok.withColumn("_n", F.lit(1).cast("bigint"))
     if tkeys:
         meta = texts_for_join(texts).select("textID", *tkeys)
-        tok = tok.join(meta, "textID") if matched_texts else salted_left_join(
-            tok, meta, "textID", salt, salt_cols=(["_h"] if row_hash else ["textID", "wordID"]) if salted else None)
+        if salted and not matched_texts:
+            tok = salted_left_join(tok, meta, "textID", salt, salt_cols=["_h"] if row_hash else ["textID", "wordID"])
+        else:
+            tok = meta.join(tok, "textID", "inner" if matched_texts else "right")
     reduced = tok.groupBy(*tkeys, "wordID").agg(F.sum("_n").alias("_n"))
     if wkeys:
         lex = words.select("wordID", *wkeys)
-        reduced = reduced.join(unsent(lex), "wordID", "left")
+        reduced = unsent(lex).join(reduced, "wordID", "right")
     return reduced.groupBy(*keys).agg(F.sum("_n").cast("bigint").alias(count_col))
 
 
